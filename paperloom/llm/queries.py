@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import chat, mixing, near_dedup, phrase_index, repetition
+from paperloom.llm import chat, mixing, near_dedup, phrase_index, repetition, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,18 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def tokenizer_json(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), encoding="utf-8") as f:
+        return f.read()
+
+
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = token_store.write_store(_table(spark, sf_dir, "documents"), tokenizer_json(), end_id=2)
+    return token_store.verify(spark, store).select("doc_id", "start", "n_tokens", "ids_crc32", "root")
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
@@ -38,6 +50,6 @@ def op10_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_coverage(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op5_chat_formatting, op6_minhash_near_dedup, op9_benchmark_decontamination, op10_repetition_coverage)}
+QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_token_store, op5_chat_formatting, op6_minhash_near_dedup, op9_benchmark_decontamination, op10_repetition_coverage)}
 
 ORACLES: dict[str, str] = {}
