@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import chat, mixing, near_dedup, phrase_index, repetition, token_store
+from paperloom.llm import chat, mixing, near_dedup, phrase_index, repetition, token_store, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,12 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_warc_chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write_archives(_table(spark, sf_dir, "pages"))
+    read = warc.read_records(spark, path)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok", "n_chunks")
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = phrase_index.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ","), 256)
@@ -50,6 +56,6 @@ def op10_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_coverage(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_token_store, op5_chat_formatting, op6_minhash_near_dedup, op9_benchmark_decontamination, op10_repetition_coverage)}
+QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_token_store, op5_chat_formatting, op6_minhash_near_dedup, op7_warc_chunk_table, op9_benchmark_decontamination, op10_repetition_coverage)}
 
 ORACLES: dict[str, str] = {}
