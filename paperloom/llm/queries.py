@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import chat, mixing, near_dedup, phrase_index, repetition, token_store, warc
+from paperloom.llm import chat, mixing, near_dedup, phrase_index, repetition, token_store, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,18 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.verify(spark, store).select("doc_id", "start", "n_tokens", "ids_crc32", "root")
 
 
+def held_out(doc_id: Column) -> Column:
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.filter(~held_out(F.col("doc_id"))))
+    scored = toxicity.score(docs, model)
+    predicted = (F.col("score") >= 0.7).cast("int")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"), "n_sentences", "offending")
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
@@ -56,6 +68,6 @@ def op10_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_coverage(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_token_store, op5_chat_formatting, op6_minhash_near_dedup, op7_warc_chunk_table, op9_benchmark_decontamination, op10_repetition_coverage)}
+QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_token_store, op4_toxicity, op5_chat_formatting, op6_minhash_near_dedup, op7_warc_chunk_table, op9_benchmark_decontamination, op10_repetition_coverage)}
 
 ORACLES: dict[str, str] = {}
