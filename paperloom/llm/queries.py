@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import chat, mixing, near_dedup, phrase_index, repetition, token_store, toxicity, warc
+from paperloom.llm import chat, mixing, near_dedup, phrase_index, repetition, secrets, token_store, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,13 @@ def op7_warc_chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok", "n_chunks")
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(_table(spark, sf_dir, "documents"))
+    counts = {f"n_{k}": F.size(F.array_remove(F.transform("base", lambda s: s["kind"] != F.lit(k)), True)).cast("long") for k in secrets.KINDS[:3]}  # noqa: B023
+    digest = F.sha2(secrets.span_list(F.col("base")), 256)
+    return found.select("doc_id", *(c.alias(n) for n, c in counts.items()), digest.alias("base_sha256"), secrets.span_list(F.col("spans")).alias("spans"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = phrase_index.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ","), 256)
@@ -68,6 +75,6 @@ def op10_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_coverage(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_token_store, op4_toxicity, op5_chat_formatting, op6_minhash_near_dedup, op7_warc_chunk_table, op9_benchmark_decontamination, op10_repetition_coverage)}
+QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_token_store, op4_toxicity, op5_chat_formatting, op6_minhash_near_dedup, op7_warc_chunk_table, op8_secret_scan, op9_benchmark_decontamination, op10_repetition_coverage)}
 
 ORACLES: dict[str, str] = {}
