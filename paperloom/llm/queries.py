@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import chat, mixing, near_dedup, phrase_index, repetition, secrets, token_store, toxicity, warc
+from paperloom.llm import chat, licenses, mixing, near_dedup, phrase_index, repetition, secrets, token_store, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+    names = F.array_sort(F.array_distinct(F.transform("found", lambda m: m["license"])))
+    return found.select("doc_id", "n_blocks", F.size("found").cast("long").alias("n_found"), F.array_join(names, ",").alias("licenses"), "found")
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"), keep=["doc_id"])
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -75,6 +81,6 @@ def op10_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_coverage(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_token_store, op4_toxicity, op5_chat_formatting, op6_minhash_near_dedup, op7_warc_chunk_table, op8_secret_scan, op9_benchmark_decontamination, op10_repetition_coverage)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_mix_sources, op3_token_store, op4_toxicity, op5_chat_formatting, op6_minhash_near_dedup, op7_warc_chunk_table, op8_secret_scan, op9_benchmark_decontamination, op10_repetition_coverage)}
 
 ORACLES: dict[str, str] = {}
