@@ -1 +1,10 @@
+"""Queries of the engine, by area, with their SQL twins."""
 
+from __future__ import annotations
+
+from paperloom.plans import timeline_queries
+
+_AREAS = (timeline_queries,)
+
+QUERIES = {name: query for area in _AREAS for name, query in area.QUERIES.items()}
+ORACLES = {name: text for area in _AREAS for name, text in area.ORACLES.items()}
