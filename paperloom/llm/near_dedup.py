@@ -58,7 +58,7 @@ def shingle_sets(texts: pa.Array, n: int = WORDS) -> Iterator[tuple[int, np.ndar
         for k in range(w.rows):
             a, b = first[k], first[k + 1]
             if b - a >= n:
-                yield w.lo + k, np.unique(gram[lo[k] : lo[k + 1]])
+                yield w.lo + k, W.distinct(gram[lo[k] : lo[k + 1]])
             elif b > a:
                 short = np.uint64(b - a)
                 with np.errstate(over="ignore"):

@@ -39,7 +39,7 @@ _LENGTHS = RepetitionRules().max_gram_share
 def _found_twice(keys: np.ndarray) -> np.ndarray:
     """True where a key occurs more than once."""
     ordered = np.sort(keys)
-    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    twice = W.distinct(ordered[1:][ordered[1:] == ordered[:-1]])
     if not len(twice):
         return np.zeros(len(keys), dtype=bool)
     at = np.minimum(np.searchsorted(twice, keys), len(twice) - 1)

@@ -21,14 +21,18 @@ gives an empty store; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -77,41 +81,84 @@ def cuts(ids: np.ndarray) -> list[int]:
     return ends + [n] if last < n else ends
 
 
+_CLOSING = np.zeros(256, dtype=bool)
+_CLOSING[np.frombuffer(b",.;:!?", dtype=np.uint8)] = True
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+
+
+#: a-z and U+00DF-U+00FF without the division sign, in UTF-8
+_LATIN_WORD = re.compile(rb"(?:[a-z]|\xC3[\x9F-\xB6\xB8-\xBF])+").fullmatch
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_HIDDEN = [b for b in range(256) if b not in _SHOWN]
+#: byte-level tokenizers write byte b as this character
+_BYTE_CHARS = {b: b for b in _SHOWN} | {b: 256 + k for k, b in enumerate(_HIDDEN)}
+
+
 class WordEncoder:
-    """Ids of texts, a word at a time: the tokenizer splits at white space, so each distinct
-    word is encoded once and its ids are kept (for a bounded number of words)."""
+    """Ids of texts, a piece of a word at a time.
+
+    The tokenizer splits at white space and where a run of letters ends, and lowers letters, so a
+    text's ids are those of its lowered words, cut between a Latin letter and closing punctuation.
+    Each distinct piece is encoded once and kept in two generations of bounded size: pieces in use
+    move to the young one, the old one is dropped when the young one is full. Texts that may spell
+    a special token are not lowered.
+    """
 
     def __init__(self, tokenizer_json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.known: dict[int, bytes] = {}
+        wide = self.tokenizer.get_vocab_size() > 1 << 16
+        self.kind, self.code = (np.uint32, "I") if wide else (np.uint16, "H")
+        self.young: dict[int, bytes] = {}
+        self.old: dict[int, bytes] = {}
+        # a lower-case Latin word passes the normalizer and splitter of this kind of tokenizer unchanged
+        parts = json.loads(tokenizer_json)
+        kinds = [x["type"] for part in ("normalizer", "pre_tokenizer") for x in (parts[part] or {}).get("normalizers", []) + (parts[part] or {}).get("pretokenizers", [])]
+        self.model = self.tokenizer.model if kinds == ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"] else None
         self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
 
+    def blocks(self, texts: pa.Array) -> Iterator[tuple[W.Words, np.ndarray, np.ndarray]]:
+        """(block, ids of its words, where each row's ids begin) of a batch of texts."""
+        special = pc.any(pc.match_substring(texts, "<|")).as_py()
+        for w in W.blocks(texts, W.SPACED, lower=not special, limit=4 * W.BLOCK_BYTES):
+            yield w, *self.block(w)
+
     def block(self, w: W.Words) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words of a block, and where each row's ids begin."""
-        distinct, at, which = np.unique(w.hash, return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        new = [k for k, h in enumerate(keys) if h not in self.known]
+        cut = np.flatnonzero(_CLOSING[w.data[1:]] & _LETTER[w.data[:-1]]) + 1
+        begins, ends = np.zeros((2, len(w.data) + 1), dtype=bool)
+        begins[w.start] = begins[cut] = ends[w.end] = ends[cut] = True
+        start, end = np.flatnonzero(begins), np.flatnonzero(ends)
+        pieces, at, which = np.unique(w.hashed(start, end), return_index=True, return_inverse=True)
+        keys, young, old = pieces.tolist(), self.young, self.old
+        parts = [young.get(h) or old.get(h) for h in keys]
+        new = [k for k, p in enumerate(parts) if p is None]
+        if len(young) > _CACHE_WORDS:
+            self.young, self.old = young, old = {}, young
         if new:
-            if len(self.known) + len(new) > _CACHE_WORDS:
-                self.known, new = {}, list(range(len(keys)))
-            body, start, end = w.data.tobytes(), w.start[at].tolist(), w.end[at].tolist()
-            for k in range(0, len(new), 4096):
-                part = new[k : k + 4096]
-                found = self.encode([body[start[i] : end[i]].decode("utf-8", "replace") for i in part], add_special_tokens=False)
-                for i, e in zip(part, found):
-                    self.known[keys[i]] = np.array(e.ids, dtype=self.kind).tobytes()
-        parts = [self.known[h] for h in keys]
+            body, begin, until = w.data.tobytes(), start[at].tolist(), end[at].tolist()
+            others = []
+            for i in new:
+                piece = body[begin[i] : until[i]]
+                if self.model is not None and _LATIN_WORD(piece):
+                    parts[i] = array(self.code, [t.id for t in self.model.tokenize(piece.decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
+                else:
+                    others.append(i)
+            for k in range(0, len(others), 2048):
+                own = others[k : k + 2048]
+                found = self.encode([body[begin[i] : until[i]].decode("utf-8", "replace") for i in own], add_special_tokens=False)
+                for i, e in zip(own, found):
+                    parts[i] = array(self.code, e.ids).tobytes()
+        young.update(zip(keys, parts))
         ids = np.frombuffer(b"".join(parts), dtype=self.kind)
         length = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // self.kind().itemsize
-        begin = np.concatenate([[0], np.cumsum(length)])[:-1]
+        first = np.concatenate([[0], np.cumsum(length)])[:-1]
         count = length[which]
         upto = np.concatenate([[0], np.cumsum(count)])
-        out = ids[np.repeat(begin[which] - upto[:-1], count) + np.arange(upto[-1])]
-        return out, upto[w.first()]
+        out = ids[np.repeat(first[which] - upto[:-1], count) + np.arange(upto[-1])]
+        return out, upto[np.searchsorted(start, w.offsets)]
 
 
 @dataclass
@@ -137,8 +184,7 @@ def write_store(df: DataFrame, tokenizer_json: str, end_id: int, path: str | Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen = WordEncoder(shipped.value), set()
         for batch in batches:
-            for w in W.blocks(batch.column("body"), W.SPACED):
-                ids, first = encoder.block(w)
+            for w, ids, first in encoder.blocks(batch.column("body")):
                 rows, docs_ = [], batch.column("doc").slice(w.lo, w.rows).to_pylist()
                 for k, doc in enumerate(docs_):
                     own = np.append(ids[first[k] : first[k + 1]], encoder.kind(end_id))

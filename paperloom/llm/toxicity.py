@@ -103,7 +103,7 @@ def _fit(batches: Iterator[pa.RecordBatch], s: MilSettings) -> tuple[np.ndarray,
     for own_at, own_code in found:
         at = np.concatenate(own_at)
         vocabulary, code = np.unique(np.concatenate(own_code), return_inverse=True)
-        pair = np.unique(code.astype(np.int64) * n_docs + doc[at])
+        pair = W.distinct(code.astype(np.int64) * n_docs + doc[at])
         toxic = np.bincount(pair // n_docs, weights=label[pair % n_docs], minlength=len(vocabulary))
         every = np.bincount(pair // n_docs, minlength=len(vocabulary))
         # clearly commoner in toxic documents: lower end of the rate's normal interval
@@ -120,7 +120,7 @@ def _fit(batches: Iterator[pa.RecordBatch], s: MilSettings) -> tuple[np.ndarray,
     if not names:
         return none
     vocabulary = np.concatenate(names)
-    seen = np.unique(np.concatenate(seen_in).astype(np.int64) * len(vocabulary) + np.concatenate(feature))  # once a sentence
+    seen = W.distinct(np.concatenate(seen_in).astype(np.int64) * len(vocabulary) + np.concatenate(feature))  # once a sentence
     s_of, f_of = seen // len(vocabulary), seen % len(vocabulary)
     s_ids, s_row = np.unique(s_of, return_inverse=True)
     doc_of_sentence = np.zeros(n_sentences, dtype=np.int64)
@@ -179,7 +179,7 @@ def score(df: DataFrame, model: MilModel, id_col: str = "doc_id", text_col: str
                         place = np.minimum(np.searchsorted(words, code), len(words) - 1)
                         hit = words[place] == code
                         hits.append(sentence[at[hit]].astype(np.int64) * len(words) + place[hit])
-                    once = np.unique(np.concatenate(hits))
+                    once = W.distinct(np.concatenate(hits))
                     own, row = np.unique(once // len(words), return_inverse=True)
                     p = _sigmoid(s.prior + np.bincount(row, weights=weights[once % len(words)], minlength=len(own)))
                     doc = w.doc[begin[own]]

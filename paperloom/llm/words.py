@@ -44,6 +44,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by sorting (numpy's own default hashes, which is slower here)."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 class _Powers:
     up = np.ones(1, dtype=np.uint64)
     down = np.ones(1, dtype=np.uint64)
