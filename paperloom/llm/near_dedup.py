@@ -7,12 +7,13 @@
 3. Members of a band bucket are paired with its smallest member. Signatures are compared a batch
    at a time and a pair is given up when the posterior probability of similarity >= 0.75 falls
    below ``miss``. Survivors are confirmed on the full shingle sets of the texts.
-4. Buckets whose members still lie in more than one component give the pairs that cross
-   components: all of them in buckets up to ``small``; larger buckets are split by a second
-   shared band first (a similar pair shares eleven bands on average). A pair must also agree in
-   size (within 3/4) and in enough of 128 one-bit minima: the first batch of the same test, inside
-   the join, so texts that share a passage but are not alike make no rows. Survivors are verified
-   likewise.
+4. Buckets whose members still lie in more than one component hold the pairs that cross
+   components. Buckets up to ``small`` members give them directly, if sizes (within 3/4) and 128
+   one-bit minima agree well enough: the first batch of the same test, inside the join. Members
+   of larger buckets are joined exactly by prefix and position: with shingles ordered from the
+   rarest, a pair of similarity 0.75 shares one so early in both sets that what follows can still
+   make up the overlap. Heavily edited copies share only common shingles with their group, behind
+   their own, so they make no rows. Survivors are verified likewise.
 
 Step 4 keeps the work in proportion: members of one group of copies are joined by its star, so
 no bucket is expanded into all pairs, and no partner is dropped by a cap.
@@ -184,28 +185,67 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, per_task: int =
     return placed.mapInArrow(run, "a long, b long")
 
 
-def _crossing(entries: DataFrame, group: DataFrame, small: int, percent: int) -> DataFrame:
-    """Pairs of one bucket that lie in different components and may be alike."""
-    facts = ["id", "c", "n", "bits1", "bits2"]
-    named = entries.join(group, entries.id == group.node, "left").withColumn("c", F.coalesce("component", "id")).select("key", "bands", *facts)
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Rows whose key is met in more than one component, with the key's row count ``many``."""
+    own = Window.partitionBy("key")
+    return rows.withColumns({"lo": F.min("c").over(own), "hi": F.max("c").over(own), "many": F.count("*").over(own)}).filter("lo != hi")
 
-    def split(rows: DataFrame) -> DataFrame:
-        own = Window.partitionBy("key")
-        return rows.withColumns({"lo": F.min("c").over(own), "hi": F.max("c").over(own), "many": F.count("*").over(own)}).filter("lo != hi")
 
-    mixed = split(named)
-    finer = mixed.filter(F.col("many") > small).select(*facts, F.col("key").alias("first"), F.explode("bands").alias("band")).filter("band != first")
-    finer = split(finer.select(F.xxhash64(F.least("first", "band"), F.greatest("first", "band")).alias("key"), *facts))
-    rows = mixed.filter(F.col("many") <= small).select("key", *facts).unionByName(finer.select("key", *facts))
+def _pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one bucket, of different components, fitting size and like one-bit minima."""
+    facts = ["id", "c", "n", "bits1", "bits2"]
     one, two = (rows.select("key", *(F.col(x).alias(f"{x}_{i}") for x in facts)) for i in "ab")
     apart = F.bit_count(F.col("bits1_a").bitwiseXOR(F.col("bits1_b"))) + F.bit_count(F.col("bits2_a").bitwiseXOR(F.col("bits2_b")))
     sized = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     alike = (F.col("id_a") < F.col("id_b")) & (F.col("c_a") != F.col("c_b")) & sized & (apart <= BITS_APART)
-    return one.join(two, (one.key == two.key) & alike).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    return one.join(two, (one.key == two.key) & alike).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+
+
+def _early_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a shingle early enough in both orders.
+
+    At similarity p/100 the overlap is at least p * (n_a + n_b) / (100 + p); a shingle at ranks
+    r_a and r_b leaves room for 1 + min(n_a - r_a, n_b - r_b). The shorter set's rank is bounded
+    by its own length alone, which keeps most rows out of the join's left side.
+    """
+    facts = ["id", "c", "n", "rank"]
+    one, two = (rows.select("key", *(F.col(x).alias(f"{x}_{i}") for x in facts)) for i in "ab")
+    one = one.filter((100 + percent) * (F.col("n_a") - F.col("rank_a") + 1) >= 2 * percent * F.col("n_a"))
+    shorter = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("id_a") < F.col("id_b")))
+    room = 1 + F.least(F.col("n_a") - F.col("rank_a"), F.col("n_b") - F.col("rank_b"))
+    enough = ((100 + percent) * room >= percent * (F.col("n_a") + F.col("n_b"))) & (100 * F.col("n_a") >= percent * F.col("n_b"))
+    both = one.join(two, (one.key == two.key) & (F.col("c_a") != F.col("c_b")) & shorter & enough)
+    return both.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+
+
+def _rare_shingles(texts: DataFrame, percent: int) -> DataFrame:
+    """(key, id, c, n, rank): the prefix of each set, its rarest shingles, as far as others have them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, own in shingle_sets(batch.column("body")):
+                ids, c = (np.full(len(own), batch.column(x)[k].as_py(), dtype=np.int64) for x in ("id", "c"))
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(ids), pa.array(c), pa.array(np.full(len(own), len(own), dtype=np.int64))], ["key", "id", "c", "n"])
+
+    rows = texts.select("id", "c", "body").mapInArrow(run, "key long, id long, c long, n long")
+    counted = rows.withColumn("df", F.count("*").over(Window.partitionBy("key")))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "key"))
+    length = F.col("n") - F.expr(f"(n * {percent} + 99) div 100") + 1
+    return counted.withColumn("rank", rank).filter((F.col("rank") <= length) & (F.col("df") > 1)).select("key", "id", "c", "n", "rank")
+
+
+def _crossing(entries: DataFrame, group: DataFrame, texts: DataFrame, small: int, percent: int) -> DataFrame:
+    """Pairs that lie in one bucket but in different components and may be alike."""
+    named = entries.join(group, entries.id == group.node, "left").withColumn("c", F.coalesce("component", "id"))
+    mixed = settle(_mixed(named.select("key", "id", "c", "n", "bits1", "bits2")), "mixed-buckets")
+    few = _pairs(mixed.filter(F.col("many") <= small), percent)
+    crowded = mixed.filter(F.col("many") > small).select("id", "c").distinct()
+    rare = _mixed(_rare_shingles(texts.join(crowded, "id"), percent))
+    return few.unionByName(_early_pairs(rare, percent)).distinct()
 
 
 def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, miss: float = 1e-6, small: int = 32
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, miss: float = 1e-6, small: int = 8
 ) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (smallest id reachable) and kept."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"))
@@ -225,8 +265,8 @@ def near_duplicates(
     star = buckets.filter("id != a").select("a", F.col("id").alias("b")).distinct()
     links = settle(_confirmed(settle(_likely(star, reps, percent / 100, miss), "likely"), texts, percent), "links")
     group = settle(components(links), "components")
-    banded = buckets.select("key", "id").join(reps.select("id", "n", "bits1", "bits2", "bands"), "id")
-    cross = settle(_likely(_crossing(banded, group, small, percent), reps, percent / 100, miss), "likely")
+    banded = buckets.select("key", "id").join(reps.select("id", "n", "bits1", "bits2"), "id")
+    cross = settle(_likely(_crossing(banded, group, texts, small, percent), reps, percent / 100, miss), "likely")
     more = settle(_confirmed(cross, texts, percent), "links")
     if not more.isEmpty():
         group = settle(components(links.unionByName(more)), "components")
