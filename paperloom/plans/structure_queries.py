@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperloom.operators import structure as S
-from paperloom.plans.views import items, lines, planted, table, with_views
+from paperloom.plans.views import lines, placed, planted, with_views
 
 
 def _typed(spark, d):
@@ -56,12 +56,12 @@ def discover_label_lists(spark, d):
 
 
 def coalesce_runs(spark, d):
-    spans = items(spark, d).select("doc", "bi", "li", "kind", F.col("height").cast("string").alias("text"))
+    spans = placed(spark, d).select("doc", "bi", "li", "kind", F.col("height").cast("string").alias("text"))
     return S.coalesce_runs(spans.withColumn("o", F.col("bi") * 10 + F.col("li")), "kind", "o", ["doc"], mark=F.col("text") == "7").withColumn("text", F.md5("text"))
 
 
 def toggle_events(spark, d):
-    return S.toggle_events(items(spark, d).select("doc", "bi", "li", F.col("style").alias("styles")), "doc", ["bi", "li"])
+    return S.toggle_events(placed(spark, d).select("doc", "bi", "li", F.col("style").alias("styles")), "doc", ["bi", "li"])
 
 
 def nesting_level(spark, d):
@@ -136,14 +136,14 @@ ORACLES = {
     "discover_label_lists": with_views(""", M as (select *, sum(case when trim(text) = '' then 1 else 0 end) over (partition by doc order by li) as island from LP),
         N as (select doc, li, cast(island as bigint) as island, cast(length(regexp_extract(text, '^( *)', 1)) as integer) as col, regexp_extract(text, '^ *(\\S[^:]*):  +\\S', 1) as label from M where regexp_matches(text, '^ *\\S[^:]*:  +\\S'))
         select doc, li, island, col, label from (select *, count(*) over w as n, min(label) over w as a, max(label) over w as b from N window w as (partition by doc, island, col)) where n >= 2 and a <> b""", "LP"),
-    "coalesce_runs": with_views(""", M as (select doc, bi * 10 + li as o, kind, cast(height as varchar) as text, height = 7 as mark from LI),
+    "coalesce_runs": with_views(""", M as (select doc, bi * 10 + li as o, kind, cast(height as varchar) as text, height = 7 as mark from PL),
         N as (select *, case when kind is distinct from lag(kind) over w or mark or lag(mark) over w is null or lag(mark) over w then 1 else 0 end as new from M window w as (partition by doc order by o)),
         R as (select *, sum(new) over (partition by doc order by o) as run from N)
-        select doc, min(o) as first, any_value(kind) as kind, md5(string_agg(text, '' order by o)) as text from R group by doc, run""", "LI"),
-    "toggle_events": with_views(""", M as (select doc, bi, li, style, coalesce(lag(style) over (partition by doc order by bi, li), 0) as was from LI),
+        select doc, min(o) as first, any_value(kind) as kind, md5(string_agg(text, '' order by o)) as text from R group by doc, run""", "PL"),
+    "toggle_events": with_views(""", M as (select doc, bi, li, style, coalesce(lag(style) over (partition by doc order by bi, li), 0) as was from PL),
         K as (select unnest(range(8)) as k)
         select doc, bi, li, cast(k as integer) as seq, cast(1 << k as integer) as bit, false as "on" from M, K where (was & ~style & (1 << k)::integer) <> 0
-        union all select doc, bi, li, cast(k + 8 as integer), cast(1 << k as integer), true from M, K where (style & ~was & (1 << k)::integer) <> 0""", "LI"),
+        union all select doc, bi, li, cast(k + 8 as integer), cast(1 << k as integer), true from M, K where (style & ~was & (1 << k)::integer) <> 0""", "PL"),
     "nesting_level": with_views(""", R as (select doc, li // 12 as island, li, cast(length(text) % 7 as integer) as col from LP where text <> ''),
         P as (select a.doc, a.island, a.li, a.col, b.col as c from R a left join R b on a.doc = b.doc and a.island = b.island and b.li < a.li and b.col < a.col
           and not exists (select 1 from R m where m.doc = a.doc and m.island = a.island and m.li > b.li and m.li < a.li and m.col <= b.col))

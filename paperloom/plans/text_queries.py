@@ -133,8 +133,8 @@ def decode_corpus(spark, d):
 
 def substitute(spark, d):
     spans = lines(spark, d).withColumn("text", F.replace(F.replace("text", F.lit(","), F.lit("--")), F.lit("e "), F.lit("¤ ")))
-    rules = spark.createDataFrame([("euro",), ("typography",), ("corners",)], "name string")
-    decisions = table(spark, d, "labels").select(F.col("doc_id").alias("doc"), "quality", "toxic").crossJoin(F.broadcast(rules))  # three rules
+    names = F.explode(F.array(*(F.lit(x) for x in ("euro", "typography", "corners"))))
+    decisions = table(spark, d, "labels").select(F.col("doc_id").alias("doc"), "quality", "toxic", names.alias("name"))
     decisions = decisions.select("doc", "name", F.when(F.col("name") == "euro", F.col("toxic") == 1).otherwise(F.col("quality") == 1).alias("enabled"))
     return X.substitute(spans, decisions, skip=F.col("li") % 4 == 3).select("doc", "li", F.md5("text").alias("text"))
 

@@ -44,6 +44,11 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select(F.col("l_suppkey").alias("doc"), F.col("l_orderkey").alias("bi"), F.col("l_linenumber").cast("long").alias("li"), F.col("l_quantity").cast("long").alias("height"), F.col("l_returnflag").alias("kind"), F.col("l_partkey").alias("part"), (F.col("l_partkey") % 256).cast("int").alias("style"))
 
 
+def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``items`` with one row for each place: (doc, bi, li, height, kind, style)."""
+    return items(spark, sf_dir).groupBy("doc", "bi", "li").agg(F.max("height").alias("height"), F.max("kind").alias("kind"), F.max("style").alias("style"))
+
+
 SQL = {
     "L": "select doc_id as doc, unnest(range(len(p))) as li, unnest(p) as text from (select doc_id, string_split(text, chr(10)) as p from documents)",
     "LP": """select doc, li, case when n % 17 = 0 then (['.pn', '.mt', '.po', '.lh'])[n % 4 + 1] || ' ' || (n % 9) when n % 11 = 0 then '' when n % 7 = 0 then '- ' || base
@@ -51,10 +56,11 @@ SQL = {
         from (select doc, li, doc + li as n, case when li % 3 = 0 then replace(text, '. ', '.  ') else text end as base from L)""",
     "EV": "select user_id as doc, ts, event_id as seq, event_type as name, cast(round(value * 100) as bigint) as arg from events",
     "LI": "select l_suppkey as doc, l_orderkey as bi, cast(l_linenumber as bigint) as li, cast(l_quantity as bigint) as height, l_returnflag as kind, l_partkey as part, cast(l_partkey % 256 as integer) as style from lineitem",
+    "PL": "select doc, bi, li, max(height) as height, max(kind) as kind, max(style) as style from LI group by doc, bi, li",
 }
 
 
 def with_views(body: str, *names: str) -> str:
     """A query over the named views; further CTEs may follow, starting with a comma."""
-    order = [n for n in SQL if n in names or (n == "L" and "LP" in names)]
+    order = [n for n in SQL if n in names or (n == "L" and "LP" in names) or (n == "LI" and "PL" in names)]
     return "with " + ", ".join(f"{n} as ({SQL[n]})" for n in order) + (body if body.lstrip().startswith(",") else " " + body)
