@@ -1,42 +1,41 @@
-"""Connected components of an edge table by alternating large and small stars.
-
-Each round is two grouped minima with a join; rounds are settled in the shared folder. Nothing
-is gathered on the driver but one row (edge count and checksum) a round.
+"""Connected components of an edge table.
+
+Every edge points from its larger node to its smaller one. In a round each node keeps its smallest
+lower neighbour; its other lower neighbours are linked to that one instead. When no node has two
+lower neighbours left, the edges are a forest whose roots are the smallest nodes of their
+components, and pointer jumping brings every node to its root. Rounds are settled in the shared
+folder; the driver sees one number a round. A node with very many members is only ever the smaller
+end, so no group of members meets in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.scratch import forget, settle
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    return both.filter("b > a").join(least, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.withColumnRenamed("m", "b")).distinct()
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) links -> (node, component): the smallest node that each linked node can reach.
 
-    Nodes without a link to another node are not listed. Null ends are ignored.
+    Nodes without a link to another node are not listed; roots are. Null ends are ignored.
     """
-    now = settle(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a != b").distinct(), "edges")
-    seen = None
+    down = edges.filter("a != b").select(F.greatest("a", "b").cast("long").alias("hi"), F.least("a", "b").cast("long").alias("lo")).distinct()
     while True:
-        mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if mark == seen or not mark["n"]:
+        kept = F.min("lo").over(Window.partitionBy("hi"))
+        now = settle(down.withColumn("m", kept), "edges")
+        moved = now.filter("lo != m")
+        if moved.isEmpty():
             break
-        seen, before = mark, now
-        now = settle(_small_star(_large_star(now)), "stars")
+        # (hi, m) stays; another lower neighbour lo is linked to m
+        down = now.select(F.when(F.col("lo") == F.col("m"), F.col("hi")).otherwise(F.col("lo")).alias("hi"), F.col("m").alias("lo")).distinct()
+    parent = now.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
+    while True:
+        up = parent.select(F.col("node").alias("component"), F.col("component").alias("higher"))
+        before, now = now, settle(parent.join(up, "component", "left").select("node", F.coalesce("higher", "component").alias("component"), F.col("higher").isNotNull().alias("moved")), "parents")
         forget(before)
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+        parent = now.select("node", "component")
+        if now.filter("moved").isEmpty():
+            break
+    return parent.unionByName(parent.select(F.col("component").alias("node"), "component").distinct())

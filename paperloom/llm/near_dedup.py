@@ -8,9 +8,7 @@
    at a time and a pair is given up when the posterior probability of similarity >= 0.75 falls
    below ``miss``. Survivors are confirmed on the full shingle sets of the texts.
 4. Buckets whose members still lie in more than one component hold the pairs that cross
-   components. Buckets up to ``small`` members give them directly, if sizes (within 3/4) and 128
-   one-bit minima agree well enough: the first batch of the same test, inside the join. Members
-   of larger buckets are joined exactly by prefix and position: with shingles ordered from the
+   components. Buckets up to ``small`` members give them directly. Members of larger buckets are joined exactly by prefix and position: with shingles ordered from the
    rarest, a pair of similarity 0.75 shares one so early in both sets that what follows can still
    make up the overlap. Heavily edited copies share only common shingles with their group, behind
    their own, so they make no rows. Survivors are verified likewise.
@@ -42,8 +40,6 @@ from paperloom.llm.scratch import settle
 WORDS, BANDS, ROWS = 5, 48, 5
 HASHES = BANDS * ROWS
 COMPARED = 128
-#: most differing bits of 128 for a pair of similarity 0.75: mean 16, deviation 3.7, so 1e-7 miss
-BITS_APART = 38
 _RANDOM = np.random.default_rng(20240501)
 _FACTOR = (_RANDOM.integers(0, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
 _ADD = _RANDOM.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)[:, None]
@@ -108,26 +104,22 @@ def _signed(docs: DataFrame) -> DataFrame:
                 if len(shingles):
                     print_ = np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), dtype=np.int64)
                     minima = signature(shingles)
-                    bits = np.packbits((minima[:COMPARED] & 1).astype(np.uint8)).view(np.int64)
-                    rows.append((row, len(shingles), int(print_[0]), int(print_[1]), minima[:COMPARED].astype(np.uint16).tobytes(), int(bits[0]), int(bits[1]), band_keys(minima)))
+                    rows.append((row, len(shingles), int(print_[0]), int(print_[1]), minima[:COMPARED].astype(np.uint16).tobytes(), band_keys(minima)))
                 else:
-                    rows.append((row, 0, None, None, None, None, None, None))
+                    rows.append((row, 0, None, None, None, None))
                 if len(rows) >= 4096:
                     yield _signed_batch(ids, rows)
                     rows = []
             if rows:
                 yield _signed_batch(ids, rows)
 
-    return docs.mapInArrow(run, "id long, n long, p1 long, p2 long, sig binary, bits1 long, bits2 long, bands array<long>")
+    return docs.mapInArrow(run, "id long, n long, p1 long, p2 long, sig binary, bands array<long>")
 
 
 def _signed_batch(ids: pa.Array, rows: list) -> pa.RecordBatch:
-    row, n, p1, p2, sig, bits1, bits2, bands = zip(*rows)
+    row, n, p1, p2, sig, bands = zip(*rows)
     numbers = (pa.array(c, pa.int64()) for c in (n, p1, p2))
-    return pa.RecordBatch.from_arrays(
-        [ids.take(pa.array(row)), *numbers, pa.array(sig, pa.binary()), pa.array(bits1, pa.int64()), pa.array(bits2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-        ["id", "n", "p1", "p2", "sig", "bits1", "bits2", "bands"],
-    )
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(row)), *numbers, pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "n", "p1", "p2", "sig", "bands"])
 
 
 def _likely(pairs: DataFrame, sigs: DataFrame, threshold: float, miss: float, batch: int = 16) -> DataFrame:
@@ -191,14 +183,10 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"lo": F.min("c").over(own), "hi": F.max("c").over(own), "many": F.count("*").over(own)}).filter("lo != hi")
 
 
-def _pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one bucket, of different components, fitting size and like one-bit minima."""
-    facts = ["id", "c", "n", "bits1", "bits2"]
-    one, two = (rows.select("key", *(F.col(x).alias(f"{x}_{i}") for x in facts)) for i in "ab")
-    apart = F.bit_count(F.col("bits1_a").bitwiseXOR(F.col("bits1_b"))) + F.bit_count(F.col("bits2_a").bitwiseXOR(F.col("bits2_b")))
-    sized = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    alike = (F.col("id_a") < F.col("id_b")) & (F.col("c_a") != F.col("c_b")) & sized & (apart <= BITS_APART)
-    return one.join(two, (one.key == two.key) & alike).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one bucket and of different components."""
+    one, two = (rows.select("key", F.col("id").alias(i), F.col("c").alias(f"c_{i}")) for i in "ab")
+    return one.join(two, "key").filter("a < b and c_a != c_b").select("a", "b")
 
 
 def _early_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -234,11 +222,11 @@ def _rare_shingles(texts: DataFrame, percent: int) -> DataFrame:
     return counted.withColumn("rank", rank).filter((F.col("rank") <= length) & (F.col("df") > 1)).select("key", "id", "c", "n", "rank")
 
 
-def _crossing(entries: DataFrame, group: DataFrame, texts: DataFrame, small: int, percent: int) -> DataFrame:
+def _crossing(buckets: DataFrame, group: DataFrame, texts: DataFrame, small: int, percent: int) -> DataFrame:
     """Pairs that lie in one bucket but in different components and may be alike."""
-    named = entries.join(group, entries.id == group.node, "left").withColumn("c", F.coalesce("component", "id"))
-    mixed = settle(_mixed(named.select("key", "id", "c", "n", "bits1", "bits2")), "mixed-buckets")
-    few = _pairs(mixed.filter(F.col("many") <= small), percent)
+    named = buckets.join(group, buckets.id == group.node, "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    mixed = settle(_mixed(named), "mixed-buckets")
+    few = _pairs(mixed.filter(F.col("many") <= small))
     crowded = mixed.filter(F.col("many") > small).select("id", "c").distinct()
     rare = _mixed(_rare_shingles(texts.join(crowded, "id"), percent))
     return few.unionByName(_early_pairs(rare, percent)).distinct()
@@ -252,7 +240,7 @@ def near_duplicates(
     signed = settle(_signed(docs), "signatures")
     classes = signed.filter("n > 0 and id is not null").groupBy("p1", "p2").agg(F.min("id").alias("rep"))
     classes = settle(classes, "classes")
-    reps = signed.filter("n > 0").select("id", "n", "sig", "bits1", "bits2", "bands").join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
+    reps = signed.filter("n > 0").select("id", "sig", "bands").join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
     reps = settle(reps.dropDuplicates(["id"]), "representatives")
 
     entries = reps.select("id", F.explode("bands").alias("key"))
@@ -265,11 +253,11 @@ def near_duplicates(
     star = buckets.filter("id != a").select("a", F.col("id").alias("b")).distinct()
     links = settle(_confirmed(settle(_likely(star, reps, percent / 100, miss), "likely"), texts, percent), "links")
     group = settle(components(links), "components")
-    banded = buckets.select("key", "id").join(reps.select("id", "n", "bits1", "bits2"), "id")
-    cross = settle(_likely(_crossing(banded, group, texts, small, percent), reps, percent / 100, miss), "likely")
+    cross = settle(_likely(_crossing(buckets, group, texts, small, percent), reps, percent / 100, miss), "likely")
     more = settle(_confirmed(cross, texts, percent), "links")
     if not more.isEmpty():
-        group = settle(components(links.unionByName(more)), "components")
+        joined = group.select(F.col("component").alias("a"), F.col("node").alias("b"))
+        group = settle(components(joined.unionByName(more)), "components")
 
     named = classes.join(group, classes.rep == group.node, "left").select("p1", "p2", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("id", "n", "p1", "p2").join(named, ["p1", "p2"], "left")
