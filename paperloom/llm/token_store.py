@@ -41,7 +41,7 @@ from paperloom.llm.scratch import new_path
 
 CUT_WINDOW, LEAST, MEAN, MOST = 16, 128, 512, 4096
 ADDRESS_BYTES = 20
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 200_000
 
 
 def address(data: bytes) -> bytes:
@@ -123,7 +123,7 @@ class WordEncoder:
     def blocks(self, texts: pa.Array) -> Iterator[tuple[W.Words, np.ndarray, np.ndarray]]:
         """(block, ids of its words, where each row's ids begin) of a batch of texts."""
         special = pc.any(pc.match_substring(texts, "<|")).as_py()
-        for w in W.blocks(texts, W.SPACED, lower=not special, limit=4 * W.BLOCK_BYTES):
+        for w in W.blocks(texts, W.SPACED, lower=not special, limit=2 * W.BLOCK_BYTES):
             yield w, *self.block(w)
 
     def block(self, w: W.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -200,7 +200,7 @@ def write_store(df: DataFrame, tokenizer_json: str, end_id: int, path: str | Non
                             rows.append((int.from_bytes(name[:7], "big"), "chunk", None, None, None, None, None, name, data))
                     root = merkle_root(names)
                     rows.append((int.from_bytes(root[:6], "big") + (doc or 0) * 7919 & 0xFFFFFFFFFFFF, "recipe", doc, len(own), root, names, lengths, None, None))
-                if len(seen) > 1_000_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ROW)], schema=_ROW)
 
