@@ -37,7 +37,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no word window of the benchmark."""
-    found = phrase_index.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = phrase_index.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), near_terms=0)
     return _without(docs, found.filter(F.col("n_hit") > 0).select(F.col("doc_id").alias("gone")))
 
 

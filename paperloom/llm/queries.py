@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm import chat, licenses, mixing, near_dedup, phrase_index, repetition, secrets, token_store, toxicity, warc
+from paperloom.llm.scratch import settle
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,15 +73,63 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = phrase_index.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = phrase_index.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), near_terms=0)
     digest = F.sha2(F.array_join("items", ","), 256)
-    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "n_near")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def proximity_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items whose four rarest terms lie within 30 words of a document, in any order."""
+    index = settle(phrase_index.build_index(_table(spark, sf_dir, "documents")), "phrase-index")
+    found = phrase_index.search(index, _table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), F.explode("near").alias("item_id"))
 
 
 def op10_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_coverage(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_mix_sources, op3_token_store, op4_toxicity, op5_chat_formatting, op6_minhash_near_dedup, op7_warc_chunk_table, op8_secret_scan, op9_benchmark_decontamination, op10_repetition_coverage)}
-
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_mix_sources, op3_token_store, op4_toxicity, op5_chat_formatting, op6_minhash_near_dedup, op7_warc_chunk_table, op8_secret_scan, op9_benchmark_decontamination, proximity_matches, op10_repetition_coverage)}
+
+_SPACED = r"[^\x20\x09-\x0D]+"
+_LETTERS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: SQL twins, where SQL can say it without the hashes and models of the operators
+ORACLES: dict[str, str] = {
+    "op5_chat_formatting": r"""with C as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        K as (select unnest(['<<SYS>>', '<</SYS>>', '[INST]', '[/INST]', '<s>', '</s>', '<|role|>', '<|text|>', '<|end|>']) as k),
+        E as (select conv_id, turn, role, text, length(text) + length(text) - length(replace(text, '\', '')) + (select sum((length(text) - length(replace(text, k, ''))) // length(k)) from K)
+          + case role when 'system' then 15 when 'user' then 15 when 'assistant' then 7 else 23 + length(role) end as chars from C)
+        select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+        cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars, sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256, cast(sum(chars) as bigint) as formatted_chars from E group by conv_id""",
+    "op6_minhash_near_dedup": f"""with recursive W as (select doc_id, regexp_extract_all({_LOW}, '{_SPACED}') as w from documents),
+        S as (select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from W),
+        N as (select doc_id, count(*) as n from S group by doc_id),
+        P as (select a.doc_id as a, b.doc_id as b, count(*) as c from S a join S b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+        L as (select a, b from P join N x on x.doc_id = a join N y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+        R as (select doc_id, doc_id as r from documents union select R.doc_id, case when L.a = R.r then L.b else L.a end from R join L on L.a = R.r or L.b = R.r)
+        select d.doc_id, coalesce(n, 0) as n_shingles, m as component_id, d.doc_id = m as kept from documents d left join N using (doc_id) join (select doc_id, min(r) as m from R group by doc_id) using (doc_id)""",
+    "op7_warc_chunk_table": """with P as (select page_id, coalesce(html, '') as h from pages), F as (select h, min(page_id) as f from P group by h),
+        B as (select page_id, strlen(h) as bytes, f, array_to_string(list_transform(string_split(sha1(h), ''), lambda x: (['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111'])[instr('0123456789abcdef', x)]), '') as bits from P join F using (h))
+        select page_id, bytes as payload_bytes, array_to_string(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + 16 * cast(bits[5 * i + 1] as integer) + 8 * cast(bits[5 * i + 2] as integer) + 4 * cast(bits[5 * i + 3] as integer) + 2 * cast(bits[5 * i + 4] as integer) + cast(bits[5 * i + 5] as integer)]), '') as payload_digest,
+        case when page_id = f then 'response' else 'revisit' end as record_type, case when page_id <> f then f end as refers_to, true as digest_ok, cast(case when page_id = f then (bytes + 1048575) // 1048576 else 0 end as bigint) as n_chunks from B""",
+    "op9_benchmark_decontamination": f"""with D as (select doc_id, regexp_extract_all({_LOW}, '{_LETTERS}') as w from documents), I as (select item_id, regexp_extract_all({_LOW}, '{_LETTERS}') as w from benchmark),
+        Q as (select distinct item_id, least(len(w), 10) as n, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: array_to_string(w[i:i + 9], ' '))) as g from I where len(w) > 0),
+        G as (select doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') as g from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as p from D, (select distinct n from Q))),
+        H as (select doc_id, item_id, p, n from G join Q using (n, g)),
+        C as (select doc_id, count(distinct x) as n_hit from (select doc_id, unnest(range(p, p + n)) as x from H) group by doc_id),
+        T as (select doc_id, count(*) as n_items, string_agg(i, ',' order by i) as items from (select distinct doc_id, cast(item_id as varchar) as i from H) group by doc_id)
+        select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated from D left join C using (doc_id) left join T using (doc_id)""",
+    "op10_repetition_coverage": f"""with D as (select doc_id, text, regexp_extract_all(text, '{_SPACED}') as w from (select doc_id, coalesce(text, '') as text from documents)),
+        G as (select doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') as g from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as p from D, (select unnest([5, 6, 7, 8, 9, 10]) as n))),
+        H as (select * from (select doc_id, n, p, count(*) over (partition by doc_id, n, g) as c from G) where c > 1),
+        X as (select distinct doc_id, n, unnest(range(p, p + n)) as x from H),
+        Y as (select doc_id, n, count(*) as words, cast(sum(length(w[x])) as bigint) as chars from X join D using (doc_id) group by 1, 2),
+        Z as (select doc_id, max(case when n = 5 then words end) as r, max(case when n = 5 then chars end) as c5, max(case when n = 6 then chars end) as c6, max(case when n = 7 then chars end) as c7, max(case when n = 8 then chars end) as c8, max(case when n = 9 then chars end) as c9, max(case when n = 10 then chars end) as c10 from Y group by doc_id),
+        N as (select doc_id, cast(count(*) - count(distinct l) as bigint) as n_dup_lines, cast(sum(length(l)) - sum(case when k = 1 then length(l) else 0 end) as bigint) as dup_line_chars from (select doc_id, l, row_number() over (partition by doc_id, l) as k from (select doc_id, unnest(string_split(text, chr(10))) as l from D) where regexp_matches(l, '{_SPACED}')) group by doc_id),
+        B as (select D.doc_id, len(w) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars, length(text) - length(translate(text, '#*$%&|<>', '')) as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(r, 0) as n_repeat_words, coalesce(dup_line_chars, 0) as dup_line_chars,
+          coalesce(c5, 0) as dup_chars_5, coalesce(c6, 0) as dup_chars_6, coalesce(c7, 0) as dup_chars_7, coalesce(c8, 0) as dup_chars_8, coalesce(c9, 0) as dup_chars_9, coalesce(c10, 0) as dup_chars_10 from D left join Z using (doc_id) left join N using (doc_id)),
+        V as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from B)
+        select *, not base_failed and not (dup_line_chars > 0.3 * word_chars or dup_chars_5 > 0.2 * word_chars or dup_chars_6 > 0.19 * word_chars or dup_chars_7 > 0.18 * word_chars or dup_chars_8 > 0.17 * word_chars or dup_chars_9 > 0.16 * word_chars or dup_chars_10 > 0.15 * word_chars) as kept from V""",
+}
