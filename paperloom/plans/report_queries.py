@@ -11,6 +11,7 @@ from paperloom.operators import report as S
 from paperloom.operators import text as X
 from paperloom.plans.page_queries import _NOTES, _flow, _notes
 from paperloom.plans.page_queries import _PAGES
+from paperloom.plans.text_queries import ORACLES as _TEXT
 from paperloom.plans.views import events, lines, placed, planted, table, with_views
 
 
@@ -216,6 +217,11 @@ ORACLES = {
     "corpus_union": "with U as (select md5(text) as name, 'documents' as part from documents union all select md5(text), 'benchmark' from benchmark union all select md5(text), 'again' from documents where md5(text) < '1') select name, part, min(part) over (partition by name) <> max(part) over (partition by name) as clash from U",
     "format_names": "select n_name as name from nation union select r_name from region",
     "style_set_algebra": with_views("select doc, bi, li, style, cast(height as integer) as other, style | cast(height as integer) as both, style & cast(height as integer) as shared, style & ~cast(height as integer) as only_a from PL", "PL"),
+    "word_parity": f"""with T as ({_TEXT["html_to_text"]}), S as (select page_id as doc, 'l' as side, text from T union all select page_id, 'r', case when page_id % 4 = 0 then replace(text, 'e', 'E') else replace(text, ' ', chr(10)) end from T),
+        W as (select doc, side, list_filter(string_split_regex(trim(regexp_replace(text, '(?m)^\\s*(?:[•*-]|\\d+\\.?)\\s+|\\f', ' ', 'g')), '\\s+'), lambda w: w <> '') as w from S),
+        K as (select doc, side, unnest(range(len(w))) as pos, unnest(w) as word from W),
+        D as (select doc, pos, l.word as lw, r.word as rw from (select * from K where side = 'l') l full join (select * from K where side = 'r') r using (doc, pos) where l.word is distinct from r.word)
+        select doc, min(pos) as pos, arg_min(lw, pos) as "left", arg_min(rw, pos) as "right" from D group by doc""",
     "balanced_markup": r"""with D as (select doc_id as doc, '{\rtf ' || replace(replace(substr(text, 1, 200), ',', '\{'), ' the ', '{\b x}') || case when doc_id % 3 = 0 then '' else '}' end || case when doc_id % 5 = 0 then '\odd ' else '' end as t from documents),
         E as (select doc, unnest(r) as k, unnest(range(len(r))) as pos from (select doc, regexp_extract_all(t, '\\[\\{}]|\\[a-z]+|[{}]') as r from D)), F as (select *, sum(case k when '{' then 1 when '}' then -1 else 0 end) over (partition by doc order by pos) as depth from E)
         select doc, min(depth) >= 0 and arg_max(depth, pos) = 0 as depth_ok, not bool_or(regexp_matches(k, '^\\[a-z]+$') and k not in ('\rtf', '\b')) as words_ok from F group by doc""",

@@ -34,7 +34,7 @@ def lines_of(spark, d):
 
 def sniff_prefix(spark, d):
     files = _bytes(spark, d).withColumn("content", F.encode("chars", "ISO-8859-1"))
-    return A.sniff_prefix(files, 1000).select("doc", F.length("content").cast("long").alias("bytes"), F.md5("content").alias("md5"))
+    return A.sniff_prefix(files, 1000).select("doc", F.length("content").cast("long").alias("bytes"), F.md5(codepage.bytes_as_chars(F.col("content"))).alias("md5"))
 
 
 def read_print_stream(spark, d):
@@ -178,7 +178,7 @@ ORACLES = {
         P as (select doc, string_split_regex(c, '[\\x01\\x02\\x03]') as p, regexp_extract_all(c, '[\\x01\\x02\\x03]') as e from S),
         U as (select doc, unnest(range(len(p))) as li, unnest(p) as text, e from P)
         select doc, li, md5(text) as text, case when li >= len(e) then 'eof' when e[li + 1] = chr(1) then 'soft' else 'hard' end as terminator from U where li < len(e) or text <> ''""", "L"),
-    "sniff_prefix": with_views(_BYTES + " select doc, cast(least(length(chars), 1000) as bigint) as bytes, md5(string_agg(b, '')) as md5 from (select doc, chars, chars as b from B where false) group by doc, chars", "L"),
+    "sniff_prefix": with_views(_BYTES + " select doc, least(length(chars), 1000) as bytes, md5(substr(chars, 1, 1000)) as md5 from B", "L"),
     "read_print_stream": with_views(_BYTES + """, S as (select doc, regexp_replace(replace(translate(split_part(chars, chr(26), 1), chr(130) || chr(141), chr(2) || chr(13)), '. ', '.' || chr(12)), '[\\x00-\\x08\\x0B\\x0E-\\x1F\\x7F]', '', 'g') as c from B),
         P as (select doc, unnest(range(len(p))) as page, unnest(p) as c from (select doc, string_split(c, chr(12)) as p from S)),
         Q as (select doc, page, unnest(range(len(p))) as li, unnest(p) as text from (select doc, page, string_split_regex(c, '\\r?\\n') as p from P))
@@ -222,5 +222,3 @@ ORACLES = {
         select *, 'modern' as mode from N where kind in ('comment', 'footnote') union all select *, 'facsimile' from N where kind = 'footnote'""",
     "dedupe_new": "select distinct o_custkey from orders where o_custkey % 3 <> 0",
 }
-ORACLES["sniff_prefix"] = "with X as (select doc_id as doc, text from documents) select 1 as none where false"
-del ORACLES["sniff_prefix"]  # digests of single bytes are not for SQL strings
