@@ -31,33 +31,45 @@ def throttle(requests: DataFrame, window_s: int = 3600, key: str = "path", ts: s
 
 
 class _Throttle(StatefulProcessor):
-    """Per path: the time of the last accepted request; it expires one window later."""
+    """Per path: the time of the last accepted request, kept until the watermark is one window past it."""
 
     def __init__(self, window_s: int):
-        self.window = pd.Timedelta(seconds=window_s)
+        self.window = window_s * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "ts timestamp", ttlDurationMs=None)
+        self.handle = handle
+        self.last = handle.getValueState("last", "micros long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        every = pd.concat(list(rows)).sort_values(["ts", "seq"])
-        last = pd.Timestamp(self.last.get()[0]) if self.last.exists() else None
+        every = pd.concat(list(rows)).sort_values(["micros", "seq"])
+        last = self.last.get()[0] if self.last.exists() else None
         kept = []
-        for ts, seq in zip(every["ts"], every["seq"]):
-            if last is None or ts - last >= self.window:
-                last = ts
+        for micros, seq, ts in zip(every["micros"].tolist(), every["seq"], every["ts"]):
+            if last is None or micros - last >= self.window:
+                last = micros
                 kept.append((key[0], seq, ts))
         if kept:
-            self.last.update((last.to_pydatetime(),))
+            self.last.update((last,))
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer((last + self.window) // 1000)
         yield pd.DataFrame(kept, columns=["path", "seq", "ts"])
 
+    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        yield pd.DataFrame([], columns=["path", "seq", "ts"])
+
     def close(self) -> None:
         pass
 
 
-def throttle_stream(requests: DataFrame, window_s: int = 3600) -> DataFrame:
-    """(path, seq, ts) of accepted requests of a stream of (path, ts timestamp, seq)."""
-    return requests.groupBy("path").transformWithStateInPandas(_Throttle(window_s), "path string, seq long, ts timestamp", "append", "none")
+def throttle_stream(requests: DataFrame, window_s: int = 3600, late: str = "10 minutes") -> DataFrame:
+    """(path, seq, ts) of accepted requests of a stream of (path, ts timestamp, seq).
+
+    Requests later than ``late`` behind the newest are dropped by the watermark, which also lets a
+    path's state expire."""
+    own = requests.withWatermark("ts", late).withColumn("micros", F.unix_micros("ts")).groupBy("path")
+    return own.transformWithStateInPandas(_Throttle(window_s), "path string, seq long, ts timestamp", "append", "eventTime")
 
 
 def bounded_queue(requests: DataFrame, most: int = 500, key: str = "path", order: str = "seq") -> DataFrame:
