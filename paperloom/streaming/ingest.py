@@ -40,7 +40,7 @@ class _Throttle(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "micros long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         every = pd.concat(list(rows)).sort_values(["micros", "seq"])
         last = self.last.get()[0] if self.last.exists() else None
         kept = []
@@ -55,7 +55,7 @@ class _Throttle(StatefulProcessor):
             self.handle.registerTimer((last + self.window) // 1000)
         yield pd.DataFrame(kept, columns=["path", "seq", "ts"])
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.last.clear()
         yield pd.DataFrame([], columns=["path", "seq", "ts"])
 

@@ -9,7 +9,7 @@ from paperloom.streaming import ingest
 
 def test_stream_equals_batch_twin(spark, tmp_path):
     start = datetime.datetime(2024, 1, 1)
-    rows = [(f"p{k % 3}", start + datetime.timedelta(minutes=7 * k + k % 5), k) for k in range(120)]
+    rows = [("p9" if k < 9 else f"p{k % 3}", start + datetime.timedelta(minutes=7 * k + k % 5), k) for k in range(120)]
     schema = "path string, ts timestamp, seq long"
     folder = tmp_path / "in"
     for part in range(4):  # four files, one a batch
