@@ -1,23 +1,26 @@
 """License scans by conditional compression.
 
-Candidate blocks are the sentences and line runs that mention licensing. Each block is compressed
-alone and then with every template as a raw zstandard dictionary; the share of bytes that a
-template saves ranks the templates. The best few are compared word by word with the block, and a
-winner is confirmed by the exact wording: short notices must be there in full, long ones may miss
-a tenth of their words. Missing and added words are reported.
+Candidate blocks reach from every mention of licensing as far as the longest template could, both
+ways and over line ends, so a notice is never cut by its wrapping. Each block is compressed alone
+and then with every template as a raw zstandard dictionary; the share of bytes that a template
+saves ranks the templates. A template is confirmed by the exact wording of a stretch of the block:
+short notices must be there word by word, long ones may miss and add a tenth of their words.
+Of stretches that overlap the one with most words in place wins, then the better rank. Missing and
+added words are reported, and the reduction of the stretch itself.
 
 Every text is read whole and each document is judged by itself, so nothing is shuffled.
 
 Defined cases: null and empty texts have no blocks; equal reductions are ranked by template name;
-repeated rows are scanned alike; extra columns are ignored; an empty table gives an empty table.
+each of several notices in a block is reported; repeated rows are scanned alike; extra columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-import difflib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
@@ -51,51 +54,114 @@ def templates() -> dict[str, str]:
     return out
 
 
-HINT = r"(?i)licen[sc]e|copyright|rights reserved|permission is hereby|permission to use|redistribut|public domain|free software"
+#: words of a phrase may stand on two lines, with the marks of comments between them
+HINT = r"(?i)licen[sc]e|copyright|rights[^a-z0-9]+reserved|permission[^a-z0-9]+is[^a-z0-9]+hereby|permission[^a-z0-9]+to[^a-z0-9]+use|redistribut|public[^a-z0-9]+domain|free[^a-z0-9]+software"
 _HINT = re.compile(HINT)
-_SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[A-Z])")
-_WORD = re.compile(r"[a-z0-9]+")
-
-
-def candidate_blocks(text: str, gap: int = 2) -> list[tuple[int, int, str]]:
-    """(first line, last line, block): single sentences with a hint, and runs of lines around them."""
-    lines, out, run = text.split("\n"), [], []
-    for k, line in enumerate(lines):
-        if not _HINT.search(line):
-            continue
-        out += [(k, k, s) for s in _SENTENCE.split(line) if _HINT.search(s)]
-        if run and k - run[-1] > gap + 1:
-            out.append((run[0], run[-1], "\n".join(lines[run[0] : run[-1] + 1])))
-            run = []
-        run.append(k)
-    if run:
-        out.append((run[0], run[-1], "\n".join(lines[run[0] : run[-1] + 1])))
-    return list(dict.fromkeys(out))
+_WORD = re.compile(r"[A-Za-z0-9]+")
+
+
+def _words(text: str) -> list[str]:
+    return [w.lower() for w in _WORD.findall(text)]
+
+
+def _allowed(n_words: int) -> int:
+    """Words that a notice may miss, and as many that it may add."""
+    return n_words // 10 if n_words > 20 else 0
+
+
+def candidate_blocks(text: str, reach: int) -> list[list[tuple[int, int]]]:
+    """Blocks as (start, end) of their words: those within ``reach`` words of a hint."""
+    words = [m.span() for m in _WORD.finditer(text)]
+    starts, out = np.array([a for a, _ in words]), []
+    for m in _HINT.finditer(text):
+        k = int(np.searchsorted(starts, m.start(), side="right")) - 1
+        lo, hi = max(k - reach, 0), min(k + reach + 1, len(words))
+        if out and lo <= out[-1][1]:
+            out[-1][1] = hi
+        else:
+            out.append([lo, hi])
+    return [words[lo:hi] for lo, hi in out]
+
+
+def _costs(wanted: np.ndarray, said: np.ndarray, free_start: bool = True) -> Iterator[np.ndarray]:
+    """Rows of the alignment table: fewest words missing and added, up to each word of ``said``."""
+    at = np.arange(len(said) + 1)
+    row = np.zeros(len(said) + 1, dtype=np.int64) if free_start else at.copy()
+    yield row
+    for w in wanted:
+        new = row + 1
+        new[1:] = np.where(said == w, np.minimum(new[1:], row[:-1]), new[1:])
+        row = np.minimum.accumulate(new - at) + at
+        yield row
+
+
+def _wording(wanted: np.ndarray, said: np.ndarray) -> tuple[list[int], list[int], int]:
+    """(places missing in ``wanted``, places added in ``said``, start) of the best stretch that ends with ``said``."""
+    table, i, j = np.array(list(_costs(wanted, said))), len(wanted), len(said)
+    missing, added = [], []
+    while i:
+        if j and wanted[i - 1] == said[j - 1] and table[i, j] == table[i - 1, j - 1]:
+            i, j = i - 1, j - 1
+        elif table[i, j] == table[i - 1, j] + 1:
+            i -= 1
+            missing.append(i)
+        else:
+            j -= 1
+            added.append(j)
+    return missing[::-1], added[::-1], j
 
 
 class Matcher:
-    def __init__(self, texts: dict[str, str], finalists: int = 3):
-        self.finalists, self.plain = finalists, zstandard.ZstdCompressor(level=3)
-        self.words = {n: _WORD.findall(t.lower()) for n, t in texts.items()}
+    def __init__(self, texts: dict[str, str]):
+        self.plain = zstandard.ZstdCompressor(level=3)
+        self.words = {n: _words(t) for n, t in sorted(texts.items())}
+        self.counts = {n: Counter(w) for n, w in self.words.items()}
+        self.reach = max((len(w) + _allowed(len(w)) for w in self.words.values()), default=0)
         raw = {n: zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT) for n, t in sorted(texts.items())}
         self.coded = {n: zstandard.ZstdCompressor(level=3, dict_data=d) for n, d in raw.items()}
 
-    def match(self, block: str) -> dict | None:
-        data = block.encode("utf-8", "replace")
+    def reductions(self, text: str, names: list[str]) -> dict[str, float]:
+        data = text.encode("utf-8", "replace")
         alone = len(self.plain.compress(data))
-        ranked = sorted(((1 - len(c.compress(data)) / alone, n) for n, c in self.coded.items()), key=lambda x: (-x[0], x[1]))[: self.finalists]
-        said, best = _WORD.findall(block.lower()), None
-        for reduction, name in ranked:
-            wanted = self.words[name]
-            same = difflib.SequenceMatcher(None, wanted, said, autojunk=False).get_matching_blocks()
-            kept_a, kept_b = ({x for m in same for x in range(m[k], m[k] + m.size)} for k in (0, 1))
-            missing = [w for k, w in enumerate(wanted) if k not in kept_a]
-            added = [w for k, w in enumerate(said) if k not in kept_b]
-            if reduction <= 0 or len(missing) > (len(wanted) // 10 if len(wanted) > 20 else 0):
+        return {n: 1 - len(self.coded[n].compress(data)) / alone for n in names}
+
+    def stretches(self, name: str, said: list[str], places: dict[str, int], codes: np.ndarray) -> Iterator[tuple[int, int, list[str], list[str]]]:
+        """(start, end, missing, added) of every stretch of a block that has the template's wording."""
+        wanted, spare = self.words[name], _allowed(len(self.words[name]))
+        target = np.array([places.get(w, -1) for w in wanted])
+        for row in _costs(target, codes):
+            pass
+        ends, taken = np.flatnonzero(row[1:] <= 2 * spare) + 1, np.zeros(len(said), dtype=bool)
+        for end in ends[np.argsort(row[ends], kind="stable")].tolist():
+            if taken[end - 1]:
                 continue
-            if best is None or (len(missing) + len(added), name) < (len(best["missing"]) + len(best["added"]), best["license"]):
-                best = {"license": name, "reduction": float(reduction), "missing": missing, "added": added}
-        return best
+            lo = max(end - len(wanted) - spare, 0)
+            missing, added, start = _wording(target, codes[lo:end]) if row[end] else ([], [], end - len(wanted) - lo)
+            if len(missing) <= spare and len(added) <= spare and not taken[lo + start : end].any():
+                taken[lo + start : end] = True
+                yield lo + start, end, [wanted[k] for k in missing], [said[lo + k] for k in added]
+
+    def match(self, text: str, block: list[tuple[int, int]]) -> list[dict]:
+        """All notices in a block of words of ``text``; what a winner leaves is free for others."""
+        said = [text[a:b].lower() for a, b in block]
+        there, found = Counter(said), []
+        places = {w: k for k, w in enumerate(there)}
+        codes = np.array([places[w] for w in said], dtype=np.int64)
+        reduction = self.reductions(text[block[0][0] : block[-1][1]], list(self.words))
+        for rank, name in enumerate(sorted(self.words, key=lambda n: (-reduction[n], n))):
+            if (self.counts[name] - there).total() > _allowed(len(self.words[name])):
+                continue
+            for start, end, missing, added in self.stretches(name, said, places, codes):
+                kept = len(self.words[name]) - 2 * len(missing) - len(added)
+                found.append((-kept, rank, start, end, name, missing, added))
+        taken, out = np.zeros(len(said), dtype=bool), []
+        for _, _, start, end, name, missing, added in sorted(found):
+            if taken[start:end].any():
+                continue
+            taken[start:end] = True
+            a, b = block[start][0], block[end - 1][1]
+            out.append({"license": name, "start": a, "end": b, "reduction": self.reductions(text[a:b], [name])[name], "missing": missing, "added": added})
+        return sorted(out, key=lambda m: m["start"])
 
 
 _FOUND = pa.list_(pa.struct([("license", pa.string()), ("first_line", pa.int32()), ("last_line", pa.int32()), ("reduction", pa.float64()), ("missing", pa.list_(pa.string())), ("added", pa.list_(pa.string()))]))
@@ -113,13 +179,13 @@ def scan_licenses(df: DataFrame, texts: dict[str, str] | None = None, id_col: st
             body, n, found = batch.column("body"), [0] * batch.num_rows, [[] for _ in range(batch.num_rows)]
             hinted = pc.fill_null(pc.match_substring_regex(body, HINT), False)
             for k in pc.indices_nonzero(hinted).to_pylist():
-                blocks, seen = candidate_blocks(body[k].as_py()), set()
+                text = body[k].as_py()
+                blocks = candidate_blocks(text, matcher.reach)
                 n[k] = len(blocks)
-                for first, last, block in blocks:
-                    m = matcher.match(block)
-                    if m and (m["license"], first) not in seen:  # a line run repeats its only sentence
-                        seen.add((m["license"], first))
-                        found[k].append({**m, "first_line": first, "last_line": last})
+                ends = np.array([m.start() for m in re.finditer("\n", text)], dtype=np.int64)
+                for m in (m for block in blocks for m in matcher.match(text, block)):
+                    first, last = np.searchsorted(ends, (m.pop("start"), m.pop("end") - 1)).tolist()
+                    found[k].append({**m, "first_line": first, "last_line": last})
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(found, _FOUND)], ["id", "n_blocks", "found"])
 
     found = "array<struct<license:string,first_line:int,last_line:int,reduction:double,missing:array<string>,added:array<string>>>"

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -287,3 +288,12 @@ def test_licenses(spark, empty_docs):
 
 def test_digest_of_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_licenses_in_their_usual_wrapping(spark):
+    texts = licenses.templates()
+    wrapped = {n: "\n".join(f" * {x}" for x in textwrap.wrap(t.replace(". ", ". \n\n"), 72)) for n, t in texts.items()}
+    names = sorted(texts)
+    docs = spark.createDataFrame([(k, "int a;\n/*\n * Part of Tool.\n" + wrapped[n] + "\n */\nint b;\n" + "x y z\n" * 300) for k, n in enumerate(names)], "doc_id long, text string")
+    got = {r.doc_id: r.found for r in licenses.scan_licenses(docs).collect()}
+    assert {names[k]: [(m.license, m.missing, m.added, m.first_line) for m in f] for k, f in got.items()} == {n: [(n, [], [], 3)] for n in names}
