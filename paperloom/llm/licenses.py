@@ -4,7 +4,8 @@ Candidate blocks reach from every mention of licensing as far as the longest tem
 ways and over line ends, so a notice is never cut by its wrapping. Each block is compressed alone
 and then with every template as a raw zstandard dictionary; the share of bytes that a template
 saves ranks the templates. A template is confirmed by the exact wording of a stretch of the block:
-short notices must be there word by word, long ones may miss and add a tenth of their words.
+short notices must be there word by word, long ones may miss and add a tenth of their words, but
+none that tells one license from another (its version, 'Lesser', 'Affero', 'Library General').
 Of stretches that overlap the one with most words in place wins, then the better rank. Missing and
 added words are reported, and the reduction of the stretch itself.
 
@@ -38,6 +39,10 @@ NOTICES = {
     "Apache-2.0-short": "Licensed under the Apache License, Version 2.0.",
     "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL-2.0": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "GPL-3.0-short": "This work is licensed under the GNU General Public License, version 3.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
@@ -45,21 +50,37 @@ NOTICES = {
 }
 
 
+_CC = {"BY": "Attribution", "SA": "ShareAlike", "NC": "NonCommercial", "ND": "NoDerivatives"}
+_CC_SUFFIX = {"1.0": "Generic", "2.0": "Generic", "2.5": "Generic", "3.0": "Unported", "4.0": "International"}
+
+
 def templates() -> dict[str, str]:
-    """Notices with the Creative Commons family, which follows one rule."""
+    """Notices with the Creative Commons family, which follows a few rules: short, by its title, and as deed pages put it."""
     out = dict(NOTICES)
     for terms in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
-        for version in ("3.0", "4.0"):
-            out[f"CC-{terms}-{version}"] = f"Licensed under CC {terms} {version}."
+        for version, suffix in _CC_SUFFIX.items():
+            title = "-".join(_CC[t] for t in terms.split("-"))
+            if version < "4.0":
+                title = title.replace("NoDerivatives", "NoDerivs")
+            name = f"CC-{terms}-{version}"
+            out[name] = f"Licensed under CC {terms} {version}."
+            out[f"{name}-title"] = f"Creative Commons {title} {version}"
+            out[f"{name}-deed"] = f"licensed under a Creative Commons {title} {version} {suffix} License."
+    out["CC0-1.0-title"] = "CC0 1.0 Universal"
     return out
 
 
 #: words of a phrase may stand on two lines, with the marks of comments between them
-HINT = r"(?i)licen[sc]e|copyright|rights[^a-z0-9]+reserved|permission[^a-z0-9]+is[^a-z0-9]+hereby|permission[^a-z0-9]+to[^a-z0-9]+use|redistribut|public[^a-z0-9]+domain|free[^a-z0-9]+software"
+HINT = r"(?i)licen[sc]e|copyright|rights[^a-z0-9]+reserved|permission[^a-z0-9]+is[^a-z0-9]+hereby|permission[^a-z0-9]+to[^a-z0-9]+use|redistribut|public[^a-z0-9]+domain|creative[^a-z0-9]+commons|cc0|free[^a-z0-9]+software"
 _HINT = re.compile(HINT)
 _WORD = re.compile(r"[A-Za-z0-9]+")
 
 
+def _names(words: list[str], k: int, numbers: bool = True) -> bool:
+    """Whether a word tells one license from another; in a notice further numbers may count its clauses."""
+    return words[k] in ("lesser", "affero") or words[k : k + 2] == ["library", "general"] or (numbers and words[k].isdigit())
+
+
 def _words(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
@@ -137,6 +158,8 @@ class Matcher:
                 continue
             lo = max(end - len(wanted) - spare, 0)
             missing, added, start = _wording(target, codes[lo:end]) if row[end] else ([], [], end - len(wanted) - lo)
+            if any(_names(wanted, k) for k in missing) or any(_names(said, lo + k, numbers=False) for k in added):
+                continue
             if len(missing) <= spare and len(added) <= spare and not taken[lo + start : end].any():
                 taken[lo + start : end] = True
                 yield lo + start, end, [wanted[k] for k in missing], [said[lo + k] for k in added]

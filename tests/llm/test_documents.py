@@ -297,3 +297,24 @@ def test_licenses_in_their_usual_wrapping(spark):
     docs = spark.createDataFrame([(k, "int a;\n/*\n * Part of Tool.\n" + wrapped[n] + "\n */\nint b;\n" + "x y z\n" * 300) for k, n in enumerate(names)], "doc_id long, text string")
     got = {r.doc_id: r.found for r in licenses.scan_licenses(docs).collect()}
     assert {names[k]: [(m.license, m.missing, m.added, m.first_line) for m in f] for k, f in got.items()} == {n: [(n, [], [], 3)] for n in names}
+
+
+def test_licenses_by_their_real_wording(spark):
+    gpl = licenses.NOTICES["GPL-3.0"]
+    said = {
+        "AGPL-3.0": gpl.replace("GNU General", "GNU Affero General"),
+        "LGPL-3.0": gpl.replace("GNU General", "GNU Lesser General"),
+        "LGPL-2.1": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.",
+        "CC-BY-4.0-deed": "This work is licensed under a Creative Commons Attribution 4.0\nInternational License.",
+        "CC-BY-NC-SA-3.0-title": "available under the Creative Commons Attribution-NonCommercial-ShareAlike 3.0 United States License",
+        "CC-BY-ND-2.5-deed": "It is licensed under a Creative Commons Attribution-NoDerivs 2.5 Generic License.",
+        "LGPL-2.0": licenses.NOTICES["GPL-2.0"].replace("GNU General", "GNU Library General"),
+        "GPL-2.0": licenses.NOTICES["GPL-2.0"].replace("This program", "This library"),
+        "BSD-2-Clause": licenses.NOTICES["BSD-2-Clause"].replace("Redistributions of", "\n\n1. Redistributions of").replace("Redistributions in", "\n2. Redistributions in"),
+        "": gpl.replace("version 3", "version 4"),
+        "Apache-2.0-short,MIT": "Licensed under the Apache License, Version 2.0. Parts: " + licenses.NOTICES["MIT"],
+    }
+    names = list(said)
+    docs = spark.createDataFrame([(k, said[n]) for k, n in enumerate(names)], "doc_id long, text string")
+    got = {names[r.doc_id]: ",".join(sorted(m.license for m in r.found)) for r in licenses.scan_licenses(docs).collect()}
+    assert got == {n: n for n in names}
