@@ -1,7 +1,7 @@
 """The corpus pipeline: five operators of ``paperloom.llm``, each on what its predecessor kept.
 
-Rows of one doc_id are judged together (null ids are one such group). A stage returns the
-columns of ``documents``; the last one returns what was read back from the token store.
+Every row is judged by its own text, whatever its doc_id, null and repeated ids included. A stage
+returns the columns of ``documents``; the last one returns what was read back from the token store.
 """
 
 from __future__ import annotations
@@ -16,29 +16,42 @@ from paperloom.llm.scratch import settle
 TOXIC_FROM = 0.7
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is not listed in ``ids`` (one column, ``gone``)."""
-    return docs.join(ids.distinct(), docs.doc_id.eqNullSafe(F.col("gone")), "left_anti")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Rows with a digest of their text: operators that judge texts need to know no more."""
+    return docs.withColumn("text_key", F.sha2(F.coalesce("text", F.lit("")), 256))
+
+
+def _without(docs: DataFrame, keyed: DataFrame, judged: DataFrame) -> DataFrame:
+    """Rows of ``keyed`` whose text is not among those ``judged``, with the columns of ``docs``."""
+    return keyed.join(judged.select("text_key").distinct(), "text_key", "left_anti").select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose noisy-or of sentence scores stays under 0.7; a third of the labels is held out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs, labels.filter(~held_out(F.col("doc_id"))))
-    scored = toxicity.score(docs, model)
-    return _without(docs, scored.filter(F.col("score") >= TOXIC_FROM).select(F.col("doc_id").alias("gone")))
+    keyed = _keyed(docs)
+    scored = toxicity.score(keyed, model, id_col="text_key")
+    return _without(docs, keyed, scored.filter(F.col("score") >= TOXIC_FROM))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near copies."""
-    found = near_dedup.near_duplicates(docs)
-    return _without(docs, found.filter(~F.col("kept")).select(F.col("doc_id").alias("gone")))
+    """One row of every group of near copies: that of the smallest id, of one without id only if none has one.
+
+    Rows without shingles are in no group. Row numbers are written down, so every use sees the same.
+    """
+    rows = settle(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = near_dedup.near_duplicates(rows, id_col="row").select("row", "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", F.xxhash64("text").alias("digest"), "row")
+    first = rows.select("row", order.alias("order")).join(found, "row").groupBy("component_id").agg(F.min("order").alias("order"))
+    return rows.join(first.select(F.col("order.row").alias("row")), "row", "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no word window of the benchmark."""
-    found = phrase_index.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), near_terms=0)
-    return _without(docs, found.filter(F.col("n_hit") > 0).select(F.col("doc_id").alias("gone")))
+    keyed = _keyed(docs)
+    found = phrase_index.contamination(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="text_key", near_terms=0)
+    return _without(docs, keyed, found.filter(F.col("n_hit") > 0))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -129,3 +129,23 @@ def test_pipeline_of_nothing(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, DATA).count() == 0
+
+
+def test_pipeline_judges_rows_not_ids(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").orderBy("item_id").first().text
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "pqr")
+    texts = [(None, a), (None, a), (None, b), (3, b), (3, b), (2, b + " end"), (None, item), (None, c), (5, item), (5, c), (None, None), (None, "")]
+    odd = spark.createDataFrame([(k, t, "en", "x", 1) for k, t in texts], docs.schema)
+
+    def left(stage):
+        return collections.Counter((r.doc_id, r.text) for r in stage(spark, odd, DATA).collect())
+
+    assert left(corpus_pipeline.drop_contaminated) == collections.Counter(x for x in texts if x[1] != item)
+    assert left(corpus_pipeline.drop_near_duplicates) == collections.Counter([(None, a), (2, b + " end"), (5, item), (5, c), (None, None), (None, "")])
+    more = DATA.replace("0.001", "0.01")  # the smallest tables have too few labels for a toxic document
+    docs = spark.read.parquet(f"{more}/documents.parquet")
+    bad = docs.exceptAll(corpus_pipeline.drop_toxic(spark, docs, more)).orderBy("doc_id").first().text
+    mixed = docs.filter("doc_id is not null").union(spark.createDataFrame([(None, bad, "en", "x", 1), (None, a, "en", "x", 1)], docs.schema))
+    kept = corpus_pipeline.drop_toxic(spark, mixed, more).filter("doc_id is null").collect()
+    assert [r.text for r in kept] == [a]
