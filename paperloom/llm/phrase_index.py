@@ -7,6 +7,8 @@ shard. Inside a shard a window is dropped if any of its terms has no list; else
 its rarest term's list and is intersected with the others, next rarest first, each shifted by
 its offset in the window. What is left are exact phrase matches. ``near`` asks for the rarest
 terms of an item (by their counts over the whole index) within a span of words, in any order.
+Terms that the index lacks are passed over, and shorter items ask for all their terms; an item of
+which the index has no more than half the terms matches nothing.
 
 The benchmark is a query set, not a corpus: it goes to the shards in blocks of at most
 ``max_query_words`` words (the size is counted first), one pass over the index for each.
@@ -180,6 +182,11 @@ def term_counts(index: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
     return out
 
 
+def _rarest(terms: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+    known = terms[counts[terms] > 0]
+    return known[np.argsort(counts[known], kind="stable")][:n] if 2 * len(known) > len(terms) else known[:0]
+
+
 def _spans(shard: Shard, q: Windows, window: np.ndarray, start: np.ndarray) -> dict[int, list[dict]]:
     """Matches by document row; windows that continue each other are one span."""
     length = (q.terms[window] >= 0).sum(axis=1)
@@ -213,7 +220,7 @@ def search(index: DataFrame, benchmark: DataFrame, item_col: str = "item_id", te
         rare = [np.empty(0, dtype=np.int64)] * len(windows.items)
         if near_terms:
             counts = term_counts(index, windows.vocabulary)
-            rare = [t[np.argsort(counts[t], kind="stable")][:near_terms] if len(t) >= near_terms else t[:0] for t in windows.item_terms]
+            rare = [_rarest(t, counts, near_terms) for t in windows.item_terms]
         query = index.sparkSession.sparkContext.broadcast((windows, rare))
 
         def run(batches: Iterator[pa.RecordBatch], query=query) -> Iterator[pa.RecordBatch]:

@@ -318,3 +318,10 @@ def test_licenses_by_their_real_wording(spark):
     docs = spark.createDataFrame([(k, said[n]) for k, n in enumerate(names)], "doc_id long, text string")
     got = {names[r.doc_id]: ",".join(sorted(m.license for m in r.found)) for r in licenses.scan_licenses(docs).collect()}
     assert got == {n: n for n in names}
+
+
+def test_proximity_of_unknown_words_and_short_items(spark):
+    docs = spark.createDataFrame([(1, "q w gamma e r alpha t beta y delta"), (2, "alpha " + "z " * 200 + "beta gamma delta")], "doc_id long, text string")
+    items = [(1, "alpha beta mispeled gamma delta"), (2, "delta beta"), (3, "alpha beta"), (4, "alpha lost"), (5, "none of these"), (6, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {r.id: r.near for r in phrase_index.search(phrase_index.build_index(docs), bench).collect()} == {1: ["1", "2", "3"], 2: ["2"]}
