@@ -6,12 +6,14 @@ all shards and no posting is shuffled. ``search`` takes the benchmark's word win
 shard. Inside a shard a window is dropped if any of its terms has no list; else it starts from
 its rarest term's list and is intersected with the others, next rarest first, each shifted by
 its offset in the window. What is left are exact phrase matches. ``near`` asks for the rarest
-terms of an item (by their counts over the whole index) within a span of words, in any order.
-Terms that the index lacks are passed over, and shorter items ask for all their terms; an item of
-which the index has no more than half the terms matches nothing.
+terms of an item (by their counts over the whole index, then by their place in the item) within a
+stretch of ``near_span`` consecutive words of a document, in any order. Terms that the index lacks
+are passed over, and shorter items ask for all their terms; an item of which the index has no more
+than half the distinct terms matches nothing.
 
-The benchmark is a query set, not a corpus: it goes to the shards in blocks of at most
-``max_query_words`` words (the size is counted first), one pass over the index for each.
+The benchmark is a query set, not a corpus: its distinct items go to the shards in blocks of at
+most ``max_query_words`` counted words, one pass over the index for each; a single item beyond
+that is an error.
 
 Defined cases: null and empty texts have no words; an item without words matches nothing and one
 under the window length is one window; items that share an id count once; a null item id is
@@ -21,8 +23,9 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +36,12 @@ from pyspark.sql import functions as F
 from paperloom.llm import words as W
 from paperloom.llm.scratch import settle
 
-SHARD_BYTES = 2 << 20
+#: small rows keep arrays under what a JVM heap treats as huge, and batches of them short
+SHARD_BYTES = 256 << 10
 #: a reader's batch of these wide rows ends with the row group, so groups are small
 _ROW_GROUPS = {"parquet.block.size": 8 << 20}
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_FAR = np.int64(1) << 40
 
 
 def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -64,101 +69,154 @@ def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.mapInArrow(run, f"shard string, ids array<{kind}>, first binary, terms binary, starts binary, postings binary")
 
 
+def _read(batch: pa.RecordBatch, column: str, row: int, kind: type) -> np.ndarray:
+    """A binary field as numbers, without a copy."""
+    return np.frombuffer(batch.column(column)[row].as_buffer(), dtype=kind)
+
+
 @dataclass
-class Windows:
-    """Windows of a block of items: terms are numbers of ``vocabulary``; -1 beyond the end."""
+class Query:
+    """A block of items. Terms are numbers of ``vocabulary``, -1 where there is none.
+
+    A row of ``terms`` is a window, rarest term of the whole index first, and ``shift`` has each
+    term's place in it. A row of ``close`` has the terms an item is looked for by proximity.
+    """
 
     items: list[str]
     vocabulary: np.ndarray
     item: np.ndarray
     offset: np.ndarray
     terms: np.ndarray
-    item_terms: list[np.ndarray]
+    shift: np.ndarray
+    distinct: list[np.ndarray]
+    close: np.ndarray
 
     @classmethod
-    def of(cls, items: list[tuple[str, str]], length: int) -> Windows:
-        names, own, rows, offsets, item_words = [i for i, _ in items], [], [], [], []
-        for w in W.blocks(pa.array([t for _, t in items], pa.string()), W.LETTERS, lower=True):
-            first = w.first()
-            for k in range(w.rows):
-                words = w.hash[first[k] : first[k + 1]]
-                item_words.append(words)
-                for at in range(max(min(len(words), 1), len(words) - length + 1)):
-                    own.append(w.lo + k)
-                    offsets.append(at)
-                    rows.append(words[at : at + length])
-        vocabulary = W.distinct(np.concatenate(item_words)) if item_words else np.empty(0, dtype=np.uint64)
-        terms = np.full((len(rows), length), -1, dtype=np.int64)
-        for k, r in enumerate(rows):
-            terms[k, : len(r)] = np.searchsorted(vocabulary, r)
-        return cls(names, vocabulary, np.array(own, dtype=np.int64), np.array(offsets, dtype=np.int64), terms, [W.distinct(np.searchsorted(vocabulary, x)) for x in item_words])
+    def of(cls, items: list[tuple[str, str]], length: int) -> Query:
+        words = [w.hash[a:b] for w in W.blocks(pa.array([t for _, t in items], pa.string()), W.LETTERS, lower=True) for a, b in itertools.pairwise(w.first())]
+        every = np.concatenate([np.empty(0, dtype=np.uint64), *words])
+        vocabulary = W.distinct(every)
+        count = np.array([len(x) for x in words], dtype=np.int64)
+        begin = np.cumsum(count) - count
+        n = np.minimum(count, 1) * np.maximum(count - length + 1, 1)
+        item = np.repeat(np.arange(len(items)), n)
+        offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at = (begin[item] + offset)[:, None] + np.arange(length)
+        inside = at < (begin + count)[item][:, None]
+        numbers = np.searchsorted(vocabulary, every).astype(np.int32)
+        terms = np.where(inside, numbers[np.minimum(at, max(len(every) - 1, 0))], -1) if len(item) else np.empty((0, length), dtype=np.int32)
+        distinct = [x[np.sort(np.unique(x, return_index=True)[1])] for x in np.split(numbers, begin[1:])] if items else []
+        shift = np.broadcast_to(np.arange(length, dtype=np.int16), terms.shape)
+        return cls([i for i, _ in items], vocabulary, item, offset, terms, shift, distinct, np.full((len(items), 1), -1, dtype=np.int32))
+
+    def ranked(self, counts: np.ndarray, near_terms: int) -> Query:
+        """The same query with the terms of windows and items in order of their counts."""
+        rank = np.argsort(_counted(counts, self.terms, _FAR), axis=1, kind="stable")
+        close = np.full((len(self.items), max(near_terms, 1)), -1, dtype=np.int32)
+        for k, own in enumerate(self.distinct):
+            known = own[counts[own] > 0]
+            if 2 * len(known) > len(own):
+                rarest = known[np.argsort(counts[known], kind="stable")][:near_terms]
+                close[k, : len(rarest)] = rarest
+        return replace(self, terms=np.take_along_axis(self.terms, rank, axis=1), shift=np.take_along_axis(self.shift, rank, axis=1), distinct=[], close=close)
+
+
+def _counted(counts: np.ndarray, terms: np.ndarray, absent: int) -> np.ndarray:
+    return np.where(terms >= 0, counts[terms], absent) if len(counts) else np.full(terms.shape, absent, dtype=np.int64)
 
 
 class Shard:
     """One row of the index, with the lists of a query's vocabulary looked up."""
 
-    def __init__(self, row: dict, vocabulary: np.ndarray):
-        self.first = np.frombuffer(row["first"], dtype=np.int32)
-        terms, starts = np.frombuffer(row["terms"], dtype=np.uint64), np.frombuffer(row["starts"], dtype=np.int32)
-        self.postings = np.frombuffer(row["postings"], dtype=np.int32)
-        at = np.minimum(np.searchsorted(terms, vocabulary), max(len(terms) - 1, 0))
-        known = terms[at] == vocabulary if len(terms) else np.zeros(len(vocabulary), dtype=bool)
-        self.begin = np.where(known, starts[at], 0).astype(np.int64)
-        self.count = np.where(known, starts[at + 1] - starts[at], 0).astype(np.int64) if len(terms) else np.zeros(len(vocabulary), dtype=np.int64)
+    def __init__(self, batch: pa.RecordBatch, row: int, vocabulary: np.ndarray):
+        self.first = _read(batch, "first", row, np.int32)
+        self.postings = _read(batch, "postings", row, np.int32)
+        self.begin, self.count = _lists(batch, row, vocabulary)
         #: (term, position) of the query's terms as one sorted list of numbers
-        which = np.repeat(np.arange(len(vocabulary)), self.count)
-        self.keys = (which << 32) | self.postings[self._spread(self.begin, self.count)]
+        self.keys = (np.repeat(np.arange(len(vocabulary)), self.count) << 32) | self.postings[self._spread(self.begin, self.count)]
 
     @staticmethod
     def _spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
         return np.repeat(begin - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
 
     def holds(self, term: np.ndarray, position: np.ndarray) -> np.ndarray:
-        key = (term << 32) | position
+        key = (term.astype(np.int64) << 32) | position
         at = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
         return self.keys[at] == key if len(self.keys) else np.zeros(len(key), dtype=bool)
 
     def doc_of(self, position: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, position, side="right") - 1
 
-    def phrases(self, q: Windows) -> tuple[np.ndarray, np.ndarray]:
+    def _from_rarest(self, terms: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(row, order of its terms by their counts here, position of the first of them), for rows
+        all of whose terms have lists, some million positions at a time."""
+        row = np.arange(len(terms))
+        for j in range(terms.shape[1]):  # rarest over the whole index first: few rows pass
+            row = row[_counted(self.count, terms[row, j], 1) > 0]
+        rank = np.argsort(_counted(self.count, terms[row], _FAR), axis=1, kind="stable")
+        n = self.count[terms[row, rank[:, 0]]] if len(row) else np.empty(0, dtype=np.int64)
+        for part in np.array_split(np.arange(len(row)), 1 + int(n.sum()) // 1_000_000):
+            if len(part):
+                rare, times = terms[row[part], rank[part, 0]], n[part]
+                yield np.repeat(row[part], times), np.repeat(rank[part], times, axis=0), self.postings[self._spread(self.begin[rare], times)].astype(np.int64)
+
+    def phrases(self, q: Query) -> tuple[np.ndarray, np.ndarray]:
         """(window, position of its first word) of all exact occurrences."""
-        there = np.where(q.terms >= 0, self.count[q.terms], 1)
-        window = np.flatnonzero((there > 0).all(axis=1))
-        if not len(window):
-            return window, window
-        rank = np.argsort(np.where(q.terms[window] >= 0, self.count[q.terms[window]], np.iinfo(np.int64).max), axis=1, kind="stable")
-        rare = q.terms[window, rank[:, 0]]
-        n = self.count[rare]
-        start = self.postings[self._spread(self.begin[rare], n)].astype(np.int64) - np.repeat(rank[:, 0], n)
-        rank, window = np.repeat(rank, n, axis=0), np.repeat(window, n)
-        length = (q.terms[window] >= 0).sum(axis=1)
-        inside = (start >= 0) & (start + length <= self.first[-1])
-        inside[inside] = self.doc_of(start[inside]) == self.doc_of(start[inside] + length[inside] - 1)
-        window, start, rank, length = window[inside], start[inside], rank[inside], length[inside]
-        for j in range(1, q.terms.shape[1]):
-            ok = (length <= j) | self.holds(q.terms[window, rank[:, j]], start + rank[:, j])
-            window, start, rank, length = window[ok], start[ok], rank[ok], length[ok]
-        return window, start
-
-    def near(self, rare: list[np.ndarray], span: int) -> tuple[np.ndarray, np.ndarray]:
-        """(item, position) where the item's rare terms all lie within ``span`` words."""
-        items, places = [], []
-        for k, terms in enumerate(rare):
-            if not len(terms) or not self.count[terms].all():
-                continue
-            lists = [self.postings[self.begin[t] : self.begin[t] + self.count[t]].astype(np.int64) for t in terms]
-            at = lists[0]
-            for other in lists[1:]:
-                nxt = np.minimum(np.searchsorted(other, at), len(other) - 1)
-                before = np.maximum(nxt - 1, 0)
-                ok = np.zeros(len(at), dtype=bool)
-                for x in (other[nxt], other[before]):
-                    ok |= (np.abs(x - at) <= span) & (self.doc_of(x) == self.doc_of(at))
-                at = at[ok]
-            items.append(np.full(len(at), k))
-            places.append(at)
-        return (np.concatenate(items), np.concatenate(places)) if items else (np.empty(0, dtype=np.int64),) * 2
+        found = [(np.empty(0, dtype=np.int64),) * 2]
+        for window, rank, start in self._from_rarest(q.terms):
+            start = start - q.shift[window, rank[:, 0]]
+            length = (q.terms[window] >= 0).sum(axis=1)
+            inside = (start >= 0) & (start + length <= self.first[-1])
+            inside[inside] = self.doc_of(start[inside]) == self.doc_of(start[inside] + length[inside] - 1)
+            window, start, rank, length = window[inside], start[inside], rank[inside], length[inside]
+            for j in range(1, q.terms.shape[1]):
+                at = rank[:, j]
+                ok = (length <= j) | self.holds(q.terms[window, at], start + q.shift[window, at])
+                window, start, rank, length = window[ok], start[ok], rank[ok], length[ok]
+            found.append((window, start))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def near(self, q: Query, span: int) -> tuple[np.ndarray, np.ndarray]:
+        """(item, position of its rarest term) where all the item's close terms lie in some ``span``
+        consecutive words of one document.
+
+        Around a position of the rarest term only the nearest occurrence of each other term on
+        either side matters: a stretch that reaches so far to the left must reach right to all
+        terms it has not met.
+        """
+        found = [(np.empty(0, dtype=np.int64),) * 2]
+        some = np.flatnonzero((q.close >= 0).any(axis=1))
+        for row, rank, at in self._from_rarest(q.close[some]):
+            item, doc = some[row], self.doc_of(at)
+            terms = np.take_along_axis(q.close[item], rank, axis=1).astype(np.int64)
+            left, right = np.zeros((2, *terms.shape), dtype=np.int64)
+            for j in range(1, terms.shape[1]):
+                term = terms[:, j]
+                k = np.searchsorted(self.keys, (term << 32) | at)
+                after, before = self.keys[np.minimum(k, len(self.keys) - 1)], self.keys[np.maximum(k - 1, 0)]
+                place = after & 0xFFFFFFFF
+                right[:, j] = np.where((after >> 32 == term) & (place > at) & (place < self.first[doc + 1]), place - at, _FAR)
+                place = before & 0xFFFFFFFF
+                left[:, j] = np.where((before >> 32 == term) & (place < at) & (place >= self.first[doc]), at - place, _FAR)
+                left[term < 0, j] = right[term < 0, j] = 0
+                ok = np.minimum(left[:, j], right[:, j]) < span
+                item, doc, at, terms, left, right = item[ok], doc[ok], at[ok], terms[ok], left[ok], right[ok]
+            least = np.full(len(at), _FAR)
+            for j in range(terms.shape[1]):
+                reach = left[:, j : j + 1]
+                least = np.minimum(least, reach[:, 0] + np.where(left > reach, right, 0).max(axis=1))
+            found.append((item[least < span], at[least < span]))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _lists(batch: pa.RecordBatch, row: int, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each term's positions begin, and how many there are."""
+    terms, starts = _read(batch, "terms", row, np.uint64), _read(batch, "starts", row, np.int32)
+    if not len(terms):
+        return np.zeros((2, len(vocabulary)), dtype=np.int64)
+    at = np.minimum(np.searchsorted(terms, vocabulary), len(terms) - 1)
+    known = terms[at] == vocabulary
+    return np.where(known, starts[at], 0).astype(np.int64), np.where(known, starts[at + 1] - starts[at], 0).astype(np.int64)
 
 
 def term_counts(index: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
@@ -169,10 +227,7 @@ def term_counts(index: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
         total = np.zeros(len(shipped.value), dtype=np.int64)
         for batch in batches:
             for k in range(batch.num_rows):
-                terms, starts = np.frombuffer(batch.column("terms")[k].as_py(), dtype=np.uint64), np.frombuffer(batch.column("starts")[k].as_py(), dtype=np.int32)
-                if len(terms):
-                    at = np.minimum(np.searchsorted(terms, shipped.value), len(terms) - 1)
-                    total += np.where(terms[at] == shipped.value, starts[at + 1] - starts[at], 0)
+                total += _lists(batch, k, shipped.value)[1]
         known = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(known), pa.array(total[known])], ["term", "n"])
 
@@ -182,12 +237,7 @@ def term_counts(index: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
     return out
 
 
-def _rarest(terms: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
-    known = terms[counts[terms] > 0]
-    return known[np.argsort(counts[known], kind="stable")][:n] if 2 * len(known) > len(terms) else known[:0]
-
-
-def _spans(shard: Shard, q: Windows, window: np.ndarray, start: np.ndarray) -> dict[int, list[dict]]:
+def _spans(shard: Shard, q: Query, window: np.ndarray, start: np.ndarray) -> dict[int, list[dict]]:
     """Matches by document row; windows that continue each other are one span."""
     length = (q.terms[window] >= 0).sum(axis=1)
     order = np.lexsort((start, start - q.offset[window], q.item[window]))
@@ -204,34 +254,48 @@ def _spans(shard: Shard, q: Windows, window: np.ndarray, start: np.ndarray) -> d
     return out
 
 
-def search(index: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = 10, near_terms: int = 4, near_span: int = 30, max_query_words: int = 2_000_000) -> DataFrame:
+def _blocks(items: DataFrame, most: int) -> Iterator[DataFrame]:
+    """Distinct items in blocks of at most ``most`` counted words; a single item beyond it is an error."""
+    items = items.distinct().withColumns({"n": F.regexp_count(F.lower("body"), F.lit(WORD)), "deal": F.xxhash64("item", "body")})
+    total, longest = items.agg(F.sum("n"), F.max("n")).first()
+    if (longest or 0) > most:
+        raise ValueError(f"an item of {longest} words; a block of the query takes {most}")
+    parts = 1 + 2 * (total or 0) // most
+    while True:
+        dealt = items.withColumn("block", F.pmod("deal", F.lit(parts)))
+        if (dealt.groupBy("block").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0) <= most:
+            break
+        parts *= 2
+    for b in range(parts):
+        yield dealt.filter(F.col("block") == b).select("item", "body")
+
+
+_SPAN = pa.list_(pa.struct([("item_id", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("item_start", pa.int64())]))
+
+
+def search(index: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = 10, near_terms: int = 4, near_span: int = 30, max_query_words: int = 1_000_000) -> DataFrame:
     """Per document row: id, n_words, spans (item_id, start, end, item_start, in words) of exact
     matches, and near (item ids whose rarest terms lie close together; none with near_terms=0)."""
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
-    words = items.agg(F.sum(F.regexp_count(F.lower("body"), F.lit(WORD)))).first()[0] or 0
-    blocks = 1 + int(words) // max_query_words
+    blocks = list(_blocks(items, max_query_words))
     kind = index.schema["ids"].dataType.elementType.simpleString()
-    if blocks > 1:  # the passes meet by shard, so shard names must be fixed
+    if len(blocks) > 1:  # the passes meet by shard, so shard names must be fixed
         index = settle(index, "phrase-index", **_ROW_GROUPS)
     found = None
-    for b in range(blocks):
-        mine = items.filter(F.pmod(F.xxhash64("item", "body"), F.lit(blocks)) == b)
-        windows = Windows.of([tuple(r) for r in mine.collect()], window)
-        rare = [np.empty(0, dtype=np.int64)] * len(windows.items)
-        if near_terms:
-            counts = term_counts(index, windows.vocabulary)
-            rare = [_rarest(t, counts, near_terms) for t in windows.item_terms]
-        query = index.sparkSession.sparkContext.broadcast((windows, rare))
+    for block in blocks:
+        query = Query.of(sorted(tuple(r) for r in block.collect()), window)  # at most max_query_words
+        query = index.sparkSession.sparkContext.broadcast(query.ranked(term_counts(index, query.vocabulary), near_terms))
 
         def run(batches: Iterator[pa.RecordBatch], query=query) -> Iterator[pa.RecordBatch]:
-            q, rare = query.value
+            q = query.value
             for batch in batches:
                 for k in range(batch.num_rows):
-                    shard = Shard({c: batch.column(c)[k].as_py() for c in ("first", "terms", "starts", "postings")}, q.vocabulary)
+                    shard = Shard(batch, k, q.vocabulary)
                     spans = _spans(shard, q, *shard.phrases(q))
                     close: dict[int, set[str]] = {}
-                    for i, at in zip(*shard.near(rare, near_span)):
-                        close.setdefault(int(shard.doc_of(at)), set()).add(q.items[i])
+                    item, at = shard.near(q, near_span)
+                    for i, d in zip(item.tolist(), shard.doc_of(at).tolist()):
+                        close.setdefault(d, set()).add(q.items[i])
                     rows = np.arange(len(shard.first) - 1)
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -239,7 +303,7 @@ def search(index: DataFrame, benchmark: DataFrame, item_col: str = "item_id", te
                             pa.array(rows, pa.int64()),
                             batch.column("ids")[k].values,
                             pa.array(np.diff(shard.first), pa.int64()),
-                            pa.array([spans.get(r, []) for r in range(len(rows))], pa.list_(pa.struct([("item_id", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("item_start", pa.int64())]))),
+                            pa.array([spans.get(r, []) for r in range(len(rows))], _SPAN),
                             pa.array([sorted(close.get(r, ())) for r in range(len(rows))], pa.list_(pa.string())),
                         ],
                         ["shard", "row", "id", "n_words", "spans", "near"],
@@ -247,7 +311,7 @@ def search(index: DataFrame, benchmark: DataFrame, item_col: str = "item_id", te
 
         part = index.mapInArrow(run, f"shard string, row long, id {kind}, n_words long, spans array<struct<item_id:string,start:bigint,end:bigint,item_start:bigint>>, near array<string>")
         found = part if found is None else found.unionByName(part)
-    if blocks > 1:
+    if len(blocks) > 1:
         found = found.groupBy("shard", "row").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("near")).alias("near"))
     return found.drop("shard", "row")
 
@@ -264,17 +328,19 @@ def words_hit(spans: Column) -> Column:
     return F.aggregate(ordered, start, step)["n"]
 
 
-def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 10, near_terms: int = 4) -> DataFrame:
+def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 10, near_terms: int = 4, near_span: int = 30) -> DataFrame:
     """Index ``df``, search the benchmark, and count per document row."""
     index = settle(build_index(df, id_col, text_col), "phrase-index", **_ROW_GROUPS)
-    found = search(index, benchmark, window=window, near_terms=near_terms)
+    found = search(index, benchmark, window=window, near_terms=near_terms, near_span=near_span)
     items = F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["item_id"])))
+    near = F.array_sort(F.array_distinct("near"))
     return found.select(
         F.col("id").alias(id_col),
         "n_words",
         words_hit(F.col("spans")).alias("n_hit"),
         F.size(items).cast("long").alias("n_items"),
         items.alias("items"),
-        F.size(F.array_distinct("near")).cast("long").alias("n_near"),
+        F.size(near).cast("long").alias("n_near"),
+        near.alias("near"),
         "spans",
     )

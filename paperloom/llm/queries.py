@@ -73,16 +73,15 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = phrase_index.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), near_terms=0)
+    found = phrase_index.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ","), 256)
-    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "n_near")
 
 
 def proximity_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items whose four rarest terms lie within 30 words of a document, in any order."""
-    index = settle(phrase_index.build_index(_table(spark, sf_dir, "documents")), "phrase-index")
-    found = phrase_index.search(index, _table(spark, sf_dir, "benchmark"))
-    return found.select(F.col("id").alias("doc_id"), F.explode("near").alias("item_id"))
+    found = phrase_index.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("near").alias("item_id"))
 
 
 def op10_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +94,14 @@ _SPACED = r"[^\x20\x09-\x0D]+"
 _LETTERS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: documents' words D, and N: (doc_id, i), the items i whose rarest known words lie within 30 words
+_NEAR = f"""D as (select doc_id, regexp_extract_all({_LOW}, '{_LETTERS}') as w from documents), I as (select item_id, regexp_extract_all({_LOW}, '{_LETTERS}') as w from benchmark),
+        J as (select row_number() over () as r, coalesce(cast(item_id as varchar), '') as i, w from (select distinct item_id, w from I)),
+        JT as (select r, i, t, min(p) as p, count(*) over (partition by r) as d from (select r, i, unnest(w) as t, unnest(range(1, len(w) + 1)) as p from J) group by r, i, t),
+        DT as (select doc_id, t, p from (select doc_id, unnest(w) as t, unnest(range(1, len(w) + 1)) as p from D) where t in (select t from JT)),
+        JK as (select r, i, t, d, row_number() over (partition by r order by n, p) as k, count(*) over (partition by r) as known from JT join (select t, count(*) as n from DT group by t) using (t)),
+        N as (select distinct doc_id, i from (select doc_id, i, k, count(distinct t) over (partition by doc_id, r order by p range between 29 preceding and current row) as c from (select r, i, t, least(known, 4) as k from JK where k <= 4 and 2 * known > d) join DT using (t)) where c = k)"""
+
 #: SQL twins, where SQL can say it without the hashes and models of the operators
 ORACLES: dict[str, str] = {
     "op5_chat_formatting": r"""with C as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
@@ -114,13 +121,14 @@ ORACLES: dict[str, str] = {
         B as (select page_id, strlen(h) as bytes, f, array_to_string(list_transform(string_split(sha1(h), ''), lambda x: (['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111'])[instr('0123456789abcdef', x)]), '') as bits from P join F using (h))
         select page_id, bytes as payload_bytes, array_to_string(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + 16 * cast(bits[5 * i + 1] as integer) + 8 * cast(bits[5 * i + 2] as integer) + 4 * cast(bits[5 * i + 3] as integer) + 2 * cast(bits[5 * i + 4] as integer) + cast(bits[5 * i + 5] as integer)]), '') as payload_digest,
         case when page_id = f then 'response' else 'revisit' end as record_type, case when page_id <> f then f end as refers_to, true as digest_ok, cast(case when page_id = f then (bytes + 1048575) // 1048576 else 0 end as bigint) as n_chunks from B""",
-    "op9_benchmark_decontamination": f"""with D as (select doc_id, regexp_extract_all({_LOW}, '{_LETTERS}') as w from documents), I as (select item_id, regexp_extract_all({_LOW}, '{_LETTERS}') as w from benchmark),
+    "op9_benchmark_decontamination": f"""with {_NEAR},
         Q as (select distinct item_id, least(len(w), 10) as n, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: array_to_string(w[i:i + 9], ' '))) as g from I where len(w) > 0),
         G as (select doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') as g from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as p from D, (select distinct n from Q))),
         H as (select doc_id, item_id, p, n from G join Q using (n, g)),
         C as (select doc_id, count(distinct x) as n_hit from (select doc_id, unnest(range(p, p + n)) as x from H) group by doc_id),
         T as (select doc_id, count(*) as n_items, string_agg(i, ',' order by i) as items from (select distinct doc_id, cast(item_id as varchar) as i from H) group by doc_id)
-        select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated from D left join C using (doc_id) left join T using (doc_id)""",
+        select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, coalesce(n_near, 0) as n_near from D left join C using (doc_id) left join T using (doc_id) left join (select doc_id, count(*) as n_near from N group by doc_id) using (doc_id)""",
+    "proximity_matches": f"with {_NEAR} select doc_id, i as item_id from N",
     "op10_repetition_coverage": f"""with D as (select doc_id, text, regexp_extract_all(text, '{_SPACED}') as w from (select doc_id, coalesce(text, '') as text from documents)),
         G as (select doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') as g from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as p from D, (select unnest([5, 6, 7, 8, 9, 10]) as n))),
         H as (select * from (select doc_id, n, p, count(*) over (partition by doc_id, n, g) as c from G) where c > 1),
