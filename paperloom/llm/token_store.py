@@ -4,8 +4,8 @@ Whole texts become id streams; a rolling hash over the last 16 ids cuts each str
 content says so, and equal chunks get the same address (BLAKE2b of their bytes). A task emits a
 chunk it has seen before only as an address, then one shuffle by address stores each chunk once.
 The manifest is sorted by document id and holds, per document, its recipe (addresses and
-lengths), the Merkle root over them and where its ids start in the whole stream; every manifest
-part has a seal over its roots.
+lengths), the Merkle root over them and where its ids start in the whole stream. Every 4,096
+documents have a seal over their roots, and every manifest part one over those seals.
 
 ``verify`` reads the files back: each chunk's bytes must hash to its address, lengths must agree
 with the recipes and the Merkle roots with the addresses; the checksum of every document is put
@@ -25,7 +25,6 @@ import json
 import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
@@ -33,15 +32,17 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm import words as W
 from paperloom.llm.scratch import new_path
+from paperloom.llm.skew import join_dealt
 
 CUT_WINDOW, LEAST, MEAN, MOST = 16, 128, 512, 4096
 ADDRESS_BYTES = 20
-_CACHE_WORDS = 200_000
+#: documents a seal is made over; a part's seal is made over theirs
+SEALED = 4096
 
 
 def address(data: bytes) -> bytes:
@@ -57,28 +58,37 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0] if level else blake2b(b"", digest_size=ADDRESS_BYTES).digest()
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one stream."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
-    up, down = W.powers(n + 1)
-    sums = np.zeros(n + 1, dtype=np.uint64)
+def cut_places(ids: np.ndarray) -> np.ndarray:
+    """Where the last ids of a stream say that a chunk may end."""
+    if len(ids) < CUT_WINDOW:
+        return np.empty(0, dtype=np.int64)
+    up, down = W.powers(len(ids) + 1)
+    sums = np.zeros(len(ids) + 1, dtype=np.uint64)
     np.cumsum(W.mix(ids.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-    window = W.mix((sums[CUT_WINDOW:] - sums[:-CUT_WINDOW]) * down[: n + 1 - CUT_WINDOW])
-    wanted = np.flatnonzero((window & np.uint64(MEAN - 1)) == 0) + CUT_WINDOW
-    ends, last = [], 0
-    for at in wanted.tolist():
+    window = W.mix((sums[CUT_WINDOW:] - sums[:-CUT_WINDOW]) * down[: len(ids) + 1 - CUT_WINDOW])
+    return np.flatnonzero((window & np.uint64(MEAN - 1)) == 0) + CUT_WINDOW
+
+
+def chunk_ends(places: list[int], begin: int, end: int) -> list[int]:
+    """Ends of the chunks of the stream ``begin`` .. ``end``; ``places`` may lie in several streams
+    joined, as a chunk is longer than the window that cuts it."""
+    ends, last = [], begin
+    for at in places:
         while at - last > MOST:
             last += MOST
             ends.append(last)
         if at - last >= LEAST:
             ends.append(at)
             last = at
-    while n - last > MOST:
+    while end - last > MOST:
         last += MOST
         ends.append(last)
-    return ends + [n] if last < n else ends
+    return ends + [end] if last < end else ends
+
+
+def cuts(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of one stream."""
+    return chunk_ends(cut_places(ids).tolist(), 0, len(ids))
 
 
 _CLOSING = np.zeros(256, dtype=bool)
@@ -95,25 +105,90 @@ _HIDDEN = [b for b in range(256) if b not in _SHOWN]
 _BYTE_CHARS = {b: b for b in _SHOWN} | {b: 256 + k for k, b in enumerate(_HIDDEN)}
 
 
+class PieceTable:
+    """Ids of pieces of words by hash: open addressing in arrays, so a block is looked up at once."""
+
+    def __init__(self, kind: type, slots: int = 1 << 20):
+        self.kind, self.least = kind, slots
+        self.held, self.uses = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int32)
+        self.ids, self.upto = np.empty(0, dtype=kind), np.zeros(1, dtype=np.int64)
+        self._build()
+
+    def _build(self) -> None:
+        slots = max(self.least, 1 << (2 * len(self.held)).bit_length())
+        self.keys, self.numbers = np.zeros(slots, dtype=np.uint64), np.zeros(slots, dtype=np.int32)
+        self._place(self.held, 0)
+
+    def keep(self, most: int) -> None:
+        """Drop all but the ``most`` pieces used most often, and halve their counts."""
+        kept = np.sort(np.argsort(-self.uses, kind="stable")[:most])
+        length = self.upto[kept + 1] - self.upto[kept]
+        upto = np.concatenate([[0], np.cumsum(length)])
+        self.ids = self.ids[np.repeat(self.upto[kept] - upto[:-1], length) + np.arange(upto[-1])]
+        self.held, self.uses, self.upto = self.held[kept], self.uses[kept] // 2, upto
+        self._build()
+
+    def __len__(self) -> int:
+        return len(self.held)
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return (keys & np.uint64(len(self.keys) - 1)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key's piece, or -1."""
+        at = self._home(keys)
+        there = self.keys[at]
+        hit = there == keys
+        out = np.where(hit, self.numbers[at], -1)
+        left = np.flatnonzero(~hit & (there != 0))
+        at = at[left]
+        while len(left):
+            at = (at + 1) & (len(self.keys) - 1)
+            there = self.keys[at]
+            hit = there == keys[left]
+            out[left[hit]] = self.numbers[at[hit]]
+            on = ~hit & (there != 0)
+            left, at = left[on], at[on]
+        return out
+
+    def _place(self, keys: np.ndarray, first: int) -> None:
+        left, at = np.arange(len(keys)), self._home(keys)
+        while len(left):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = keys[left[free]]
+            won = self.keys[at] == keys[left]
+            self.numbers[at[won]] = first + left[won]
+            left, at = left[~won], (at[~won] + 1) & (len(self.keys) - 1)
+
+    def add(self, keys: np.ndarray, ids: list[int], lengths: list[int]) -> None:
+        """Distinct new keys and the ids of their pieces."""
+        first, self.held = len(self.held), np.concatenate([self.held, keys])
+        self.uses = np.concatenate([self.uses, np.zeros(len(keys), dtype=np.int32)])
+        self.ids = np.concatenate([self.ids, np.array(ids, dtype=self.kind)])
+        self.upto = np.concatenate([self.upto, self.upto[-1] + np.cumsum(lengths, dtype=np.int64)])
+        if 2 * len(self.held) > len(self.keys):
+            self._build()
+        else:
+            self._place(keys, first)
+
+
 class WordEncoder:
     """Ids of texts, a piece of a word at a time.
 
     The tokenizer splits at white space and where a run of letters ends, and lowers letters, so a
     text's ids are those of its lowered words, cut between a Latin letter and closing punctuation.
-    Each distinct piece is encoded once and kept in two generations of bounded size: pieces in use
-    move to the young one, the old one is dropped when the young one is full. Texts that may spell
-    a special token are not lowered.
+    Each distinct piece is encoded once and kept in a table; beyond ``most`` pieces the
+    half used least is dropped. Texts that may spell a special token are not lowered.
     """
 
-    def __init__(self, tokenizer_json: str):
+    def __init__(self, tokenizer_json: str, block_bytes: int = 2 << 20, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.tokenizer, self.block_bytes, self.most = Tokenizer.from_str(tokenizer_json), block_bytes, most
         wide = self.tokenizer.get_vocab_size() > 1 << 16
-        self.kind, self.code = (np.uint32, "I") if wide else (np.uint16, "H")
-        self.young: dict[int, bytes] = {}
-        self.old: dict[int, bytes] = {}
+        self.kind = np.uint32 if wide else np.uint16
+        self.table = PieceTable(self.kind)
         # a lower-case Latin word passes the normalizer and splitter of this kind of tokenizer unchanged
         parts = json.loads(tokenizer_json)
         kinds = [x["type"] for part in ("normalizer", "pre_tokenizer") for x in (parts[part] or {}).get("normalizers", []) + (parts[part] or {}).get("pretokenizers", [])]
@@ -123,41 +198,52 @@ class WordEncoder:
     def blocks(self, texts: pa.Array) -> Iterator[tuple[W.Words, np.ndarray, np.ndarray]]:
         """(block, ids of its words, where each row's ids begin) of a batch of texts."""
         special = pc.any(pc.match_substring(texts, "<|")).as_py()
-        for w in W.blocks(texts, W.SPACED, lower=not special, limit=2 * W.BLOCK_BYTES):
+        for w in W.blocks(texts, W.SPACED, lower=not special, limit=self.block_bytes):
             yield w, *self.block(w)
 
+    def pieces(self, body: bytes, start: list[int], end: list[int]) -> tuple[list[int], list[int], list[int]]:
+        """Ids of pieces of ``body``, one after the other, how many each has, and which it is."""
+        ids, lengths, which, others = [], [], [], []
+        tokenize = self.model.tokenize if self.model is not None else None
+        for k, (a, b) in enumerate(zip(start, end)):
+            piece = body[a:b]
+            if tokenize is None or not _LATIN_WORD(piece):
+                others.append((k, piece))
+                continue
+            found = [t.id for t in tokenize(piece.decode() if piece.isascii() else piece.decode("latin-1").translate(_BYTE_CHARS))]
+            ids += found
+            lengths.append(len(found))
+            which.append(k)
+        for k in range(0, len(others), 2048):
+            own = others[k : k + 2048]
+            for (i, _), e in zip(own, self.encode([p.decode("utf-8", "replace") for _, p in own], add_special_tokens=False)):
+                found = e.ids
+                ids += found
+                lengths.append(len(found))
+                which.append(i)
+        return ids, lengths, which
+
     def block(self, w: W.Words) -> tuple[np.ndarray, np.ndarray]:
         cut = np.flatnonzero(_CLOSING[w.data[1:]] & _LETTER[w.data[:-1]]) + 1
         begins, ends = np.zeros((2, len(w.data) + 1), dtype=bool)
         begins[w.start] = begins[cut] = ends[w.end] = ends[cut] = True
         start, end = np.flatnonzero(begins), np.flatnonzero(ends)
-        pieces, at, which = np.unique(w.hashed(start, end), return_index=True, return_inverse=True)
-        keys, young, old = pieces.tolist(), self.young, self.old
-        parts = [young.get(h) or old.get(h) for h in keys]
-        new = [k for k, p in enumerate(parts) if p is None]
-        if len(young) > _CACHE_WORDS:
-            self.young, self.old = young, old = {}, young
-        if new:
-            body, begin, until = w.data.tobytes(), start[at].tolist(), end[at].tolist()
-            others = []
-            for i in new:
-                piece = body[begin[i] : until[i]]
-                if self.model is not None and _LATIN_WORD(piece):
-                    parts[i] = array(self.code, [t.id for t in self.model.tokenize(piece.decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
-                else:
-                    others.append(i)
-            for k in range(0, len(others), 2048):
-                own = others[k : k + 2048]
-                found = self.encode([body[begin[i] : until[i]].decode("utf-8", "replace") for i in own], add_special_tokens=False)
-                for i, e in zip(own, found):
-                    parts[i] = array(self.code, e.ids).tobytes()
-        young.update(zip(keys, parts))
-        ids = np.frombuffer(b"".join(parts), dtype=self.kind)
-        length = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // self.kind().itemsize
-        first = np.concatenate([[0], np.cumsum(length)])[:-1]
-        count = length[which]
+        keys = np.maximum(w.hashed(start, end), np.uint64(1))  # 0 marks a free place
+        if len(self.table) > self.most:
+            self.table.keep(self.most // 2)
+        number = self.table.find(keys)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            fresh, at = np.unique(keys[new], return_index=True)
+            at = new[at]
+            ids, lengths, which = self.pieces(w.data.tobytes(), start[at].tolist(), end[at].tolist())
+            self.table.add(fresh[which], ids, lengths)
+            number[new] = self.table.find(keys[new])
+        self.table.uses += np.bincount(number, minlength=len(self.table)).astype(np.int32)
+        first = self.table.upto[number]
+        count = self.table.upto[number + 1] - first
         upto = np.concatenate([[0], np.cumsum(count)])
-        out = ids[np.repeat(first[which] - upto[:-1], count) + np.arange(upto[-1])]
+        out = self.table.ids[np.repeat(first - upto[:-1], count) + np.arange(upto[-1])]
         return out, upto[np.searchsorted(start, w.offsets)]
 
 
@@ -174,35 +260,61 @@ class TokenStore:
 _ROW = pa.schema([("place", pa.int64()), ("kind", pa.string()), ("doc", pa.int64()), ("n", pa.int64()), ("root", pa.binary()), ("addresses", pa.list_(pa.binary())), ("lengths", pa.list_(pa.int32())), ("address", pa.binary()), ("data", pa.binary())])
 
 
-def write_store(df: DataFrame, tokenizer_json: str, end_id: int, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> TokenStore:
-    """Encode, cut, store each chunk once and write the manifest in ascending id order."""
+def _first_bytes(names: list[bytes]) -> np.ndarray:
+    """The first eight bytes of each address as a number."""
+    return np.frombuffer(b"".join(names), dtype=np.uint8).reshape(-1, ADDRESS_BYTES)[:, :8].copy().view(np.int64).ravel()
+
+
+def _batch(rows: int, /, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(rows, f.type) for f in _ROW], schema=_ROW)
+
+
+def write_store(
+    df: DataFrame, tokenizer_json: str, end_id: int, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 2 << 20, most_pieces: int = 600_000
+) -> TokenStore:
+    """Encode, cut, store each chunk once and write the manifest in ascending id order.
+
+    A task works on ``block_bytes`` of text at a time and remembers the ids of ``most_pieces``
+    pieces of words; both bound its memory.
+    """
     spark = df.sparkSession
     path = path or new_path(spark, "token-store")
     shipped = spark.sparkContext.broadcast(tokenizer_json)
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen = WordEncoder(shipped.value), set()
+        encoder, seen = WordEncoder(shipped.value, block_bytes, most_pieces), set()
         for batch in batches:
             for w, ids, first in encoder.blocks(batch.column("body")):
-                rows, docs_ = [], batch.column("doc").slice(w.lo, w.rows).to_pylist()
-                for k, doc in enumerate(docs_):
-                    own = np.append(ids[first[k] : first[k + 1]], encoder.kind(end_id))
-                    names, lengths, last = [], [], 0
-                    for end in cuts(own):
-                        data = own[last:end].tobytes()
-                        name = address(data)
+                whole = np.full(len(ids) + w.rows, end_id, dtype=encoder.kind)  # an end id after each row's ids
+                whole[np.arange(len(ids)) + np.repeat(np.arange(w.rows), np.diff(first))] = ids
+                bounds = first + np.arange(w.rows + 1)
+                places = cut_places(whole)
+                own, places, limit = np.searchsorted(places, bounds, side="right").tolist(), places.tolist(), bounds.tolist()
+                data, size = memoryview(whole.tobytes()), encoder.kind().itemsize
+                names, lengths, roots, upto, chunks, blobs = [], [], [], [0], [], []
+                for k in range(w.rows):
+                    last = limit[k]
+                    for end in chunk_ends(places[own[k] : own[k + 1]], last, limit[k + 1]):
+                        blob = data[size * last : size * end]
+                        name = address(blob)
                         names.append(name)
                         lengths.append(end - last)
                         last = end
                         if name not in seen:
                             seen.add(name)
-                            rows.append((int.from_bytes(name[:7], "big"), "chunk", None, None, None, None, None, name, data))
-                    root = merkle_root(names)
-                    rows.append((int.from_bytes(root[:6], "big") + (doc or 0) * 7919 & 0xFFFFFFFFFFFF, "recipe", doc, len(own), root, names, lengths, None, None))
+                            chunks.append(name)
+                            blobs.append(bytes(blob))
+                    roots.append(merkle_root(names[upto[-1] :]))
+                    upto.append(len(names))
                 if len(seen) > 200_000:
                     seen.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ROW)], schema=_ROW)
+                if chunks:
+                    yield _batch(len(chunks), place=pa.array(_first_bytes(chunks)), kind=pa.array(["chunk"] * len(chunks)), address=pa.array(chunks, pa.binary()), data=pa.array(blobs, pa.binary()))
+                doc = batch.column("doc").slice(w.lo, w.rows)
+                spread = W.mix(pc.fill_null(doc, 0).to_numpy(zero_copy_only=False).astype(np.uint64)).view(np.int64)
+                lists = (pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(x, t)) for x, t in ((names, pa.binary()), (lengths, pa.int32())))
+                yield _batch(w.rows, place=pa.array(_first_bytes(roots) ^ spread), kind=pa.array(["recipe"] * w.rows), doc=doc, n=pa.array(np.diff(bounds)), root=pa.array(roots, pa.binary()), **dict(zip(("addresses", "lengths"), lists)))
 
     rows = docs.mapInArrow(run, "place long, kind string, doc long, n long, root binary, addresses array<binary>, lengths array<int>, address binary, data binary")
     placed = rows.repartition("place").sortWithinPartitions("address")
@@ -228,12 +340,17 @@ def write_store(df: DataFrame, tokenizer_json: str, end_id: int, path: str | Non
     totals = ordered.groupBy("part").agg(F.sum("n").alias("all"))
     before = F.sum("all").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # one row a part
     totals = totals.select("part", F.coalesce(before, F.lit(0)).alias("before"))
-    own = F.sum("n").over(Window.partitionBy("part").orderBy("doc", "root").rowsBetween(Window.unboundedPreceding, -1))
-    manifest = ordered.join(totals, "part").withColumn("start", F.col("before") + F.coalesce(own, F.lit(0))).drop("before")
+    in_part = Window.partitionBy("part").orderBy("doc", "root")
+    own = F.sum("n").over(in_part.rowsBetween(Window.unboundedPreceding, -1))
+    manifest = ordered.join(totals, "part").withColumns({"start": F.col("before") + F.coalesce(own, F.lit(0)), "block": F.floor((F.row_number().over(in_part) - 1) / SEALED)}).drop("before")
     manifest.write.option("compression", "zstd").parquet(f"{path}/manifest")
     manifest = spark.read.schema(manifest.schema).parquet(f"{path}/manifest")
-    roots = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "root"))), lambda r: F.hex(r["root"])), "")
-    manifest.groupBy("part").agg(F.min("start").alias("start"), F.sum("n").alias("n_tokens"), F.count("*").alias("n_docs"), F.sha2(roots, 256).alias("seal")).write.parquet(f"{path}/seals")
+
+    def seal(name: str) -> Column:
+        return F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", name))), lambda r: F.hex(r[name])), ""), 256).alias("seal")
+
+    blocks = manifest.groupBy("part", "block").agg(F.min("start").alias("start"), F.sum("n").alias("n_tokens"), F.count("*").alias("n_docs"), seal("root"))
+    blocks.groupBy("part").agg(F.min("start").alias("start"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_docs").alias("n_docs"), seal("seal")).write.parquet(f"{path}/seals")
     vocabulary = 2 if WordEncoder(tokenizer_json).kind is np.uint16 else 4
     return TokenStore(f"{path}/parts", f"{path}/manifest", f"{path}/seals", vocabulary)
 
@@ -311,7 +428,8 @@ def verify(spark: SparkSession, store: TokenStore) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.int64(), pa.int64()))], ["start", "address", "length", "after"])
 
     used = manifest.select("start", "root", "addresses", "lengths").mapInArrow(uses, "start long, address binary, length long, after long")
-    both = used.join(held, "address", "left").withColumn("held", F.when(F.col("held") == F.col("length"), F.col("held")).otherwise(F.raise_error(F.lit("a chunk is missing or has another length")).cast("long")))
+    uses_of = manifest.select(F.explode("addresses").alias("address"))
+    both = join_dealt(used, held, "address", uses_of.groupBy("address").agg(F.count("*").alias("n")), uses_of.count(), ["start", "after"], "left").withColumn("held", F.when(F.col("held") == F.col("length"), F.col("held")).otherwise(F.raise_error(F.lit("a chunk is missing or has another length")).cast("long")))
 
     def shift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -326,7 +444,8 @@ def verify(spark: SparkSession, store: TokenStore) -> DataFrame:
 def read_documents(spark: SparkSession, store: TokenStore) -> DataFrame:
     """doc_id, start and ids (array of int) of every document, put together from its chunks."""
     used = _manifest(spark, store).select("doc", "start", F.posexplode("addresses").alias("at", "address"))
-    parts = used.join(_chunks(spark, store), "address").groupBy("doc", "start").agg(F.sort_array(F.collect_list(F.struct("at", "data"))).alias("parts"))
+    counts = used.groupBy("address").agg(F.count("*").alias("n"))
+    parts = join_dealt(used, _chunks(spark, store), "address", counts, used.count(), ["start", "at"]).groupBy("doc", "start").agg(F.sort_array(F.collect_list(F.struct("at", "data"))).alias("parts"))
     kind = np.uint16 if store.id_bytes == 2 else np.uint32
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -92,9 +93,13 @@ class Words:
     doc: np.ndarray
     start: np.ndarray
     end: np.ndarray
-    hash: np.ndarray
     hashed: RangeHash
 
+    @cached_property
+    def hash(self) -> np.ndarray:
+        """A hash of every word."""
+        return self.hashed(self.start, self.end)
+
     @property
     def rows(self) -> int:
         return self.hi - self.lo
@@ -151,8 +156,7 @@ def blocks(texts: pa.Array, table: np.ndarray, lower: bool = False, limit: int =
         if lower:
             data = _LOWER[data]
         doc, start, end = runs(table[data], own)
-        hashed = RangeHash(data)
-        yield Words(lo, hi, data, own, doc, start, end, hashed(start, end), hashed)
+        yield Words(lo, hi, data, own, doc, start, end, RangeHash(data))
         lo = hi
 
 
