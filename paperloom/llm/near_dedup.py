@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from paperloom.llm import words as W
 from paperloom.llm.components import components
 from paperloom.llm.scratch import settle
+from paperloom.llm.skew import join_dealt
 
 WORDS, BANDS, ROWS = 5, 48, 5
 HASHES = BANDS * ROWS
@@ -123,9 +124,10 @@ def _signed_batch(ids: pa.Array, rows: list) -> pa.RecordBatch:
 
 
 def _likely(pairs: DataFrame, sigs: DataFrame, threshold: float, miss: float, batch: int = 16) -> DataFrame:
-    """Pairs (a, b) that the sequential test does not give up."""
+    """Pairs (a, b), read from a table, that the sequential test does not give up."""
     steps = least_matches(threshold, miss, batch)
-    both = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
+    led = sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"))
+    both = join_dealt(pairs, led, "a", pairs.groupBy("a").agg(F.count("*").alias("n")), pairs.count(), ["b"]).join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -147,8 +149,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, per_task: int =
     Members b travel to their leader a; a leader with many members is copied to one place for
     every ``per_task`` of them, so no group meets in one task.
     """
-    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / per_task).cast("int").alias("parts"))
-    roles = pairs.join(many, "a").select(F.col("b").alias("id"), F.col("a").alias("leader"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("member"))
+    many = pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / per_task).cast("int"))
+    roles = join_dealt(pairs, many.drop("n"), "a", many.drop("parts"), pairs.count(), ["b"]).select(F.col("b").alias("id"), F.col("a").alias("leader"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("member"))
     heads = many.select(F.col("a").alias("id"), F.col("a").alias("leader"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("member"))
     placed = texts.join(roles.unionByName(heads), "id").select("leader", "part", "member", "id", "body")
     placed = placed.repartition("leader", "part").sortWithinPartitions("leader", "part", "member")
@@ -178,9 +180,10 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, per_task: int =
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
-    """Rows whose key is met in more than one component, with the key's row count ``many``."""
-    own = Window.partitionBy("key")
-    return rows.withColumns({"lo": F.min("c").over(own), "hi": F.max("c").over(own), "many": F.count("*").over(own)}).filter("lo != hi")
+    """Rows, read from a table, whose key is met in more than one component, with its row count ``many``."""
+    found = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("many")).filter("lo != hi")
+    found = settle(found.select("key", "many"), "mixed-keys")
+    return join_dealt(rows, found, "key", found.select("key", F.col("many").alias("n")), rows.count(), ["id"])
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -215,8 +218,9 @@ def _rare_shingles(texts: DataFrame, percent: int) -> DataFrame:
                 ids, c = (np.full(len(own), batch.column(x)[k].as_py(), dtype=np.int64) for x in ("id", "c"))
                 yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(ids), pa.array(c), pa.array(np.full(len(own), len(own), dtype=np.int64))], ["key", "id", "c", "n"])
 
-    rows = texts.select("id", "c", "body").mapInArrow(run, "key long, id long, c long, n long")
-    counted = rows.withColumn("df", F.count("*").over(Window.partitionBy("key")))
+    rows = settle(texts.select("id", "c", "body").mapInArrow(run, "key long, id long, c long, n long"), "shingles")
+    shared = settle(rows.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1"), "shared-shingles")
+    counted = join_dealt(rows, shared, "key", shared.select("key", F.col("df").alias("n")), rows.count(), ["id"], "left").withColumn("df", F.coalesce("df", F.lit(1)))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "key"))
     length = F.col("n") - F.expr(f"(n * {percent} + 99) div 100") + 1
     return counted.withColumn("rank", rank).filter((F.col("rank") <= length) & (F.col("df") > 1)).select("key", "id", "c", "n", "rank")
@@ -225,10 +229,10 @@ def _rare_shingles(texts: DataFrame, percent: int) -> DataFrame:
 def _crossing(buckets: DataFrame, group: DataFrame, texts: DataFrame, small: int, percent: int) -> DataFrame:
     """Pairs that lie in one bucket but in different components and may be alike."""
     named = buckets.join(group, buckets.id == group.node, "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    mixed = settle(_mixed(named), "mixed-buckets")
+    mixed = settle(_mixed(settle(named, "named-buckets")), "mixed-buckets")
     few = _pairs(mixed.filter(F.col("many") <= small))
     crowded = mixed.filter(F.col("many") > small).select("id", "c").distinct()
-    rare = _mixed(_rare_shingles(texts.join(crowded, "id"), percent))
+    rare = _mixed(settle(_rare_shingles(texts.join(crowded, "id"), percent), "rare-shingles"))
     return few.unionByName(_early_pairs(rare, percent)).distinct()
 
 
@@ -238,28 +242,31 @@ def near_duplicates(
     """One row per input row: id, n_shingles, component_id (smallest id reachable) and kept."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"))
     signed = settle(_signed(docs), "signatures")
-    classes = signed.filter("n > 0 and id is not null").groupBy("p1", "p2").agg(F.min("id").alias("rep"))
+    classes = signed.filter("n > 0 and id is not null").groupBy("p1", "p2").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     classes = settle(classes, "classes")
     reps = signed.filter("n > 0").select("id", "sig", "bands").join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
-    reps = settle(reps.dropDuplicates(["id"]), "representatives")
+    # of rows that share an id and differ in text, one: the same on every run
+    reps = reps.groupBy("id").agg(F.max(F.struct("sig", "bands")).alias("r")).select("id", "r.sig", "r.bands")
+    reps = settle(reps, "representatives")
 
     entries = reps.select("id", F.explode("bands").alias("key"))
-    own = Window.partitionBy("key")
-    buckets = entries.withColumns({"a": F.min("id").over(own), "many": F.count("*").over(own)}).filter("many > 1")
-    buckets = settle(buckets.select("key", "id", "a"), "buckets")
+    met = settle(entries.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1"), "bucket-heads")
+    buckets = settle(join_dealt(entries, met.drop("n"), "key", met.drop("a"), BANDS * reps.count(), ["id"]), "buckets")
     candidates = buckets.select("id").distinct()
     texts = settle(docs.join(candidates, "id", "left_semi"), "candidate-texts")
 
-    star = buckets.filter("id != a").select("a", F.col("id").alias("b")).distinct()
+    star = settle(buckets.filter("id != a").select("a", F.col("id").alias("b")).distinct(), "star")
     links = settle(_confirmed(settle(_likely(star, reps, percent / 100, miss), "likely"), texts, percent), "links")
     group = settle(components(links), "components")
-    cross = settle(_likely(_crossing(buckets, group, texts, small, percent), reps, percent / 100, miss), "likely")
+    cross = settle(_likely(settle(_crossing(buckets, group, texts, small, percent), "crossing"), reps, percent / 100, miss), "likely")
     more = settle(_confirmed(cross, texts, percent), "links")
     if not more.isEmpty():
         joined = group.select(F.col("component").alias("a"), F.col("node").alias("b"))
         group = settle(components(joined.unionByName(more)), "components")
 
     named = classes.join(group, classes.rep == group.node, "left").select("p1", "p2", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.select("id", "n", "p1", "p2").join(named, ["p1", "p2"], "left")
-    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+    rows, linked = signed.select("id", "n", "p1", "p2"), (F.col("n") > 0) & F.col("id").isNotNull()
+    out = join_dealt(rows.filter(linked), named, ["p1", "p2"], classes.select("p1", "p2", "n"), signed.count(), ["id"])
+    out = out.unionByName(rows.filter(~linked).withColumn("component_id", F.col("id")))
+    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))

@@ -1,7 +1,7 @@
 """Intermediate tables in the folder that driver and executors share.
 
-The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (tests on one
-machine) a local temporary folder is made and noted in the session.
+The folder is the session's ``spark.checkpoint.dir``. Only where that is unset and the master is
+local (tests) a local temporary folder is made and noted in the session.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ _KEY = "spark.checkpoint.dir"
 def shared_folder(spark: SparkSession) -> str:
     base = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY, None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set(_KEY, base)
     return base.rstrip("/")
