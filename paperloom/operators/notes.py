@@ -35,6 +35,25 @@ def prefixed_labels(notes: DataFrame, key: str = "doc", kind: str = "kind", orde
     return notes.withColumn("label", F.concat(letter, _rank(key, kind, order).cast("string")))
 
 
+#: Parts of roman numbers, largest first.
+_ROMAN = ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i"))
+
+
+def roman(number: Column) -> Column:
+    """Lower-case roman form of a whole number above 0; anything else as it is."""
+    left, out = number.cast("long"), F.lit("")
+    for value, mark in _ROMAN:
+        out = F.concat(out, F.repeat(F.lit(mark), F.floor(left / value).cast("int")))
+        left = left % value
+    return F.when(number.cast("long") > 0, out).otherwise(number.cast("string"))
+
+
+def roman_labels(notes: DataFrame, of: str = "endnote", kind: str = "kind", label: str = "label") -> DataFrame:
+    """Labels of one kind in roman form where they are numbers."""
+    number = F.col(label).rlike("^[0-9]+$") & (F.col(kind) == of)
+    return notes.withColumn(label, F.when(number, roman(F.col(label))).otherwise(F.col(label)))
+
+
 def note_order(notes: DataFrame, key: str = "doc", kind: str = "kind", order: str = "idx") -> DataFrame:
     """seq by kind order, then document order."""
     place = F.lit(len(KINDS))

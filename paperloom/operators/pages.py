@@ -5,34 +5,52 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.functions.fold import fold_out
+from paperloom.operators.timeline import state_at
 
-def page_starts(lines: DataFrame, budget: int, key: str = "doc", order: list[str] = ("bi", "li"), cost: str = "cost", forced: str = "forced") -> DataFrame:
-    """(key, order, page) of every line that starts a page: a forced break, or the line whose cost
-    no longer fits the budget.
+
+def page_starts(lines: DataFrame, budget: int, key: str = "doc", order: list[str] = ("bi", "li"), cost: str = "cost", forced: str = "forced", keep: Column | None = None, blank: Column | None = None) -> DataFrame:
+    """(key, order, start, page) of every line that starts a page: a forced break, a line whose
+    cost no longer fits the budget, or one that is to stay with the next lines (``keep`` of them,
+    itself included, up to a forced break) and does not fit with them. A ``blank`` line at the top
+    of a page is not printed: it is listed with ``start`` false.
 
     Filling is sequential inside a document, so its lines are folded in order; the state is the
-    room used and the list of starts, never a page for each line.
+    room used, and only starts are given out, never a page for each line.
     """
-    one = F.struct(*(F.col(c) for c in order), F.col(cost).cast("long").alias("cost"), F.col(forced).cast("boolean").alias("forced"))
+    no = F.lit(False)
+    one = F.struct(*(F.col(c) for c in order), F.col(cost).cast("long").alias("cost"), F.coalesce(F.col(forced).cast("boolean"), no).alias("forced"), F.coalesce(F.lit(0) if keep is None else keep.cast("int"), F.lit(0)).alias("keep"), F.coalesce(no if blank is None else blank, no).alias("blank"))
     kinds = dict(lines.dtypes)
-    place = ",".join(f"{c}:{kinds[c]}" for c in order)
-    start = F.struct(F.lit(-1).cast("long").alias("used"), F.array().cast(f"array<struct<{place}>>").alias("starts"))
+    place = "struct<" + ",".join(f"{c}:{kinds[c]}" for c in order) + ",start:boolean>"
+    folded = lines.groupBy(key).agg(F.sort_array(F.collect_list(one)).alias("_l"))
+    need = "cost"
+    if keep is not None:
 
-    def step(acc: Column, x: Column) -> Column:
-        new = (acc["used"] < 0) | F.coalesce(x["forced"], F.lit(False)) | (acc["used"] + x["cost"] > budget)
-        here = F.array(F.struct(*(x[c].alias(c) for c in order)))
-        return F.struct(F.when(new, x["cost"]).otherwise(acc["used"] + x["cost"]).alias("used"), F.when(new, F.concat(acc["starts"], here)).otherwise(acc["starts"]).alias("starts"))
+        def together(x: Column, i: Column) -> Column:
+            nothing = F.struct(F.lit(0).cast("long").alias("n"), F.lit(True).alias("open"))
+            more = lambda acc, y: F.struct(F.when(acc["open"] & ~y["forced"], acc["n"] + y["cost"]).otherwise(acc["n"]).alias("n"), (acc["open"] & ~y["forced"]).alias("open"))
+            return F.when(x["keep"] > 1, x["cost"] + F.aggregate(F.slice("_l", i + 2, x["keep"] - 1), nothing, more, lambda a: a["n"])).otherwise(x["cost"])
 
-    folded = lines.groupBy(key).agg(F.sort_array(F.collect_list(one)).alias("_l"))
-    out = folded.select(key, F.posexplode(F.aggregate("_l", start, step, lambda a: a["starts"])).alias("page", "_p"))
-    return out.select(key, *(F.col(f"_p.{c}").alias(c) for c in order), (F.col("page") + 1).cast("long").alias("page"))
+        need = "need"
+        folded = folded.withColumn("_l", F.transform("_l", lambda x, i: x.withField("need", together(x, i))))
+
+    def step(used: Column, x: Column) -> tuple[Column, Column]:
+        fresh = (used < 0) | x["forced"] | (used + x[need] > budget)
+        skipped = fresh & x["blank"]
+        here = F.array(F.struct(*(x[c].alias(c) for c in order), (~skipped).alias("start")))
+        return F.when(skipped, -1).when(fresh, x["cost"]).otherwise(used + x["cost"]).cast("long"), F.when(fresh, here).otherwise(F.array().cast(f"array<{place}>"))
 
+    out = folded.select(key, F.explode(fold_out(F.col("_l"), F.lit(-1).cast("long"), step, place)).alias("_p")).select(key, "_p.*")
+    upto = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return out.withColumn("page", F.sum(F.col("start").cast("long")).over(upto))
 
-def paginate(lines: DataFrame, budget: int, key: str = "doc", order: list[str] = ("bi", "li"), cost: str = "cost", forced: str = "forced") -> DataFrame:
-    """Each line with its page: the last page start at or before it."""
-    from paperloom.operators.timeline import state_at
 
-    return state_at(lines, page_starts(lines, budget, key, order, cost, forced), key, list(order), "page", "page")
+def paginate(lines: DataFrame, budget: int, key: str = "doc", order: list[str] = ("bi", "li"), cost: str = "cost", forced: str = "forced", keep: Column | None = None, blank: Column | None = None) -> DataFrame:
+    """Each printed line with its page: the last page start at or before it."""
+    starts = page_starts(lines, budget, key, order, cost, forced, keep, blank)
+    if blank is not None:
+        lines = lines.join(starts.filter(~F.col("start")).select(key, *order), [key, *order], "left_anti")
+    return state_at(lines, starts.filter("start"), key, list(order), "page", "page")
 
 
 def first_pages(lines: DataFrame, n: int, page: str = "page") -> DataFrame:
@@ -44,14 +62,13 @@ def wrap_words(df: DataFrame, width: int, text: str = "text") -> DataFrame:
     """Rows (..., row, text) of greedily filled lines; spaces at a line's end are dropped and a word
     longer than the width has a line of its own."""
     words = F.filter(F.split(F.trim(F.col(text)), " +"), lambda w: w != "")
-    start = F.struct(F.lit("").alias("line"), F.array().cast("array<string>").alias("done"))
 
-    def step(acc: Column, w: Column) -> Column:
-        fits = (acc["line"] == "") | (F.length(acc["line"]) + 1 + F.length(w) <= width)
-        joined = F.when(acc["line"] == "", w).otherwise(F.concat(acc["line"], F.lit(" "), w))
-        return F.struct(F.when(fits, joined).otherwise(w).alias("line"), F.when(fits, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["line"]))).alias("done"))
+    def step(line: Column, w: Column) -> tuple[Column, Column]:
+        fits = (line == "") | (F.length(line) + 1 + F.length(w) <= width)
+        joined = F.when(line == "", w).otherwise(F.concat(line, F.lit(" "), w))
+        return F.when(fits, joined).otherwise(w), F.when(fits, F.array().cast("array<string>")).otherwise(F.array(line))
 
-    rows = F.aggregate(words, start, step, lambda a: F.concat(a["done"], F.array(a["line"])))
+    rows = fold_out(words, F.lit(""), step, "string", F.array)
     keep = [c for c in df.columns if c != text]
     return df.select(*keep, F.posexplode(rows).alias("row", text)).withColumn("row", F.col("row").cast("long"))
 
@@ -73,6 +90,18 @@ def trailing_trim(lines: DataFrame, keys: list[str], order: str = "li", text: st
     return m.filter("_full = 1").drop("_full")
 
 
+def trailing_pages(pages: DataFrame, full: Column, explicit: Column, key: str = "doc", page: str = "page") -> DataFrame:
+    """Pages without the empty ones at a document's end, unless they were asked for."""
+    after = Window.partitionBy(key).orderBy(F.col(page).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    return pages.withColumn("_stays", F.max((full | explicit).cast("int")).over(after)).filter("_stays = 1").drop("_stays")
+
+
+def trailing_break(blocks: DataFrame, blank_after: Column, key: str = "doc", order: str = "bi", kind: str = "kind") -> DataFrame:
+    """Blocks without a page break that ends a document, unless a blank line followed it."""
+    last = F.lead(order).over(Window.partitionBy(key).orderBy(order)).isNull()
+    return blocks.withColumn("_last", last).filter(~(F.col("_last") & (F.col(kind) == "pagebreak") & ~blank_after)).drop("_last")
+
+
 def machine_margin(lines: DataFrame, key: str = "doc", page: str = "page", order: str = "line", text: str = "text") -> DataFrame:
     """Lines without the machine's own top margin: the fewest leading blanks of pages two and on
     (of the first page if there is only one)."""

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.functions.fold import let
+from paperloom.operators.structure import verse_test
+from paperloom.operators.text import STYLE
+
 
 def drift(left: DataFrame, right: DataFrame, keys: list[str] = ("doc", "format", "mode")) -> DataFrame:
     """(keys, state): missing, new, source changed, changed or same. Both sides have sha256, bytes
@@ -75,12 +81,54 @@ def well_formed_tags(df: DataFrame, void: tuple[str, ...] = ("br", "hr", "img",
     return c.filter("opened <> closed")
 
 
-def lint(lines: DataFrame, key: str = "doc", order: str = "li", text: str = "text") -> DataFrame:
-    """One row per violation: trailing backslash, adjacent quotes, deep indent, glued indents."""
+def lint_lines(lines: DataFrame, key: str = "doc", order: str = "li", text: str = "text") -> DataFrame:
+    """(key, place, rule) of Markdown lines: an odd number of backslashes at the end, an indent of
+    four and more."""
     t = F.col(text)
-    rules = {"trailing backslash": t.rlike(r"\\$"), "adjacent quotes": t.rlike("[\"”]{2,}"), "deep indent": t.rlike(r"^ {12,}\S"), "glued paragraphs": t.rlike(r"\S {5,}\S")}
+    rules = {"trailing backslash": t.rlike(r"(?<!\\)(?:\\\\)*\\$"), "deep indent": F.startswith(t, F.lit("    "))}
     each = F.filter(F.array(*(F.when(test, F.lit(name)) for name, test in rules.items())), lambda x: x.isNotNull())
-    return lines.select(key, order, F.explode(each).alias("rule"))
+    return lines.select(key, F.col(order).cast("long").alias("place"), F.explode(each).alias("rule"))
+
+
+def lint_spans(spans: DataFrame, keys: list[str], order: str, styles: str = "styles") -> DataFrame:
+    """(first key, place, rule): neighbouring spans of a line with the same style, reference marks aside."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    same = (F.col(styles) == F.lag(styles).over(w)) & (F.col(styles).bitwiseAND(F.lit(STYLE["fnref"])) == 0)
+    return spans.withColumn("_same", same).filter("_same").select(keys[0], F.col(order).cast("long").alias("place"), F.lit("equal neighbours").alias("rule"))
+
+
+def lint_units(lines: DataFrame, unit: str = "unit", key: str = "doc", order: str = "li", text: str = "text") -> DataFrame:
+    """(key, place, rule): lines inside a paragraph unit, not its first, that open with five spaces
+    though the unit is no verse."""
+    m = lines.withColumn("_nth", F.row_number().over(Window.partitionBy(key, unit).orderBy(order)))
+    verse = verse_test(lines, [key, unit], text)
+    glued = m.filter((F.col("_nth") > 1) & F.startswith(text, F.lit("     "))).join(verse.filter("is_verse"), [key, unit], "left_anti")
+    return glued.select(key, F.col(order).cast("long").alias("place"), F.lit("glued paragraphs").alias("rule"))
+
+
+def lint_pages(bodies: DataFrame, key: str = "doc", html: str = "body") -> DataFrame:
+    """(key, place, rule): a quote that ends where another begins; place counts them from 1."""
+    met = F.regexp_extract_all(F.col(html), F.lit(r"</blockquote>\s*<blockquote>"), F.lit(0))
+    return bodies.select(key, F.posexplode(met).alias("place", "_m")).select(key, (F.col("place") + 1).cast("long").alias("place"), F.lit("adjacent quotes").alias("rule"))
+
+
+#: Style names and what shows them in Markdown and HTML.
+MARKERS = {
+    "html": {"bold": ("<strong", "font-weight:bold"), "italic": ("<em", "font-style:italic"), "underline": ("<u>",), "strike": ("<s>", "text-decoration:line-through"), "sub": ("<sub", "vertical-align:sub"), "sup": ("<sup", "vertical-align:super")},
+    "markdown": {"bold": ("**",), "italic": ("*",), "strike": ("~~",), "underline": ("<u>",), "sub": ("<sub>",), "sup": ("<sup>",)},
+}
+
+
+def lint_markers(spans: DataFrame, bodies: DataFrame, markup: str, key: str = "doc", styles: str = "styles", body: str = "body") -> DataFrame:
+    """(key, place, rule): styles that a document's spans have and its rendering nowhere shows;
+    place is the style's bit."""
+    plain = spans.filter(F.col(styles).bitwiseAND(F.lit(STYLE["fnref"])) == 0)
+    present = plain.groupBy(key).agg(F.bit_or(styles).alias("_p")).join(bodies.select(key, F.col(body).alias("_b")), key)
+    each = []
+    for name, marks in MARKERS[markup].items():
+        shown = reduce(lambda a, b: a | b, (F.contains("_b", F.lit(m)) for m in marks))
+        each.append(F.when((F.col("_p").bitwiseAND(F.lit(STYLE[name])) != 0) & ~shown, F.lit(STYLE[name]).cast("long")))
+    return present.select(key, F.explode(F.array_compact(F.array(*each))).alias("place"), F.lit("missing attribute").alias("rule"))
 
 
 #: Families of private matter.
@@ -90,21 +138,21 @@ PATTERNS = (("home path", r"/(?:Users|home)/[A-Za-z0-9._-]+"), ("private address
 def sensitive_scan(df: DataFrame, allow: tuple[str, ...] = ("example.com", "/Users/you"), patterns=PATTERNS, key: str = "doc", text: str = "text", control: str | None = None) -> DataFrame:
     """(key, family, hit): matches outside the allow list, in the text and in base64 payloads of it.
 
-    ``control`` is a text that every scan must hit; its rows come back under a null key, so a scan
-    without them is broken."""
-    base = df.select(key, F.col(text).alias("_t"))
+    ``control`` is a text that every scan must hit: its rows come back under a null key, and a scan
+    that misses it stops the job."""
+    base = df.select(key, F.col(text).alias("_t"), F.lit(False).alias("_control"))
     payload = F.regexp_extract_all("_t", F.lit(r"base64,([A-Za-z0-9+/]{8,}={0,2})"), F.lit(1))
     decoded = F.array_join(F.transform(payload, lambda p: F.coalesce(F.try_to_binary(p, F.lit("base64")).cast("string"), F.lit(""))), "\n")
     base = base.withColumn("_t", F.concat_ws("\n", "_t", decoded))
     if control is not None:
         spark = df.sparkSession
         kind = df.schema[key].dataType.simpleString()
-        base = base.unionByName(spark.createDataFrame([(None, control)], f"{key} {kind}, _t string"))
+        base = base.unionByName(spark.createDataFrame([(None, control, True)], f"{key} {kind}, _t string, _control boolean"))
     each = F.flatten(F.array(*(F.transform(F.regexp_extract_all("_t", F.lit(rule), F.lit(0)), lambda h: F.struct(F.lit(family).alias("family"), h.alias("hit"))) for family, rule in patterns)))
-    hits = base.select(key, F.explode(each).alias("x")).select(key, "x.family", "x.hit")
     for word in allow:
-        hits = hits.filter(~F.contains("hit", F.lit(word)))
-    return hits
+        each = F.filter(each, lambda h: ~F.contains(h["hit"], F.lit(word)))  # noqa: B023
+    each = let(each, lambda e: F.when(F.col("_control") & (F.size(e) == 0), F.raise_error(F.lit("the control text has no hit"))).otherwise(e))
+    return base.select(key, F.explode(each).alias("x")).select(key, "x.family", "x.hit")
 
 
 def named_divergences(found: DataFrame, allowed: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:

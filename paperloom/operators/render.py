@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.operators.text import STYLE
+from paperloom.functions.fold import fold_out
+from paperloom.functions.registry import Options
+from paperloom.operators.text import STYLE, note_filter, single_sentence_space
+from paperloom.operators.timeline import state_at
 
 #: Markdown marks and HTML tags of style bits, outermost first.
 MARKS = (("bold", "**", "strong"), ("italic", "*", "em"), ("underline", "__", "u"), ("strike", "~~", "s"), ("sup", "^", "sup"), ("sub", "~", "sub"))
@@ -84,14 +87,74 @@ def export_plan(docs: DataFrame, formats: list[str], options: list[str], key: st
     return docs.select(key, F.explode(each).alias("x")).select(key, F.col("x.format").alias("format"), F.col("x.options").alias("options"))
 
 
-def unique_names(names: DataFrame, stem: str, extension: str, order: str, existing: DataFrame | None = None) -> DataFrame:
-    """name: ``A.md``, ``A 2.md`` ... in order; names that exist already count as taken first."""
-    taken = F.lit(0)
-    m = names
-    if existing is not None:
-        held = existing.groupBy(F.lower(F.col("stem")).alias("_k")).agg(F.count("*").alias("_held"))
-        m = m.withColumn("_k", F.lower(stem)).join(held, "_k", "left").drop("_k")
-        taken = F.coalesce("_held", F.lit(0))
-    nth = F.row_number().over(Window.partitionBy(F.lower(stem)).orderBy(order)) + taken
-    name = F.concat(F.col(stem), F.when(nth > 1, F.concat(F.lit(" "), nth.cast("string"))).otherwise(""), F.lit(extension))
-    return m.withColumn("name", name).drop("_held")
+def unique_names(names: DataFrame, stem: str, extension: str, order: str, existing: DataFrame | None = None, keys: list[str] = (), separator: str = " ", first: int = 2, fold_case: bool = True) -> DataFrame:
+    """name: ``A.md``, ``A 2.md`` ... Rows in ``order`` (unique) take the first name of their stem
+    that neither exists nor was taken by an earlier row of the same ``keys``.
+
+    ``existing`` has the ``keys`` and ``stem``, names without extension; upper and lower case are
+    the same name unless ``fold_case`` is off. A stem's n-th row takes its n-th free number by
+    windows. Only stems that look like another stem's numbered name (``A 2`` beside ``A``) are
+    folded in order together; such a family must fit a row."""
+    digits = "[1-9][0-9]*" if first == 1 else "(?:[2-9]|[1-9][0-9]+)"
+    numbered = f"^(.*){separator}({digits})$"
+    folded = (lambda c: F.lower(c)) if fold_case else (lambda c: c)
+    root = F.regexp_replace(folded(F.col(stem)), f"(?:{separator}{digits})+$", "")
+    m = names.withColumns({"_k": folded(F.col(stem)), "_root": root})
+    family = Window.partitionBy(*keys, "_root")
+    m = m.withColumn("_mixed", F.min("_k").over(family) != F.max("_k").over(family))
+    plain = m.filter(~F.col("_mixed")).withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "_k").orderBy(order)).cast("long"))
+    mixed = m.filter("_mixed")
+    if existing is None:
+        plain, held = plain.withColumn("_taken", F.lit(0)), None
+    else:
+        e = existing.select(*keys, folded(F.col("stem")).alias("_e")).distinct()
+        after = F.regexp_extract("_e", numbered, 2)
+        whole = F.struct(F.col("_e").alias("k"), F.lit(1).cast("long").alias("i"))
+        one = F.when(after != "", F.struct(F.regexp_extract("_e", numbered, 1).alias("k"), (after.cast("long") - first + 2).alias("i")))
+        e = e.select(*keys, "_e", F.explode(F.array_compact(F.array(whole, one))).alias("x")).select(*keys, "_e", F.col("x.k").alias("_k"), F.col("x.i").alias("_i"))
+        rank = F.row_number().over(Window.partitionBy(*keys, "_k").orderBy("_i"))
+        gaps = e.withColumn("_r", rank).groupBy(*keys, "_k", (F.col("_i") - F.col("_r")).alias("_n")).agg(F.max("_r").alias("_r"))
+        pack = F.concat_ws("\x00", *keys, "_k")
+        plain = state_at(plain.withColumn("_g", pack), gaps.withColumn("_g", pack), "_g", "_n", "_r", "_taken", strict=True)
+        held = e.groupBy(*keys, F.regexp_replace("_e", f"(?:{separator}{digits})+$", "").alias("_root")).agg(F.collect_set("_e").alias("_held"))
+    plain = plain.withColumn("_at", F.col("_n") + F.coalesce("_taken", F.lit(0)))
+
+    def called(k: Column, i: Column) -> Column:
+        return F.concat(k, F.when(i > 1, F.concat(F.lit(separator), (i + (first - 2)).cast("string"))).otherwise(""))
+
+    def step(taken: Column, x: Column) -> tuple[Column, Column]:
+        free = F.filter(F.sequence(F.lit(1), F.size(taken) + 1), lambda i: ~F.array_contains(taken, called(x["k"], i)))
+        at = F.element_at(free, 1).cast("long")
+        return F.concat(taken, F.array(called(x["k"], at))), F.array(F.struct(x["o"].alias("o"), at.alias("at")))
+
+    groups = mixed.groupBy(*keys, "_root").agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_k").alias("k")))).alias("_x"))
+    groups = groups.withColumn("_held", F.lit(None).cast("array<string>")) if held is None else groups.join(held, [*keys, "_root"], "left")
+    kind = dict(names.dtypes)[order]
+    taken = F.coalesce("_held", F.array().cast("array<string>"))
+    given = groups.select(F.explode(fold_out(F.col("_x"), taken, step, f"struct<o:{kind},at:bigint>")).alias("x")).select(F.col("x.o").alias(order), F.col("x.at").alias("_at"))
+    out = plain.select(*names.columns, "_at").unionByName(mixed.join(given, order).select(*names.columns, "_at"))
+    return out.withColumn("name", F.concat(called(F.col(stem), F.col("_at")), F.lit(extension))).drop("_at")
+
+
+def picture_names(refs: DataFrame, key: str = "doc", order: str = "idx", raw_path: str = "raw_path") -> DataFrame:
+    """name of each picture of a document: its tag's own file name as ``.png``, ``-1``, ``-2`` ...
+    where tags share one, ``image`` and its number where there is none."""
+    base = F.regexp_replace(F.regexp_extract(raw_path, r"([^/\\\\]*)$", 1), r"\.[^.]*$", "")
+    stem = F.when(base == "", F.concat(F.lit("image"), F.col(order).cast("string"))).otherwise(base)
+    named = unique_names(refs.withColumn("_stem", stem), "_stem", ".png", order, None, [key], "-", 1, False)
+    return named.drop("_stem")
+
+
+def render_with(lines: DataFrame, notes: DataFrame, options: Options, key: str = "doc", order: str = "line", text: str = "text") -> DataFrame:
+    """(key, body): text as the options ask for it: kinds of notes, sentence spacing, a contents
+    section of the headings (lines with ``heading``) before the text, page numbers of page breaks."""
+    out = lines.withColumn(text, single_sentence_space(F.col(text), options.spacing))
+    if options.page_numbers == "on":
+        out = out.withColumn(text, F.when(F.col("page").isNotNull(), F.concat_ws("\n", text, F.concat(F.lit("- "), F.col("page").cast("string"), F.lit(" -")))).otherwise(F.col(text)))
+    kept = note_filter(notes, list(options.notes))
+    body = render_text(out, "modern", kept, key, order, text)
+    if options.toc:
+        heads = lines.filter("heading > 0").withColumn("_t", F.concat(F.repeat(F.lit("  "), (F.col("heading") - 1).cast("int")), F.col(text)))
+        toc = heads.groupBy(key).agg(ordered_join(order, F.col("_t"), "\n").alias("_toc"))
+        body = body.join(toc, key, "left").withColumn("body", F.concat_ws("\n\n", F.concat(F.lit("Contents\n"), "_toc"), "body")).drop("_toc")
+    return body

@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.operators.structure import wrap_margin
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def document_stats(docs: DataFrame, notes: DataFrame | None = None, key: str = "doc", text: str = "text") -> DataFrame:
-    """words, characters and, with notes, their numbers by kind as one text."""
+def document_stats(docs: DataFrame, notes: DataFrame | None = None, fonts: DataFrame | None = None, key: str = "doc", text: str = "text") -> DataFrame:
+    """words, characters and, with notes, their numbers by kind as one text; with fonts (key, font)
+    the sorted set of those used."""
     out = docs.select(key, F.regexp_count(text, F.lit(WORD)).cast("long").alias("words"), F.length(text).cast("long").alias("characters"))
+    if fonts is not None:
+        used = distinct_used(fonts, "font", key).select(key, F.array_join("used", ",").alias("fonts"))
+        out = out.join(used, key, "left").withColumn("fonts", F.coalesce("fonts", F.lit("")))
     if notes is None:
         return out
     kinds = notes.groupBy(key, "kind").agg(F.count("*").alias("n"))
@@ -18,15 +24,34 @@ def document_stats(docs: DataFrame, notes: DataFrame | None = None, key: str = "
     return out.join(kinds, key, "left").withColumn("notes", F.coalesce("notes", F.lit("")))
 
 
-def diagnosis(lines: DataFrame, marks: DataFrame, notes: DataFrame, kinds: list[str], key: str = "doc", text: str = "text") -> DataFrame:
-    """One grouped aggregate per child table: paragraphs, blanks, commands with counts, notes by
-    kind with zeros, widest line."""
-    a = lines.groupBy(key).agg(F.count_if(F.trim(text) != "").alias("paragraphs"), F.count_if(F.trim(text) == "").alias("blanks"), F.max(F.length(F.rtrim(F.col(text)))).cast("long").alias("widest"))
-    m = marks.groupBy(key, "name").agg(F.count("*").alias("n"))
-    b = m.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "name", F.col("n").cast("string")))), " ").alias("commands"))
-    c = notes.groupBy(key).agg(*(F.count_if(F.col("kind") == k).alias(f"{k}s") for k in kinds))
-    out = a.join(b, key, "left").join(c, key, "left")
-    return out.withColumns({"commands": F.coalesce("commands", F.lit("")), **{f"{k}s": F.coalesce(f"{k}s", F.lit(0).cast("long")) for k in kinds}})
+def _counted(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, counts): ``NAME:n`` for each value of ``name``, sorted, in one text."""
+    n = rows.groupBy(key, name).agg(F.count("*").alias("_n"))
+    return n.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", name, F.col("_n").cast("string")))), " ").alias("counts"))
+
+
+def diagnosis(lines: DataFrame, marks: DataFrame, notes: DataFrame, kinds: list[str], known: list[str] | None = None, spans: DataFrame | None = None, pictures: DataFrame | None = None, key: str = "doc", text: str = "text") -> DataFrame:
+    """One grouped aggregate per child table: paragraphs, blanks, widest line and margin, commands
+    with counts, notes by kind with zeros. With ``known`` command names also the unknown ones, the
+    formatting keys set and the number of contents entries (``TC``); with ``spans`` (styles, colour,
+    size) the numbers of styled, coloured and sized spans; with ``pictures`` (resolved) how many are
+    found and missing."""
+    out = lines.groupBy(key).agg(F.count_if(F.trim(text) != "").alias("paragraphs"), F.count_if(F.trim(text) == "").alias("blanks"), F.max(F.length(F.rtrim(F.col(text)))).cast("long").alias("widest"))
+    out = out.join(wrap_margin(lines, key, text), key, "left").join(_counted(marks, key, "name").withColumnRenamed("counts", "commands"), key, "left")
+    out = out.join(notes.groupBy(key).agg(*(F.count_if(F.col("kind") == k).alias(f"{k}s") for k in kinds)), key, "left")
+    numbers, texts = [f"{k}s" for k in kinds], ["commands"]
+    if known is not None:
+        is_known = F.col("name").isin(*known)
+        own = marks.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(F.when(is_known, F.col("name")))), " ").alias("keys"), F.count_if(F.col("name") == "TC").alias("contents"))
+        out = out.join(own, key, "left").join(_counted(marks.filter(~is_known), key, "name").withColumnRenamed("counts", "unknown"), key, "left")
+        numbers, texts = [*numbers, "contents"], [*texts, "keys", "unknown"]
+    if spans is not None:
+        out = out.join(spans.groupBy(key).agg(F.count_if(F.col("styles") != 0).alias("styled"), F.count_if(F.col("colour").isNotNull()).alias("coloured"), F.count_if(F.col("size").isNotNull()).alias("sized")), key, "left")
+        numbers += ["styled", "coloured", "sized"]
+    if pictures is not None:
+        out = out.join(pictures.groupBy(key).agg(F.count_if(F.col("resolved").isNotNull()).alias("found"), F.count_if(F.col("resolved").isNull()).alias("missing")), key, "left")
+        numbers += ["found", "missing"]
+    return out.withColumns({**{c: F.coalesce(c, F.lit("")) for c in texts}, **{c: F.coalesce(c, F.lit(0).cast("long")) for c in numbers}})
 
 
 def keywords(docs: DataFrame, marks: DataFrame, key: str = "doc", variant: str = "variant", name: str = "name") -> DataFrame:
@@ -68,9 +93,10 @@ def layout_json(page_lines: DataFrame, key: str = "doc", page: str = "page", ord
     return pages.select(key, F.to_json(F.struct(F.lit("layout").alias("format"), F.lit(version).alias("version"), "pages")).alias("json"))
 
 
-def exact_total(df: DataFrame, value: str, key: str, scale: int = 6) -> DataFrame:
-    """Sums that do not depend on the order of rows."""
-    return df.groupBy(key).agg(F.sum(F.col(value).cast(f"decimal(28,{scale})")).alias("total"))
+def exact_total(df: DataFrame, value: str, key: str, scale: int = 18) -> DataFrame:
+    """Sums that do not depend on the order of rows: exact over values of up to ``scale`` places
+    below the point and 38 - ``scale`` above it."""
+    return df.groupBy(key).agg(F.sum(F.col(value).cast(f"decimal(38,{scale})")).alias("total"))
 
 
 def digest_grid(docs: DataFrame, renderings: dict[tuple[str, str], Column], key: str = "doc") -> DataFrame:
@@ -88,12 +114,19 @@ def status_log(events: DataFrame, key: str, order: list[str], status: str) -> tu
 def batches_of(df: DataFrame, n: int, order: str, bins: int = 1024) -> DataFrame:
     """(order, batch) in order: ranks come from counts of ranges, so rows are not ranked in one task.
 
-    ``order`` is a whole-number column; its range is cut into equal bins."""
-    span = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
-    if span["lo"] is None:
+    ``order`` is a unique number column; its ranges are cut where its approximate quantiles lie, so
+    clustered values fill them alike."""
+    wide = max(1, int(bins**0.5))
+    cuts = df.agg(F.percentile_approx(order, [k / bins for k in range(1, bins)], 10 * bins).alias("c")).first()["c"]  # at most ``bins`` numbers
+    if cuts is None:
         return df.withColumn("batch", F.lit(None).cast("long"))
-    width = max(1, (span["hi"] - span["lo"]) // bins + 1)
-    m = df.withColumn("_bin", F.expr(f"({order} - {span['lo']}) div {width}"))
+    cuts = sorted(set(cuts))
+    every, coarse = (F.lit(c) if c else F.array().cast("array<double>") for c in (cuts, cuts[wide - 1 :: wide]))
+
+    def below(of: Column) -> Column:
+        return F.size(F.filter(of, lambda c: c < F.col(order)))
+
+    m = df.withColumn("_bin", below(coarse)).withColumn("_bin", F.col("_bin") * wide + below(F.slice(every, F.col("_bin") * wide + 1, F.lit(wide))))
     counts = m.groupBy("_bin").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))  # at most ``bins`` rows
     counts = counts.select("_bin", F.coalesce(before, F.lit(0)).alias("_before"))

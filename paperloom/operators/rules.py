@@ -54,15 +54,48 @@ def style_lookup(blocks: DataFrame, library: DataFrame, keys: list[str]) -> Data
 FONT_ALTERNATES = {
     "avant garde": ["Century Gothic", "ITC Avant Garde Gothic"],
     "bookman": ["Bookman Old Style"],
+    "cntry schlbk": ["Century Schoolbook", "New Century Schoolbook"],
+    "newcntschlbk": ["Century Schoolbook", "New Century Schoolbook"],
+    "new century schoolbook": ["Century Schoolbook"],
     "century": ["Century Schoolbook"],
-    "courier": ["Courier New"],
-    "elite": ["Courier New"],
+    "helv": ["Helvetica", "Arial"],
     "helvetica": ["Arial", "Helvetica Neue"],
-    "letter gothic": ["Letter Gothic", "Courier New"],
+    "helv cond.": ["Arial Narrow", "Helvetica Neue Condensed"],
+    "helv narrow": ["Arial Narrow", "Helvetica Neue Condensed"],
+    "helvetica narrow": ["Arial Narrow", "Helvetica Neue Condensed"],
     "palatino": ["Palatino", "Palatino Linotype", "Book Antiqua"],
-    "pica": ["Courier New"],
+    "tms rmn": ["Times New Roman", "Times"],
     "times": ["Times New Roman"],
+    "zapfchancery": ["Apple Chancery", "Monotype Corsiva"],
+    "zapf chancery": ["Apple Chancery", "Monotype Corsiva"],
+    "zapfdingbats": ["Zapf Dingbats"],
+    "zapf dingbats": ["Zapf Dingbats"],
+    "symbol": ["Symbol"],
+    "courier": ["Courier New"],
+    "pica": ["Courier New"],
+    "elite": ["Courier New"],
+    "lineprinter": ["Courier New"],
+    "letter gothic": ["Letter Gothic", "Courier New"],
+    "gothic": ["Letter Gothic", "Courier New"],
+    "prestige": ["Prestige Elite", "Courier New"],
     "univers": ["Helvetica Neue", "Arial"],
+    "antique olive": ["Optima", "Verdana"],
+    "cg times": ["Times New Roman"],
+    "cg triumvirate": ["Arial", "Helvetica"],
+    "triumvirate": ["Arial", "Helvetica"],
+    "garamond": ["Garamond", "EB Garamond"],
+    "optima": ["Optima", "Candara"],
+    "clarendon": ["Clarendon", "Rockwell"],
+    "aachen": ["Rockwell", "Courier New"],
+    "bodoni": ["Bodoni 72", "Bodoni MT", "Didot"],
+    "broadway": ["Broadway"],
+    "univ. roman": ["University Roman", "Georgia"],
+    "ps sansser qual": ["Arial", "Helvetica"],
+    "american classic": ["Century Schoolbook", "Georgia"],
+    "rockwell": ["Rockwell", "Courier New"],
+    "coronet": ["Coronet", "Apple Chancery", "Monotype Corsiva"],
+    "albertus": ["Herculanum", "Colonna MT", "Rockwell"],
+    "marigold": ["Apple Chancery", "Monotype Corsiva", "Coronet"],
 }
 
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.functions.fold import fold_out
+
 CLOSING, OPENING = "\"'’”", "\"'‘“"
 
 
@@ -186,14 +188,15 @@ def nesting_level(rows: DataFrame, key: str = "doc", order: str = "li", col: str
     An island between hard breaks is folded in order; the stack is the only state."""
     parts = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(col).cast("int").alias("c"))))
     grouped = rows.groupBy(key, island).agg(parts.alias("_rows"))
-    start = F.struct(F.array().cast("array<int>").alias("stack"), F.array().cast("array<struct<o:bigint,level:bigint,container:int>>").alias("out"))
+    kind = "struct<o:bigint,level:bigint,container:int>"
 
-    def step(acc: Column, r: Column) -> Column:
-        kept = F.filter(acc["stack"], lambda x: x < r["c"])
+    def step(stack: Column, r: Column) -> tuple[Column, Column]:
+        kept = F.filter(stack, lambda x: x < r["c"])
         row = F.struct(r["o"].cast("bigint").alias("o"), (F.size(kept) + 1).cast("bigint").alias("level"), F.element_at(F.concat(F.array(F.lit(-1)), kept), -1).alias("container"))
-        return F.struct(F.concat(kept, F.array(r["c"])).alias("stack"), F.concat(acc["out"], F.array(row)).alias("out"))
+        return F.concat(kept, F.array(r["c"])), F.array(row)
 
-    out = grouped.select(key, island, F.explode(F.aggregate("_rows", start, step, lambda a: a["out"])).alias("r"))
+    levels = fold_out(F.col("_rows"), F.array().cast("array<int>"), step, kind)
+    out = grouped.select(key, island, F.explode(levels).alias("r"))
     return out.select(key, island, F.col("r.o").alias(order), F.col("r.level").alias("level"), F.col("r.container").alias("container"))
 
 
@@ -241,6 +244,7 @@ def spacing_blanks(lines: DataFrame, declared: Column | None = None, key: str =
     return flags.select(key, block, (F.col("_fits") & sure).alias("double_spaced"))
 
 
+#: Fixed value: how a scene heading begins.
 SLUGLINE = r"^[ \t]*[0-9]{0,4}[ \t]*(?:&[^&\r\n]{1,24}&[ \t]*)?(?:INT\.|EXT\.|INT\.?/EXT\.|I/E\.)[ \t]"
 
 

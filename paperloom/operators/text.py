@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Style names and their bits.
 STYLE = {"bold": 1, "italic": 2, "underline": 4, "sup": 8, "sub": 16, "strike": 32, "fnref": 64, "alt_font": 128}
 
 
@@ -47,12 +48,17 @@ def effective_styles(spans: DataFrame, blocks: DataFrame, keys: list[str], headi
     return both.withColumns({"styles": styles, "colour": F.coalesce("colour", F.nullif("style_colour", F.lit(0)))}).drop("style_attrs", "style_colour", "heading")
 
 
+#: Fixed value: the page number variable, with or without a modifier.
+PAGE_VARIABLE = "&#(?:/[A-Za-z]+)?&"
+
+
 def bind_page_variables(lines: DataFrame, pages: DataFrame | None, keys: list[str], text_col: str = "text") -> DataFrame:
-    """``&#&`` becomes the number of the page its line is on, and is dropped without pages."""
+    """``&#&`` and its forms with a modifier (``&#/r&``) become the number of the page their line is
+    on, and are dropped without pages."""
     if pages is None:
-        return lines.withColumn(text_col, F.replace(text_col, F.lit("&#&"), F.lit("")))
+        return lines.withColumn(text_col, F.regexp_replace(text_col, PAGE_VARIABLE, ""))
     both = lines.join(pages.select(*keys, "number"), keys, "left")
-    return both.withColumn(text_col, F.replace(text_col, F.lit("&#&"), F.coalesce(F.col("number").cast("string"), F.lit("")))).drop("number")
+    return both.withColumn(text_col, F.regexp_replace(F.col(text_col), F.lit(PAGE_VARIABLE), F.coalesce(F.col("number").cast("string"), F.lit("")))).drop("number")
 
 
 #: Tags that start a new line of text.

@@ -98,6 +98,17 @@ def named_timeline(marks: DataFrame, commands: tuple[str, ...], keep: str = "cha
     return both.withColumn("_prior", F.lag(pair).over(Window.partitionBy(key).orderBy(*order))).filter(~pair.eqNullSafe(F.col("_prior"))).select(key, *order, *halves)
 
 
+def all_timelines(marks: DataFrame, key: str = "doc", order: list[str] | str = "pos", name_col: str = "name", value_col: str = "value") -> DataFrame:
+    """(key, order, v0, v1, timeline) of all nine; v1 is null where a timeline has one command."""
+    out = None
+    for name, (commands, keep) in TIMELINES.items():
+        own = named_timeline(marks, commands, keep, key, order, name_col, value_col).withColumn("timeline", F.lit(name))
+        if len(commands) == 1:
+            own = own.withColumn("v1", F.lit(None).cast(marks.schema[value_col].dataType))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def latest_n(df: DataFrame, n: int, order: list[str] | str, key: str | None = None) -> DataFrame:
     """The newest n rows (of each key), by ``order`` descending."""
     descending = [F.col(c).desc() for c in _names(order)]

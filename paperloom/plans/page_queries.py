@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from paperloom.functions.registry import settings
 from paperloom.operators import notes as N
 from paperloom.operators import pages as P
 from paperloom.operators import references as R
@@ -25,6 +26,22 @@ def paginate(spark, d):
     return P.paginate(_flow(spark, d), 800).select("doc", "bi", "li", "page")
 
 
+def paginate_marks(spark, d):
+    """Pages with lines kept together and blank lines that a page does not begin with."""
+    out = P.paginate(_flow(spark, d), 800, keep=F.when(F.col("bi") % 9 == 0, 1 + F.col("height") % 40), blank=F.col("height") % 6 == 0)
+    return out.select("doc", "bi", "li", "page")
+
+
+def trailing_pages(spark, d):
+    pages = planted(spark, d).groupBy("doc", F.expr("li div 5").alias("page")).agg(F.max(F.length("text")).alias("size"))
+    return P.trailing_pages(pages.select("doc", "page", "size"), F.col("size") % 3 == 0, F.col("page") % 9 == 8)
+
+
+def trailing_break(spark, d):
+    blocks = planted(spark, d).select("doc", F.col("li").alias("bi"), F.when(F.length("text") % 2 == 0, F.lit("pagebreak")).otherwise(F.lit("para")).alias("kind"))
+    return P.trailing_break(blocks, F.col("doc") % 3 == 0)
+
+
 def first_pages(spark, d):
     return P.first_pages(P.paginate(_flow(spark, d), 800), 2).groupBy("doc").agg(F.count("*").alias("lines"))
 
@@ -34,8 +51,7 @@ def break_reasons(spark, d):
 
 
 def wrap_words(spark, d):
-    text = lines(spark, d).filter("doc % 10 = 3 or length(text) < 200")
-    return P.wrap_words(text, 60).groupBy("doc", "li").agg(F.count("*").alias("rows"), F.max(F.length("text")).alias("widest"), F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row", "text"))), lambda r: r["text"]), "|")).alias("digest"))
+    return P.wrap_words(lines(spark, d), 60).groupBy("doc", "li").agg(F.count("*").alias("rows"), F.max(F.length("text")).alias("widest"), F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row", "text"))), lambda r: r["text"]), "|")).alias("digest"))
 
 
 def trailing_trim(spark, d):
@@ -69,7 +85,7 @@ def region_breaks(spark, d):
 
 def toc_page_join(spark, d):
     pages = P.paginate(_flow(spark, d), 800).withColumn("number", F.col("page") + 10)
-    entries = placed(spark, d).filter("li = 1 and bi % 40 = 0").select("doc", F.when(F.col("bi") % 80 == 0, -F.col("bi") - 1).otherwise(F.col("bi")).alias("bi"), F.concat(F.lit("entry "), F.col("bi").cast("string")).alias("text"))
+    entries = placed(spark, d).filter("li = 1").select("doc", F.when(F.col("bi") % 80 == 0, -F.col("bi") - 1).otherwise(F.col("bi")).alias("bi"), F.concat(F.lit("entry "), F.col("bi").cast("string")).alias("text"))
     return P.toc_page_join(entries, pages)
 
 
@@ -98,6 +114,10 @@ def prefixed_labels(spark, d):
     return N.prefixed_labels(_notes(spark, d)).select("doc", "idx", "label")
 
 
+def roman_labels(spark, d):
+    return N.roman_labels(N.note_labels(_notes(spark, d).withColumn("number", F.col("number") * F.col("idx").cast("int") * 7))).select("doc", "idx", "kind", "label")
+
+
 def note_order(spark, d):
     return N.note_order(_notes(spark, d)).select("doc", "idx", "seq")
 
@@ -131,7 +151,7 @@ def overlay_overrides(spark, d):
 
 def effective_settings(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("doc"), F.when(F.col("p_size") % 2 == 0, F.col("p_size")).alias("length"), F.when(F.col("p_size") % 3 == 0, F.col("p_size") + 1).alias("top"), F.when(F.col("p_size") > 40, F.lit(7)).alias("offset"))
-    return U.effective_settings(p, {"top": 3}, {"length": 66, "top": 2, "offset": 8})
+    return U.effective_settings(p, settings("top=3"), {"length": 66, "top": 2, "offset": 8})
 
 
 def style_lookup(spark, d):
@@ -165,7 +185,7 @@ def probe_report(spark, d):
     return R.probe_report(refs, R.resolve_references(refs, files, ["page_id"]), ["page_id"]).withColumn("probed", F.size(F.split("probed", "\n")).cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (paginate, first_pages, break_reasons, wrap_words, trailing_trim, machine_margin, geometry_summary, column_sheets, region_breaks, toc_page_join, note_labels, collision_renumber, prefixed_labels, note_order, note_for_reference, comment_beside_reference, rule_decisions, overlay_overrides, effective_settings, style_lookup, font_resolution, resolve_references, probe_report)}
+QUERIES = {f.__name__: f for f in (paginate, paginate_marks, trailing_pages, trailing_break, roman_labels, first_pages, break_reasons, wrap_words, trailing_trim, machine_margin, geometry_summary, column_sheets, region_breaks, toc_page_join, note_labels, collision_renumber, prefixed_labels, note_order, note_for_reference, comment_beside_reference, rule_decisions, overlay_overrides, effective_settings, style_lookup, font_resolution, resolve_references, probe_report)}
 
 _SUB = ", S as (select distinct doc, bi // 200 as page from PL), C as (select doc, page, 1 + (page // 7) % 3 as columns, 2 + (page // 14) % 2 as gutter from S)"
 _REF = """P as (select page_id, 'arch/vol' || (page_id % 4) || '/box/doc.ws' as doc_path, case when page_id % 3 = 0 then 'C:\\PIX\\P' || (page_id % 40) || '.PIX' else 'p' || (page_id % 40) || '.pix' end as raw_path from pages),
@@ -178,13 +198,27 @@ _REF = """P as (select page_id, 'arch/vol' || (page_id % 4) || '/box/doc.ws' as
     Z as (select page_id, arg_min(path, rank) as resolved from H join F on lower(path) = candidate group by page_id)"""
 ORACLES = {
     "paginate": with_views(_PAGES + " select doc, bi, li, cast(page as bigint) as page from X", "PL"),
+    "paginate_marks": with_views(_FLOW + """, M as (select *, row_number() over w as n, case when bi % 9 = 0 then 1 + height % 40 else 1 end as keep, height % 6 = 0 as blank, sum(cost) over w as upto, sum(case when forced then 1 else 0 end) over w as part from F window w as (partition by doc order by bi, li)),
+        Z as (select doc, part, max(n) as last from M group by 1, 2),
+        N as (select a.*, e.upto - a.upto + a.cost as need from M a join Z on Z.doc = a.doc and Z.part = a.part join M e on e.doc = a.doc and e.n = least(a.n + a.keep - 1, case when a.forced and a.keep = 1 then a.n else Z.last end)),
+        X as (with recursive W as (select doc, bi, li, n, case when blank then -1 else cost end as used, case when blank then 0 else 1 end as page, not blank as shown from N where n = 1 union all
+          select N.doc, N.bi, N.li, N.n, case when used < 0 or forced or used + need > 800 then case when blank then -1 else cost end else used + cost end, page + case when (used < 0 or forced or used + need > 800) and not blank then 1 else 0 end,
+          not ((used < 0 or forced or used + need > 800) and blank) from W join N on N.doc = W.doc and N.n = W.n + 1) select * from W)
+        select doc, bi, li, cast(page as bigint) as page from X where shown""", "PL"),
+    "trailing_pages": with_views(""", G as (select doc, li // 5 as page, max(length(text)) as size from LP group by 1, 2), H as (select *, max(case when size % 3 = 0 or page % 9 = 8 then page end) over (partition by doc) as last from G)
+        select doc, page, size from H where page <= last""", "LP"),
+    "trailing_break": with_views(""", K as (select doc, li as bi, case when length(text) % 2 = 0 then 'pagebreak' else 'para' end as kind, li = max(li) over (partition by doc) as last from LP)
+        select doc, bi, kind from K where not (last and kind = 'pagebreak' and doc % 3 <> 0)""", "LP"),
+    "roman_labels": f"""with recursive {_NOTES}, M as (select doc, idx, kind, coalesce(tag, cast(coalesce(number * cast(idx as integer) * 7, row_number() over (partition by doc, kind order by idx)) as varchar)) as label from N),
+        T as (select * from (values (1000, 'm'), (900, 'cm'), (500, 'd'), (400, 'cd'), (100, 'c'), (90, 'xc'), (50, 'l'), (40, 'xl'), (10, 'x'), (9, 'ix'), (5, 'v'), (4, 'iv'), (1, 'i')) t(v, m)),
+        Y as (select distinct label, cast(label as bigint) as n, '' as r from M where kind = 'endnote' and regexp_matches(label, '^[0-9]+$') and cast(label as bigint) > 0 union all select label, n - (select max(v) from T where v <= n), r || (select arg_max(m, v) from T where v <= n) from Y where n > 0)
+        select doc, idx, kind, coalesce(case when kind = 'endnote' then r end, M.label) as label from M left join (select * from Y where n = 0) Y on Y.label = M.label""",
     "first_pages": with_views(_PAGES + " select doc, count(*) as lines from X where page <= 2 group by doc", "PL"),
     "break_reasons": with_views(_PAGES + " select X.doc, cast(X.page as bigint) as page, X.bi, X.li, case when X.n = 1 then 'start' when F.forced then 'explicit' else 'overflow' end as reason from (select *, lag(page) over (partition by doc order by n) as was from X) X join F using (doc, bi, li) where was is null or was <> page", "PL"),
-    "wrap_words": with_views(r""", T as (select doc, li, list_filter(string_split_regex(trim(text), ' +'), lambda x: x <> '') as w from L where doc % 10 = 3 or length(text) < 200),
-        V as (with recursive W as (select doc, li, w, 1 as k, coalesce(w[1], '') as line, [] :: varchar[] as done from T union all
-          select doc, li, w, k + 1, case when length(line) + 1 + length(w[k + 1]) <= 60 then line || ' ' || w[k + 1] else w[k + 1] end, case when length(line) + 1 + length(w[k + 1]) <= 60 then done else list_append(done, line) end from W where k < len(w))
-          select doc, li, list_append(done, line) as r from W where k >= len(w))
-        select doc, li, cast(len(r) as bigint) as rows, cast(list_max(list_transform(r, lambda x: length(x))) as integer) as widest, md5(array_to_string(r, '|')) as digest from V""", "L"),
+    "wrap_words": with_views(r""", T as (select doc, li, list_filter(string_split_regex(trim(text), ' +'), lambda x: x <> '') as w from L),
+        R as (select doc, li, case when len(w) = 0 then {'n': 0, 'w': 0, 'r': 1, 't': ''} else list_reduce(list_transform(w, lambda x: {'n': length(x), 'w': length(x), 'r': 1, 't': x}),
+          lambda a, x: case when a.n + 1 + x.n <= 60 then {'n': a.n + 1 + x.n, 'w': greatest(a.w, a.n + 1 + x.n), 'r': a.r, 't': a.t || ' ' || x.t} else {'n': x.n, 'w': greatest(a.w, x.n), 'r': a.r + 1, 't': a.t || '|' || x.t} end) end as z from T)
+        select doc, li, cast(z.r as bigint) as rows, cast(z.w as integer) as widest, md5(z.t) as digest from R""", "L"),
     "trailing_trim": with_views(""", R as (select doc, li // 5 as page, li, case when li % 5 >= 2 + doc % 4 then '' else trim(text) end as t from LP), M as (select *, max(case when t <> '' then li else -1 end) over (partition by doc, page) as last, count(*) over (partition by doc, page) as n from R),
         K as (select *, count(*) filter (li > last) over (partition by doc, page) as extra from M) select doc, page, li, extra as "trailing" from K where li <= last""", "LP"),
     "machine_margin": with_views(""", R as (select doc, li // 6 + 1 as page, li % 6 as line, case when li % 6 < 1 + (li // 6 + 1) % 3 then '' else trim(text) end as t from LP),
@@ -197,7 +231,7 @@ ORACLES = {
     "region_breaks": with_views(_SUB + """, K as (select doc, page as bi, columns, case when (page + doc) % 5 = 0 then 'pagebreak' when page % 6 = 1 then 'other' else 'para' end as kind from C),
         P as (select a.doc, a.bi, a.columns, (select max(b.bi) from K b where b.doc = a.doc and b.bi < a.bi and b.kind = 'para') as prev from K a where kind = 'para')
         select P.doc, P.bi as before, K.columns as was, P.columns as now from P join K on K.doc = P.doc and K.bi = P.prev where K.columns > 1 and K.columns <> P.columns and not exists (select 1 from K x where x.doc = P.doc and x.kind = 'pagebreak' and x.bi > P.prev and x.bi < P.bi)""", "PL"),
-    "toc_page_join": with_views(_PAGES + """, B as (select doc, bi, min(page) + 10 as number from X group by 1, 2), E as (select doc, case when bi % 80 = 0 then -bi - 1 else bi end as bi, 'entry ' || bi as text from PL where li = 1 and bi % 40 = 0)
+    "toc_page_join": with_views(_PAGES + """, B as (select doc, bi, min(page) + 10 as number from X group by 1, 2), E as (select doc, case when bi % 80 = 0 then -bi - 1 else bi end as bi, 'entry ' || bi as text from PL where li = 1)
         select E.doc, E.bi, E.text, cast(B.number as bigint) as number from E left join B on E.doc = B.doc and E.bi = B.bi""", "PL"),
     "note_labels": f"with {_NOTES} select doc, idx, kind, label from R",
     "collision_renumber": f"with {_NOTES}, C as (select doc, kind, count(*) > count(distinct label) as clash from R group by 1, 2) select doc, idx, kind, case when clash and tag is null then cast(row_number() over (partition by doc, kind, tag is null order by idx) as varchar) else label end as label from R join C using (doc, kind)",

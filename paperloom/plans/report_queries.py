@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
+from paperloom.functions.registry import Options
 from paperloom.operators import pages as P
 from paperloom.operators import quality as Q
 from paperloom.operators import render as R
@@ -11,6 +14,7 @@ from paperloom.operators import report as S
 from paperloom.operators import text as X
 from paperloom.plans.page_queries import _NOTES, _flow, _notes
 from paperloom.plans.page_queries import _PAGES
+from paperloom.plans.structure_queries import VERSE_BY
 from paperloom.plans.text_queries import ORACLES as _TEXT
 from paperloom.plans.views import events, lines, placed, planted, table, with_views
 
@@ -20,28 +24,47 @@ def _docs(spark, d):
 
 
 def document_stats(spark, d):
-    return S.document_stats(_docs(spark, d), _notes(spark, d))
+    fonts = placed(spark, d).select("doc", F.concat(F.lit("face "), F.col("kind")).alias("font"))
+    return S.document_stats(_docs(spark, d), _notes(spark, d), fonts)
 
 
-def diagnosis(spark, d):
+def _diagnosed(spark, d):
     marks, _ = X.command_marks(planted(spark, d))
-    return S.diagnosis(planted(spark, d), marks, _notes(spark, d), ["footnote", "endnote", "annotation"])
+    spans = placed(spark, d).select("doc", (F.col("style") % 16).alias("styles"), F.when(F.col("height") % 3 == 0, F.col("height")).alias("colour"), F.when(F.col("height") > 40, F.col("height")).alias("size"))
+    pictures = table(spark, d, "pages").select((F.col("page_id") % 100).alias("doc"), F.when(F.col("page_id") % 3 == 0, F.col("url")).alias("resolved"))
+    return S.diagnosis(planted(spark, d), marks, _notes(spark, d), ["footnote", "endnote", "annotation"], ["PN", "MT", "PO", "TC"], spans, pictures)
+
+
+def diagnosis(spark, d):
+    return _diagnosed(spark, d)
+
+
+def diagnose_document_json(spark, d):
+    """The diagnosis as one JSON object a document; texts that are empty are left out."""
+    out = _diagnosed(spark, d)
+    texts = {c: F.nullif(c, F.lit("")) for c in ("commands", "keys", "unknown")}
+    return S.diagnose_json(out.withColumns(texts), ["paragraphs", "blanks", "widest", "margin", "commands", "footnotes", "endnotes", "annotations", "keys", "contents", "unknown", "styled", "coloured", "sized", "found", "missing"])
 
 
 def keywords(spark, d):
-    docs = events(spark, d).groupBy("doc").agg(F.min("name").alias("variant"))
-    return S.keywords(docs, events(spark, d).filter("doc % 5 <> 0"))
+    docs = table(spark, d, "customer").select(F.col("c_custkey").alias("doc"), F.col("c_mktsegment").alias("variant"))
+    return S.keywords(docs, events(spark, d))
 
 
 def toc_and_index(spark, d):
-    e = planted(spark, d).filter("li % 4 = 0").select("doc", F.col("li").alias("bi"), F.lit(0).alias("seq"), F.when(F.col("li") % 8 == 0, F.concat(F.substring("text", 1, 9), F.lit(" #"))).otherwise(F.substring("text", 1, 12)).alias("text"), (1 + F.col("li") % 3).alias("level"), F.when(F.col("doc") % 3 != 0, F.expr("li div 10 + 1")).alias("number"))
-    return S.toc_and_index(e)
+    e = planted(spark, d).select("doc", F.col("li").alias("bi"), F.lit(0).alias("seq"), F.when(F.col("li") % 8 == 0, F.concat("text", F.lit(" #"))).otherwise(F.col("text")).alias("text"), (1 + F.col("li") % 3).alias("level"), F.when(F.col("doc") % 3 != 0, F.expr("li div 10 + 1")).alias("number"))
+    return S.toc_and_index(e).withColumn("contents", F.md5("contents"))
 
 
 def colours_used(spark, d):
     return S.distinct_used(placed(spark, d), "kind").withColumn("used", F.array_join("used", ","))
 
 
+def fonts_used(spark, d):
+    fonts = placed(spark, d).select("doc", (F.col("style") % 5).alias("font"))
+    return S.distinct_used(fonts, "font").withColumn("used", F.array_join(F.transform("used", lambda x: x.cast("string")), ","))
+
+
 def search_index(spark, d):
     number = F.when(F.col("lang") != "de", F.size(F.split("text", "\n", -1)))
     out = S.search_index(_docs(spark, d), pages=number.cast("long"), keywords=F.concat_ws(" ", "lang", "source"))
@@ -54,8 +77,8 @@ def diagnose_json(spark, d):
 
 
 def layout_json(spark, d):
-    pages = P.paginate(_flow(spark, d).filter("bi % 100 < 5"), 800)
-    return S.layout_json(pages.select("doc", "page", "bi", "li"))
+    pages = P.paginate(_flow(spark, d), 800)
+    return S.layout_json(pages.select("doc", "page", "bi", "li")).withColumn("json", F.md5("json"))
 
 
 def exact_total(spark, d):
@@ -80,7 +103,7 @@ def render_text_facsimile(spark, d):
 
 
 def _spans(spark, d):
-    spans = lines(spark, d).select("doc", F.expr("li div 3").alias("bi"), (F.col("li") % 3).alias("li"), F.concat(F.substring("text", 1, 60), F.lit(" <*>")).alias("text"), ((F.col("doc") + F.col("li")) % 8).cast("int").alias("styles"))
+    spans = lines(spark, d).select("doc", F.expr("li div 3").alias("bi"), (F.col("li") % 3).alias("li"), F.concat("text", F.lit(" <*>")).alias("text"), ((F.col("doc") + F.col("li")) % 8).cast("int").alias("styles"))
     blocks = spans.groupBy("doc", "bi").agg(F.count("*").alias("n")).select("doc", "bi", F.when(F.col("bi") % 5 == 0, 2).otherwise(0).alias("heading"), (F.col("bi") % 5 == 3).alias("quote"), F.when(F.col("bi") % 5 != 0, F.col("bi") % 4).otherwise(0).alias("level"))
     return spans, blocks
 
@@ -98,11 +121,28 @@ def export_plan(spark, d):
 
 
 def unique_names(spark, d):
-    parts = table(spark, d, "part").select("p_partkey", F.initcap("p_name").alias("stem"))
-    held = table(spark, d, "part").filter("p_partkey % 10 = 0").select(F.col("p_name").alias("stem"))
+    """Parts by name, some of which look like a numbered name of others, beside names that exist."""
+    stem = F.concat(F.initcap("p_name"), F.when(F.col("p_size") % 7 == 0, F.lit(" 2")).when(F.col("p_size") % 7 == 1, F.lit(" 2 2")).otherwise(""))
+    parts = table(spark, d, "part").select("p_partkey", F.when(F.col("p_size") > 5, stem).otherwise(F.initcap("p_name")).alias("stem"))
+    held = table(spark, d, "part").select(F.upper(F.concat_ws(" ", "p_name", F.when(F.col("p_size") > 1, (F.col("p_size") % 9).cast("string")))).alias("stem"))
     return R.unique_names(parts, "stem", ".md", "p_partkey", held).select("p_partkey", "name")
 
 
+def picture_names(spark, d):
+    n = F.col("page_id")
+    raw = F.concat(F.element_at(F.array(*(F.lit(x) for x in ("C:\\PIX\\", "pix/", ""))), (n % 3 + 1).cast("int")), F.when(n % 11 == 0, F.lit(".PIX")).otherwise(F.concat(F.lit("p"), (n % 4).cast("string"), F.when(n % 5 == 0, F.lit("-1")).otherwise(""), F.lit(".pix"))))
+    return R.picture_names(table(spark, d, "pages").select((n % 50).alias("doc"), n.alias("idx"), raw.alias("raw_path")))
+
+
+def render_with(spark, d):
+    """Text as the options ask for it: footnotes, contents, page numbers, one space after sentences."""
+    n = F.col("li")
+    rows = planted(spark, d).withColumns({"heading": F.when(n % 10 == 0, 1 + F.expr("li % 20 div 10")).otherwise(0), "page": F.when(n % 7 == 3, F.expr("li div 7 + 1"))})
+    notes = _notes(spark, d).withColumn("label", F.col("idx").cast("string"))
+    out = R.render_with(rows.withColumnRenamed("li", "line"), notes, Options(notes=("footnote",), toc=True, page_numbers="on", spacing="single"))
+    return out.withColumn("body", F.md5("body"))
+
+
 def _runs(spark, d):
     base = _docs(spark, d).select("doc", F.lit("text").alias("format"), F.lit("modern").alias("mode"), F.sha2("text", 256).alias("sha256"), F.length("text").alias("bytes"), F.sha2("lang", 256).alias("source_sha256"))
     n = F.col("doc") % 10
@@ -147,7 +187,7 @@ def word_parity(spark, d):
 
 
 def balanced_markup(spark, d):
-    t = F.concat(F.lit("{\\rtf "), F.replace(F.replace(F.substring("text", 1, 200), F.lit(","), F.lit("\\{")), F.lit(" the "), F.lit("{\\b x}")), F.when(F.col("doc") % 3 == 0, "").otherwise("}"), F.when(F.col("doc") % 5 == 0, "\\odd ").otherwise(""))
+    t = F.concat(F.lit("{\\rtf "), F.replace(F.replace("text", F.lit(","), F.lit("\\{")), F.lit(" the "), F.lit("{\\b x}")), F.when(F.col("doc") % 3 == 0, "").otherwise("}"), F.when(F.col("doc") % 5 == 0, "\\odd ").otherwise(""))
     return Q.balanced_markup(_docs(spark, d).withColumn("text", t), ["rtf", "b"])
 
 
@@ -156,8 +196,16 @@ def well_formed_tags(spark, d):
 
 
 def lint(spark, d):
-    text = F.when(F.col("li") % 6 == 0, F.concat("text", F.lit("\\"))).when(F.col("li") % 6 == 1, F.concat(F.lit('""'), "text")).when(F.col("li") % 6 == 2, F.concat(F.lit("             x"), "text")).when(F.col("li") % 6 == 3, F.concat(F.lit("a      b"), "text")).otherwise(F.col("text"))
-    return Q.lint(lines(spark, d).withColumn("text", text))
+    """Every rule on output that breaks it in places."""
+    n = F.col("li") % 6
+    text = F.when(n == 0, F.concat("text", F.lit("\\"))).when(n == 1, F.concat("text", F.lit("\\\\"))).when(n == 2, F.concat(F.lit("    x"), "text")).otherwise(F.col("text"))
+    units = planted(spark, d).withColumn("unit", F.expr("li div 4"))
+    spans = placed(spark, d).select("doc", "bi", "li", F.col("style").alias("styles"))
+    quotes = F.concat(F.lit("<blockquote>"), "text", F.lit("</blockquote>"))
+    bodies = _docs(spark, d).select("doc", F.when(F.col("doc") % 3 == 0, F.concat(quotes, F.lit("\n "), quotes)).otherwise(quotes).alias("body"))
+    shown = spans.select("doc").distinct().withColumn("body", F.when(F.col("doc") % 2 == 0, F.lit("<strong>a</strong> <em>b</em>")).otherwise(F.lit("<u>c</u>")))
+    parts = [Q.lint_lines(lines(spark, d).withColumn("text", text)), Q.lint_units(units), Q.lint_spans(spans, ["doc", "bi"], "li"), Q.lint_pages(bodies), Q.lint_markers(spans, shown, "html")]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def sensitive_scan(spark, d):
@@ -172,29 +220,44 @@ def status_log(spark, d):
 
 
 def batches_of(spark, d):
-    return S.batches_of(table(spark, d, "orders").filter("o_orderkey % 3 = 0").select("o_orderkey"), 20, "o_orderkey")
+    return S.batches_of(table(spark, d, "orders").select("o_orderkey"), 20, "o_orderkey")
 
 
-QUERIES = {f.__name__: f for f in (document_stats, diagnosis, keywords, toc_and_index, colours_used, search_index, diagnose_json, layout_json, exact_total, digest_grid, render_text, render_text_facsimile, render_markdown, render_html, export_plan, unique_names, drift, named_divergences, coverage, corpus_union, format_names, style_set_algebra, word_parity, balanced_markup, well_formed_tags, lint, sensitive_scan, status_log, batches_of)}
+QUERIES = {f.__name__: f for f in (document_stats, diagnosis, diagnose_document_json, keywords, toc_and_index, colours_used, fonts_used, search_index, diagnose_json, layout_json, exact_total, digest_grid, render_text, render_text_facsimile, render_markdown, render_html, export_plan, unique_names, picture_names, render_with, drift, named_divergences, coverage, corpus_union, format_names, style_set_algebra, word_parity, balanced_markup, well_formed_tags, lint, sensitive_scan, status_log, batches_of)}
 
+_VERSE_OF_UNITS = VERSE_BY.format(run="li // 4 as unit", shifted="false", keys="doc, unit")
 _STATE = """D as (select doc_id as doc, case doc_id % 10 when 1 then 'changed' when 2 then 'source changed' when 3 then 'missing' when 4 then 'missing' else 'same' end as state from documents union all select doc_id + 1000000, 'new' from documents where doc_id % 10 = 4)"""
-_SPANS = """, S as (select doc, li // 3 as bi, li % 3 as li, substr(text, 1, 60) || ' <*>' as t, (doc + li) % 8 as st from L),
+_SPANS = """, S as (select doc, li // 3 as bi, li % 3 as li, text || ' <*>' as t, (doc + li) % 8 as st from L),
     M as (select *, case when st % 2 = 1 then 1 else 0 end as b, case when st // 2 % 2 = 1 then 1 else 0 end as i, case when st // 4 = 1 then 1 else 0 end as u from S)"""
+_NAMES = """with recursive R as (select *, {fold}(stem) as k, regexp_replace({fold}(stem), '(?:{sep}{digits})+$', '') as root from ({rows})), N as (select *, row_number() over (partition by doc, root order by id) as n from R),
+    E as (select doc, root, list(e) as held from (select doc, e, regexp_replace(e, '(?:{sep}{digits})+$', '') as root from ({held})) group by doc, root),
+    W as (select distinct N.doc, N.root, cast(0 as bigint) as n, coalesce(E.held, [] :: varchar[]) as taken, cast(null as bigint) as id, cast(null as varchar) as name from N left join E on E.doc = N.doc and E.root = N.root
+      union all select doc, root, n, list_append(taken, k || suffix), id, stem || suffix from (select W.doc, W.root, N.n, W.taken, N.id, N.stem, N.k,
+        list_filter(list_transform(range(1, len(taken) + 2), lambda i: case when i = 1 then '' else '{sep}' || (i + {shift}) end), lambda s: not list_contains(taken, k || s))[1] as suffix from W join N on N.doc = W.doc and N.root = W.root and N.n = W.n + 1))"""
+_DIAGNOSED = """A as (select doc, count(*) filter (trim(text) <> '') as paragraphs, count(*) filter (trim(text) = '') as blanks, max(length(rtrim(text))) as widest from LP group by doc),
+        W as (select doc, greatest(65, list_sort(list(length(rtrim(text))))[cast(count(*) * 9 // 10 as bigint) + 1]) as margin from LP where trim(text) <> '' group by doc),
+        C as (select doc, upper(regexp_extract(text, '^\\.([A-Za-z][A-Za-z#]{0,2})', 1)) as name, count(*) as n from LP where regexp_matches(text, '^\\.[A-Za-z][A-Za-z#]{0,2}\\s*') group by 1, 2),
+        B as (select doc, string_agg(name || ':' || n, ' ' order by name || ':' || n) as commands, string_agg(name || ':' || n, ' ' order by name || ':' || n) filter (name not in ('PN', 'MT', 'PO', 'TC')) as unknown, string_agg(name, ' ' order by name) filter (name in ('PN', 'MT', 'PO', 'TC')) as keys, cast(coalesce(sum(n) filter (name = 'TC'), 0) as bigint) as contents from C group by doc),
+        E as (select doc, count(*) filter (kind = 'footnote') as f, count(*) filter (kind = 'endnote') as e from N group by doc),
+        S as (select doc, count(*) filter (style % 16 <> 0) as styled, count(*) filter (height % 3 = 0) as coloured, count(*) filter (height > 40) as sized from PL group by doc),
+        P as (select page_id % 100 as doc, count(*) filter (page_id % 3 = 0) as found, count(*) filter (page_id % 3 <> 0) as missing from pages group by 1),
+        Z as (select A.*, margin, coalesce(commands, '') as commands, coalesce(f, 0) as footnotes, coalesce(e, 0) as endnotes, cast(0 as bigint) as annotations, coalesce(keys, '') as keys, coalesce(contents, 0) as contents, coalesce(unknown, '') as unknown,
+          coalesce(styled, 0) as styled, coalesce(coloured, 0) as coloured, coalesce(sized, 0) as sized, coalesce(found, 0) as found, coalesce(missing, 0) as missing from A left join W using (doc) left join B using (doc) left join E using (doc) left join S using (doc) left join P using (doc))"""
+_JSON_KEYS = ", ".join(f"""'"{c}":"' || nullif({c}, '') || '"'""" if c in ("commands", "keys", "unknown") else f"""'"{c}":' || {c}""" for c in ("paragraphs", "blanks", "widest", "margin", "commands", "footnotes", "endnotes", "annotations", "keys", "contents", "unknown", "styled", "coloured", "sized", "found", "missing"))
 ORACLES = {
-    "document_stats": f"with {_NOTES}, K as (select doc, kind || '=' || count(*) as k from N group by doc, kind), G as (select doc, string_agg(k, ',' order by k) as notes from K group by doc) select doc_id as doc, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) as words, length(text) as characters, coalesce(notes, '') as notes from documents left join G on doc = doc_id",
-    "diagnosis": with_views(f""", {_NOTES}, A as (select doc, count(*) filter (trim(text) <> '') as paragraphs, count(*) filter (trim(text) = '') as blanks, max(length(rtrim(text))) as widest from LP group by doc),
-        C as (select doc, upper(regexp_extract(text, '^\\.([A-Za-z][A-Za-z#]{{0,2}})', 1)) as name, count(*) as n from LP where regexp_matches(text, '^\\.[A-Za-z][A-Za-z#]{{0,2}}\\s*') group by 1, 2),
-        B as (select doc, string_agg(name || ':' || n, ' ' order by name || ':' || n) as commands from C group by doc), E as (select doc, count(*) filter (kind = 'footnote') as f, count(*) filter (kind = 'endnote') as e from N group by doc)
-        select A.*, coalesce(commands, '') as commands, coalesce(f, 0) as footnotes, coalesce(e, 0) as endnotes, cast(0 as bigint) as annotations from A left join B using (doc) left join E using (doc)""", "LP"),
-    "keywords": with_views("select doc, min(name) || case when doc % 5 <> 0 then ' ' || (select string_agg(n, ' ' order by n) from (select distinct e.name as n from EV e where e.doc = x.doc)) else '' end as keywords from EV x group by doc", "EV"),
-    "toc_and_index": with_views("""select doc, string_agg(repeat('  ', li % 3) || case when li % 8 = 0 then replace(substr(text, 1, 9) || ' #', '#', case when doc % 3 <> 0 then cast(li // 10 + 1 as varchar) else '' end)
-        when contains(substr(text, 1, 12), '#') then replace(substr(text, 1, 12), '#', case when doc % 3 <> 0 then cast(li // 10 + 1 as varchar) else '' end) else rtrim(substr(text, 1, 12)) || case when doc % 3 <> 0 then ' ' || (li // 10 + 1) else '' end end, chr(10) order by li) as contents from LP where li % 4 = 0 group by doc""", "LP"),
+    "document_stats": with_views(f", {_NOTES}, K as (select doc, kind || '=' || count(*) as k from N group by doc, kind), G as (select doc, string_agg(k, ',' order by k) as notes from K group by doc), Y as (select doc, string_agg(distinct 'face ' || kind, ',' order by 'face ' || kind) as fonts from PL group by doc) select doc_id as doc, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) as words, length(text) as characters, coalesce(fonts, '') as fonts, coalesce(notes, '') as notes from documents left join G on G.doc = doc_id left join Y on Y.doc = doc_id", "PL"),
+    "diagnosis": with_views(f", {_NOTES}, {_DIAGNOSED} select * from Z", "LP", "PL"),
+    "diagnose_document_json": with_views(f", {_NOTES}, {_DIAGNOSED} select doc, chr(123) || array_to_string(list_filter([{_JSON_KEYS}], lambda x: x is not null), ',') || chr(125) as json from Z", "LP", "PL"),
+    "fonts_used": with_views("select doc, string_agg(cast(f as varchar), ',' order by f) as used from (select distinct doc, style % 5 as f from PL) group by doc", "PL"),
+    "keywords": with_views("select c_custkey as doc, c_mktsegment || coalesce((select ' ' || string_agg(n, ' ' order by n) from (select distinct e.name as n from EV e where e.doc = c_custkey)), '') as keywords from customer", "EV"),
+    "toc_and_index": with_views(""", E as (select doc, li, case when li % 8 = 0 then text || ' #' else text end as t, case when doc % 3 <> 0 then cast(li // 10 + 1 as varchar) end as page from LP)
+        select doc, md5(string_agg(repeat('  ', li % 3) || case when contains(t, '#') then replace(t, '#', coalesce(page, '')) else rtrim(t) || coalesce(' ' || page, '') end, chr(10) order by li)) as contents from E group by doc""", "LP"),
     "colours_used": with_views("select doc, string_agg(distinct kind, ',' order by kind) as used from PL group by doc", "PL"),
     "search_index": "select doc_id as doc, nullif(regexp_extract(text, '(?m)^[ \\t\\n\\x0B\\f\\r]*([^ \\t\\n\\x0B\\f\\r][^\\n\\r]*)$', 1), '') as title, md5(text) as content, case when lang <> 'de' then len(string_split(text, chr(10))) end as pages, lang || ' ' || source as keywords from documents",
     "diagnose_json": """select doc_id as doc, '{"lang":"' || lang || '",' || case when doc_id % 2 = 0 then '"source":"' || source || '",' else '' end || '"size":' || length(text) || '}' as json from documents""",
-    "layout_json": with_views(_PAGES.replace("from PL)", "from PL where bi % 100 < 5)") + """, R as (select doc, page, string_agg('{"bi":' || bi || ',"li":' || li || '}', ',' order by bi, li) as l from X group by doc, page)
-        select doc, '{"format":"layout","version":13,"pages":[' || string_agg('{"page":' || page || ',"lines":[' || l || ']}', ',' order by page) || ']}' as json from R group by doc""", "PL"),
-    "exact_total": "select l_suppkey, cast(round(sum(cast(l_extendedprice as decimal(28,6))) * 100) as bigint) as total from lineitem group by l_suppkey",
+    "layout_json": with_views(_PAGES + """, R as (select doc, page, string_agg('{"bi":' || bi || ',"li":' || li || '}', ',' order by bi, li) as l from X group by doc, page)
+        select doc, md5('{"format":"layout","version":13,"pages":[' || string_agg('{"page":' || page || ',"lines":[' || l || ']}', ',' order by page) || ']}') as json from R group by doc""", "PL"),
+    "exact_total": "select l_suppkey, cast(round(sum(cast(l_extendedprice as decimal(38,18))) * 100) as bigint) as total from lineitem group by l_suppkey",
     "digest_grid": """select doc_id as doc, 'text' as format, 'modern' as mode, sha256(replace(text, chr(10), chr(10) || chr(10))) as sha256, strlen(replace(text, chr(10), chr(10) || chr(10))) as bytes from documents
         union all select doc_id, 'text', 'facsimile', sha256(text), strlen(text) from documents union all select doc_id, 'html', 'modern', sha256('<p>' || text), strlen(text) + 3 from documents""",
     "render_text": with_views(f""", {_NOTES}, B as (select doc, string_agg(text, chr(10) || chr(10) order by li) as body from L group by doc), K as (select doc, kind, string_agg('[' || idx || '] ' || text, chr(10) order by idx) as n from N group by doc, kind),
@@ -209,8 +272,18 @@ ORACLES = {
         H as (select *, coalesce(lag(level) over w, 0) as up, coalesce(lead(level) over w, 0) as down, case when level > 0 then 'li' when bi % 5 = 0 then 'h2' else 'p' end as tag from G window w as (partition by doc order by bi))
         select doc, md5('<html><body>' || chr(10) || string_agg(repeat('<ul>', greatest(0, level - up)) || '<' || tag || '>' || t || '</' || tag || '>' || repeat('</ul>', greatest(0, level - down)), chr(10) order by bi) || chr(10) || '</body></html>') as body from H group by doc""", "L"),
     "export_plan": "select doc_id as doc, f as format, case f when 'text' then 'toc' when 'html' then 'inline_styling,pictures,toc' else 'headers,pictures,toc' end as options from documents, (select unnest(['text', 'html', 'pdf']) as f)",
-    "unique_names": """with H as (select p_name as s, count(*) as h from part where p_partkey % 10 = 0 group by 1), P as (select p_partkey, p_name as s, row_number() over (partition by p_name order by p_partkey) + coalesce(h, 0) as n from part left join H on s = p_name)
-        select p_partkey, (select string_agg(upper(x[1]) || x[2:], ' ') from (select unnest(string_split(s, ' ')) as x)) || case when n > 1 then ' ' || n else '' end || '.md' as name from P""",
+    "unique_names": _NAMES.format(
+        rows="""select p_partkey as id, 0 as doc, (select string_agg(upper(x[1]) || x[2:], ' ') from (select unnest(string_split(p_name, ' ')) as x)) || case when p_size > 5 and p_size % 7 = 0 then ' 2' when p_size > 5 and p_size % 7 = 1 then ' 2 2' else '' end as stem from part""",
+        held="select distinct 0 as doc, lower(p_name || case when p_size > 1 then ' ' || (p_size % 9) else '' end) as e from part", fold="lower", sep=" ", digits="(?:[2-9]|[1-9][0-9]+)", shift=0)
+    + " select id as p_partkey, name || '.md' as name from W where id is not null",
+    "picture_names": _NAMES.format(
+        rows="select page_id as id, page_id % 50 as doc, case when page_id % 11 = 0 then 'image' || page_id else 'p' || (page_id % 4) || case when page_id % 5 = 0 then '-1' else '' end end as stem from pages",
+        held="select 0 as doc, '' as e where false", fold="", sep="-", digits="[1-9][0-9]*", shift=-1)
+    + """ select W.doc, id as idx, (['C:\\PIX\\', 'pix/', ''])[id % 3 + 1] || case when id % 11 = 0 then '.PIX' else 'p' || (id % 4) || case when id % 5 = 0 then '-1' else '' end || '.pix' end as raw_path, name || '.png' as name from W where id is not null""",
+    "render_with": with_views(f""", {_NOTES}, P as (select *, case when li % 10 = 0 then 1 + li % 20 // 10 else 0 end as heading, regexp_replace(text, '([.?!]) {{2,}}', '\\1 ', 'g') || case when li % 7 = 3 then chr(10) || '- ' || (li // 7 + 1) || ' -' else '' end as t from LP),
+        B as (select doc, string_agg(t, chr(10) || chr(10) order by li) as body, string_agg(repeat('  ', cast(heading - 1 as bigint)) || text, chr(10) order by li) filter (heading > 0) as toc from P group by doc),
+        T as (select doc, 'Footnotes' || chr(10) || string_agg('[' || idx || '] ' || text, chr(10) order by idx) as tail from N where kind = 'footnote' group by doc)
+        select doc, md5(coalesce('Contents' || chr(10) || toc || chr(10) || chr(10), '') || body || coalesce(chr(10) || chr(10) || tail, '')) as body from B left join T using (doc)""", "LP"),
     "drift": f"with {_STATE} select doc, 'text' as format, 'modern' as mode, state from D",
     "named_divergences": f"with {_STATE} select case when doc % 20 < 10 then state else 'loose' end as cause, count(*) as n from D where state <> 'same' group by 1",
     "coverage": "select doc_id as doc, 'gone' as state from documents where doc_id % 10 in (3, 4) union all select doc_id + 1000000, case when (doc_id + 1000000) % 20 = 4 then 'refused' else 'unrecorded' end from documents where doc_id % 10 = 4",
@@ -222,19 +295,25 @@ ORACLES = {
         K as (select doc, side, unnest(range(len(w))) as pos, unnest(w) as word from W),
         D as (select doc, pos, l.word as lw, r.word as rw from (select * from K where side = 'l') l full join (select * from K where side = 'r') r using (doc, pos) where l.word is distinct from r.word)
         select doc, min(pos) as pos, arg_min(lw, pos) as "left", arg_min(rw, pos) as "right" from D group by doc""",
-    "balanced_markup": r"""with D as (select doc_id as doc, '{\rtf ' || replace(replace(substr(text, 1, 200), ',', '\{'), ' the ', '{\b x}') || case when doc_id % 3 = 0 then '' else '}' end || case when doc_id % 5 = 0 then '\odd ' else '' end as t from documents),
+    "balanced_markup": r"""with D as (select doc_id as doc, '{\rtf ' || replace(replace(text, ',', '\{'), ' the ', '{\b x}') || case when doc_id % 3 = 0 then '' else '}' end || case when doc_id % 5 = 0 then '\odd ' else '' end as t from documents),
         E as (select doc, unnest(r) as k, unnest(range(len(r))) as pos from (select doc, regexp_extract_all(t, '\\[\\{}]|\\[a-z]+|[{}]') as r from D)), F as (select *, sum(case k when '{' then 1 when '}' then -1 else 0 end) over (partition by doc order by pos) as depth from E)
         select doc, min(depth) >= 0 and arg_max(depth, pos) = 0 as depth_ok, not bool_or(regexp_matches(k, '^\\[a-z]+$') and k not in ('\rtf', '\b')) as words_ok from F group by doc""",
     "well_formed_tags": """with T as (select page_id as doc, unnest(regexp_extract_all(lower(html), '</?[a-z][a-z0-9]*')) as t from pages), C as (select doc, replace(replace(t, '</', ''), '<', '') as tag, count(*) filter (not starts_with(t, '</')) as opened, count(*) filter (starts_with(t, '</')) as closed from T group by 1, 2)
         select * from C where opened <> closed and tag not in ('br', 'hr', 'img', 'meta', 'link', 'input')""",
-    "lint": with_views(r""", T as (select doc, li, case li % 6 when 0 then text || '\' when 1 then '""' || text when 2 then '             x' || text when 3 then 'a      b' || text else text end as t from L)
-        select doc, li, 'trailing backslash' as rule from T where regexp_matches(t, '\\$') union all select doc, li, 'adjacent quotes' from T where regexp_matches(t, '["”]{2,}')
-        union all select doc, li, 'deep indent' from T where regexp_matches(t, '^ {12,}\S') union all select doc, li, 'glued paragraphs' from T where regexp_matches(t, '\S {5,}\S')""", "L"),
+    "lint": with_views(rf""", T as (select doc, li, case li % 6 when 0 then text || '\' when 1 then text || '\\' when 2 then '    x' || text else text end as t from L),
+        U as (select *, li // 4 as unit, row_number() over (partition by doc, li // 4 order by li) as k from LP), V as ({_VERSE_OF_UNITS}),
+        S as (select *, lag(style) over (partition by doc, bi order by li) as p from PL), K as (select doc, bit_or(style) as st from PL where style & 64 = 0 group by doc),
+        M as (select unnest([1, 2, 4, 8, 16, 32]) as bit)
+        select doc, li as place, 'trailing backslash' as rule from T where length(regexp_extract(t, '\\*$')) % 2 = 1 union all select doc, li, 'deep indent' from T where starts_with(t, '    ')
+        union all select U.doc, U.li, 'glued paragraphs' from U join V using (doc, unit) where k > 1 and starts_with(text, '     ') and not is_verse
+        union all select doc, li, 'equal neighbours' from S where style = p and style & 64 = 0
+        union all select doc_id, 1, 'adjacent quotes' from documents where doc_id % 3 = 0
+        union all select doc, bit, 'missing attribute' from K, M where st & bit <> 0 and not (case when doc % 2 = 0 then bit in (1, 2) else bit = 4 end)""", "L", "LP", "LI", "PL"),
     "sensitive_scan": r"""with H as (select doc_id as doc, 'home path' as family, unnest(regexp_extract_all(text, '/(?:Users|home)/[A-Za-z0-9._-]+')) as hit from documents
         union all select doc_id, 'private address', unnest(regexp_extract_all(text, '\b(?:10\.\d{1,3}|192\.168|172\.(?:1[6-9]|2\d|3[01]))\.\d{1,3}\.\d{1,3}\b')) from documents
         union all select doc_id, 'mail', unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]{2,}')) from documents union all select null, 'home path', '/home/control')
         select * from H where not contains(hit, 'example.com') and not contains(hit, '/Users/you')""",
     "status_log": with_views(""", S as (select doc, arg_max(case name when 'error' then 'failed' when 'purchase' then 'done' else 'converting' end, row(ts, seq)) as status from EV group by doc)
         select cast(doc as varchar) as item, status, cast(1 as bigint) as n from S union all select 'all', status, count(*) from S group by status""", "EV"),
-    "batches_of": "select o_orderkey, cast((row_number() over (order by o_orderkey) + 19) // 20 as bigint) as batch from orders where o_orderkey % 3 = 0",
+    "batches_of": "select o_orderkey, cast((row_number() over (order by o_orderkey) + 19) // 20 as bigint) as batch from orders",
 }

@@ -17,7 +17,11 @@ from paperloom.plans.views import events, lines, planted, table, with_views
 
 def _folder(spark) -> str:
     """A new folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/plans-{uuid.uuid4().hex}"
 
 
@@ -73,13 +77,20 @@ def ingest_stream(spark, d):
 
 
 def write_exports(spark, d):
-    """Exports in two formats; empty bodies fail and are reported; what exists is refused."""
-    path = _folder(spark)
-    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("name"), F.explode(F.array(F.lit("text"), F.lit("html"))).alias("format"), F.when(F.col("doc_id") % 9 != 0, F.col("text")).alias("body"))
+    """Exports in two formats; what cannot be written is reported row by row; what exists is refused;
+    a second run replaces the files of its names."""
+    path, again = _folder(spark), _folder(spark)
+    n = F.col("doc_id")
+    name = F.when(n % 11 == 0, F.lit("")).when(n % 13 == 0, F.concat(F.lit("a/"), n.cast("string"))).otherwise(n.cast("string"))
+    docs = table(spark, d, "documents").select(name.alias("name"), F.explode(F.array(F.lit("text"), F.lit("html"))).alias("format"), F.when(n % 9 != 0, F.col("text")).alias("body"))
     failed = A.write_exports(docs, path)
     written = spark.read.schema("name string, body string, format string").parquet(path)
     fresh, refused = A.without_overwrite(docs.filter("format = 'text'").unionByName(docs.filter("format = 'html'").withColumn("format", F.lit("rtf"))), written, ["format", "name"])
-    parts = {"written": written, "failed": failed, "fresh": fresh, "refused": refused}
+    A.write_replacing(docs, again, 1)
+    for _ in range(2):  # the second run, and once more as after a failure
+        A.write_replacing(docs.filter("length(name) % 2 = 1 and format = 'text'").withColumn("body", F.lit("new")), again, 2)
+    newest = A.read_exports(spark, again)
+    parts = {"written": written, "failed": failed.withColumn("format", F.col("reason")), "fresh": fresh, "refused": refused, "newest": newest, "replaced": newest.filter("body = 'new'")}
     out = None
     for name, part in parts.items():
         rows = part.groupBy("format").agg(F.count("*").alias("n")).withColumn("state", F.lit(name))
@@ -117,9 +128,12 @@ ORACLES = {
     "trace_ring": "select user_id as doc, event_id as seq, substr(repeat(props, 60), 1, 500) as detail from events order by ts desc, event_id desc limit 40",
     "read_archive": _BYTES,
     "ingest_stream": _BYTES,
-    "write_exports": """select 'text' as format, count(*) filter (doc_id % 9 <> 0) as n, 'written' as state from documents union all select 'html', count(*) filter (doc_id % 9 <> 0), 'written' from documents
-        union all select 'text', count(*) filter (doc_id % 9 = 0), 'failed' from documents union all select 'html', count(*) filter (doc_id % 9 = 0), 'failed' from documents
-        union all select 'text', count(*) filter (doc_id % 9 = 0), 'fresh' from documents union all select 'rtf', count(*), 'fresh' from documents union all select 'text', count(*) filter (doc_id % 9 <> 0), 'refused' from documents""",
+    "write_exports": """with D as (select *, case when doc_id % 11 = 0 then 'no name' when doc_id % 13 = 0 then 'the name is a path' when doc_id % 9 = 0 then 'nothing to write' end as reason, case when doc_id % 11 = 0 then '' when doc_id % 13 = 0 then 'a/' || doc_id else '' || doc_id end as name from documents),
+        F as (select unnest(['text', 'html']) as format)
+        select format, count(*) as n, 'written' as state from D, F where reason is null group by format union all select reason, 2 * count(*), 'failed' from D where reason is not null group by reason
+        union all select 'text', count(*), 'fresh' from D where reason is not null union all select 'rtf', count(*), 'fresh' from D union all select 'text', count(*), 'refused' from D where reason is null
+        union all select 'html', count(*), 'newest' from D where reason is null union all select 'text', count(*), 'newest' from D where reason is null or (reason = 'nothing to write' and length(name) % 2 = 1)
+        union all select 'text', count(*), 'replaced' from D where coalesce(reason, 'nothing to write') = 'nothing to write' and length(name) % 2 = 1""",
     "renderer_registry": with_views("select doc, md5(string_agg(text, chr(10) || chr(10) order by li)) as body, 'plain' as format from L group by doc union all select doc, md5(string_agg(text, chr(10) order by li)), 'fax' from L group by doc", "L"),
     "rule_registry": with_views("select doc, li, md5(replace(case when doc % 2 = 0 then regexp_replace(text, '([.?!]) {2,}', '\\1 ', 'g') else text end, ',', ';')) as text from LP", "LP"),
 }

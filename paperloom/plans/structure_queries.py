@@ -70,7 +70,7 @@ def nesting_level(spark, d):
 
 
 def centred_rows(spark, d):
-    rows = planted(spark, d).withColumn("text", F.concat(F.repeat(F.lit(" "), (F.col("li") % 13).cast("int")), F.substring("text", 1, 40)))
+    rows = planted(spark, d).withColumn("text", F.concat(F.repeat(F.lit(" "), (F.col("li") % 13).cast("int")), "text"))
     return S.centred_rows(rows, F.lit(60), tagged=F.col("li") % 19 == 0, body_indent=F.lit(5)).select("doc", "li", "centred")
 
 
@@ -105,6 +105,9 @@ def flow_items(spark, d):
 QUERIES = {f.__name__: f for f in (break_kinds, logical_lines, paragraph_units, wrap_margin, modal_value, terminal_fraction, verse_test, discover_bullets, discover_label_lists, coalesce_runs, toggle_events, nesting_level, centred_rows, front_matter, quote_groups, spacing_blanks, scene_regions, flow_items)}
 
 _TERM = "regexp_matches(rtrim(text), '[.!?][\"''’”]*$')"
+#: whether runs of planted lines are verse, by expressions for the run and for a shifted style
+VERSE_BY = """select {keys}, (n > 0 and 2 * g >= n) or (s >= 2 and 3 * q < n and 10 * t < 9 * s and (2 * h > n or 10 * t < 8 * s)) as is_verse from (select {keys}, count(*) filter (f) as n, count(*) filter (f and not l and regexp_matches(text, '^[\\s|+=_─-╿-]*$')) as g, count(*) filter (f and l) as s,
+        count(*) filter (f and regexp_matches(ltrim(text), '^["\'\'‘“][^"\'\'’”]*["\'\'’”]')) as q, count(*) filter (f and l and """ + _TERM + """) as t, count(*) filter (f and sh) as h from (select doc, li, {run}, text, {shifted} as sh, trim(text) <> '' as f, regexp_matches(text, '\\p{{L}}') as l from LP) group by {keys})"""
 ORACLES = {
     "break_kinds": with_views(_TYPED + """, M as (select *, trim(text) = '' as b, sum(case when trim(text) = '' then 0 else 1 end) over (partition by doc order by li) as run,
         first_value(case when trim(text) <> '' then ltrim(text) end ignore nulls) over (partition by doc order by li rows between 1 following and unbounded following) as nxt from T),
@@ -127,10 +130,7 @@ ORACLES = {
     "modal_value": with_views(""", V as (select doc, li, length(text) - length(ltrim(text)) + length(text) % 3 as v from LP), C as (select doc, v, count(*) as n, min(li) as f from V group by 1, 2)
         select doc, cast(v as integer) as value, n as count from (select *, row_number() over (partition by doc order by n desc, f) as r from C) where r = 1""", "LP"),
     "terminal_fraction": with_views(f"select doc, coalesce(avg(case when regexp_matches(text, '\\p{{L}}') then case when {_TERM} then 1.0 else 0.0 end end), 1.0) as fraction from L group by doc", "L"),
-    "verse_test": with_views(f""", R as (select doc, li // 6 as run, text, li % 5 < 3 as sh, trim(text) <> '' as f, regexp_matches(text, '\\p{{L}}') as l from LP),
-        C as (select doc, run, count(*) filter (f) as n, count(*) filter (f and not l and regexp_matches(text, '^[\\s|+=_─-╿-]*$')) as g, count(*) filter (f and l) as s,
-        count(*) filter (f and regexp_matches(ltrim(text), '^["''‘“][^"''’”]*["''’”]')) as q, count(*) filter (f and l and {_TERM}) as t, count(*) filter (f and sh) as h from R group by 1, 2)
-        select doc, run, (n > 0 and 2 * g >= n) or (s >= 2 and 3 * q < n and 10 * t < 9 * s and (2 * h > n or 10 * t < 8 * s)) as is_verse from C""", "LP"),
+    "verse_test": with_views(", V as (" + VERSE_BY.format(run="li // 6 as run", shifted="li % 5 < 3", keys="doc, run") + ") select * from V", "LP"),
     "discover_bullets": with_views(""", M as (select doc, li, cast(length(regexp_extract(text, '^( *)', 1)) as integer) as col, regexp_extract(text, '^ *([^\\sA-Za-z0-9]) \\S', 1) as glyph, regexp_extract(text, '^ *[^\\sA-Za-z0-9] (\\S.*)$', 1) as rest from LP where regexp_matches(text, '^ *[^\\sA-Za-z0-9] \\S'))
         select doc, li, col, glyph from (select *, count(*) over (partition by doc, col, glyph) as n from M where not contains(rest, glyph)) where n >= 2""", "LP"),
     "discover_label_lists": with_views(""", M as (select *, sum(case when trim(text) = '' then 1 else 0 end) over (partition by doc order by li) as island from LP),
@@ -148,7 +148,7 @@ ORACLES = {
         P as (select a.doc, a.island, a.li, a.col, b.col as c from R a left join R b on a.doc = b.doc and a.island = b.island and b.li < a.li and b.col < a.col
           and not exists (select 1 from R m where m.doc = a.doc and m.island = a.island and m.li > b.li and m.li < a.li and m.col <= b.col))
         select doc, island, li, count(c) + 1 as level, coalesce(max(c), -1) as container from P group by doc, island, li""", "LP"),
-    "centred_rows": with_views(""", R as (select doc, li, repeat(' ', li % 13) || substr(text, 1, 40) as text from LP), M as (select *, length(trim(text)) as s, length(text) - length(ltrim(text)) as lead from R)
+    "centred_rows": with_views(""", R as (select doc, li, repeat(' ', li % 13) || text as text from LP), M as (select *, length(trim(text)) as s, length(text) - length(ltrim(text)) as lead from R)
         select doc, li, li % 19 = 0 or (lead > 0 and abs(lead - (60 - s) / 2.0) <= 1.5 and 60 - s >= 4 and len(regexp_extract_all(trim(text), ' {3,}')) < 2 and lead <> 5) as centred from M""", "LP"),
     "front_matter": with_views(""", M as (select doc, li, length(text) > 150 as hit, sum(case when li % 8 = 0 then 1 else 0 end) over (partition by doc order by li) as part from L)
         select doc, li, not bool_or(hit) over (partition by doc, part order by li) as front from M""", "L"),

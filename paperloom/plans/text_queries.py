@@ -66,17 +66,19 @@ def true_end(spark, d):
 
 
 def framed_block_count(spark, d):
-    n = F.length("text")
-    short = F.substring("text", 1, 40)
-    frame = F.concat(F.lit("\x1d"), F.lit("\x0d\x00"), F.substring("text", 1, 10), F.lit("\x0d\x00\x1d"))
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.when(n < 40, F.lit("\x1d")).otherwise(F.concat(short, F.repeat(frame, (F.col("doc_id") % 4).cast("int")), F.lit("\x1d tail"))).alias("chars"))
-    return C.framed_block_count(docs.withColumn("chars", F.regexp_replace("chars", r"[^\x00-\x7F]", "x")))
+    frame = F.lit("\x1d\x0d\x00ten bytes.\x0d\x00\x1d")
+    text = F.regexp_replace("text", r"[^\x00-\x7F]", "x")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.concat(text, F.repeat(frame, (F.col("doc_id") % 4).cast("int")), F.lit("\x1d tail")).alias("chars"))
+    return C.framed_block_count(docs)
 
 
 def classify(spark, d):
-    li = items(spark, d).groupBy("doc").agg(F.sum("height").alias("size"), F.sum("li").alias("s"), F.count("*").alias("n"), F.max("part").alias("p"))
-    pct = F.element_at(F.array(*(F.lit(x) for x in (30, 75, 92, 95, 85))), (F.col("doc") % 5 + 1).cast("int"))
-    profile = li.select("doc", "size", (F.col("s") % 7).alias("soft_returns"), (F.col("n") % 4).alias("hard_returns"), F.expr("p % 2000").alias("high_bit"), pct.cast("long").alias("text_pct"), F.when(F.col("doc") % 11 == 0, 1).otherwise(0).alias("framed"), F.expr("n % 3").alias("triples"), (F.col("doc") % 13 == 0).alias("declared"))
+    """Documents by their profiles; some hold frames or wrapped characters, some begin with a header."""
+    n = F.col("doc")
+    chars = F.concat(F.when(n % 13 == 0, F.lit("\x1d}")).otherwise(""), "chars", F.when(n % 11 == 0, F.lit("\x1d\x05\x00ab\x05\x00\x1d")).otherwise(""), F.when(n % 7 == 0, F.repeat(F.lit("\x1b\x82\x1c"), 4)).otherwise(""), F.when(n % 6 == 0, F.repeat(F.lit("\x01"), (F.length("chars") * (n % 4)).cast("int"))).otherwise(""))
+    files = _bytes(spark, d).select("doc", chars.alias("chars"))
+    facts = files.withColumns({"triples": F.regexp_count("chars", F.lit(r"(?s)\x1B.\x1C")).cast("long"), "declared": F.startswith("chars", F.lit("\x1d}"))})
+    profile = C.byte_profile(facts).drop("chars").join(C.framed_block_count(files).withColumnRenamed("blocks", "framed"), "doc")
     return C.classify(profile).select("doc", "variant", "reason")
 
 
@@ -128,7 +130,7 @@ def decode_corpus(spark, d):
     chars = codepage.bytes_as_chars(F.encode("chars", "ISO-8859-1"))
     text = codepage.decode_cp437(chars)
     back = codepage.encode_cp437(text)
-    return _bytes(spark, d).select("doc", text.alias("text"), (back == chars).alias("round_trip"), codepage.decode_symbol(F.substring("chars", 1, 20)).alias("symbols"))
+    return _bytes(spark, d).select("doc", text.alias("text"), (back == chars).alias("round_trip"), codepage.decode_symbol(F.col("chars")).alias("symbols"))
 
 
 def substitute(spark, d):
@@ -147,7 +149,7 @@ def effective_styles(spark, d):
 
 
 def bind_page_variables(spark, d):
-    text = lines(spark, d).withColumn("text", F.concat(F.substring("text", 1, 10), F.lit(" &#&")))
+    text = lines(spark, d).withColumn("text", F.concat("text", F.lit(" &#&"), F.when(F.col("li") % 3 == 0, F.lit(" &#/r& &#/& &# &")).otherwise("")))
     pages = lines(spark, d).filter("li % 5 <> 4").select("doc", "li", F.expr("li div 3 + 1").alias("number"))
     return X.bind_page_variables(text, pages, ["doc", "li"])
 
@@ -190,11 +192,15 @@ ORACLES = {
         length(chars) - length(replace(replace(chars, chr(130), ''), chr(141), '')) as high_bit, length(replace(replace(replace(chars, chr(130), ''), chr(141), ''), chr(26), '')) as text from B)
         select doc, size, soft_returns, hard_returns, high_bit, case when size > 0 then least(100, 100 * text // size) else 100 end as text_pct from K""", "L"),
     "true_end": with_views(_BYTES + " select doc, length(rtrim(chars, chr(26))) as \"end\" from B", "L"),
-    "framed_block_count": "select doc_id as doc, case when length(text) < 40 then 0 else doc_id % 4 end as blocks from documents",
-    "classify": with_views(""", P as (select doc, sum(height) as size, sum(li) % 7 as soft, count(*) % 4 as hard, max(part) % 2000 as high, (list_value(30, 75, 92, 95, 85))[doc % 5 + 1] as pct, case when doc % 11 = 0 then 1 else 0 end as framed, count(*) % 3 as triples, doc % 13 = 0 as declared from LI group by doc),
+    "framed_block_count": "select doc_id as doc, doc_id % 4 as blocks from documents",
+    "classify": with_views(_BYTES + """, C as (select doc, case when doc % 13 = 0 then chr(29) || '}' else '' end || chars || case when doc % 11 = 0 then chr(29) || chr(5) || chr(0) || 'ab' || chr(5) || chr(0) || chr(29) else '' end
+          || case when doc % 7 = 0 then repeat(chr(27) || chr(130) || chr(28), 4) else '' end || case when doc % 6 = 0 then repeat(chr(1), length(chars) * (doc % 4)) else '' end as chars from B),
+        K as (select doc, length(chars) as size, (length(chars) - length(replace(chars, chr(141) || chr(10), ''))) // 2 as soft, (length(chars) - length(replace(chars, chr(13) || chr(10), ''))) // 2 as hard,
+          len(regexp_extract_all(chars, '[\\x{80}-\\x{FF}]')) as high, len(regexp_extract_all(chars, '[\\x20-\\x7E\\t\\n\\r]')) + case when doc % 7 = 0 then 8 else 0 end as text, case when doc % 11 = 0 then 1 else 0 end as framed, case when doc % 7 = 0 then 4 else 0 end as triples, doc % 13 = 0 as declared from C),
+        P as (select *, case when size > 0 then least(100, 100 * text // size) else 100 end as pct from K),
         D as (select *, soft >= 3 and soft * 16384 >= size as soft_ok, high * 20 >= size and pct >= 70 as high_ok, triples >= 3 and triples * 16384 >= size as tri_ok from P)
         select doc, case when declared then 'ws5+' when pct < 40 then 'binary' when framed > 0 or tri_ok then 'ws5+' when soft_ok and high * 4 < soft then 'ws5+' when soft_ok or high_ok then 'ws4' when pct >= 90 and hard >= 2 then 'printstream' when pct >= 90 then 'text' else 'binary' end as variant,
-        case when declared then 'declared header' when pct < 40 then 'under 40% text' when framed > 0 or tri_ok then 'framed blocks or wrapped characters' when soft_ok and high * 4 < soft then 'soft returns without high bits' when soft_ok or high_ok then 'soft returns or high bits' when pct >= 90 and hard >= 2 then 'text with hard returns' when pct >= 90 then 'plain text' else 'none of the rules' end as reason from D""", "LI"),
+        case when declared then 'declared header' when pct < 40 then 'under 40% text' when framed > 0 or tri_ok then 'framed blocks or wrapped characters' when soft_ok and high * 4 < soft then 'soft returns without high bits' when soft_ok or high_ok then 'soft returns or high bits' when pct >= 90 and hard >= 2 then 'text with hard returns' when pct >= 90 then 'plain text' else 'none of the rules' end as reason from D""", "L"),
     "damage_signature": with_views(_BYTES + """, K as (select doc, chars, replace(chars, chr(13) || chr(10), chr(1) || chr(1)) as c from B)
         select doc, length(c) - length(replace(c, chr(10), '')) as bare_feeds, nullif(instr(c, chr(10)), 0) - 1 as first_bare, contains(chars, chr(20)) as has_stray from K""", "L"),
     "era_flags": """select event_id, v as variant, v = 'ws4' as high_bit_wrap, v in ('ws5+', 'other') as has_notes, case when v = 'ws4' then 'font' else 'tenth-inch' end as column_unit, cast(28 as integer) as number_column
@@ -208,13 +214,13 @@ ORACLES = {
     "command_marks": with_views(f"select doc, li, upper(regexp_extract(text, '^\\.([A-Za-z][A-Za-z#]{{0,2}})', 1)) as name, trim(regexp_extract(text, '^\\.[A-Za-z][A-Za-z#]{{0,2}}\\s*(.*)$', 1)) as arg from LP where {_MARK}", "LP"),
     "command_text_lines": with_views(f"select doc, count(*) as lines from LP where not {_MARK} and not starts_with(text, '..') group by doc", "LP"),
     "decode_corpus": with_views(_BYTES + """ select doc, replace(replace(chars, chr(141), 'ì'), chr(130), 'é') as text, true as round_trip,
-        translate(substr(chars, 1, 20), 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', 'ΑΒΧΔΕΦΓΗΙϑΚΛΜΝΟΠΘΡΣΤΥςΩΞΨΖαβχδεφγηιϕκλμνοπθρστυϖωξψζ') as symbols from B""", "L"),
+        translate(chars, 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', 'ΑΒΧΔΕΦΓΗΙϑΚΛΜΝΟΠΘΡΣΤΥςΩΞΨΖαβχδεφγηιϕκλμνοπθρστυϖωξψζ') as symbols from B""", "L"),
     "substitute": with_views(""", S as (select L.doc, li, replace(replace(text, ',', '--'), 'e ', '¤ ') as t, coalesce(toxic = 1, false) and li % 4 <> 3 as e, coalesce(quality = 1, false) and li % 4 <> 3 as q from L left join labels on L.doc = labels.doc_id),
         E as (select doc, li, q, case when e then replace(t, '¤', '€') else t end as t from S)
         select doc, li, md5(case when q then translate(replace(replace(t, '--', '—'), '''', '’'), '┌┐└┘', '╭╮╰╯') else t end) as text from E""", "L"),
     "effective_styles": with_views(""", B as (select doc, bi, max(style) % 16 as attrs, max(style) % 4 as c, count(*) > 1 as heading from LI group by 1, 2)
         select LI.doc, LI.bi, LI.li, cast((style | attrs) | case when heading then 1 else 0 end as integer) as styles, cast(coalesce(case when height % 3 = 0 then height end, nullif(c, 0)) as integer) as colour from LI join B using (doc, bi)""", "LI"),
-    "bind_page_variables": with_views("select doc, li, substr(text, 1, 10) || ' ' || case when li % 5 <> 4 then cast(li // 3 + 1 as varchar) else '' end as text from L", "L"),
+    "bind_page_variables": with_views("select doc, li, text || ' ' || n || case when li % 3 = 0 then ' ' || n || ' &#/& &# &' else '' end as text from (select *, case when li % 5 <> 4 then cast(li // 3 + 1 as varchar) else '' end as n from L)", "L"),
     "html_to_text": r"""select page_id, replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<body>(.*)</body>', 1),
         '(?is)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|footer|h1|h2|h3|h4|h5|h6|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)(?:[^A-Za-z0-9>][^>]*)?>', chr(10), 'g'), '(?s)<[^>]*>', '', 'g'),
         '&nbsp;', ' '), '&#x27;', ''''), '&#39;', ''''), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') as text from pages""",

@@ -35,11 +35,31 @@ def replay_events(spark, d):
     return T.replay_events(li, changes)
 
 
+#: events as commands: the hundredth part of an argument names one of those of the nine timelines
+_COMMANDS = [c for commands, _ in T.TIMELINES.values() for c in commands]
+
+
 def named_timelines(spark, d):
-    e = events(spark, d).withColumn("arg", F.expr("arg div 5000"))
-    pair = T.named_timeline(e, ("view", "click"), order=ORDER, value_col="arg")
-    single = T.named_timeline(e, ("error",), order=ORDER, value_col="arg").withColumn("v1", F.lit(None).cast("long"))
-    return pair.withColumn("timeline", F.lit("pair")).unionByName(single.withColumn("timeline", F.lit("single")))
+    names = F.element_at(F.array(*(F.lit(c) for c in _COMMANDS)), (F.col("arg") % len(_COMMANDS) + 1).cast("int"))
+    marks = events(spark, d).withColumns({"name": names, "arg": F.expr("arg div 10000")})
+    return T.all_timelines(marks, order=ORDER, value_col="arg")
+
+
+def _timelines_twin() -> str:
+    parts = []
+    for name, (commands, keep) in T.TIMELINES.items():
+        if len(commands) == 2:
+            a, b = commands
+            parts.append(f"""select doc, ts, seq, v0, v1, '{name}' as timeline from (select *, row_number() over w as n, lag(v0) over w as p0, lag(v1) over w as p1 from
+                (select doc, ts, seq, last_value(case when name = '{a}' then arg end ignore nulls) over w as v0, last_value(case when name = '{b}' then arg end ignore nulls) over w as v1 from C where name in ('{a}', '{b}')
+                window w as (partition by doc order by ts, seq rows between unbounded preceding and current row)) window w as (partition by doc order by ts, seq)) where n = 1 or v0 is distinct from p0 or v1 is distinct from p1""")
+        elif keep == "all":
+            parts.append(f"select doc, ts, max(seq), arg_max(arg, seq), null, '{name}' from C where name = '{commands[0]}' group by doc, ts")
+        else:
+            parts.append(f"select doc, ts, seq, arg, null, '{name}' from (select *, lag(arg) over (partition by doc order by ts, seq) as p from C where name = '{commands[0]}') where arg is distinct from p")
+    every = ", ".join(f"'{c}'" for c in _COMMANDS)
+    pairs_first = sorted(parts, key=lambda p: "v0" not in p)
+    return with_views(f", C as (select doc, ts, seq, ([{every}])[arg % {len(_COMMANDS)} + 1] as name, arg // 10000 as arg from EV) " + " union all ".join(pairs_first), "EV")
 
 
 def page_numbers(spark, d):
@@ -80,11 +100,7 @@ ORACLES = {
     "replay_events": with_views(""", S as (select doc, bi, max(li) as last from LI group by 1, 2)
         select c.doc, c.bi, least(greatest(c.li * 3 - 4, 0), s.last + 1) as place, 0 as kind, c.bi * 10 + c.li as ref from LI c join S s using (doc, bi) where (c.bi + c.li) % 7 = 0
         union all select doc, bi, li, 1, li from LI""", "LI"),
-    "named_timelines": with_views(""", P as (select doc, ts, seq, last_value(case when name = 'view' then arg // 5000 end ignore nulls) over w as v0, last_value(case when name = 'click' then arg // 5000 end ignore nulls) over w as v1
-        from EV where name in ('view', 'click') window w as (partition by doc order by ts, seq rows between unbounded preceding and current row)),
-        Q as (select *, row_number() over w as n, lag(v0) over w as p0, lag(v1) over w as p1 from P window w as (partition by doc order by ts, seq))
-        select doc, ts, seq, v0, v1, 'pair' as timeline from Q where n = 1 or v0 is distinct from p0 or v1 is distinct from p1
-        union all select doc, ts, seq, arg, null, 'single' from (select doc, ts, seq, arg // 5000 as arg, lag(arg // 5000) over (partition by doc order by ts, seq) as p from EV where name = 'error') where arg is distinct from p""", "EV"),
+    "named_timelines": _timelines_twin(),
     "page_numbers": with_views(""", C as (select t.doc, t.seq, t.ts, (select count(*) from EV v where v.doc = t.doc and v.name = 'signup' and (v.ts < t.ts or (v.ts = t.ts and v.seq < t.seq))) as checkpoint from EV t where t.name = 'click'),
         S as (select doc, arg // 100 as start, row_number() over (partition by doc order by ts, seq) as checkpoint from EV where name = 'signup')
         select C.doc, C.seq, C.checkpoint, coalesce(S.start, 1) + row_number() over (partition by C.doc, C.checkpoint order by C.seq) - 1 as number from C left join S using (doc, checkpoint)""", "EV"),

@@ -15,7 +15,8 @@ def extension(name: Column) -> Column:
 
 def read_archive(spark: SparkSession, paths: list[str], recursive: bool = False) -> DataFrame:
     """Files of folders as (path, modificationTime, length, content); hidden names are left out
-    and each path comes once. Sub-folders are read only when ``recursive``."""
+    and each path comes once. Sub-folders are read only when ``recursive``. Names that begin with
+    ``_`` are not listed by Spark."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if not recursive:
         reader = reader.option("pathGlobFilter", "*")
@@ -68,12 +69,32 @@ def read_record_list(lines: DataFrame, key: str = "doc", order: str = "li", text
     return full.select(key, F.col(order).alias("record"), record_fields(F.col(text_col)).alias("fields"))
 
 
+def _failures(df: DataFrame, name: Column, body: Column) -> Column:
+    """Why a row cannot be written, or null."""
+    return F.when(name.isNull() | (F.trim(name) == ""), "no name").when(name.rlike(r"[/\\\x00]"), "the name is a path").when(body.isNull(), "nothing to write")
+
+
 def write_exports(df: DataFrame, outdir: str, format_col: str = "format", name_col: str = "name", body_col: str = "body", mode: str = "overwrite") -> DataFrame:
-    """Write every (format, name, body) below ``outdir`` by format; rows without a body fail and
-    are returned with a reason, and the run goes on."""
-    good = df.filter(F.col(body_col).isNotNull()).select(F.col(format_col).alias("format"), F.col(name_col).alias("name"), F.col(body_col).alias("body"))
-    good.write.mode(mode).partitionBy("format").parquet(outdir)
-    return df.filter(F.col(body_col).isNull()).select(F.col(format_col).alias("format"), F.col(name_col).alias("name"), F.lit("nothing to write").alias("reason"))
+    """Write every (format, name, body) below ``outdir`` by format; rows that cannot be written are
+    returned with a reason each, and the run goes on."""
+    rows = df.select(F.col(format_col).alias("format"), F.col(name_col).alias("name"), F.col(body_col).alias("body"), _failures(df, F.col(name_col), F.col(body_col)).alias("reason"))
+    rows.filter("reason is null").drop("reason").write.mode(mode).partitionBy("format").parquet(outdir)
+    return rows.filter("reason is not null").select("format", "name", "reason")
+
+
+def write_replacing(df: DataFrame, outdir: str, run: int, format_col: str = "format", name_col: str = "name", body_col: str = "body") -> DataFrame:
+    """Write exports that replace those of the same (format, name): each run has partitions of its
+    own, written anew if the run is repeated; ``read_exports`` shows the newest."""
+    rows = df.select(F.col(format_col).alias("format"), F.lit(run).alias("run"), F.col(name_col).alias("name"), F.col(body_col).alias("body"), _failures(df, F.col(name_col), F.col(body_col)).alias("reason"))
+    good = rows.filter("reason is null").drop("reason")
+    good.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("format", "run").parquet(outdir)
+    return rows.filter("reason is not null").select("format", "name", "reason")
+
+
+def read_exports(spark: SparkSession, outdir: str) -> DataFrame:
+    """(format, name, body) of the newest run of each name."""
+    rows = spark.read.schema("name string, body string, format string, run int").parquet(outdir)
+    return rows.groupBy("format", "name").agg(F.max_by("body", "run").alias("body"))
 
 
 def without_overwrite(planned: DataFrame, existing: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:

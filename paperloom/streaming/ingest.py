@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from paperloom.functions.fold import fold_out
 from paperloom.operators.timeline import latest_n
 from paperloom.sources.archive import claimed_files
 
@@ -20,14 +21,13 @@ def throttle(requests: DataFrame, window_s: int = 3600, key: str = "path", ts: s
     is one time, and what is returned are the accepted places."""
     kinds = dict(requests.dtypes)
     rows = requests.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(ts).alias("t"), F.col(order).alias("o")))).alias("_r"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<{kinds[order]}>").alias("kept"))
 
-    def step(acc: Column, x: Column) -> Column:
+    def step(last: Column, x: Column) -> tuple[Column, Column]:
         now = F.unix_micros(x["t"].cast("timestamp"))
-        ok = acc["last"].isNull() | (now - acc["last"] >= window_s * 1_000_000)
-        return F.struct(F.when(ok, now).otherwise(acc["last"]).alias("last"), F.when(ok, F.concat(acc["kept"], F.array(x["o"]))).otherwise(acc["kept"]).alias("kept"))
+        ok = last.isNull() | (now - last >= window_s * 1_000_000)
+        return F.when(ok, now).otherwise(last), F.when(ok, F.array(x["o"])).otherwise(F.array().cast(f"array<{kinds[order]}>"))
 
-    return rows.select(key, F.explode(F.aggregate("_r", start, step, lambda a: a["kept"])).alias(order))
+    return rows.select(key, F.explode(fold_out(F.col("_r"), F.lit(None).cast("long"), step, kinds[order])).alias(order))
 
 
 class _Throttle(StatefulProcessor):

@@ -2,12 +2,13 @@
 
 import ast
 import pathlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.functions import codepage, registry
-from paperloom.operators import classify, pages, quality, report, structure, text, timeline
+from paperloom.functions import codepage, fold, registry
+from paperloom.operators import classify, notes, pages, quality, render, report, structure, text, timeline
 from paperloom.sources import archive
 
 ROOT = pathlib.Path(__file__).parent.parent / "paperloom"
@@ -103,6 +104,62 @@ def test_batches_rank_without_one_task(spark):
     assert got == [k // 20 + 1 for k in range(len(got))]
 
 
+def test_batches_of_clustered_keys(spark):
+    """Keys in two far ranges still fill many bins."""
+    keys = [*range(500), *range(10**12, 10**12 + 700)]
+    got = [r.batch for r in report.batches_of(spark.createDataFrame([(k,) for k in keys], "k long"), 20, "k", bins=16).orderBy("k").collect()]
+    assert got == [k // 20 + 1 for k in range(len(keys))]
+
+
+def test_names_are_unique_as_if_taken_one_by_one(spark):
+    rng = random.Random(3)
+    for extension, first, separator, fold_case in ((".md", 2, " ", True), (".png", 1, "-", False)):
+        stems = [rng.choice(["A", "a", "B", "C"]) + "".join(separator + str(rng.choice([1, 2, 3, 10])) for _ in range(rng.choice([0, 0, 0, 1, 2]))) for _ in range(150)]
+        held = [rng.choice(["A", "b", "D"]) + "".join(separator + str(rng.randrange(1, 9)) for _ in range(rng.choice([0, 1, 1]))) for _ in range(20)]
+        fold = str.lower if fold_case else str
+        taken, expect = {fold(h) for h in held}, []
+        for s in stems:
+            name, n = s, first
+            while fold(name) in taken:
+                name, n = f"{s}{separator}{n}", n + 1
+            taken.add(fold(name))
+            expect.append(name + extension)
+        names = spark.createDataFrame(list(enumerate(stems)), "k int, stem string")
+        for existing in (spark.createDataFrame([(h,) for h in held], "stem string"), None):
+            out = render.unique_names(names, "stem", extension, "k", existing, separator=separator, first=first, fold_case=fold_case).orderBy("k").collect()
+            assert len({fold(r.name) for r in out}) == len(stems)
+            assert existing is None or [r.name for r in out] == expect
+
+
+def test_folds_give_out_in_order(spark):
+    df = spark.createDataFrame([(list(range(n)),) for n in (0, 1, 5, 600)], "v array<int>")
+    step = lambda s, x: (s + x, F.when((s + x) % 2 == 0, F.array(s + x)).otherwise(F.array().cast("array<int>")))
+    for r in df.select("v", fold.fold_out(F.col("v"), F.lit(0), step, "int", lambda s: F.array(-s), block=7).alias("o")).collect():
+        sums = [sum(r.v[: k + 1]) for k in range(len(r.v))]
+        assert r.o == [x for x in sums if x % 2 == 0] + [-sum(r.v)]
+
+
+def test_a_control_that_is_missed_stops_the_scan(spark):
+    df = spark.createDataFrame([(1, "see /home/ann/x")], "doc long, text string")
+    assert quality.sensitive_scan(df, control="at /home/control").count() == 2
+    with pytest.raises(Exception, match="control"):
+        quality.sensitive_scan(df, control="nothing here").collect()
+
+
+def test_lines_kept_together_and_blanks_at_the_top(spark):
+    rows = [(1, k, 0, 1, False, 3 if k == 8 else 1, k in (10, 11, 19)) for k in range(24)]
+    df = spark.createDataFrame(rows, "doc int, bi int, li int, cost int, forced boolean, keep int, blank boolean")
+    out = {r.bi: r.page for r in pages.paginate(df, 10, keep=F.col("keep"), blank=F.col("blank")).collect()}
+    assert out[7] == 1 and out[8] == 2 and {10, 11} <= out.keys() and out[17] == 2 and out[18] == 3 and 19 in out
+    only = {r.bi: r.page for r in pages.paginate(df, 10, blank=F.col("blank")).collect()}
+    assert only[9] == 1 and not {10, 11} & only.keys() and only[12] == 2
+
+
+def test_roman_numbers(spark):
+    df = spark.createDataFrame([("1994",), ("4",), ("0",), ("*",)], "n string")
+    assert [r[0] for r in df.select(notes.roman(F.expr("try_cast(n as long)").cast("string"))).collect()] == ["mcmxciv", "iv", "0", None]
+
+
 def test_registries():
     known = registry.Renderers().register("text", lambda df: df, ".txt", ("plain",))
     assert known.resolve("PLAIN") == "text"
