@@ -115,8 +115,9 @@ def era_flags(df: DataFrame, variant: str = "variant") -> DataFrame:
 
 
 def forced_variant(docs: DataFrame, overrides: DataFrame, key: str = "doc") -> DataFrame:
-    """A caller's variant beats detection; ``variant_source`` says which."""
-    forced = overrides.select(key, F.col("variant").alias("_forced"))
+    """A caller's variant beats detection; ``variant_source`` says which. Of several for one document
+    the first by name holds."""
+    forced = overrides.groupBy(key).agg(F.min("variant").alias("_forced"))
     out = docs.join(forced, key, "left").withColumn("variant_source", F.when(F.col("_forced").isNotNull(), "manual").otherwise("detected"))
     return out.withColumn("variant", F.coalesce("_forced", "variant")).drop("_forced")
 

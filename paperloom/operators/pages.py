@@ -73,12 +73,13 @@ def wrap_words(df: DataFrame, width: int, text: str = "text") -> DataFrame:
     return df.select(*keep, F.posexplode(rows).alias("row", text)).withColumn("row", F.col("row").cast("long"))
 
 
-def break_reasons(lines: DataFrame, forced: Column, key: str = "doc", page: str = "page", order: list[str] = ("bi", "li")) -> DataFrame:
-    """First line of each page with the reason: start, explicit (a forced break) or overflow."""
+def break_reasons(lines: DataFrame, forced: Column, form_feed: Column | None = None, key: str = "doc", page: str = "page", order: list[str] = ("bi", "li")) -> DataFrame:
+    """First line of each page with the reason: start, form feed, explicit (another forced break) or
+    overflow."""
     w = Window.partitionBy(key).orderBy(*order)
-    m = lines.withColumns({"_was": F.lag(page).over(w), "_forced": forced})
+    m = lines.withColumns({"_was": F.lag(page).over(w), "_forced": forced, "_feed": F.lit(False) if form_feed is None else F.coalesce(form_feed, F.lit(False))})
     m = m.filter(F.col("_was").isNull() | (F.col("_was") != F.col(page)))
-    reason = F.when(F.col("_was").isNull(), "start").when(F.col("_forced"), "explicit").otherwise("overflow")
+    reason = F.when(F.col("_was").isNull(), "start").when(F.col("_feed"), "form feed").when(F.col("_forced"), "explicit").otherwise("overflow")
     return m.select(key, page, *order, reason.alias("reason"))
 
 

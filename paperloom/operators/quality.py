@@ -14,9 +14,10 @@ from paperloom.operators.text import STYLE
 
 def drift(left: DataFrame, right: DataFrame, keys: list[str] = ("doc", "format", "mode")) -> DataFrame:
     """(keys, state): missing, new, source changed, changed or same. Both sides have sha256, bytes
-    and source_sha256."""
+    and source_sha256, and pages are compared where both have them."""
     keys = list(keys)
-    a, b = (x.select(*keys, F.struct("sha256", "bytes").alias(n), F.col("source_sha256").alias(f"{n}_source")) for x, n in ((left, "a"), (right, "b")))
+    facts = ["sha256", "bytes", *(c for c in ("pages",) if c in left.columns and c in right.columns)]
+    a, b = (x.select(*keys, F.struct(*facts).alias(n), F.col("source_sha256").alias(f"{n}_source")) for x, n in ((left, "a"), (right, "b")))
     state = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "new").when(~F.col("a_source").eqNullSafe(F.col("b_source")), "source changed").when(F.col("a").eqNullSafe(F.col("b")), "same").otherwise("changed")
     return a.join(b, keys, "full_outer").select(*keys, state.alias("state"))
 

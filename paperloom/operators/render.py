@@ -54,26 +54,44 @@ def styled(text: Column, styles: Column, markup: str) -> Column:
     return F.when(F.trim(text) == "", text).otherwise(out)
 
 
-def render_markdown(spans: DataFrame, blocks: DataFrame, key: str = "doc", block: str = "bi", order: str = "li") -> DataFrame:
-    """(key, body): headings by level, quotes prefixed, spans with their marks."""
-    lines = spans.groupBy(key, block).agg(ordered_join(order, styled(F.col("text"), F.col("styles"), "markdown"), "").alias("_t"))
+def _with_marks(spans: DataFrame, markup: str) -> Column:
+    """A span's rendering; a reference mark is its note's key or anchor."""
+    mark = F.trim("text")
+    note = F.concat(F.lit("[^"), mark, F.lit("]")) if markup == "markdown" else F.concat(F.lit('<sup><a href="#fn-'), mark, F.lit('">'), mark, F.lit("</a></sup>"))
+    return F.when(F.col("styles").bitwiseAND(F.lit(STYLE["fnref"])) != 0, note).otherwise(styled(F.col("text"), F.col("styles"), markup))
+
+
+def _with_notes(body: DataFrame, notes: DataFrame | None, markup: str, key: str) -> DataFrame:
+    """``body`` with the texts of its notes (key, idx, label, text) after it, under their keys."""
+    if notes is None:
+        return body
+    text = _escaped(F.col("text"), markup)
+    one = F.concat(F.lit("[^"), "label", F.lit("]: "), text) if markup == "markdown" else F.concat(F.lit('<p id="fn-'), "label", F.lit('">'), "label", F.lit(". "), text, F.lit("</p>"))
+    tail = notes.groupBy(key).agg(ordered_join("idx", one, "\n").alias("_tail"))
+    return body.join(tail, key, "left").withColumn("body", F.concat_ws("\n\n" if markup == "markdown" else "\n", "body", "_tail")).drop("_tail")
+
+
+def render_markdown(spans: DataFrame, blocks: DataFrame, notes: DataFrame | None = None, key: str = "doc", block: str = "bi", order: str = "li") -> DataFrame:
+    """(key, body): headings by level, quotes prefixed, spans with their marks, notes under their keys."""
+    lines = spans.groupBy(key, block).agg(ordered_join(order, _with_marks(spans, "markdown"), "").alias("_t"))
     both = lines.join(blocks.select(key, block, "heading", "quote"), [key, block], "left")
     head = F.when(F.col("heading") > 0, F.concat(F.repeat(F.lit("#"), F.col("heading").cast("int")), F.lit(" "))).when(F.col("quote"), "> ").otherwise("")
-    return both.groupBy(key).agg(ordered_join(block, F.concat(head, "_t"), "\n\n").alias("body"))
+    return _with_notes(both.groupBy(key).agg(ordered_join(block, F.concat(head, "_t"), "\n\n").alias("body")), notes, "markdown", key)
 
 
-def render_html(spans: DataFrame, blocks: DataFrame, key: str = "doc", block: str = "bi", order: str = "li") -> DataFrame:
-    """(key, body): paragraphs, headings and nested lists; a list row's level opens and closes as
-    many lists as it differs from its neighbours' levels."""
-    inline = spans.groupBy(key, block).agg(ordered_join(order, styled(F.col("text"), F.col("styles"), "html"), "").alias("_t"))
+def render_html(spans: DataFrame, blocks: DataFrame, notes: DataFrame | None = None, key: str = "doc", block: str = "bi", order: str = "li") -> DataFrame:
+    """(key, body): paragraphs, headings and nested lists, notes under their anchors. A row opens as
+    many lists as its level is deeper than the row's before; an item stays open while deeper rows follow."""
+    inline = spans.groupBy(key, block).agg(ordered_join(order, _with_marks(spans, "html"), "").alias("_t"))
     w = Window.partitionBy(key).orderBy(block)
     m = inline.join(blocks.select(key, block, "heading", "level"), [key, block], "left")
     m = m.withColumns({"_up": F.coalesce(F.lag("level").over(w), F.lit(0)), "_down": F.coalesce(F.lead("level").over(w), F.lit(0))})
-    tag = F.when(F.col("level") > 0, "li").when(F.col("heading") > 0, F.concat(F.lit("h"), F.col("heading").cast("string"))).otherwise("p")
-    opened = F.repeat(F.lit("<ul>"), F.greatest(F.lit(0), F.col("level") - F.col("_up")).cast("int"))
-    closed = F.repeat(F.lit("</ul>"), F.greatest(F.lit(0), F.col("level") - F.col("_down")).cast("int"))
-    row = F.concat(opened, F.lit("<"), tag, F.lit(">"), F.col("_t"), F.lit("</"), tag, F.lit(">"), closed)
-    body = m.groupBy(key).agg(ordered_join(block, row, "\n").alias("body"))
+    level, up, down = F.col("level"), F.col("_up"), F.col("_down")
+    opened = F.when(level > up, F.concat(F.lit("<ul>"), F.repeat(F.lit("<li><ul>"), (level - up - 1).cast("int")))).otherwise("")
+    closed = F.when(down > level, "").when(down == level, "</li>").otherwise(F.concat(F.repeat(F.lit("</li></ul>"), (level - down).cast("int")), F.when(down > 0, "</li>").otherwise("")))
+    tag = F.when(F.col("heading") > 0, F.concat(F.lit("h"), F.col("heading").cast("string"))).otherwise("p")
+    row = F.when(level > 0, F.concat(opened, F.lit("<li>"), F.col("_t"), closed)).otherwise(F.concat(F.lit("<"), tag, F.lit(">"), F.col("_t"), F.lit("</"), tag, F.lit(">")))
+    body = _with_notes(m.groupBy(key).agg(ordered_join(block, row, "\n").alias("body")), notes, "html", key)
     return body.withColumn("body", F.concat(F.lit("<html><body>\n"), "body", F.lit("\n</body></html>")))
 
 

@@ -132,3 +132,9 @@ def batches_of(df: DataFrame, n: int, order: str, bins: int = 1024) -> DataFrame
     counts = counts.select("_bin", F.coalesce(before, F.lit(0)).alias("_before"))
     rank = F.col("_before") + F.row_number().over(Window.partitionBy("_bin").orderBy(order))
     return m.join(counts, "_bin").withColumn("batch", F.ceil(rank / n).cast("long")).drop("_bin", "_before")
+
+
+def batch_progress(batches: DataFrame, done: Column, n: int, batch: str = "batch") -> DataFrame:
+    """(batch, found, requested, done): rows of each batch, rows asked for up to its end, rows done."""
+    out = batches.groupBy(batch).agg(F.count("*").alias("found"), F.count_if(done).alias("done"))
+    return out.select(batch, "found", ((F.col(batch) - 1) * n + F.col("found")).alias("requested"), "done")

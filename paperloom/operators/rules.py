@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +33,9 @@ def overlay_overrides(defaults: DataFrame, overrides: DataFrame, keys: list[str]
     return both.withColumn(value, F.coalesce("_o", "_d")).filter(F.col(value) != "").drop("_d", "_o")
 
 
-def effective_settings(docs: DataFrame, preset: dict, factory: dict, key: str = "doc") -> DataFrame:
+def effective_settings(docs: DataFrame, preset: dict, factory: dict, derived: dict[str, Callable[[dict[str, Column]], Column]] | None = None, key: str = "doc") -> DataFrame:
     """(key, name, value, source): document value, else preset, else the factory's; the source is
-    file, machine-default or default."""
+    file, machine-default or default. ``derived`` settings are computed anew from the others."""
     each = [
         F.struct(
             F.lit(n).alias("name"),
@@ -42,6 +44,9 @@ def effective_settings(docs: DataFrame, preset: dict, factory: dict, key: str =
         )
         for n in factory
     ]
+    values = {n: F.coalesce(F.col(n).cast("long"), F.lit(preset.get(n)).cast("long"), F.lit(factory[n]).cast("long")) for n in factory} if derived else {}
+    for name, of in (derived or {}).items():
+        each.append(F.struct(F.lit(name).alias("name"), of(values).cast("string").alias("value"), F.lit("derived").alias("source")))
     return docs.select(key, F.explode(F.array(*each)).alias("s")).select(key, "s.*")
 
 
@@ -99,10 +104,17 @@ FONT_ALTERNATES = {
 }
 
 
-def font_resolution(fonts: DataFrame, alternates: DataFrame, family: Column, fixed: Column) -> DataFrame:
-    """choices: the family, its alternates (family, names) and the generic face, each once;
-    fixed-pitch faces end at monospace."""
+#: Generic faces by style.
+GENERIC = {"sans": "sans-serif", "serif": "serif", "script": "cursive", "display": "fantasy"}
+
+
+def font_resolution(fonts: DataFrame, alternates: DataFrame, family: Column, fixed: Column, style: Column | None = None) -> DataFrame:
+    """choices: the family, its alternates (family, names) and the generic face, each once.
+    Fixed-pitch faces end at monospace, others at the face of their ``style`` (serif without a
+    ``style`` column, none where it is not known)."""
     table = alternates.select(F.lower("family").alias("_f"), F.col("names").alias("_n"))
     both = fonts.withColumn("_f", F.lower(family)).join(table, "_f", "left")  # Spark sends the small table to all tasks by its own size check
-    generic = F.when(fixed, "monospace").otherwise("serif")
-    return both.withColumn("choices", F.array_distinct(F.concat(F.array(family), F.coalesce("_n", F.array().cast("array<string>")), F.array(generic)))).drop("_f", "_n")
+    face = F.lit("serif") if style is None else F.create_map(*(F.lit(x) for pair in GENERIC.items() for x in pair))[style]
+    generic = F.when(fixed, "monospace").otherwise(face)
+    names = F.concat(F.array(F.nullif(family, F.lit(""))), F.coalesce("_n", F.array().cast("array<string>")), F.array(generic))
+    return both.withColumn("choices", F.array_distinct(F.array_compact(names))).drop("_f", "_n")

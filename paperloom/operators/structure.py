@@ -200,15 +200,17 @@ def nesting_level(rows: DataFrame, key: str = "doc", order: str = "li", col: str
     return out.select(key, island, F.col("r.o").alias(order), F.col("r.level").alias("level"), F.col("r.container").alias("container"))
 
 
-def centred_rows(lines: DataFrame, width: Column, tagged: Column | None = None, body_indent: Column | None = None, text: str = "text") -> DataFrame:
+def centred_rows(lines: DataFrame, width: Column, tagged: Column | None = None, body_indent: Column | None = None, continues: Column | None = None, text: str = "text") -> DataFrame:
     """Lines tagged as centred, or set by spaces: lead within 1.5 of the ideal, slack of four and
-    more, not the body's indent, fewer than two wide gaps inside."""
+    more, not the body's indent, fewer than two wide gaps inside, not one that ``continues`` a list."""
     t = F.col(text)
     size, lead = F.length(F.trim(t)), indent_of(t)
     slack = width - size
     spaces = (lead > 0) & (F.abs(lead - slack / 2) <= 1.5) & (slack >= 4) & (F.regexp_count(F.trim(t), F.lit(" {3,}")) < 2)
     if body_indent is not None:
         spaces &= ~lead.eqNullSafe(body_indent)
+    if continues is not None:
+        spaces &= ~F.coalesce(continues, F.lit(False))
     return lines.withColumn("centred", (spaces | tagged) if tagged is not None else spaces)
 
 

@@ -47,7 +47,7 @@ def first_pages(spark, d):
 
 
 def break_reasons(spark, d):
-    return P.break_reasons(P.paginate(_flow(spark, d), 800), F.col("forced"))
+    return P.break_reasons(P.paginate(_flow(spark, d), 800), F.col("forced"), F.col("bi") % 1000 == 0)
 
 
 def wrap_words(spark, d):
@@ -151,7 +151,7 @@ def overlay_overrides(spark, d):
 
 def effective_settings(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("doc"), F.when(F.col("p_size") % 2 == 0, F.col("p_size")).alias("length"), F.when(F.col("p_size") % 3 == 0, F.col("p_size") + 1).alias("top"), F.when(F.col("p_size") > 40, F.lit(7)).alias("offset"))
-    return U.effective_settings(p, settings("top=3"), {"length": 66, "top": 2, "offset": 8})
+    return U.effective_settings(p, settings("top=3"), {"length": 66, "top": 2, "offset": 8}, {"rows": lambda v: v["length"] - v["top"] - 8})
 
 
 def style_lookup(spark, d):
@@ -162,9 +162,9 @@ def style_lookup(spark, d):
 
 def font_resolution(spark, d):
     names = F.element_at(F.array(*(F.lit(x) for x in ("Courier", "Times", "Helvetica", "Odd Face"))), (F.col("p_size") % 4 + 1).cast("int"))
-    fonts = table(spark, d, "part").select("p_partkey", names.alias("family"), (F.col("p_size") % 4 == 0).alias("fixed"))
+    fonts = table(spark, d, "part").select("p_partkey", names.alias("family"), (F.col("p_size") % 4 == 0).alias("fixed"), F.element_at(F.array(*(F.lit(x) for x in ("sans", "script", "other"))), (F.col("p_size") % 3 + 1).cast("int")).alias("style"))
     alternates = spark.createDataFrame(sorted(U.FONT_ALTERNATES.items()), "family string, names array<string>")
-    out = U.font_resolution(fonts, alternates, F.col("family"), F.col("fixed"))
+    out = U.font_resolution(fonts, alternates, F.col("family"), F.col("fixed"), F.col("style"))
     return out.withColumn("choices", F.array_join("choices", ","))
 
 
@@ -214,7 +214,7 @@ ORACLES = {
         Y as (select distinct label, cast(label as bigint) as n, '' as r from M where kind = 'endnote' and regexp_matches(label, '^[0-9]+$') and cast(label as bigint) > 0 union all select label, n - (select max(v) from T where v <= n), r || (select arg_max(m, v) from T where v <= n) from Y where n > 0)
         select doc, idx, kind, coalesce(case when kind = 'endnote' then r end, M.label) as label from M left join (select * from Y where n = 0) Y on Y.label = M.label""",
     "first_pages": with_views(_PAGES + " select doc, count(*) as lines from X where page <= 2 group by doc", "PL"),
-    "break_reasons": with_views(_PAGES + " select X.doc, cast(X.page as bigint) as page, X.bi, X.li, case when X.n = 1 then 'start' when F.forced then 'explicit' else 'overflow' end as reason from (select *, lag(page) over (partition by doc order by n) as was from X) X join F using (doc, bi, li) where was is null or was <> page", "PL"),
+    "break_reasons": with_views(_PAGES + " select X.doc, cast(X.page as bigint) as page, X.bi, X.li, case when X.n = 1 then 'start' when X.bi % 1000 = 0 then 'form feed' when F.forced then 'explicit' else 'overflow' end as reason from (select *, lag(page) over (partition by doc order by n) as was from X) X join F using (doc, bi, li) where was is null or was <> page", "PL"),
     "wrap_words": with_views(r""", T as (select doc, li, list_filter(string_split_regex(trim(text), ' +'), lambda x: x <> '') as w from L),
         R as (select doc, li, case when len(w) = 0 then {'n': 0, 'w': 0, 'r': 1, 't': ''} else list_reduce(list_transform(w, lambda x: {'n': length(x), 'w': length(x), 'r': 1, 't': x}),
           lambda a, x: case when a.n + 1 + x.n <= 60 then {'n': a.n + 1 + x.n, 'w': greatest(a.w, a.n + 1 + x.n), 'r': a.r, 't': a.t || ' ' || x.t} else {'n': x.n, 'w': greatest(a.w, x.n), 'r': a.r + 1, 't': a.t || '|' || x.t} end) end as z from T)
@@ -247,10 +247,11 @@ ORACLES = {
         select doc, name, coalesce(O.v, D.v) as value from D full join O using (doc, name) where coalesce(O.v, D.v) <> ''""",
     "effective_settings": """select p_partkey as doc, 'length' as name, cast(case when p_size % 2 = 0 then p_size else 66 end as varchar) as value, case when p_size % 2 = 0 then 'file' else 'default' end as source from part
         union all select p_partkey, 'top', cast(case when p_size % 3 = 0 then p_size + 1 else 3 end as varchar), case when p_size % 3 = 0 then 'file' else 'machine-default' end from part
-        union all select p_partkey, 'offset', cast(case when p_size > 40 then 7 else 8 end as varchar), case when p_size > 40 then 'file' else 'default' end from part""",
+        union all select p_partkey, 'offset', cast(case when p_size > 40 then 7 else 8 end as varchar), case when p_size > 40 then 'file' else 'default' end from part
+        union all select p_partkey, 'rows', cast(case when p_size % 2 = 0 then p_size else 66 end - case when p_size % 3 = 0 then p_size + 1 else 3 end - 8 as varchar), 'derived' from part""",
     "style_lookup": "select l_orderkey, l_linenumber, l_suppkey as doc, l_partkey % 50 as slot, p_name as style_name, p_size as attrs from lineitem left join part on p_partkey % 100 = l_suppkey and p_partkey // 100 = l_partkey % 50",
-    "font_resolution": """select p_partkey, (['Courier', 'Times', 'Helvetica', 'Odd Face'])[p_size % 4 + 1] as family, p_size % 4 = 0 as fixed,
-        (['Courier,Courier New,monospace', 'Times,Times New Roman,serif', 'Helvetica,Arial,Helvetica Neue,serif', 'Odd Face,serif'])[p_size % 4 + 1] as choices from part""",
+    "font_resolution": """select p_partkey, (['Courier', 'Times', 'Helvetica', 'Odd Face'])[p_size % 4 + 1] as family, p_size % 4 = 0 as fixed, (['sans', 'script', 'other'])[p_size % 3 + 1] as style,
+        (['Courier,Courier New', 'Times,Times New Roman', 'Helvetica,Arial,Helvetica Neue', 'Odd Face'])[p_size % 4 + 1] || case when p_size % 4 = 0 then ',monospace' else ([',sans-serif', ',cursive', ''])[p_size % 3 + 1] end as choices from part""",
     "resolve_references": f"with {_REF} select P.*, resolved from P left join Z using (page_id)",
     "probe_report": f"with {_REF} select page_id, least(20, count(*)) as probed, case when count(*) > 20 then '+' || (count(*) - 20) || ' more' end as more from H where page_id not in (select page_id from Z) group by page_id",
 }

@@ -103,9 +103,11 @@ def render_text_facsimile(spark, d):
 
 
 def _spans(spark, d):
-    spans = lines(spark, d).select("doc", F.expr("li div 3").alias("bi"), (F.col("li") % 3).alias("li"), F.concat("text", F.lit(" <*>")).alias("text"), ((F.col("doc") + F.col("li")) % 8).cast("int").alias("styles"))
+    """Lines as spans, some of them reference marks, and their blocks."""
+    ref = (F.col("doc") + F.col("li")) % 10 == 9
+    spans = lines(spark, d).select("doc", F.expr("li div 3").alias("bi"), (F.col("li") % 3).alias("li"), F.when(ref, F.concat(F.lit(" "), F.col("li").cast("string"))).otherwise(F.concat("text", F.lit(" <*>"))).alias("text"), ((F.col("doc") + F.col("li")) % 8 + F.when(ref, 64).otherwise(0)).cast("int").alias("styles"))
     blocks = spans.groupBy("doc", "bi").agg(F.count("*").alias("n")).select("doc", "bi", F.when(F.col("bi") % 5 == 0, 2).otherwise(0).alias("heading"), (F.col("bi") % 5 == 3).alias("quote"), F.when(F.col("bi") % 5 != 0, F.col("bi") % 4).otherwise(0).alias("level"))
-    return spans, blocks
+    return spans, blocks, _notes(spark, d).withColumn("label", F.col("idx").cast("string"))
 
 
 def render_markdown(spark, d):
@@ -223,11 +225,16 @@ def batches_of(spark, d):
     return S.batches_of(table(spark, d, "orders").select("o_orderkey"), 20, "o_orderkey")
 
 
-QUERIES = {f.__name__: f for f in (document_stats, diagnosis, diagnose_document_json, keywords, toc_and_index, colours_used, fonts_used, search_index, diagnose_json, layout_json, exact_total, digest_grid, render_text, render_text_facsimile, render_markdown, render_html, export_plan, unique_names, picture_names, render_with, drift, named_divergences, coverage, corpus_union, format_names, style_set_algebra, word_parity, balanced_markup, well_formed_tags, lint, sensitive_scan, status_log, batches_of)}
+def batch_progress(spark, d):
+    rows = S.batches_of(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), 20, "o_orderkey")
+    return S.batch_progress(rows, F.col("o_orderstatus") == "F", 20)
+
+
+QUERIES = {f.__name__: f for f in (document_stats, diagnosis, diagnose_document_json, keywords, toc_and_index, colours_used, fonts_used, search_index, diagnose_json, layout_json, exact_total, digest_grid, render_text, render_text_facsimile, render_markdown, render_html, export_plan, unique_names, picture_names, render_with, drift, named_divergences, coverage, corpus_union, format_names, style_set_algebra, word_parity, balanced_markup, well_formed_tags, lint, sensitive_scan, status_log, batches_of, batch_progress)}
 
 _VERSE_OF_UNITS = VERSE_BY.format(run="li // 4 as unit", shifted="false", keys="doc, unit")
 _STATE = """D as (select doc_id as doc, case doc_id % 10 when 1 then 'changed' when 2 then 'source changed' when 3 then 'missing' when 4 then 'missing' else 'same' end as state from documents union all select doc_id + 1000000, 'new' from documents where doc_id % 10 = 4)"""
-_SPANS = """, S as (select doc, li // 3 as bi, li % 3 as li, text || ' <*>' as t, (doc + li) % 8 as st from L),
+_SPANS = f""", {_NOTES}, S as (select doc, li // 3 as bi, li % 3 as li, text || ' <*>' as t, (doc + li) % 8 as st, case when (doc + li) % 10 = 9 then cast(li as varchar) end as ref from L),
     M as (select *, case when st % 2 = 1 then 1 else 0 end as b, case when st // 2 % 2 = 1 then 1 else 0 end as i, case when st // 4 = 1 then 1 else 0 end as u from S)"""
 _NAMES = """with recursive R as (select *, {fold}(stem) as k, regexp_replace({fold}(stem), '(?:{sep}{digits})+$', '') as root from ({rows})), N as (select *, row_number() over (partition by doc, root order by id) as n from R),
     E as (select doc, root, list(e) as held from (select doc, e, regexp_replace(e, '(?:{sep}{digits})+$', '') as root from ({held})) group by doc, root),
@@ -264,13 +271,17 @@ ORACLES = {
         T as (select doc, string_agg(upper(kind[1]) || kind[2:] || 's' || chr(10) || n, chr(10) || chr(10) order by kind) as tail from K group by doc)
         select doc, md5(body || coalesce(chr(10) || chr(10) || tail, '')) as body from B left join T using (doc)""", "L"),
     "render_text_facsimile": with_views("select doc, md5(string_agg(case when li % 5 = 0 and li > 0 then chr(12) else '' end || text, chr(10) order by li)) as body from L group by doc", "L"),
-    "render_markdown": with_views(_SPANS + r""", E as (select doc, bi, li, repeat('**', b) || repeat('*', i) || repeat('__', u) || regexp_replace(t, '([\\`*_\[\]])', '\\\1', 'g') || repeat('__', u) || repeat('*', i) || repeat('**', b) as t from M),
-        G as (select doc, bi, string_agg(t, '' order by li) as t from E group by doc, bi)
-        select doc, md5(string_agg(case when bi % 5 = 0 then '## ' when bi % 5 = 3 then '> ' else '' end || t, chr(10) || chr(10) order by bi)) as body from G group by doc""", "L"),
-    "render_html": with_views(_SPANS + """, E as (select doc, bi, li, repeat('<strong>', b) || repeat('<em>', i) || repeat('<u>', u) || replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || repeat('</u>', u) || repeat('</em>', i) || repeat('</strong>', b) as t from M),
+    "render_markdown": with_views(_SPANS + r""", E as (select doc, bi, li, case when ref is not null then '[^' || ref || ']' else repeat('**', b) || repeat('*', i) || repeat('__', u) || regexp_replace(t, '([\\`*_\[\]])', '\\\1', 'g') || repeat('__', u) || repeat('*', i) || repeat('**', b) end as t from M),
+        G as (select doc, bi, string_agg(t, '' order by li) as t from E group by doc, bi), H as (select doc, string_agg(case when bi % 5 = 0 then '## ' when bi % 5 = 3 then '> ' else '' end || t, chr(10) || chr(10) order by bi) as body from G group by doc),
+        T as (select doc, string_agg('[^' || idx || ']: ' || text, chr(10) order by idx) as tail from N group by doc)
+        select doc, md5(body || coalesce(chr(10) || chr(10) || tail, '')) as body from H left join T using (doc)""", "L"),
+    "render_html": with_views(_SPANS + """, E as (select doc, bi, li, case when ref is not null then '<sup><a href="#fn-' || ref || '">' || ref || '</a></sup>' else repeat('<strong>', b) || repeat('<em>', i) || repeat('<u>', u) || replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || repeat('</u>', u) || repeat('</em>', i) || repeat('</strong>', b) end as t from M),
         G as (select doc, bi, string_agg(t, '' order by li) as t, case when bi % 5 <> 0 then bi % 4 else 0 end as level from E group by doc, bi),
-        H as (select *, coalesce(lag(level) over w, 0) as up, coalesce(lead(level) over w, 0) as down, case when level > 0 then 'li' when bi % 5 = 0 then 'h2' else 'p' end as tag from G window w as (partition by doc order by bi))
-        select doc, md5('<html><body>' || chr(10) || string_agg(repeat('<ul>', greatest(0, level - up)) || '<' || tag || '>' || t || '</' || tag || '>' || repeat('</ul>', greatest(0, level - down)), chr(10) order by bi) || chr(10) || '</body></html>') as body from H group by doc""", "L"),
+        H as (select *, coalesce(lag(level) over w, 0) as up, coalesce(lead(level) over w, 0) as down from G window w as (partition by doc order by bi)),
+        K as (select doc, bi, case when level = 0 then case when bi % 5 = 0 then '<h2>' || t || '</h2>' else '<p>' || t || '</p>' end
+          else case when level > up then '<ul>' || repeat('<li><ul>', level - up - 1) else '' end || '<li>' || t || case when down > level then '' when down = level then '</li>' else repeat('</li></ul>', level - down) || case when down > 0 then '</li>' else '' end end end as r from H),
+        B as (select doc, string_agg(r, chr(10) order by bi) as body from K group by doc), T as (select doc, string_agg('<p id="fn-' || idx || '">' || idx || '. ' || text || '</p>', chr(10) order by idx) as tail from N group by doc)
+        select doc, md5('<html><body>' || chr(10) || body || coalesce(chr(10) || tail, '') || chr(10) || '</body></html>') as body from B left join T using (doc)""", "L"),
     "export_plan": "select doc_id as doc, f as format, case f when 'text' then 'toc' when 'html' then 'inline_styling,pictures,toc' else 'headers,pictures,toc' end as options from documents, (select unnest(['text', 'html', 'pdf']) as f)",
     "unique_names": _NAMES.format(
         rows="""select p_partkey as id, 0 as doc, (select string_agg(upper(x[1]) || x[2:], ' ') from (select unnest(string_split(p_name, ' ')) as x)) || case when p_size > 5 and p_size % 7 = 0 then ' 2' when p_size > 5 and p_size % 7 = 1 then ' 2 2' else '' end as stem from part""",
@@ -315,5 +326,6 @@ ORACLES = {
         select * from H where not contains(hit, 'example.com') and not contains(hit, '/Users/you')""",
     "status_log": with_views(""", S as (select doc, arg_max(case name when 'error' then 'failed' when 'purchase' then 'done' else 'converting' end, row(ts, seq)) as status from EV group by doc)
         select cast(doc as varchar) as item, status, cast(1 as bigint) as n from S union all select 'all', status, count(*) from S group by status""", "EV"),
+    "batch_progress": "select batch, count(*) as found, least(batch * 20, max(n)) as requested, count(*) filter (o_orderstatus = 'F') as done from (select o_orderstatus, cast((row_number() over (order by o_orderkey) + 19) // 20 as bigint) as batch, count(*) over () as n from orders) group by batch",
     "batches_of": "select o_orderkey, cast((row_number() over (order by o_orderkey) + 19) // 20 as bigint) as batch from orders",
 }

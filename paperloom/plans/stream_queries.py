@@ -48,6 +48,26 @@ def bounded_queue(spark, d):
     return I.bounded_queue(_requests(spark, d), 40)
 
 
+def _event_stream(spark, d):
+    return spark.readStream.schema("event_id long, ts timestamp_ntz, user_id long, props string").option("pathGlobFilter", "events.parquet").parquet(d)
+
+
+def queue_stream(spark, d):
+    """The queue as a stream keeps it, put together from what is drained first and what stays."""
+    out, check = _folder(spark), _folder(spark)
+    rows = _event_stream(spark, d).select(F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("path"), F.col("event_id").alias("seq"))
+    I.folded_stream(rows, out, check, lambda r: I.bounded_queue(r, 40)).awaitTermination()
+    first, left = I.drain(I.folded_table(spark, out, "path string, seq long"), 15)
+    return first.withColumn("state", F.lit("drained")).unionByName(left.withColumn("state", F.lit("queued")))
+
+
+def trace_ring_stream(spark, d):
+    out, check = _folder(spark), _folder(spark)
+    rows = _event_stream(spark, d).select(F.col("user_id").alias("doc"), "ts", F.col("event_id").alias("seq"), F.repeat("props", 60).alias("detail"))
+    I.folded_stream(rows, out, check, I.trace_ring).awaitTermination()
+    return I.folded_table(spark, out, "doc long, ts timestamp_ntz, seq long, detail string").select("doc", "seq", "detail")
+
+
 def trace_ring(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").alias("doc"), "ts", F.col("event_id").alias("seq"), F.repeat("props", 60).alias("detail"))
     return I.trace_ring(e).select("doc", "seq", "detail")
@@ -114,7 +134,7 @@ def rule_registry(spark, d):
     return out.select("doc", "li", F.md5("text").alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (throttle, throttle_stream, bounded_queue, trace_ring, read_archive, ingest_stream, write_exports, renderer_registry, rule_registry)}
+QUERIES = {f.__name__: f for f in (throttle, throttle_stream, bounded_queue, queue_stream, trace_ring, trace_ring_stream, read_archive, ingest_stream, write_exports, renderer_registry, rule_registry)}
 
 _THROTTLE = """, R as (select 'f' || doc as path, ts, seq, row_number() over (partition by doc order by ts, seq) as n from EV),
     T as (with recursive W as (select path, ts as last, seq, n, true as ok from R where n = 1 union all
@@ -125,6 +145,8 @@ ORACLES = {
     "throttle": with_views(_THROTTLE, "EV"),
     "throttle_stream": with_views(_THROTTLE, "EV"),
     "bounded_queue": with_views("select 'f' || doc as path, min(seq) as seq from EV group by doc order by seq desc limit 40", "EV"),
+    "queue_stream": with_views("select 'f' || doc as path, s as seq, case when row_number() over (order by s) <= 15 then 'drained' else 'queued' end as state from (select doc, min(seq) as s from EV group by doc order by s desc limit 40)", "EV"),
+    "trace_ring_stream": "select user_id as doc, event_id as seq, substr(repeat(props, 60), 1, 500) as detail from events order by ts desc, event_id desc limit 40",
     "trace_ring": "select user_id as doc, event_id as seq, substr(repeat(props, 60), 1, 500) as detail from events order by ts desc, event_id desc limit 40",
     "read_archive": _BYTES,
     "ingest_stream": _BYTES,

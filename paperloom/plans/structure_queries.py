@@ -71,7 +71,7 @@ def nesting_level(spark, d):
 
 def centred_rows(spark, d):
     rows = planted(spark, d).withColumn("text", F.concat(F.repeat(F.lit(" "), (F.col("li") % 13).cast("int")), "text"))
-    return S.centred_rows(rows, F.lit(60), tagged=F.col("li") % 19 == 0, body_indent=F.lit(5)).select("doc", "li", "centred")
+    return S.centred_rows(rows, F.lit(60), tagged=F.col("li") % 19 == 0, body_indent=F.lit(5), continues=F.col("doc") % 4 == 1).select("doc", "li", "centred")
 
 
 def front_matter(spark, d):
@@ -149,7 +149,7 @@ ORACLES = {
           and not exists (select 1 from R m where m.doc = a.doc and m.island = a.island and m.li > b.li and m.li < a.li and m.col <= b.col))
         select doc, island, li, count(c) + 1 as level, coalesce(max(c), -1) as container from P group by doc, island, li""", "LP"),
     "centred_rows": with_views(""", R as (select doc, li, repeat(' ', li % 13) || text as text from LP), M as (select *, length(trim(text)) as s, length(text) - length(ltrim(text)) as lead from R)
-        select doc, li, li % 19 = 0 or (lead > 0 and abs(lead - (60 - s) / 2.0) <= 1.5 and 60 - s >= 4 and len(regexp_extract_all(trim(text), ' {3,}')) < 2 and lead <> 5) as centred from M""", "LP"),
+        select doc, li, li % 19 = 0 or (lead > 0 and abs(lead - (60 - s) / 2.0) <= 1.5 and 60 - s >= 4 and len(regexp_extract_all(trim(text), ' {3,}')) < 2 and lead <> 5 and doc % 4 <> 1) as centred from M""", "LP"),
     "front_matter": with_views(""", M as (select doc, li, length(text) > 150 as hit, sum(case when li % 8 = 0 then 1 else 0 end) over (partition by doc order by li) as part from L)
         select doc, li, not bool_or(hit) over (partition by doc, part order by li) as front from M""", "L"),
     "quote_groups": with_views("select a.doc, a.li, case when a.li % 5 < 3 then length(b.text) % 11 end as group_indent from L a left join L b on a.doc = b.doc and b.li = a.li // 5 * 5", "L"),

@@ -104,5 +104,7 @@ def without_overwrite(planned: DataFrame, existing: DataFrame, keys: list[str])
 
 
 def dedupe_new(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Incoming rows not already listed, each once."""
-    return incoming.dropDuplicates(keys).join(existing.select(*keys).distinct(), keys, "left_anti")
+    """Incoming rows not already listed, each key once: of several rows the least."""
+    others = [c for c in incoming.columns if c not in keys]
+    once = incoming.groupBy(*keys).agg(F.min(F.struct(*others)).alias("_r")).select(*keys, "_r.*") if others else incoming.select(*keys).distinct()
+    return once.join(existing.select(*keys).distinct(), keys, "left_anti")

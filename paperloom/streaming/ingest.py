@@ -79,6 +79,32 @@ def bounded_queue(requests: DataFrame, most: int = 500, key: str = "path", order
     return latest_n(first, most, order)
 
 
+def drain(queue: DataFrame, n: int, order: str = "seq") -> tuple[DataFrame, DataFrame]:
+    """(the oldest n requests, the queue without them)."""
+    rank = F.row_number().over(Window.orderBy(order))  # a queue is bounded
+    m = queue.withColumn("_n", rank)
+    return m.filter(F.col("_n") <= n).drop("_n"), m.filter(F.col("_n") > n).drop("_n")
+
+
+def folded_stream(rows: DataFrame, path: str, checkpoint: str, fold: Callable[[DataFrame], DataFrame]):
+    """Start a query that keeps a bounded table: after each batch, ``fold`` of the table before and
+    the batch's rows. A batch that is run again writes the same folder."""
+    spark, kinds = rows.sparkSession, rows.schema
+
+    def merge(batch: DataFrame, number: int) -> None:
+        before = spark.read.schema(kinds).parquet(f"{path}/after={number - 1}") if number else batch.limit(0)
+        fold(before.unionByName(batch)).write.mode("overwrite").parquet(f"{path}/after={number}")
+
+    return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def folded_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table that ``folded_stream`` keeps, after its last batch."""
+    rows = spark.read.schema(schema + ", after int").parquet(path)
+    last = rows.agg(F.max("after").alias("after"))
+    return rows.join(F.broadcast(last), "after").drop("after")  # one row
+
+
 def ingest_stream(spark: SparkSession, folder: str, index_path: str, checkpoint: str, describe: Callable[[DataFrame], DataFrame], per_batch: int = 20):
     """Start a query that describes new files and merges the rows into an index by path.
 

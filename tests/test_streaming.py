@@ -29,3 +29,14 @@ def test_stream_equals_batch_twin(spark, tmp_path):
 def test_queue_keeps_the_newest(spark):
     df = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3), ("c", 4)], "path string, seq long")
     assert {(r.path, r.seq) for r in ingest.bounded_queue(df, 2).collect()} == {("b", 2), ("c", 4)}
+
+
+def test_queue_kept_over_batches(spark, tmp_path):
+    for part, rows in enumerate(([("a", 1), ("b", 2)], [("a", 3), ("c", 4)], [("d", 5), ("b", 6)])):
+        spark.createDataFrame(rows, "path string, seq long").coalesce(1).write.parquet(f"{tmp_path}/in/{part}")
+    stream = spark.readStream.schema("path string, seq long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    ingest.folded_stream(stream, f"{tmp_path}/out", f"{tmp_path}/check", lambda r: ingest.bounded_queue(r, 3)).awaitTermination()
+    queue = ingest.folded_table(spark, f"{tmp_path}/out", "path string, seq long")
+    assert {(r.path, r.seq) for r in queue.collect()} == {("b", 2), ("c", 4), ("d", 5)}
+    first, left = ingest.drain(queue, 2)
+    assert [r.path for r in first.orderBy("seq").collect()] == ["b", "c"] and [r.path for r in left.collect()] == ["d"]
