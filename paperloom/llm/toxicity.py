@@ -8,7 +8,8 @@ price; labels are taken to be wrong at a small rate, which keeps single odd docu
 teaching anything.
 
 The model is fitted in one task on a bounded sample: the ``max_docs`` labelled documents that
-come first in a hash order, read until ``max_words`` words. Scoring reads every whole text.
+come first in a hash order, read until ``max_words`` words; labelled texts above ``max_doc_bytes``
+are not learnt from. Only the sample moves to that task. Scoring reads every whole text.
 
 Defined cases: null and empty texts have no sentences and score 0; labels that are null are not
 used; a document labelled more than once counts as toxic if any label says so; without toxic
@@ -36,6 +37,7 @@ _STOP[np.frombuffer(b".!?\n", dtype=np.uint8)] = True
 class MilSettings:
     max_docs: int = 12_000
     max_words: int = 4_000_000
+    max_doc_bytes: int = 1_000_000
     min_docs: int = 4
     max_features: int = 20_000
     prior: float = -12.0
@@ -140,18 +142,23 @@ def _fit(batches: Iterator[pa.RecordBatch], s: MilSettings) -> tuple[np.ndarray,
     return vocabulary[kept], weight[kept]
 
 
-def train(docs: DataFrame, labels: DataFrame, settings: MilSettings = MilSettings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> MilModel:
-    """Fit on labelled documents; ``labels`` has the rows that may be learnt from."""
+def _sample(docs: DataFrame, labels: DataFrame, settings: MilSettings, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """(order, label, body) of the sample in one partition; the corpus is scanned and joined in many."""
     named = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     sample = named.withColumn("order", F.xxhash64(F.lit(11), "id")).orderBy("order", "id").limit(settings.max_docs)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body"))
-    known = texts.join(F.broadcast(sample), "id").select("order", "label", "body")  # at most max_docs rows
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body")).filter(F.octet_length("body") <= settings.max_doc_bytes)
+    known = texts.join(F.broadcast(sample), "id").select("order", "label", "body")  # at most max_docs ids
+    return known.repartition(1).sortWithinPartitions("order", "body")
+
+
+def train(docs: DataFrame, labels: DataFrame, settings: MilSettings = MilSettings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> MilModel:
+    """Fit on labelled documents; ``labels`` has the rows that may be learnt from."""
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, weights = _fit(batches, settings)
         yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(weights)], ["word", "weight"])
 
-    rows = known.coalesce(1).sortWithinPartitions("order", "body").mapInArrow(fit, "word long, weight double").collect()  # at most max_features rows
+    rows = _sample(docs, labels, settings, id_col, text_col, label_col).mapInArrow(fit, "word long, weight double").collect()  # at most max_features rows
     rows = sorted((np.int64(r["word"]).view(np.uint64), r["weight"]) for r in rows)
     return MilModel(np.array([w for w, _ in rows], dtype=np.uint64), np.array([x for _, x in rows]), settings)
 
