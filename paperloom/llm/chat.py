@@ -6,7 +6,8 @@ which turn may follow which. Control strings inside texts are broken up by a bac
 their first character and backslashes are doubled, which ``unescape`` undoes exactly.
 
 Work is dealt by conversation and block of turns, so one huge conversation is formatted in many
-tasks; the machine's state passes from block to block by ``lag`` over one small row a block.
+tasks; the machine's state passes from block to block by ``lag`` over one small row a block, which
+holds no text. ``read_back`` gathers a conversation's text for its digest, so that must fit a row.
 
 Defined cases: null text is empty; null role is the empty role; roles outside the template get
 the generic marks with their name, and no transition allows them; rows of one conversation are
@@ -84,18 +85,19 @@ def _segments(role: Column, text: Column, template: ChatTemplate) -> Column:
 def format_conversations(
     df: DataFrame, template: ChatTemplate = ChatTemplate(), conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", block: int = 64
 ) -> DataFrame:
-    """Rows (conv_id, block, n_turns, segments, formatted, bad_turns): a conversation's text is
-    its blocks in order. ``segments`` are the formatted pieces with their loss flags; ``bad_turns``
-    are the numbers (from 1, in the block) of turns that the machine does not allow."""
+    """Rows (conv_id, block, n_turns, segments, formatted, bad_turns, last_role): a conversation's
+    text is its blocks in order. ``segments`` are the formatted pieces with their loss flags;
+    ``bad_turns`` are the numbers (from 1, in the block) of turns that the machine does not allow."""
     turns = df.select(
         F.col(conv_col).alias("conv_id"),
-        F.floor(F.coalesce(F.col(turn_col).cast("long"), F.lit(-1)) / block).alias("block"),
+        F.floor(F.col(turn_col).cast("long") / block).alias("block"),  # null first, as null turns are
         F.struct(F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text")).alias("t"),
     )
-    blocks = turns.groupBy("conv_id", "block").agg(F.sort_array(F.collect_list("t")).alias("t"))
-    in_order = Window.partitionBy("conv_id").orderBy("block")
-    blocks = blocks.withColumn("state", F.lag(F.element_at("t", -1)["role"]).over(in_order))
-    blocks = blocks.withColumn("is_last", F.lead("block").over(in_order).isNull())
+    # the machine goes from block to block over the last roles alone, no texts
+    ends = turns.groupBy("conv_id", "block").agg(F.max(F.struct("t.turn", "t.role"))["role"].alias("last_role"))
+    states = ends.select("conv_id", "block", F.lag("last_role").over(Window.partitionBy("conv_id").orderBy("block")).alias("state"))
+    both = turns.unionByName(states, allowMissingColumns=True)
+    blocks = both.groupBy("conv_id", "block").agg(F.sort_array(F.collect_list("t")).alias("t"), F.max("state").alias("state"))
     roles = F.transform("t", lambda x: x["role"])
     prior = F.concat(F.array(F.coalesce("state", F.lit(""))), roles)
 
@@ -106,16 +108,20 @@ def format_conversations(
     moves = F.transform(roles, lambda r, i: F.when(~allowed(F.get(prior, i), r), i + 1))
     bad = F.filter(moves, lambda x: x.isNotNull())
     segments = F.flatten(F.transform("t", lambda x: _segments(x["role"], x["text"], template)))
-    out = blocks.select("conv_id", "block", "is_last", F.size("t").cast("long").alias("n_turns"), bad.alias("bad_turns"), F.element_at("t", -1)["role"].alias("last_role"), segments.alias("segments"))
+    out = blocks.select("conv_id", "block", F.size("t").cast("long").alias("n_turns"), bad.alias("bad_turns"), F.element_at("t", -1)["role"].alias("last_role"), segments.alias("segments"))
     return out.withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["text"]), ""))
 
 
+def _ends_well(template: ChatTemplate) -> Column:
+    return F.max(F.struct("block", "last_role"))["last_role"].isin(*template.last).alias("ends_well")
+
+
 def validate_turns(formatted: DataFrame, template: ChatTemplate = ChatTemplate()) -> DataFrame:
     """conv_id, n_turns, n_bad (turns the machine refused), ends_well (its last role may end)."""
     return formatted.groupBy("conv_id").agg(
         F.sum("n_turns").alias("n_turns"),
         F.sum(F.size("bad_turns")).cast("long").alias("n_bad"),
-        F.max_by("last_role", "block").isin(*template.last).alias("ends_well"),
+        _ends_well(template),
     )
 
 
@@ -141,15 +147,16 @@ def parse_turns(formatted: Column, template: ChatTemplate = ChatTemplate()) -> C
 
 
 def read_back(formatted: DataFrame, template: ChatTemplate = ChatTemplate()) -> DataFrame:
-    """Digests per conversation, from the formatted text and its loss mask."""
+    """Digests per conversation, from the formatted text and its loss mask, and what the machine
+    says of its turns (n_bad, ends_well)."""
     turns = parse_turns(F.col("formatted"), template)
     said = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     learnt = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
-    read = formatted.select("conv_id", "block", F.size(turns).cast("long").alias("n"), F.length("formatted").cast("long").alias("chars"), said.alias("said"), learnt.alias("learnt"))
+    read = formatted.select("conv_id", "block", F.size(turns).cast("long").alias("n"), F.length("formatted").cast("long").alias("chars"), said.alias("said"), learnt.alias("learnt"), F.size("bad_turns").alias("bad"), "last_role")
 
     def whole(c: str) -> Column:
         parts = F.sort_array(F.collect_list(F.struct("block", c)))
         return F.array_join(F.transform(parts, lambda p: p[c]), "")
 
-    out = read.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"), whole("said").alias("said"), whole("learnt").alias("learnt"))
-    return out.select("conv_id", "n_turns", F.sha2("said", 256).alias("turns_sha256"), F.length("learnt").cast("long").alias("loss_chars"), F.sha2("learnt", 256).alias("loss_sha256"), "formatted_chars")
+    out = read.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"), whole("said").alias("said"), whole("learnt").alias("learnt"), F.sum("bad").alias("n_bad"), _ends_well(template))
+    return out.select("conv_id", "n_turns", F.sha2("said", 256).alias("turns_sha256"), F.length("learnt").cast("long").alias("loss_chars"), F.sha2("learnt", 256).alias("loss_sha256"), "formatted_chars", "n_bad", "ends_well")

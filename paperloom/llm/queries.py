@@ -107,9 +107,11 @@ ORACLES: dict[str, str] = {
     "op5_chat_formatting": r"""with C as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
         K as (select unnest(['<<SYS>>', '<</SYS>>', '[INST]', '[/INST]', '<s>', '</s>', '<|role|>', '<|text|>', '<|end|>']) as k),
         E as (select conv_id, turn, role, text, length(text) + length(text) - length(replace(text, '\', '')) + (select sum((length(text) - length(replace(text, k, ''))) // length(k)) from K)
-          + case role when 'system' then 15 when 'user' then 15 when 'assistant' then 7 else 23 + length(role) end as chars from C)
+          + case role when 'system' then 15 when 'user' then 15 when 'assistant' then 7 else 23 + length(role) end as chars,
+          coalesce(lag(role) over turns, '') as state, lead(role) over turns is null as is_last from C window turns as (partition by conv_id order by turn nulls first, role, text))
         select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
-        cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars, sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256, cast(sum(chars) as bigint) as formatted_chars from E group by conv_id""",
+        cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars, sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256, cast(sum(chars) as bigint) as formatted_chars,
+        count(*) filter (not ((state = '' and role in ('system', 'user')) or (state = 'system' and role = 'user') or (state = 'user' and role = 'assistant') or (state = 'assistant' and role = 'user'))) as n_bad, bool_or(is_last and role = 'assistant') as ends_well from E group by conv_id""",
     "op6_minhash_near_dedup": f"""with recursive W as (select doc_id, regexp_extract_all({_LOW}, '{_SPACED}') as w from documents),
         S as (select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from W),
         N as (select doc_id, count(*) as n from S group by doc_id),
