@@ -7,7 +7,8 @@ is the record separator, which leaves commits, retries and any file system to Sp
 
 Reading: Spark's text source streams the pieces between record separators; a small state machine
 in every task follows the Content-Length of each record and emits rows (record_id, chunk_no,
-data) with the running SHA-1 of the payload. Only one piece is held at a time. The last chunk of
+data) with the running SHA-1 of the payload. Only one piece is held at a time; of archives written
+here none is longer than a segment, of others it reaches to the next separator. The last chunk of
 a record carries the record's facts, so a digest needs no grouping.
 
 Equal payloads (by SHA-256) of at least ``min_revisit_bytes`` are stored once: the record with
@@ -110,8 +111,8 @@ def write_archives(
 class _Reader:
     """Follows the bytes of one archive as they come: head, block, separator, head, ..."""
 
-    def __init__(self, chunk_bytes: int):
-        self.chunk_bytes = chunk_bytes
+    def __init__(self, chunk_bytes: int, with_data: bool):
+        self.chunk_bytes, self.with_data = chunk_bytes, with_data
         self.state, self.held, self.left = "head", b"", 0
         self.record: dict | None = None
 
@@ -181,7 +182,8 @@ class _Reader:
             part = data[k : k + self.chunk_bytes]
             r["sha"].update(part)
             r["bytes"] += len(part)
-            yield self.row(part, False)
+            if self.with_data:
+                yield self.row(part, False)
             r["chunk"] += 1
 
     def row(self, data: bytes | None, last: bool) -> tuple:
@@ -199,16 +201,17 @@ class _Reader:
 _CHUNK = pa.schema([("record_id", pa.string()), ("chunk_no", pa.int64()), ("data", pa.binary()), ("sha1_so_far", pa.string()), ("is_end", pa.bool_()), ("record_type", pa.string()), ("url", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("digest_ok", pa.bool_())])
 
 
-def read_chunks(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def read_chunks(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES, with_data: bool = True) -> DataFrame:
     """The chunked record table of all archives in a folder.
 
     Rows with ``is_end`` follow a record's last chunk, have no data, and carry its facts:
     record_type, url, refers_to, payload_bytes, payload_digest (SHA-1, base32) and digest_ok.
+    Without ``with_data`` the chunks are only digested and these rows alone come back.
     """
     pieces = spark.read.option("lineSep", SEPARATOR).text(path).select(F.col("value").cast("binary").alias("piece"), F.col("_metadata.file_path").alias("file"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, file, between, out, held = _Reader(chunk_bytes), None, b"", [], 0
+        reader, file, between, out, held = _Reader(chunk_bytes, with_data), None, b"", [], 0
 
         def rows() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _CHUNK)], schema=_CHUNK)
@@ -218,7 +221,7 @@ def read_chunks(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES)
             for k in range(batch.num_rows):
                 if names[k] != file:
                     out += reader.close()
-                    reader, file, between = _Reader(chunk_bytes), names[k], b""
+                    reader, file, between = _Reader(chunk_bytes, with_data), names[k], b""
                 for row in reader.feed(between + batch.column("piece")[k].as_py()):
                     out.append(row)
                     held += len(row[2] or b"")
@@ -235,7 +238,7 @@ def read_chunks(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES)
 
 def read_records(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """One row per record: its facts, taken from its end row."""
-    ends = read_chunks(spark, path, chunk_bytes).filter("is_end")
+    ends = read_chunks(spark, path, chunk_bytes, with_data=False)
     page = F.regexp_extract("record_id", r"^urn:page:(-?\d+)$", 1)
     first = F.regexp_extract("refers_to", r"^urn:page:(-?\d+)$", 1)
     return ends.select(F.when(page != "", page).cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.when(first != "", first).cast("long").alias("refers_to"), "url", "digest_ok", F.col("chunk_no").alias("n_chunks"))
