@@ -9,7 +9,9 @@ none that tells one license from another (its version, 'Lesser', 'Affero', 'Libr
 Of stretches that overlap the one with most words in place wins, then the better rank. Missing and
 added words are reported, and the reduction of the stretch itself.
 
-Every text is read whole and each document is judged by itself, so nothing is shuffled.
+Every text is read whole and each document is judged by itself, so nothing is shuffled. A notice
+is seen only where some word of licensing (``HINT``: license, copyright, rights reserved, permission,
+redistribution, public domain, Creative Commons, CC0, free software) stands in it or near it.
 
 Defined cases: null and empty texts have no blocks; equal reductions are ranked by template name;
 each of several notices in a block is reported; repeated rows are scanned alike; extra columns are ignored; an empty table gives an empty table.
@@ -50,6 +52,14 @@ NOTICES = {
 }
 
 
+# What follows in the full texts of some of them.
+WARRANTIES = {
+    "MIT": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "ISC": "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "BSD": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+}
+
+
 _CC = {"BY": "Attribution", "SA": "ShareAlike", "NC": "NonCommercial", "ND": "NoDerivatives"}
 _CC_SUFFIX = {"1.0": "Generic", "2.0": "Generic", "2.5": "Generic", "3.0": "Unported", "4.0": "International"}
 
@@ -57,6 +67,8 @@ _CC_SUFFIX = {"1.0": "Generic", "2.0": "Generic", "2.5": "Generic", "3.0": "Unpo
 def templates() -> dict[str, str]:
     """Notices with the Creative Commons family, which follows a few rules: short, by its title, and as deed pages put it."""
     out = dict(NOTICES)
+    for name in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause"):
+        out[f"{name}-full"] = f"{NOTICES[name]} {WARRANTIES[name.split('-')[0]]}"
     for terms in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
         for version, suffix in _CC_SUFFIX.items():
             title = "-".join(_CC[t] for t in terms.split("-"))
