@@ -64,42 +64,39 @@ def route(capacity: dict, members: dict, quota: dict, max_times: int = 3) -> dic
     for p in capacity:
         for s in members[p]:
             by_source.setdefault(s, []).append(p)
+    dead: set = set()  # nothing reachable from here is open, now or later: searched once
     for times in range(max_times):  # price of this pass for all patterns alike: convex
-        blocked: set = set()
-        while True:
-            level = [p for p in capacity if p not in blocked and used[p] < (times + 1) * capacity[p] - 1e-6]
-            if not level:
-                break
-            start = level[0]
-            came, queue, goal = {("p", start): None}, [("p", start)], None
-            for node in queue:
-                kind, key = node
-                if kind == "s" and need.get(key, 0) > 1e-6:
-                    goal = node
+        for start in capacity:
+            while ("p", start) not in dead and used[start] < (times + 1) * capacity[start] - 1e-6:
+                came, queue, goal = {("p", start): None}, [("p", start)], None
+                for node in queue:
+                    kind, key = node
+                    if kind == "s" and need.get(key, 0) > 1e-6:
+                        goal = node
+                        break
+                    step = [("s", s) for s in members[key]] if kind == "p" else [("p", p) for p in by_source[key] if flow[p][key] > 1e-6]
+                    for nxt in step:
+                        if nxt not in came and nxt not in dead:
+                            came[nxt] = node
+                            queue.append(nxt)
+                if goal is None:
+                    dead.update(came)
                     break
-                step = [("s", s) for s in members[key]] if kind == "p" else [("p", p) for p in by_source[key] if flow[p][key] > 1e-6]
-                for nxt in step:
-                    if nxt not in came:
-                        came[nxt] = node
-                        queue.append(nxt)
-            if goal is None:
-                blocked.add(start)
-                continue
-            path = [goal]
-            while came[path[-1]] is not None:
-                path.append(came[path[-1]])
-            path.reverse()
-            room = min((times + 1) * capacity[start] - used[start], need[goal[1]])
-            for a, b in zip(path, path[1:]):
-                if a[0] == "s":
-                    room = min(room, flow[b[1]][a[1]])
-            for a, b in zip(path, path[1:]):
-                if a[0] == "p":
-                    flow[a[1]][b[1]] += room
-                else:
-                    flow[b[1]][a[1]] -= room
-            used[start] += room
-            need[goal[1]] -= room
+                path = [goal]
+                while came[path[-1]] is not None:
+                    path.append(came[path[-1]])
+                path.reverse()
+                room = min((times + 1) * capacity[start] - used[start], need[goal[1]])
+                for a, b in zip(path, path[1:]):
+                    if a[0] == "s":
+                        room = min(room, flow[b[1]][a[1]])
+                for a, b in zip(path, path[1:]):
+                    if a[0] == "p":
+                        flow[a[1]][b[1]] += room
+                    else:
+                        flow[b[1]][a[1]] -= room
+                used[start] += room
+                need[goal[1]] -= room
     return used
 
 
