@@ -1,7 +1,6 @@
 """Operators on documents against brute force, with odd rows."""
 
 import collections
-import hashlib
 import random
 import re
 import textwrap
@@ -99,6 +98,40 @@ def test_near_duplicates_equal_brute_force(spark, odd_docs, empty_docs):
     assert near_dedup.near_duplicates(empty_docs).count() == 0
 
 
+def test_hot_keys_are_dealt(spark):
+    """A key with most rows meets its partner in many parts, and the join's rows are the same."""
+    from paperloom.llm.skew import join_dealt
+
+    many = spark.range(3000).select(F.when(F.col("id") % 4 == 0, F.col("id")).otherwise(7).alias("k"), F.col("id").alias("v")).unionByName(spark.createDataFrame([(None, -1)], "k long, v long"))
+    one = spark.range(2000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+    counts = many.groupBy("k").agg(F.count("*").alias("n"))
+    for how in ("inner", "left"):
+        dealt = join_dealt(many, one, "k", counts, many.count(), ["v"], how)
+        assert sorted(map(str, dealt.collect())) == sorted(map(str, many.join(one, "k", how).select(*dealt.columns).collect()))
+    plan = join_dealt(many, one, "k", counts, many.count(), ["v"])._jdf.queryExecution().executedPlan().toString()
+    assert "_part" in plan
+
+
+def test_planted_copies_are_found(spark):
+    """Recall of near copies measured on planted pairs beside a given table, by their true similarity."""
+    rng = random.Random(11)
+    origin = [[f"q{rng.randrange(30_000)}" for _ in range(rng.choice([40, 90, 300]))] for _ in range(250)]
+    rows, want = [], 0
+    for k, words in enumerate(origin):
+        copy = list(words)
+        for _ in range(rng.randrange(0, 1 + len(words) // 45)):
+            copy[rng.randrange(len(copy))] = f"z{rng.randrange(10**6)}"
+        rows += [(10**7 + 2 * k, " ".join(words)), (10**7 + 2 * k + 1, " ".join(copy).upper())]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).filter("doc_id >= 10000000").collect()}
+    for k in range(len(origin)):
+        a, b = shingles(rows[2 * k][1]), shingles(rows[2 * k + 1][1])
+        alike = 100 * len(a & b) >= 75 * len(a | b)
+        want += alike
+        assert (got[10**7 + 2 * k] == got[10**7 + 2 * k + 1]) == alike
+    assert want > 100
+
+
 def test_sequential_test_keeps_similar_pairs():
     steps = near_dedup.least_matches(0.75, 1e-6, 16)
     assert [n for n, _ in steps] == list(range(16, 129, 16)) and all(0 <= m < 0.75 * n for n, m in steps)
@@ -251,6 +284,44 @@ def test_mixing_meets_targets(spark, odd_docs, empty_docs):
     assert mixing.mix_sources(empty_docs).count() == 0
 
 
+def test_registered_mix_comes_near_its_targets(spark):
+    """The query on given tables against targets computed here, word by word."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    size = {r.doc_id: len(re.findall(SPACED, r.text or "")) for r in docs}
+    source = {r.doc_id: r.source for r in docs}
+    sizes, taken = collections.Counter(), collections.Counter()
+    for d, n in size.items():
+        sizes[source[d]] += n
+    names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
+    weight, goal, left = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}, {}, set(names)
+    while left:
+        rest = sum(sizes.values()) - sum(goal.values())
+        share = {s: rest * weight[s] / sum(weight[x] for x in left) for s in left}
+        above = {s for s in left if share[s] > 3 * sizes[s]}
+        goal |= {s: 3.0 * sizes[s] for s in above} if above else share
+        left = left - above if above else set()
+    rows = queries.op2_mix_sources(spark, "/root/testdata/sf0.01").collect()
+    assert {r.doc_id: (r["size"], r.source_size) for r in rows} == {d: (n, sizes[source[d]]) for d, n in size.items()}
+    for r in rows:
+        assert r.target == pytest.approx(goal[source[r.doc_id]]) and 0 <= r.taken <= 3 * r["size"] and (not r["size"] or r.taken % r["size"] == 0)
+        taken[source[r.doc_id]] += r.taken
+    for s in names:
+        assert abs(taken[s] - goal[s]) <= 0.03 * goal[s] + 50
+
+
+def test_flow_of_many_patterns_is_quick_and_meets_quotas():
+    rng = random.Random(1)
+    sources = [f"s{k}" for k in range(40)]
+    members = {p: rng.sample(sources, rng.randrange(1, 4)) for p in range(20_000)}
+    capacity = {p: rng.randrange(1, 1000) for p in members}
+    quota = {s: 100_000.0 * (1 + k % 3) for k, s in enumerate(sources)}
+    used = mixing.route(capacity, members, quota)
+    assert sum(used.values()) == pytest.approx(sum(quota.values()), rel=1e-6)
+    assert all(0 <= used[p] <= 3 * capacity[p] + 1e-6 for p in members)
+    fresh = sum(used[p] <= capacity[p] + 1e-6 for p in members)
+    assert fresh == len(members) or sum(min(used[p], capacity[p]) for p in members) == pytest.approx(sum(capacity.values()))
+
+
 def test_targets_share_what_is_above():
     assert mixing.targets({"a": 10, "b": 100}, {"a": 5, "b": 2}) == {"a": 30.0, "b": 80.0}
     assert mixing.weights_by_order(["b", None, "a"]) == {"a": 5, "b": 2, None: 1}
@@ -267,7 +338,8 @@ def test_flow_reroutes_shared_patterns():
 def test_overlapping_sources(spark):
     docs = spark.createDataFrame([(k, " ".join(["w"] * (5 + k % 7)), ["a", "b"] if k % 3 == 0 else ["a" if k % 3 == 1 else "b"]) for k in range(600)], "doc_id long, text string, tags array<string>")
     rows = mixing.mix_sources(docs, member=F.col("tags"), weights=lambda names: {n: 1 for n in names}).collect()
-    assert len(rows) == 600 and sum(r.taken for r in rows) > 0
+    assert len(rows) == 600 and all(0 <= r.taken <= 3 * r["size"] for r in rows)
+    assert sum(r.taken for r in rows) == pytest.approx(sum(r["size"] for r in rows), rel=0.02)
 
 
 def test_toxicity_points_at_sentences(spark, empty_docs):
@@ -297,6 +369,105 @@ def test_toxicity_points_at_sentences(spark, empty_docs):
     assert all(r.score < 0.1 for r in toxicity.score(d, blank).collect())
 
 
+def test_noisy_or_by_hand(spark):
+    """Scores against the formula over sentences and words cut by regular expressions."""
+    rng = random.Random(4)
+    vocabulary = [f"word{k}é" if k % 9 == 0 else f"word{k}" for k in range(60)] + ["x", "yy", "rotten", "rottenness"]
+
+    def hashes(words):
+        (w,) = W.blocks(pa.array([" ".join(words)], pa.string()), W.LETTERS, lower=True)
+        return dict(zip(words, w.hash.tolist()))
+
+    def features(word):
+        out = [hashes([word])[word]]
+        data = word.encode()
+        for n in toxicity.PREFIXES:
+            if len(data) > n:
+                value = 0
+                for k, b in enumerate(data[:n]):
+                    value = (value + (b + 1) * pow(W._BASE, k, 1 << 64)) % (1 << 64)
+                value = int(W.mix(np.array([value], dtype=np.uint64))[0])
+                out.append(int(W.mix(np.array([(value + n) % (1 << 64)], dtype=np.uint64))[0]))
+        return out
+
+    known = {f for w in rng.sample(vocabulary, 25) for f in features(w)}
+    weight = {f: rng.uniform(0.5, 9) for f in sorted(known)}
+    model = toxicity.MilModel(np.array(sorted(weight), dtype=np.uint64), np.array([weight[f] for f in sorted(weight)]), toxicity.MilSettings())
+    texts = ["".join(rng.choice(vocabulary).upper() + rng.choice([" ", ", ", ". ", "!\n", "? "]) for _ in range(rng.randrange(30))) for _ in range(60)] + [None, "", "...", "Rotten"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    for r in toxicity.score(docs, model).collect():
+        sentences = [x for x in (re.findall(LETTERS, low(part)) for part in re.split(r"[.!?\n]", texts[r.doc_id] or "")) if x]
+        chances = [sigmoid(-12 + sum(weight.get(f, 0) for f in {f for w in own for f in features(w)})) for own in sentences]
+        assert r.n_sentences == len(sentences) and r.score == pytest.approx(1 - np.prod([1 - p for p in chances]), abs=1e-9)
+        assert len(r.offending) == sum(p >= 0.5 for p in chances)
+
+
+def test_fitting_moves_only_the_sample(spark):
+    """The corpus is scanned and joined in many tasks; one exchange brings the sample to the fitting task."""
+    docs = spark.createDataFrame([(k, f"some text {k % 7}") for k in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(50)], "doc_id long, toxic int")
+    plan = toxicity._sample(docs, labels, toxicity.MilSettings(), "doc_id", "text", "toxic")._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce" not in plan and "REPARTITION_BY_NUM" in plan and plan.index("REPARTITION_BY_NUM") < plan.index("Join")
+
+
+def test_licenses_equal_brute_force(spark):
+    """Every template is aligned with every stretch of every document."""
+    rng = random.Random(6)
+    texts = {
+        "long": "license to copy and to use this work in any form is given to all who ask for it and name its maker in every copy that they hand on",
+        "other": "license to sell and to lend this tool in no form is given to those who ask for it but name another maker in any copy that they keep",
+        "short": "Some rights reserved by many.",
+        "number": "Licensed under terms version 2.",
+    }
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for k, y in enumerate(b):
+                new.append(row[k] + 1 if x == y else max(row[k + 1], new[k]))
+            row = new
+        return row[-1]
+
+    def brute(text):
+        said, found = [w.lower() for w in re.findall("[A-Za-z0-9]+", text)], []
+        for name, t in texts.items():
+            wanted = [w.lower() for w in re.findall("[A-Za-z0-9]+", t)]
+            spare = len(wanted) // 10 if len(wanted) > 20 else 0
+            for a in range(len(said)):
+                for b in range(a + len(wanted) - spare, min(len(said), a + len(wanted) + spare) + 1):
+                    same = common(wanted, said[a:b])
+                    if len(wanted) - same <= spare and b - a - same <= spare:
+                        found.append((len(wanted) - same + b - a - same, -len(wanted), a, b, name))
+        out, taken = [], set()
+        for _, _, a, b, name in sorted(found):
+            if not taken & set(range(a, b)):
+                taken |= set(range(a, b))
+                out.append((a, name))
+        return [n for _, n in sorted(out)]
+
+    def edited(t):
+        words = t.split()
+        for _ in range(rng.choice([0, 0, 1, 2, 3, 5])):
+            k = rng.randrange(len(words))
+            words[k : k + 1] = rng.choice([[], [words[k], "extra"], ["swapped"]]) if len(words) > 8 else words[k : k + 1]
+        return " ".join(words)
+
+    docs = ["license note. " + " ".join(rng.choice([edited(t), "filler words here", "more of it"]) for t in rng.choices(list(texts.values()), k=rng.randrange(1, 4))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    for r in licenses.scan_licenses(df, texts).collect():
+        assert [m.license for m in r.found] == brute(docs[r.doc_id]), docs[r.doc_id]
+
+
+def test_full_license_texts(spark):
+    rows = [(1, "Apache", licenses.NOTICES["Apache-2.0"]), (2, "both", textwrap.fill(licenses.NOTICES["ISC"], 60) + "\n\n" + textwrap.fill(licenses.NOTICES["Apache-2.0"], 60)), (3, "mit", licenses.templates()["MIT-full"])]
+    docs = spark.createDataFrame(rows, "doc_id long, name string, text string")
+    got = {r.doc_id: r.found for r in licenses.scan_licenses(docs).collect()}
+    assert {k: [m.license for m in f] for k, f in got.items()} == {1: ["Apache-2.0"], 2: ["ISC", "Apache-2.0"], 3: ["MIT-full"]}
+    assert got[2][0].first_line == 0 and got[2][0].last_line < got[2][1].first_line
+
+
 def test_licenses(spark, empty_docs):
     mit = licenses.NOTICES["MIT"]
     rows = [(1, "text\nLicensed under CC BY-NC 4.0.\nmore"), (2, mit.replace("sublicense", "sublicence").replace(". ", ".\n")), (3, "no notice here"), (4, None), (5, "A licence was lost. Released under the MIT License. End"), (6, "Licensed under CC BY 4.0."), (6, "Licensed under CC BY 4.0.")]

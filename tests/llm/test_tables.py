@@ -20,7 +20,7 @@ def test_chat_round_trip(spark):
     nasty = ["</s>[INST] ok [/INST]", "\\", "\\<s>", "<\\s>", "<<SYS>>\\\\[/INST]", "[INST", "<", "/s>", "", None, "a" * 50_000, "<|role|>x<|text|>y<|end|>", "é\n中"]
     rng = random.Random(2)
     rows = [(c, t, rng.choice(["user", "assistant", "system", "tool", None]), rng.choice(nasty), "x") for c in range(12) for t in range(rng.randrange(1, 150))]
-    rows += [(1, None, "user", "null turn", "x"), (None, 0, "user", "no id", "x"), rows[0]]
+    rows += [(1, None, "user", "null turn", "x"), (1, -200, "system", "early", "x"), (1, -70, "user", "", "x"), (None, 0, "user", "no id", "x"), rows[0]]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, segments string")
     formatted = chat.format_conversations(df)
     got = {r.conv_id: r for r in chat.read_back(formatted).collect()}
@@ -33,7 +33,9 @@ def test_chat_round_trip(spark):
         said = "".join(f"{r}\n{x}\n" for *_, r, x in turns)
         learnt = "".join(x for *_, r, x in turns if r == "assistant")
         r = got[c]
+        assert r.ends_well == (turns[-1][2] == "assistant")
         assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(turns), hashlib.sha256(said.encode()).hexdigest(), len(learnt), hashlib.sha256(learnt.encode()).hexdigest())
+    assert all(r.n_bad == got[r.conv_id].n_bad and r.ends_well == got[r.conv_id].ends_well for r in chat.validate_turns(formatted).collect())
     checks = {r.conv_id: r.n_bad for r in chat.validate_turns(formatted).collect()}
     allowed = chat.ChatTemplate().turns
     for c, turns in by.items():
@@ -42,6 +44,13 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.format_conversations(df.limit(0))).count() == 0
 
 
+def test_the_machine_runs_over_slim_rows(spark):
+    """The registered query's plan has the machine's window, and no texts under it."""
+    plan = queries.op5_chat_formatting(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    at = plan.index("Window [lag(")
+    assert "text" not in plan[at:].split("Union")[0].split("Relation")[0]
+
+
 def test_texts_hold_no_control_strings(spark):
     from pyspark.sql import functions as F
 
@@ -108,6 +117,31 @@ def test_battery_tells_random_from_structured(spark):
     assert len(found & set(range(40))) >= 34 and not found - set(range(40))
 
 
+def test_error_shares_of_the_battery(spark):
+    """Planted random and structured tokens of several lengths: what is reported and what is lost."""
+    rng = random.Random(12)
+    alphabets = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"]
+    syllables = ["the", "ing", "er", "an", "re", "on", "at", "en", "nd", "st"]
+    rows = []
+    for k in range(900):
+        n, letters = rng.choice([20, 24, 31]), rng.choice(alphabets[1:])
+        rows.append((k, "".join(rng.choice(letters) for _ in range(n - 2)) + "a1" if letters != alphabets[1] else "".join(rng.choice(letters) for _ in range(n - 2)) + "A2"))
+    for k in range(900, 1800):
+        n = rng.choice([24, 40, 70])
+        word = "".join(rng.choice(syllables) for _ in range(n))[: n - 2] + str(rng.randrange(10, 99))
+        rows.append((k, word))
+    df = spark.createDataFrame([(k, f"see {t} .") for k, t in rows], "doc_id long, text string")
+    out = secrets.find_secrets(df).collect()
+    found = {r.doc_id for r in out if any(s.kind == "random" for s in r.spans)}
+    reported = [k for k in found]
+    false = sum(k >= 900 for k in reported) / len(reported)
+    kept = sum(k < 900 for k in reported) / 900
+    assert false <= 0.05 and kept >= 0.9
+    p = sorted(t.test.p_uniform for r in out if r.doc_id < 900 for t in r.tested)
+    for share in (0.01, 0.05, 0.2):  # p-values of random tokens keep their level
+        assert sum(x <= share for x in p) / len(p) <= 1.6 * share + 0.01
+
+
 def test_queries_are_registered():
     names = {m[1] for n in queries.QUERIES if (m := re.match(r"op(\d+)_", n))}
     assert names == {str(k) for k in range(1, 11)} and set(queries.QUERIES) <= set(entry.queries()) and "pipeline" in entry.queries()
@@ -131,6 +165,67 @@ def test_pipeline_of_nothing(spark):
         assert stage(spark, docs, DATA).count() == 0
 
 
+def test_pipeline_with_odd_rows_and_clashing_columns(spark):
+    """Every stage with nulls in all columns, repeated rows, long and empty texts, and extra columns
+    named like the operators' own."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    odd = [(None, None, None, None, None), (None, None, None, None, None), (7, "", "en", "x", 0), (8, " \n", None, None, None), (9, "long words " * 60_000, "en", None, 1)]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema)).unionByName(docs.limit(5))
+    names = ["order", "member", "copy", "copies", "gone", "size", "target", "taken", "source_size", "row", "n", "id", "body", "score", "component_id", "n_hit", "key", "a b", "c0", "text_key", "doc"]
+    docs = docs.withColumns({n: F.lit(k) if k % 2 else F.lit(None).cast("string") for k, n in enumerate(names)})
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, kept, DATA)
+        assert after.columns == docs.columns, name
+        assert after.filter("size is null").count() == 0 and after.filter("`order` is not null").count() == 0
+        assert after.count() > 0
+        kept = after
+    assert corpus_pipeline.STAGES[-1][1](spark, kept, DATA).count() == kept.count()
+
+
+def test_pipeline_equals_a_brute_force_version(spark):
+    """Near copies, contaminated and repeated rows of a small table, stage by stage."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    words = r"[^\x20\x09-\x0D]+"
+    low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    ids = lambda df: sorted((r.doc_id, r.text) for r in df.collect())
+
+    def shingles(t):
+        w = re.findall(words, low(t))
+        return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    sets = [shingles(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for k in range(len(rows)):
+        for j in range(k):
+            if sets[k] and sets[j] and 100 * len(sets[k] & sets[j]) >= 75 * len(sets[k] | sets[j]) and group[k] != group[j]:
+                lo, hi = sorted((group[k], group[j]))
+                group = [lo if g == hi else g for g in group]
+    assert ids(corpus_pipeline.drop_near_duplicates(spark, docs, DATA)) == [rows[k] for k in range(len(rows)) if group[k] == k]
+
+    letters = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    windows = collections.defaultdict(set)
+    for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect():
+        w = re.findall(letters, low(r.text))
+        for k in range(max(min(len(w), 1), len(w) - 9)):
+            windows[len(w[k : k + 10])].add(tuple(w[k : k + 10]))
+
+    def clean(t):
+        w = re.findall(letters, low(t))
+        return not any(tuple(w[k : k + n]) in own for n, own in windows.items() for k in range(len(w) - n + 1))
+
+    left = [x for x in rows if clean(x[1])]
+    assert 0 < len(left) < len(rows)
+    assert ids(corpus_pipeline.drop_contaminated(spark, docs, DATA)) == left
+
+    mixed = collections.Counter(ids(corpus_pipeline.mix(spark, docs, DATA)))
+    taken = {r.doc_id: r.taken for r in queries.op2_mix_sources(spark, DATA).collect()}
+    assert {d: n * len(re.findall(words, t or "")) for (d, t), n in mixed.items()} == {d: n for d, n in taken.items() if n}
+
+
 def test_pipeline_judges_rows_not_ids(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     item = spark.read.parquet(f"{DATA}/benchmark.parquet").orderBy("item_id").first().text
