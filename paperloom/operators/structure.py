@@ -71,20 +71,29 @@ def logical_lines(lines: DataFrame, soft: Column, key: str = "doc", order: str =
     return grouped.select(key, "line", "first", joined.alias("text"))
 
 
-def paragraph_units(lines: DataFrame, key: str = "doc", order: str = "li", text: str = "text", indent: int = 5, short: int = 45) -> DataFrame:
-    """unit number of each line: an indented line starts one, flush lines continue; single short
-    lines of neighbouring units are one run, and a long line boxed in by short ones joins it."""
+def paragraph_units(lines: DataFrame, key: str = "doc", order: str = "li", text: str = "text", indent: int = 5, short: int = 45, margin: int = 65, nowrap: Column | None = None) -> DataFrame:
+    """unit number of each line: an indented line starts one, flush lines continue. Neighbouring
+    units of one short line each, and a line within the margin boxed in by them, are one unit if
+    together they are verse. Neighbouring lines set by hand (``nowrap``) are one unit."""
     w = _doc(key, order)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    m = lines.withColumn("_start", (indent_of(F.col(text)) >= indent) | F.coalesce(_blank(F.lag(text).over(w)), F.lit(True)))
+    no = F.lit(False)
+    m = lines.withColumn("_by_hand", no if nowrap is None else F.coalesce(nowrap, no))
+    was = F.coalesce(F.lag("_by_hand").over(w), no)
+    fresh = (indent_of(F.col(text)) >= indent) | F.coalesce(_blank(F.lag(text).over(w)), F.lit(True)) | (was != F.col("_by_hand"))
+    m = m.withColumn("_start", fresh & ~(was & F.col("_by_hand")))
     m = m.withColumn("_unit", F.sum(F.col("_start").cast("long")).over(upto))
-    unit = Window.partitionBy(key, "_unit")
-    m = m.withColumn("_short", (F.count("*").over(unit) == 1) & (F.length(F.rtrim(F.col(text))) <= short) & ~_blank(text))
-    boxed = F.coalesce(F.lag("_short").over(w), F.lit(False)) & F.coalesce(F.lead("_short").over(w), F.lit(False)) & (F.count("*").over(unit) == 1) & ~_blank(text)
-    m = m.withColumn("_verse", F.col("_short") | boxed)
-    joins = F.col("_verse") & F.coalesce(F.lag("_verse").over(w), F.lit(False))
-    m = m.withColumn("unit", F.sum((F.col("_start") & ~joins).cast("long")).over(upto))
-    return m.withColumn("short_run", F.col("_verse")).drop("_start", "_unit", "_short", "_verse")
+    m = m.withColumn("_single", (F.count("*").over(Window.partitionBy(key, "_unit")) == 1) & ~_blank(text) & ~F.col("_by_hand"))
+    size = F.length(F.rtrim(F.col(text)))
+    m = m.withColumn("_short", F.col("_single") & (size <= short))
+    boxed = F.coalesce(F.lag("_short").over(w), no) & F.coalesce(F.lead("_short").over(w), no) & F.col("_single") & (size < margin)
+    m = m.withColumn("_candidate", F.col("_short") | boxed)
+    m = m.withColumn("_after", F.coalesce(F.lag("_candidate").over(w), no))
+    m = m.withColumn("_run", F.sum((F.col("_candidate") & ~F.col("_after")).cast("long")).over(upto))
+    verse = verse_test(m.filter("_candidate"), [key, "_run"], text).filter("is_verse").select(key, "_run", F.lit(True).alias("_verse"))
+    m = m.join(verse, [key, "_run"], "left").withColumn("short_run", F.col("_candidate") & F.coalesce("_verse", no))
+    m = m.withColumn("unit", F.sum((F.col("_start") & ~(F.col("short_run") & F.col("_after"))).cast("long")).over(upto))
+    return m.select(*lines.columns, "unit", "short_run")
 
 
 def wrap_margin(lines: DataFrame, key: str = "doc", text: str = "text", floor: int = 65) -> DataFrame:

@@ -232,7 +232,7 @@ def batch_progress(spark, d):
 
 QUERIES = {f.__name__: f for f in (document_stats, diagnosis, diagnose_document_json, keywords, toc_and_index, colours_used, fonts_used, search_index, diagnose_json, layout_json, exact_total, digest_grid, render_text, render_text_facsimile, render_markdown, render_html, export_plan, unique_names, picture_names, render_with, drift, named_divergences, coverage, corpus_union, format_names, style_set_algebra, word_parity, balanced_markup, well_formed_tags, lint, sensitive_scan, status_log, batches_of, batch_progress)}
 
-_VERSE_OF_UNITS = VERSE_BY.format(run="li // 4 as unit", shifted="false", keys="doc, unit")
+_VERSE_OF_UNITS = VERSE_BY.format(run="li // 4 as unit", shifted="false", keys="doc, unit", table="LP")
 _STATE = """D as (select doc_id as doc, case doc_id % 10 when 1 then 'changed' when 2 then 'source changed' when 3 then 'missing' when 4 then 'missing' else 'same' end as state from documents union all select doc_id + 1000000, 'new' from documents where doc_id % 10 = 4)"""
 _SPANS = f""", {_NOTES}, S as (select doc, li // 3 as bi, li % 3 as li, text || ' <*>' as t, (doc + li) % 8 as st, case when (doc + li) % 10 = 9 then cast(li as varchar) end as ref from L),
     M as (select *, case when st % 2 = 1 then 1 else 0 end as b, case when st // 2 % 2 = 1 then 1 else 0 end as i, case when st // 4 = 1 then 1 else 0 end as u from S)"""

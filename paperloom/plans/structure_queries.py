@@ -27,7 +27,7 @@ def logical_lines(spark, d):
 
 
 def paragraph_units(spark, d):
-    return S.paragraph_units(planted(spark, d)).select("doc", "li", "unit", "short_run")
+    return S.paragraph_units(planted(spark, d), nowrap=F.expr("li div 9 % 5 = 4")).select("doc", "li", "unit", "short_run")
 
 
 def wrap_margin(spark, d):
@@ -107,7 +107,7 @@ QUERIES = {f.__name__: f for f in (break_kinds, logical_lines, paragraph_units,
 _TERM = "regexp_matches(rtrim(text), '[.!?][\"''’”]*$')"
 #: whether runs of planted lines are verse, by expressions for the run and for a shifted style
 VERSE_BY = """select {keys}, (n > 0 and 2 * g >= n) or (s >= 2 and 3 * q < n and 10 * t < 9 * s and (2 * h > n or 10 * t < 8 * s)) as is_verse from (select {keys}, count(*) filter (f) as n, count(*) filter (f and not l and regexp_matches(text, '^[\\s|+=_─-╿-]*$')) as g, count(*) filter (f and l) as s,
-        count(*) filter (f and regexp_matches(ltrim(text), '^["\'\'‘“][^"\'\'’”]*["\'\'’”]')) as q, count(*) filter (f and l and """ + _TERM + """) as t, count(*) filter (f and sh) as h from (select doc, li, {run}, text, {shifted} as sh, trim(text) <> '' as f, regexp_matches(text, '\\p{{L}}') as l from LP) group by {keys})"""
+        count(*) filter (f and regexp_matches(ltrim(text), '^["\'\'‘“][^"\'\'’”]*["\'\'’”]')) as q, count(*) filter (f and l and """ + _TERM + """) as t, count(*) filter (f and sh) as h from (select doc, li, {run}, text, {shifted} as sh, trim(text) <> '' as f, regexp_matches(text, '\\p{{L}}') as l from {table}) group by {keys})"""
 ORACLES = {
     "break_kinds": with_views(_TYPED + """, M as (select *, trim(text) = '' as b, sum(case when trim(text) = '' then 0 else 1 end) over (partition by doc order by li) as run,
         first_value(case when trim(text) <> '' then ltrim(text) end ignore nulls) over (partition by doc order by li rows between 1 following and unbounded following) as nxt from T),
@@ -119,18 +119,22 @@ ORACLES = {
         G as (select *, sum(s) over (partition by doc order by li) - 1 as line from N),
         K as (select *, row_number() over (partition by doc, line order by li) as k, lag(text) over (partition by doc, line order by li) as p from G)
         select doc, cast(line as bigint) as line, min(li) as first, md5(string_agg(case when k = 1 then text else case when p = '' or regexp_matches(p, '[ -]$') then '' else ' ' end || ltrim(text) end, '' order by li)) as text from K group by doc, line""", "LP"),
-    "paragraph_units": with_views(""", A as (select *, length(text) - length(ltrim(text)) >= 5 or coalesce(trim(lag(text) over (partition by doc order by li)) = '', true) as s, trim(text) = '' as b from LP),
+    "paragraph_units": with_views(""", A0 as (select *, li // 9 % 5 = 4 as nw, coalesce(lag(li // 9 % 5 = 4) over (partition by doc order by li), false) as wn, coalesce(trim(lag(text) over (partition by doc order by li)) = '', true) as pb from LP),
+        A as (select *, (length(text) - length(ltrim(text)) >= 5 or pb or nw <> wn) and not (nw and wn) as s, trim(text) = '' as b from A0),
         B as (select *, sum(case when s then 1 else 0 end) over (partition by doc order by li) as u from A),
-        C as (select *, count(*) over (partition by doc, u) = 1 as single from B),
-        D as (select *, single and length(rtrim(text)) <= 45 and not b as short from C),
-        E as (select *, short or (coalesce(lag(short) over w, false) and coalesce(lead(short) over w, false) and single and not b) as verse from D window w as (partition by doc order by li)),
-        F as (select *, verse and coalesce(lag(verse) over (partition by doc order by li), false) as joins from E)
-        select doc, li, cast(sum(case when s and not joins then 1 else 0 end) over (partition by doc order by li) as bigint) as unit, verse as short_run from F""", "LP"),
+        C as (select *, count(*) over (partition by doc, u) = 1 and not b and not nw as single from B),
+        D as (select *, single and length(rtrim(text)) <= 45 as short from C),
+        E as (select *, short or (coalesce(lag(short) over w, false) and coalesce(lead(short) over w, false) and single and length(rtrim(text)) < 65) as cand from D window w as (partition by doc order by li)),
+        F0 as (select *, coalesce(lag(cand) over (partition by doc order by li), false) as aft from E),
+        F as (select *, sum(case when cand and not aft then 1 else 0 end) over (partition by doc order by li) as rn from F0),
+        V as (""" + VERSE_BY.format(run="rn as run", shifted="false", keys="doc, run", table="F where cand") + """),
+        G as (select F.*, cand and coalesce(is_verse, false) as verse from F left join V on V.doc = F.doc and V.run = F.rn)
+        select doc, li, cast(sum(case when s and not (verse and aft) then 1 else 0 end) over (partition by doc order by li) as bigint) as unit, verse as short_run from G""", "LP"),
     "wrap_margin": with_views("select doc, greatest(65, list_sort(list(length(rtrim(text))))[cast(count(*) * 9 // 10 as bigint) + 1]) as margin from L where trim(text) <> '' group by doc", "L"),
     "modal_value": with_views(""", V as (select doc, li, length(text) - length(ltrim(text)) + length(text) % 3 as v from LP), C as (select doc, v, count(*) as n, min(li) as f from V group by 1, 2)
         select doc, cast(v as integer) as value, n as count from (select *, row_number() over (partition by doc order by n desc, f) as r from C) where r = 1""", "LP"),
     "terminal_fraction": with_views(f"select doc, coalesce(avg(case when regexp_matches(text, '\\p{{L}}') then case when {_TERM} then 1.0 else 0.0 end end), 1.0) as fraction from L group by doc", "L"),
-    "verse_test": with_views(", V as (" + VERSE_BY.format(run="li // 6 as run", shifted="li % 5 < 3", keys="doc, run") + ") select * from V", "LP"),
+    "verse_test": with_views(", V as (" + VERSE_BY.format(run="li // 6 as run", shifted="li % 5 < 3", keys="doc, run", table="LP") + ") select * from V", "LP"),
     "discover_bullets": with_views(""", M as (select doc, li, cast(length(regexp_extract(text, '^( *)', 1)) as integer) as col, regexp_extract(text, '^ *([^\\sA-Za-z0-9]) \\S', 1) as glyph, regexp_extract(text, '^ *[^\\sA-Za-z0-9] (\\S.*)$', 1) as rest from LP where regexp_matches(text, '^ *[^\\sA-Za-z0-9] \\S'))
         select doc, li, col, glyph from (select *, count(*) over (partition by doc, col, glyph) as n from M where not contains(rest, glyph)) where n >= 2""", "LP"),
     "discover_label_lists": with_views(""", M as (select *, sum(case when trim(text) = '' then 1 else 0 end) over (partition by doc order by li) as island from LP),
