@@ -76,7 +76,9 @@ def distinct_used(df: DataFrame, column: str, key: str = "doc") -> DataFrame:
 
 
 def search_index(docs: DataFrame, key: str = "doc", text: str = "text", **attributes: Column) -> DataFrame:
-    """One nullable column for each attribute; text and title (the first full line) always."""
+    """One nullable column for each attribute; text and title (the first full line) always.
+
+    Attributes are ``try_`` expressions, so one that fails is null and takes no other with it."""
     title = F.nullif(F.regexp_extract(text, r"(?m)^\s*(\S.*)$", 1), F.lit(""))
     return docs.select(key, title.alias("title"), F.col(text).alias("content"), *(c.alias(n) for n, c in attributes.items()))
 
@@ -86,11 +88,18 @@ def diagnose_json(df: DataFrame, columns: list[str], key: str = "doc") -> DataFr
     return df.select(key, F.to_json(F.struct(*columns), {"ignoreNullFields": "true"}).alias("json"))
 
 
-def layout_json(page_lines: DataFrame, key: str = "doc", page: str = "page", order: list[str] = ("bi", "li"), version: int = 13) -> DataFrame:
-    """{format, version, pages: [{page, lines: [...]}]} per document, in order."""
+def layout_json(page_lines: DataFrame, meta: DataFrame | None = None, items: DataFrame | None = None, key: str = "doc", page: str = "page", order: list[str] = ("bi", "li"), version: int = 13) -> DataFrame:
+    """{format, version, meta, items, pages: [{page, lines: [...]}]} per document, in order: ``meta``
+    has a row of facts for each document, ``items`` the typed stream (seq, kind, ref) of its flow."""
     rows = page_lines.groupBy(key, page).agg(F.sort_array(F.collect_list(F.struct(*order))).alias("lines"))
     pages = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(page).alias("page"), "lines"))).alias("pages"))
-    return pages.select(key, F.to_json(F.struct(F.lit("layout").alias("format"), F.lit(version).alias("version"), "pages")).alias("json"))
+    parts = ["pages"]
+    if items is not None:
+        flow = items.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "kind", "ref"))), lambda x: F.struct(x["kind"].alias("kind"), x["ref"].alias("ref"))).alias("items"))
+        pages, parts = pages.join(flow, key, "left"), ["items", *parts]
+    if meta is not None:
+        pages, parts = pages.join(meta.select(key, F.struct(*(c for c in meta.columns if c != key)).alias("meta")), key, "left"), ["meta", *parts]
+    return pages.select(key, F.to_json(F.struct(F.lit("layout").alias("format"), F.lit(version).alias("version"), *parts)).alias("json"))
 
 
 def exact_total(df: DataFrame, value: str, key: str, scale: int = 18) -> DataFrame:

@@ -43,7 +43,7 @@ def trailing_break(spark, d):
 
 
 def first_pages(spark, d):
-    return P.first_pages(P.paginate(_flow(spark, d), 800), 2).groupBy("doc").agg(F.count("*").alias("lines"))
+    return P.first_pages(P.paginate(_flow(spark, d), 800), 2).select("doc", "bi", "li", "page")
 
 
 def break_reasons(spark, d):
@@ -213,7 +213,7 @@ ORACLES = {
         T as (select * from (values (1000, 'm'), (900, 'cm'), (500, 'd'), (400, 'cd'), (100, 'c'), (90, 'xc'), (50, 'l'), (40, 'xl'), (10, 'x'), (9, 'ix'), (5, 'v'), (4, 'iv'), (1, 'i')) t(v, m)),
         Y as (select distinct label, cast(label as bigint) as n, '' as r from M where kind = 'endnote' and regexp_matches(label, '^[0-9]+$') and cast(label as bigint) > 0 union all select label, n - (select max(v) from T where v <= n), r || (select arg_max(m, v) from T where v <= n) from Y where n > 0)
         select doc, idx, kind, coalesce(case when kind = 'endnote' then r end, M.label) as label from M left join (select * from Y where n = 0) Y on Y.label = M.label""",
-    "first_pages": with_views(_PAGES + " select doc, count(*) as lines from X where page <= 2 group by doc", "PL"),
+    "first_pages": with_views(_PAGES + " select doc, bi, li, cast(page as bigint) as page from X where page <= 2", "PL"),
     "break_reasons": with_views(_PAGES + " select X.doc, cast(X.page as bigint) as page, X.bi, X.li, case when X.n = 1 then 'start' when X.bi % 1000 = 0 then 'form feed' when F.forced then 'explicit' else 'overflow' end as reason from (select *, lag(page) over (partition by doc order by n) as was from X) X join F using (doc, bi, li) where was is null or was <> page", "PL"),
     "wrap_words": with_views(r""", T as (select doc, li, list_filter(string_split_regex(trim(text), ' +'), lambda x: x <> '') as w from L),
         R as (select doc, li, case when len(w) = 0 then {'n': 0, 'w': 0, 'r': 1, 't': ''} else list_reduce(list_transform(w, lambda x: {'n': length(x), 'w': length(x), 'r': 1, 't': x}),

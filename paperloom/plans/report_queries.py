@@ -67,7 +67,7 @@ def fonts_used(spark, d):
 
 def search_index(spark, d):
     number = F.when(F.col("lang") != "de", F.size(F.split("text", "\n", -1)))
-    out = S.search_index(_docs(spark, d), pages=number.cast("long"), keywords=F.concat_ws(" ", "lang", "source"))
+    out = S.search_index(_docs(spark, d), pages=number.cast("long"), keywords=F.concat_ws(" ", "lang", "source"), year=F.expr("try_cast(substr(text, 1, 4) as int)"), density=F.try_divide(F.length("text"), F.size(F.split("text", "\n", -1)) - 1))
     return out.withColumn("content", F.md5("content"))
 
 
@@ -78,7 +78,9 @@ def diagnose_json(spark, d):
 
 def layout_json(spark, d):
     pages = P.paginate(_flow(spark, d), 800)
-    return S.layout_json(pages.select("doc", "page", "bi", "li")).withColumn("json", F.md5("json"))
+    meta = placed(spark, d).groupBy("doc").agg(F.count("*").alias("lines"), F.max("height").alias("tallest"))
+    items = placed(spark, d).filter("li = 1").select("doc", F.col("bi").alias("seq"), "kind", F.concat(F.lit("b"), F.col("bi").cast("string")).alias("ref"))
+    return S.layout_json(pages.select("doc", "page", "bi", "li"), meta, items).withColumn("json", F.md5("json"))
 
 
 def exact_total(spark, d):
@@ -260,10 +262,11 @@ ORACLES = {
     "toc_and_index": with_views(""", E as (select doc, li, case when li % 8 = 0 then text || ' #' else text end as t, case when doc % 3 <> 0 then cast(li // 10 + 1 as varchar) end as page from LP)
         select doc, md5(string_agg(repeat('  ', li % 3) || case when contains(t, '#') then replace(t, '#', coalesce(page, '')) else rtrim(t) || coalesce(' ' || page, '') end, chr(10) order by li)) as contents from E group by doc""", "LP"),
     "colours_used": with_views("select doc, string_agg(distinct kind, ',' order by kind) as used from PL group by doc", "PL"),
-    "search_index": "select doc_id as doc, nullif(regexp_extract(text, '(?m)^[ \\t\\n\\x0B\\f\\r]*([^ \\t\\n\\x0B\\f\\r][^\\n\\r]*)$', 1), '') as title, md5(text) as content, case when lang <> 'de' then len(string_split(text, chr(10))) end as pages, lang || ' ' || source as keywords from documents",
+    "search_index": "select doc_id as doc, nullif(regexp_extract(text, '(?m)^[ \\t\\n\\x0B\\f\\r]*([^ \\t\\n\\x0B\\f\\r][^\\n\\r]*)$', 1), '') as title, md5(text) as content, case when lang <> 'de' then len(string_split(text, chr(10))) end as pages, lang || ' ' || source as keywords, try_cast(substr(text, 1, 4) as integer) as year, length(text) / nullif(len(string_split(text, chr(10))) - 1, 0) as density from documents",
     "diagnose_json": """select doc_id as doc, '{"lang":"' || lang || '",' || case when doc_id % 2 = 0 then '"source":"' || source || '",' else '' end || '"size":' || length(text) || '}' as json from documents""",
     "layout_json": with_views(_PAGES + """, R as (select doc, page, string_agg('{"bi":' || bi || ',"li":' || li || '}', ',' order by bi, li) as l from X group by doc, page)
-        select doc, md5('{"format":"layout","version":13,"pages":[' || string_agg('{"page":' || page || ',"lines":[' || l || ']}', ',' order by page) || ']}') as json from R group by doc""", "PL"),
+        , Y as (select doc, count(*) as n, max(height) as t, string_agg('{"kind":"' || kind || '","ref":"b' || bi || '"}', ',' order by bi) filter (li = 1) as items from PL group by doc)
+        select doc, md5('{"format":"layout","version":13,"meta":{"lines":' || any_value(n) || ',"tallest":' || any_value(t) || '},"items":[' || any_value(items) || '],"pages":[' || string_agg('{"page":' || page || ',"lines":[' || l || ']}', ',' order by page) || ']}') as json from R join Y using (doc) group by doc""", "PL"),
     "exact_total": "select l_suppkey, cast(round(sum(cast(l_extendedprice as decimal(38,18))) * 100) as bigint) as total from lineitem group by l_suppkey",
     "digest_grid": """select doc_id as doc, 'text' as format, 'modern' as mode, sha256(replace(text, chr(10), chr(10) || chr(10))) as sha256, strlen(replace(text, chr(10), chr(10) || chr(10))) as bytes from documents
         union all select doc_id, 'text', 'facsimile', sha256(text), strlen(text) from documents union all select doc_id, 'html', 'modern', sha256('<p>' || text), strlen(text) + 3 from documents""",

@@ -50,7 +50,10 @@ def _records(spark, d):
 
 
 def read_record_list(spark, d):
-    return A.read_record_list(_records(spark, d)).select("doc", "record", F.array_join("fields", "|").alias("fields"))
+    """Records of the files that are lists; each is broken by a soft return after its first comma."""
+    whole = _records(spark, d)
+    halves = whole.select("doc", F.explode(F.array(F.struct((F.col("li") * 2).alias("li"), F.expr("substr(text, 1, instr(text, ','))").alias("text"), F.lit("soft").alias("terminator")), F.struct((F.col("li") * 2 + 1).alias("li"), F.concat(F.expr("substr(text, instr(text, ',') + 1)"), F.lit("\x1a\x1a")).alias("text"), F.lit("hard").alias("terminator")))).alias("x")).select("doc", "x.*")
+    return A.read_record_list(halves, C.detect_record_lists(whole)).select("doc", "record", F.array_join("fields", "|").alias("fields"))
 
 
 def detect_record_lists(spark, d):
@@ -185,7 +188,7 @@ ORACLES = {
         P as (select doc, unnest(range(len(p))) as page, unnest(p) as c from (select doc, string_split(c, chr(12)) as p from S)),
         Q as (select doc, page, unnest(range(len(p))) as li, unnest(p) as text from (select doc, page, string_split_regex(c, '\\r?\\n') as p from P))
         select doc, page, li, md5(text) as text from Q""", "L"),
-    "read_record_list": "with X as (select 1)" + _DETECT + """ select doc, li as record, case when text like '"%' then replace(regexp_replace(text, '^"(.*)","(.*)",(.*)$', '\\1|\\2|\\3'), '"', '') else text end as fields from R""",
+    "read_record_list": "with X as (select 1)" + _DETECT + """, Q as (select doc from R group by doc having count(*) >= 2 and bool_and(text like '"%')) select doc, 2 * li as record, case when text like '"%' then replace(regexp_replace(text, '^"(.*)","(.*)",(.*)$', '\\1|\\2|\\3'), '"', '') else text end as fields from R where doc in (select doc from Q)""",
     "detect_record_lists": "with X as (select 1)" + _DETECT + """, F as (select doc, case when text like '"%' then 3 else 1 end as f, case when text like '"%' then 2 else 0 end as q from R)
         select doc, count(*) as records, cast(min(f) as bigint) as fields, count(*) >= 2 and min(f) = max(f) and min(f) >= 2 and 2 * sum(q) >= sum(f) as is_list from F group by doc""",
     "byte_profile": with_views(_BYTES + """, K as (select doc, length(chars) as size, (length(chars) - length(replace(chars, chr(141) || chr(10), ''))) // 2 as soft_returns, (length(chars) - length(replace(chars, chr(13) || chr(10), ''))) // 2 as hard_returns,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: File name extensions that documents go by, and pictures.
@@ -63,8 +63,19 @@ def record_fields(line: Column) -> Column:
     return F.transform(fields, lambda f: F.regexp_replace(F.substring(f, 2, 1 << 30), '^"|"$', ""))
 
 
-def read_record_list(lines: DataFrame, key: str = "doc", order: str = "li", text_col: str = "text") -> DataFrame:
-    """(key, record, fields): one row per non-blank comma record."""
+def read_record_list(lines: DataFrame, lists: DataFrame | None = None, key: str = "doc", order: str = "li", text_col: str = "text", pad: str = "\x1a") -> DataFrame:
+    """(key, record, fields): one row per non-blank comma record, of the files that ``lists`` (key,
+    is_list) takes for lists. The padding at a file's end is dropped, and where lines have a
+    ``terminator`` a record goes on after a soft return."""
+    if lists is not None:
+        lines = lines.join(lists.filter("is_list").select(key), key, "left_semi")
+    lines = lines.withColumn(text_col, F.regexp_replace(text_col, f"{pad}+$", ""))
+    if "terminator" in lines.columns:
+        w = Window.partitionBy(key).orderBy(order)
+        new = F.coalesce(F.lag("terminator").over(w) != "soft", F.lit(True))
+        m = lines.withColumn("_r", F.sum(new.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        parts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text_col).alias("t")))), lambda p: p["t"]), "")
+        lines = m.groupBy(key, "_r").agg(F.min(order).alias(order), parts.alias(text_col))
     full = lines.filter(F.trim(text_col) != "")
     return full.select(key, F.col(order).alias("record"), record_fields(F.col(text_col)).alias("fields"))
 
