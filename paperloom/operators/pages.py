@@ -9,17 +9,18 @@ from paperloom.functions.fold import fold_out
 from paperloom.operators.timeline import state_at
 
 
-def page_starts(lines: DataFrame, budget: int, key: str = "doc", order: list[str] = ("bi", "li"), cost: str = "cost", forced: str = "forced", keep: Column | None = None, blank: Column | None = None) -> DataFrame:
+def page_starts(lines: DataFrame, budget: int | Column, key: str = "doc", order: list[str] = ("bi", "li"), cost: str = "cost", forced: str = "forced", keep: Column | None = None, blank: Column | None = None) -> DataFrame:
     """(key, order, start, page) of every line that starts a page: a forced break, a line whose
     cost no longer fits the budget, or one that is to stay with the next lines (``keep`` of them,
-    itself included, up to a forced break) and does not fit with them. A ``blank`` line at the top
-    of a page is not printed: it is listed with ``start`` false.
+    itself included, up to a forced break) and does not fit with them. A page's budget is that in
+    force at its first line. A ``blank`` line at the top of a page is not printed: it is listed with
+    ``start`` false.
 
     Filling is sequential inside a document, so its lines are folded in order; the state is the
     room used, and only starts are given out, never a page for each line.
     """
     no = F.lit(False)
-    one = F.struct(*(F.col(c) for c in order), F.col(cost).cast("long").alias("cost"), F.coalesce(F.col(forced).cast("boolean"), no).alias("forced"), F.coalesce(F.lit(0) if keep is None else keep.cast("int"), F.lit(0)).alias("keep"), F.coalesce(no if blank is None else blank, no).alias("blank"))
+    one = F.struct(*(F.col(c) for c in order), F.col(cost).cast("long").alias("cost"), F.coalesce(F.col(forced).cast("boolean"), no).alias("forced"), F.coalesce(F.lit(0) if keep is None else keep.cast("int"), F.lit(0)).alias("keep"), F.coalesce(no if blank is None else blank, no).alias("blank"), (F.lit(budget) if isinstance(budget, int) else budget).cast("long").alias("budget"))
     kinds = dict(lines.dtypes)
     place = "struct<" + ",".join(f"{c}:{kinds[c]}" for c in order) + ",start:boolean>"
     folded = lines.groupBy(key).agg(F.sort_array(F.collect_list(one)).alias("_l"))
@@ -27,25 +28,28 @@ def page_starts(lines: DataFrame, budget: int, key: str = "doc", order: list[str
     if keep is not None:
 
         def together(x: Column, i: Column) -> Column:
-            nothing = F.struct(F.lit(0).cast("long").alias("n"), F.lit(True).alias("open"))
+            none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(True).alias("open"))
             more = lambda acc, y: F.struct(F.when(acc["open"] & ~y["forced"], acc["n"] + y["cost"]).otherwise(acc["n"]).alias("n"), (acc["open"] & ~y["forced"]).alias("open"))
-            return F.when(x["keep"] > 1, x["cost"] + F.aggregate(F.slice("_l", i + 2, x["keep"] - 1), nothing, more, lambda a: a["n"])).otherwise(x["cost"])
+            return F.when(x["keep"] > 1, x["cost"] + F.aggregate(F.slice("_l", i + 2, x["keep"] - 1), none, more, lambda a: a["n"])).otherwise(x["cost"])
 
         need = "need"
         folded = folded.withColumn("_l", F.transform("_l", lambda x, i: x.withField("need", together(x, i))))
 
-    def step(used: Column, x: Column) -> tuple[Column, Column]:
-        fresh = (used < 0) | x["forced"] | (used + x[need] > budget)
+    def step(page: Column, x: Column) -> tuple[Column, Column]:
+        fresh = (page["used"] < 0) | x["forced"] | (page["used"] + x[need] > page["room"])
         skipped = fresh & x["blank"]
         here = F.array(F.struct(*(x[c].alias(c) for c in order), (~skipped).alias("start")))
-        return F.when(skipped, -1).when(fresh, x["cost"]).otherwise(used + x["cost"]).cast("long"), F.when(fresh, here).otherwise(F.array().cast(f"array<{place}>"))
+        used = F.when(skipped, -1).when(fresh, x["cost"]).otherwise(page["used"] + x["cost"])
+        after = F.struct(used.cast("long").alias("used"), F.when(fresh, x["budget"]).otherwise(page["room"]).alias("room"))
+        return after, F.when(fresh, here).otherwise(F.array().cast(f"array<{place}>"))
 
-    out = folded.select(key, F.explode(fold_out(F.col("_l"), F.lit(-1).cast("long"), step, place)).alias("_p")).select(key, "_p.*")
+    nothing = F.struct(F.lit(-1).cast("long").alias("used"), F.lit(0).cast("long").alias("room"))
+    out = folded.select(key, F.explode(fold_out(F.col("_l"), nothing, step, place)).alias("_p")).select(key, "_p.*")
     upto = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return out.withColumn("page", F.sum(F.col("start").cast("long")).over(upto))
 
 
-def paginate(lines: DataFrame, budget: int, key: str = "doc", order: list[str] = ("bi", "li"), cost: str = "cost", forced: str = "forced", keep: Column | None = None, blank: Column | None = None) -> DataFrame:
+def paginate(lines: DataFrame, budget: int | Column, key: str = "doc", order: list[str] = ("bi", "li"), cost: str = "cost", forced: str = "forced", keep: Column | None = None, blank: Column | None = None) -> DataFrame:
     """Each printed line with its page: the last page start at or before it."""
     starts = page_starts(lines, budget, key, order, cost, forced, keep, blank)
     if blank is not None:

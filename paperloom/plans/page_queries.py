@@ -27,8 +27,9 @@ def paginate(spark, d):
 
 
 def paginate_marks(spark, d):
-    """Pages with lines kept together and blank lines that a page does not begin with."""
-    out = P.paginate(_flow(spark, d), 800, keep=F.when(F.col("bi") % 9 == 0, 1 + F.col("height") % 40), blank=F.col("height") % 6 == 0)
+    """Pages with lines kept together, blank lines that a page does not begin with, and a budget that
+    changes on the way."""
+    out = P.paginate(_flow(spark, d), 800 - F.expr("bi div 2000 % 3") * 100, keep=F.when(F.col("bi") % 9 == 0, 1 + F.col("height") % 40), blank=F.col("height") % 6 == 0)
     return out.select("doc", "bi", "li", "page")
 
 
@@ -198,12 +199,12 @@ _REF = """P as (select page_id, 'arch/vol' || (page_id % 4) || '/box/doc.ws' as
     Z as (select page_id, arg_min(path, rank) as resolved from H join F on lower(path) = candidate group by page_id)"""
 ORACLES = {
     "paginate": with_views(_PAGES + " select doc, bi, li, cast(page as bigint) as page from X", "PL"),
-    "paginate_marks": with_views(_FLOW + """, M as (select *, row_number() over w as n, case when bi % 9 = 0 then 1 + height % 40 else 1 end as keep, height % 6 = 0 as blank, sum(cost) over w as upto, sum(case when forced then 1 else 0 end) over w as part from F window w as (partition by doc order by bi, li)),
+    "paginate_marks": with_views(_FLOW + """, M as (select *, row_number() over w as n, case when bi % 9 = 0 then 1 + height % 40 else 1 end as keep, height % 6 = 0 as blank, 800 - bi // 2000 % 3 * 100 as bud, sum(cost) over w as upto, sum(case when forced then 1 else 0 end) over w as part from F window w as (partition by doc order by bi, li)),
         Z as (select doc, part, max(n) as last from M group by 1, 2),
         N as (select a.*, e.upto - a.upto + a.cost as need from M a join Z on Z.doc = a.doc and Z.part = a.part join M e on e.doc = a.doc and e.n = least(a.n + a.keep - 1, case when a.forced and a.keep = 1 then a.n else Z.last end)),
-        X as (with recursive W as (select doc, bi, li, n, case when blank then -1 else cost end as used, case when blank then 0 else 1 end as page, not blank as shown from N where n = 1 union all
-          select N.doc, N.bi, N.li, N.n, case when used < 0 or forced or used + need > 800 then case when blank then -1 else cost end else used + cost end, page + case when (used < 0 or forced or used + need > 800) and not blank then 1 else 0 end,
-          not ((used < 0 or forced or used + need > 800) and blank) from W join N on N.doc = W.doc and N.n = W.n + 1) select * from W)
+        X as (with recursive W as (select doc, bi, li, n, case when blank then -1 else cost end as used, case when blank then 0 else 1 end as page, not blank as shown, bud as b from N where n = 1 union all
+          select N.doc, N.bi, N.li, N.n, case when used < 0 or forced or used + need > b then case when blank then -1 else cost end else used + cost end, page + case when (used < 0 or forced or used + need > b) and not blank then 1 else 0 end,
+          not ((used < 0 or forced or used + need > b) and blank), case when used < 0 or forced or used + need > b then bud else b end from W join N on N.doc = W.doc and N.n = W.n + 1) select * from W)
         select doc, bi, li, cast(page as bigint) as page from X where shown""", "PL"),
     "trailing_pages": with_views(""", G as (select doc, li // 5 as page, max(length(text)) as size from LP group by 1, 2), H as (select *, max(case when size % 3 = 0 or page % 9 = 8 then page end) over (partition by doc) as last from G)
         select doc, page, size from H where page <= last""", "LP"),
