@@ -257,12 +257,7 @@ class TokenStore:
     id_bytes: int
 
 
-_ROW = pa.schema([("place", pa.int64()), ("kind", pa.string()), ("doc", pa.int64()), ("n", pa.int64()), ("root", pa.binary()), ("addresses", pa.list_(pa.binary())), ("lengths", pa.list_(pa.int32())), ("address", pa.binary()), ("data", pa.binary())])
-
-
-def _first_bytes(names: list[bytes]) -> np.ndarray:
-    """The first eight bytes of each address as a number."""
-    return np.frombuffer(b"".join(names), dtype=np.uint8).reshape(-1, ADDRESS_BYTES)[:, :8].copy().view(np.int64).ravel()
+_ROW = pa.schema([("key", pa.binary()), ("kind", pa.string()), ("doc", pa.int64()), ("n", pa.int64()), ("root", pa.binary()), ("addresses", pa.list_(pa.binary())), ("lengths", pa.list_(pa.int32())), ("address", pa.binary()), ("data", pa.binary())])
 
 
 def _batch(rows: int, /, **columns) -> pa.RecordBatch:
@@ -310,27 +305,18 @@ def write_store(
                 if len(seen) > 200_000:
                     seen.clear()
                 if chunks:
-                    yield _batch(len(chunks), place=pa.array(_first_bytes(chunks)), kind=pa.array(["chunk"] * len(chunks)), address=pa.array(chunks, pa.binary()), data=pa.array(blobs, pa.binary()))
+                    yield _batch(len(chunks), key=pa.array(chunks, pa.binary()), kind=pa.array(["chunk"] * len(chunks)), address=pa.array(chunks, pa.binary()), data=pa.array(blobs, pa.binary()))
                 doc = batch.column("doc").slice(w.lo, w.rows)
-                spread = W.mix(pc.fill_null(doc, 0).to_numpy(zero_copy_only=False).astype(np.uint64)).view(np.int64)
+                keys = [root + (d or 0).to_bytes(8, "big", signed=True) for root, d in zip(roots, doc.to_pylist())]
                 lists = (pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(x, t)) for x, t in ((names, pa.binary()), (lengths, pa.int32())))
-                yield _batch(w.rows, place=pa.array(_first_bytes(roots) ^ spread), kind=pa.array(["recipe"] * w.rows), doc=doc, n=pa.array(np.diff(bounds)), root=pa.array(roots, pa.binary()), **dict(zip(("addresses", "lengths"), lists)))
-
-    rows = docs.mapInArrow(run, "place long, kind string, doc long, n long, root binary, addresses array<binary>, lengths array<int>, address binary, data binary")
-    placed = rows.repartition("place").sortWithinPartitions("address")
-
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in batches:
-            keep = []
-            for k, name in enumerate(batch.column("address").to_pylist()):
-                if name is None or name != last:
-                    keep.append(k)
-                last = name
-            yield batch if len(keep) == batch.num_rows else batch.take(pa.array(keep))
-
-    placed.mapInArrow(once, rows.schema).drop("place").write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/parts")
-    parts = spark.read.schema(rows.drop("place").schema).parquet(f"{path}/parts")
+                yield _batch(w.rows, key=pa.array(keys, pa.binary()), kind=pa.array(["recipe"] * w.rows), doc=doc, n=pa.array(np.diff(bounds)), root=pa.array(roots, pa.binary()), **dict(zip(("addresses", "lengths"), lists)))
+
+    rows = docs.mapInArrow(run, "key binary, kind string, doc long, n long, root binary, addresses array<binary>, lengths array<int>, address binary, data binary")
+    # one exchange and one sort serve both: chunks meet by address, and files are written by kind
+    nth = F.row_number().over(Window.partitionBy("kind", "key").orderBy("key"))
+    parts = rows.withColumn("nth", nth).filter("kind = 'recipe' or nth = 1").drop("key", "nth")
+    parts.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/parts")
+    parts = spark.read.schema(parts.schema).parquet(f"{path}/parts")
 
     recipes = parts.filter("kind = 'recipe'").select("doc", "n", "root", "addresses", "lengths")
     count = int(spark.conf.get("spark.sql.shuffle.partitions"))
