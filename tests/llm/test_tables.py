@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import secrets as random_bytes
+import zlib
 
 import pytest
 
@@ -142,6 +143,39 @@ def test_error_shares_of_the_battery(spark):
         assert sum(x <= share for x in p) / len(p) <= 1.6 * share + 0.01
 
 
+def test_registered_queries_on_given_tables(spark):
+    """op1, op3, op4 and op8 on the smallest tables against their contracts, document by document."""
+    from tokenizers import Tokenizer
+
+    docs = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{DATA}/documents.parquet").collect())
+    text = dict(docs)
+    tokenizer, start = Tokenizer.from_str(queries.tokenizer_json()), 0
+    stored = {r.doc_id: r for r in queries.op3_token_store(spark, DATA).collect()}
+    for d, t in docs:
+        ids = tokenizer.encode(t, add_special_tokens=False).ids + [2]
+        r = stored[d]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids)))
+        start += len(ids)
+
+    scored = queries.op4_toxicity(spark, DATA).collect()
+    assert {r.doc_id: r.held_out for r in scored} == {d: zlib.crc32(str(d).encode()) % 3 == 1 for d in text}
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in scored)
+
+    rule = re.compile(secrets.ASSIGN.replace("(?i)", "", 1), re.I | re.A)
+    for r in queries.op8_secret_scan(spark, DATA).collect():
+        t = text[r.doc_id]
+        base = [(m.start(), 0, "assign", m.end()) for m in rule.finditer(t) if len(m[2]) >= 8]
+        base += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+        base += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+        names = [f"{k}:{a}:{b}" for a, _, k, b in sorted(base)]
+        assert r.base_sha256 == hashlib.sha256(",".join(names).encode()).hexdigest() and set(names) <= set(r.spans.split(","))
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(x[2] == k for x in base) for k in ("assign", "access", "hex")]
+
+    plain = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Released under the MIT License.": "MIT-short", "Licensed under the Apache License, Version 2.0.": "Apache-2.0-short"}
+    for r in queries.op1_license_scan(spark, DATA).collect():
+        assert {n for s, n in plain.items() if s in text[r.doc_id]} <= set(r.licenses.split(","))
+
+
 def test_queries_are_registered():
     names = {m[1] for n in queries.QUERIES if (m := re.match(r"op(\d+)_", n))}
     assert names == {str(k) for k in range(1, 11)} and set(queries.QUERIES) <= set(entry.queries()) and "pipeline" in entry.queries()
