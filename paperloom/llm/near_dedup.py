@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm import words as W
 from paperloom.llm.components import components
-from paperloom.llm.scratch import settle
+from paperloom.llm.scratch import forget, settle
 from paperloom.llm.skew import join_dealt
 
 WORDS, BANDS, ROWS = 5, 48, 5
@@ -223,17 +223,27 @@ def _rare_shingles(texts: DataFrame, percent: int) -> DataFrame:
     counted = join_dealt(rows, shared, "key", shared.select("key", F.col("df").alias("n")), rows.count(), ["id"], "left").withColumn("df", F.coalesce("df", F.lit(1)))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "key"))
     length = F.col("n") - F.expr(f"(n * {percent} + 99) div 100") + 1
-    return counted.withColumn("rank", rank).filter((F.col("rank") <= length) & (F.col("df") > 1)).select("key", "id", "c", "n", "rank")
+    early = settle(counted.withColumn("rank", rank).filter((F.col("rank") <= length) & (F.col("df") > 1)).select("key", "id", "c", "n", "rank"), "rare-shingles")
+    for table in (rows, shared):
+        forget(table)
+    return early
 
 
 def _crossing(buckets: DataFrame, group: DataFrame, texts: DataFrame, small: int, percent: int) -> DataFrame:
     """Pairs that lie in one bucket but in different components and may be alike."""
     named = buckets.join(group, buckets.id == group.node, "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    mixed = settle(_mixed(settle(named, "named-buckets")), "mixed-buckets")
+    named = settle(named, "named-buckets")
+    mixed = settle(_mixed(named), "mixed-buckets")
+    forget(named)
     few = _pairs(mixed.filter(F.col("many") <= small))
     crowded = mixed.filter(F.col("many") > small).select("id", "c").distinct()
-    rare = _mixed(settle(_rare_shingles(texts.join(crowded, "id"), percent), "rare-shingles"))
-    return few.unionByName(_early_pairs(rare, percent)).distinct()
+    early = _rare_shingles(texts.join(crowded, "id"), percent)
+    rare = settle(_mixed(early), "mixed-shingles")
+    forget(early)
+    out = settle(few.unionByName(_early_pairs(rare, percent)).distinct(), "crossing")
+    for table in (mixed, rare):
+        forget(table)
+    return out
 
 
 def near_duplicates(
@@ -242,31 +252,39 @@ def near_duplicates(
     """One row per input row: id, n_shingles, component_id (smallest id reachable) and kept."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"))
     signed = settle(_signed(docs), "signatures")
-    classes = signed.filter("n > 0 and id is not null").groupBy("p1", "p2").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+    facts = settle(signed.select("id", "n", "p1", "p2"), "shingle-counts")
+    classes = facts.filter("n > 0 and id is not null").groupBy("p1", "p2").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     classes = settle(classes, "classes")
     reps = signed.filter("n > 0").select("id", "sig", "bands").join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
     # of rows that share an id and differ in text, one: the same on every run
     reps = reps.groupBy("id").agg(F.max(F.struct("sig", "bands")).alias("r")).select("id", "r.sig", "r.bands")
     reps = settle(reps, "representatives")
+    forget(signed)
 
     entries = reps.select("id", F.explode("bands").alias("key"))
     met = settle(entries.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1"), "bucket-heads")
     buckets = settle(join_dealt(entries, met.drop("n"), "key", met.drop("a"), BANDS * reps.count(), ["id"]), "buckets")
+    forget(met)
     candidates = buckets.select("id").distinct()
     texts = settle(docs.join(candidates, "id", "left_semi"), "candidate-texts")
 
     star = settle(buckets.filter("id != a").select("a", F.col("id").alias("b")).distinct(), "star")
-    links = settle(_confirmed(settle(_likely(star, reps, percent / 100, miss), "likely"), texts, percent), "links")
+    likely = settle(_likely(star, reps, percent / 100, miss), "likely")
+    links = settle(_confirmed(likely, texts, percent), "links")
     group = settle(components(links), "components")
-    cross = settle(_likely(settle(_crossing(buckets, group, texts, small, percent), "crossing"), reps, percent / 100, miss), "likely")
+    crossing = _crossing(buckets, group, texts, small, percent)
+    cross = settle(_likely(crossing, reps, percent / 100, miss), "likely")
     more = settle(_confirmed(cross, texts, percent), "links")
     if not more.isEmpty():
         joined = group.select(F.col("component").alias("a"), F.col("node").alias("b"))
-        group = settle(components(joined.unionByName(more)), "components")
+        before, group = group, settle(components(joined.unionByName(more)), "components")
+        forget(before)
+    for table in (reps, buckets, texts, star, likely, links, crossing, cross, more):
+        forget(table)
 
     named = classes.join(group, classes.rep == group.node, "left").select("p1", "p2", F.coalesce("component", "rep").alias("component_id"))
-    rows, linked = signed.select("id", "n", "p1", "p2"), (F.col("n") > 0) & F.col("id").isNotNull()
-    out = join_dealt(rows.filter(linked), named, ["p1", "p2"], classes.select("p1", "p2", "n"), signed.count(), ["id"])
+    rows, linked = facts, (F.col("n") > 0) & F.col("id").isNotNull()
+    out = join_dealt(rows.filter(linked), named, ["p1", "p2"], classes.select("p1", "p2", "n"), facts.count(), ["id"])
     out = out.unionByName(rows.filter(~linked).withColumn("component_id", F.col("id")))
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
