@@ -89,10 +89,10 @@ def _fit(batches: Iterator[pa.RecordBatch], s: MilSettings) -> tuple[np.ndarray,
                 break
             sentence = _sentence_of(w)
             labels.append(batch.column("label").slice(w.lo, w.rows).to_numpy(zero_copy_only=False))
-            docs.append(w.doc + n_docs)
-            sentences.append(sentence + n_sentences)
+            docs.append((w.doc + n_docs).astype(np.int32))
+            sentences.append((sentence + n_sentences).astype(np.int32))
             for (at, code), (own_at, own_code) in zip(_features(w), found):
-                own_at.append(at + n_words)
+                own_at.append((at + n_words).astype(np.int32))
                 own_code.append(code)
             n_docs, n_words = n_docs + w.rows, n_words + len(w.hash)
             n_sentences += int(sentence[-1]) + 1 if len(sentence) else 0
@@ -102,9 +102,11 @@ def _fit(batches: Iterator[pa.RecordBatch], s: MilSettings) -> tuple[np.ndarray,
     label, doc, sentence = np.concatenate(labels) > 0, np.concatenate(docs), np.concatenate(sentences)
     floor = min(0.5, 2 * label.mean())
     names, seen_in, feature = [], [], []
-    for own_at, own_code in found:
+    while found:  # one kind of feature at a time, and gone when it is done
+        own_at, own_code = found.pop(0)
         at = np.concatenate(own_at)
         vocabulary, code = np.unique(np.concatenate(own_code), return_inverse=True)
+        del own_code
         pair = W.distinct(code.astype(np.int64) * n_docs + doc[at])
         toxic = np.bincount(pair // n_docs, weights=label[pair % n_docs], minlength=len(vocabulary))
         every = np.bincount(pair // n_docs, minlength=len(vocabulary))
@@ -163,9 +165,11 @@ def train(docs: DataFrame, labels: DataFrame, settings: MilSettings = MilSetting
     return MilModel(np.array([w for w, _ in rows], dtype=np.uint64), np.array([x for _, x in rows]), settings)
 
 
-def score(df: DataFrame, model: MilModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, score, n_sentences and offending (start, end in code points, score)."""
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body"))
+def score(df: DataFrame, model: MilModel, id_col: str = "doc_id", text_col: str = "text", text_field: str | None = None) -> DataFrame:
+    """Per row: id, score, n_sentences and offending (start, end in code points, score).
+
+    With ``text_field`` the id is a struct, and that string field of it is the text."""
+    docs = df.select(F.col(id_col).alias("id")) if text_field else df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body"))
     kind = docs.schema["id"].dataType.simpleString()
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
     s, shipped = model.settings, df.sparkSession.sparkContext.broadcast((model.words, model.weights))
@@ -174,7 +178,8 @@ def score(df: DataFrame, model: MilModel, id_col: str = "doc_id", text_col: str
         words, weights = shipped.value
         prior = float(_sigmoid(np.array([s.prior]))[0])
         for batch in batches:
-            for w in W.blocks(batch.column("body"), W.LETTERS, lower=True):
+            texts = batch.column("id").field(text_field) if text_field else batch.column("body")
+            for w in W.blocks(texts, W.LETTERS, lower=True):
                 sentence = _sentence_of(w)
                 begin = np.flatnonzero(np.concatenate([[True], sentence[1:] != sentence[:-1]])) if len(sentence) else np.empty(0, dtype=np.int64)
                 count = np.bincount(w.doc[begin], minlength=w.rows)
