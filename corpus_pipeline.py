@@ -1,12 +1,17 @@
 """The corpus pipeline: five operators of ``paperloom.llm``, each on what its predecessor kept.
 
 Every row is judged by its own text, whatever its doc_id, null and repeated ids included. A stage
-returns the columns of ``documents``; the last one returns what was read back from the token store.
+returns the columns of ``documents``, and extra ones as they came, whatever their names: operators
+see only ``row`` (a packed row or its number), ``doc_id``, ``text`` and ``source``. The last stage
+returns what was read back from the token store.
+
+Defined cases: null and empty texts are kept until mixing, which takes no row without words;
+repeated rows are near copies of each other; no rows give no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm import mixing, near_dedup, phrase_index, token_store, toxicity
@@ -16,49 +21,66 @@ from paperloom.llm.scratch import settle
 TOXIC_FROM = 0.7
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows with a digest of their text: operators that judge texts need to know no more."""
-    return docs.withColumn("text_key", F.sha2(F.coalesce("text", F.lit("")), 256))
+def _packed(docs: DataFrame) -> Column:
+    """A whole row with its columns numbered: names of any kind do no harm."""
+    return F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns))).alias("row")
+
+
+def _place(docs: DataFrame, column: str) -> str:
+    return f"c{docs.columns.index(column)}"
+
 
+def _unpacked(docs: DataFrame, prefix: str = "") -> list[Column]:
+    """The columns of ``docs`` from numbered ones."""
+    return [F.col(f"{prefix}c{k}").alias(c) for k, c in enumerate(docs.columns)]
 
-def _without(docs: DataFrame, keyed: DataFrame, judged: DataFrame) -> DataFrame:
-    """Rows of ``keyed`` whose text is not among those ``judged``, with the columns of ``docs``."""
-    return keyed.join(judged.select("text_key").distinct(), "text_key", "left_anti").select(*docs.columns)
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Numbered columns and a number ``n`` of the row; written down, so that every use sees the same.
+
+    xxhash64 of one long is one-to-one, so the numbers are distinct and in no order: buckets get
+    their smallest members from all over the table."""
+    return settle(docs.select(_packed(docs)).select("row.*", F.xxhash64(F.monotonically_increasing_id()).alias("n")), "rows")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose noisy-or of sentence scores stays under 0.7; a third of the labels is held out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs, labels.filter(~held_out(F.col("doc_id"))))
-    keyed = _keyed(docs)
-    scored = toxicity.score(keyed, model, id_col="text_key")
-    return _without(docs, keyed, scored.filter(F.col("score") >= TOXIC_FROM))
+    scored = toxicity.score(docs.select(_packed(docs)), model, id_col="row", text_field=_place(docs, "text"))
+    return scored.filter(F.col("score") < TOXIC_FROM).select(*_unpacked(docs, "row."))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of every group of near copies: that of the smallest id, of one without id only if none has one.
 
-    Rows without shingles are in no group. Row numbers are written down, so every use sees the same.
+    Rows without shingles are in no group.
     """
-    rows = settle(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
-    found = near_dedup.near_duplicates(rows, id_col="row").select("row", "component_id")
-    order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", F.xxhash64("text").alias("digest"), "row")
-    first = rows.select("row", order.alias("order")).join(found, "row").groupBy("component_id").agg(F.min("order").alias("order"))
-    return rows.join(first.select(F.col("order.row").alias("row")), "row", "left_semi").select(*docs.columns)
+    rows, doc_id, text = _numbered(docs), F.col(_place(docs, "doc_id")), _place(docs, "text")
+    found = near_dedup.near_duplicates(rows, id_col="n", text_col=text).select("n", "component_id")
+    order = F.struct(doc_id.isNull().alias("without"), doc_id.alias("doc_id"), F.xxhash64(text).alias("digest"), "n")
+    first = rows.select("n", order.alias("order")).join(found, "n").groupBy("component_id").agg(F.min("order").alias("order"))
+    return rows.join(first.select(F.col("order.n").alias("n")), "n", "left_semi").select(*_unpacked(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no word window of the benchmark."""
-    keyed = _keyed(docs)
-    found = phrase_index.contamination(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="text_key", near_terms=0)
-    return _without(docs, keyed, found.filter(F.col("n_hit") > 0))
+    """Documents that hold no word window of the benchmark.
+
+    Proximity matches are looked for as well, but are no ground to reject: the rare words of an
+    item also meet in texts that do not quote it. A text goes by two hashes of 64 bits.
+    """
+    text = F.col("row." + _place(docs, "text"))
+    rows = docs.select(_packed(docs)).withColumn("key", F.struct(F.xxhash64(text).alias("k0"), F.xxhash64(F.lit(1), text).alias("k1")))
+    found = phrase_index.contamination(rows.withColumn("text", text), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="key")
+    bad = found.filter(F.col("n_hit") > 0).select("key").distinct()
+    return rows.join(bad, "key", "left_anti").select(*_unpacked(docs, "row."))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all, once, or up to three times."""
-    mixed = mixing.mix_sources(docs)
-    copies = F.array_repeat(F.lit(0), F.col("copies"))
-    return mixed.select(*docs.columns, F.explode(copies).alias("copy")).select(*docs.columns)
+    mixed = mixing.mix_sources(docs.select(_packed(docs), "doc_id", "text", "source"), keep=["row"])
+    copies = F.explode(F.array_repeat(F.lit(0), F.col("copies")))
+    return mixed.select("row", copies).select(*_unpacked(docs, "row."))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
