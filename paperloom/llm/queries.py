@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import chat, licenses, mixing, near_dedup, phrase_index, repetition, secrets, token_store, toxicity, warc
+from paperloom.llm import chat, filter_audit, licenses, mixing, near_dedup, phrase_index, prefix_trie, repetition, secrets, token_store, toxicity, warc
 from paperloom.llm.scratch import settle
 
 
@@ -88,7 +88,16 @@ def op10_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_coverage(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_mix_sources, op3_token_store, op4_toxicity, op5_chat_formatting, op6_minhash_near_dedup, op7_warc_chunk_table, op8_secret_scan, op9_benchmark_decontamination, proximity_matches, op10_repetition_coverage)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.failure_bits(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "labels"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.ordered_turns(_table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(prefix_trie.with_shared_openings(turns))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_mix_sources, op3_token_store, op4_toxicity, op5_chat_formatting, op6_minhash_near_dedup, op7_warc_chunk_table, op8_secret_scan, op9_benchmark_decontamination, proximity_matches, op10_repetition_coverage, op11_filter_audit, op13_prefix_trie)}
 
 _SPACED = r"[^\x20\x09-\x0D]+"
 _LETTERS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -142,4 +151,27 @@ ORACLES: dict[str, str] = {
           coalesce(c5, 0) as dup_chars_5, coalesce(c6, 0) as dup_chars_6, coalesce(c7, 0) as dup_chars_7, coalesce(c8, 0) as dup_chars_8, coalesce(c9, 0) as dup_chars_9, coalesce(c10, 0) as dup_chars_10 from D left join Z using (doc_id) left join N using (doc_id)),
         V as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from B)
         select *, not base_failed and not (dup_line_chars > 0.3 * word_chars or dup_chars_5 > 0.2 * word_chars or dup_chars_6 > 0.19 * word_chars or dup_chars_7 > 0.18 * word_chars or dup_chars_8 > 0.17 * word_chars or dup_chars_9 > 0.16 * word_chars or dup_chars_10 > 0.15 * word_chars) as kept from V""",
+    "op11_filter_audit": f"""with recursive T as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '{_SPACED}') as w from documents),
+        M as (select text as t, min(doc_id) as m from T group by text),
+        B as (select doc_id, part, case when len(w) < 100 then 1 else 0 end + case when 100 * len(list_distinct(w)) < 80 * len(w) then 2 else 0 end + case when 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) then 4 else 0 end
+          + case when regexp_matches(text, '[#$%&*|]') then 8 else 0 end + case when doc_id > m then 16 else 0 end as bits from T left join M on t = text),
+        L as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by doc_id),
+        C as (select part, bits, count(*) as n, coalesce(sum(good), 0) as good, coalesce(sum(toxic), 0) as toxic from B left join L using (doc_id) group by part, bits),
+        O as (select '' as o union all select o || f from O, (select unnest(['A', 'B', 'C', 'D', 'E']) as f) where length(o) < 5 and not contains(o, f)),
+        S as (select o as filter_order, step, substr(o, step, 1) as f, (select sum(case when instr(o, x) < step then 1 << (ascii(x) - 65) else 0 end) from (select unnest(['A', 'B', 'C', 'D', 'E']) as x)) as before from (select * from O where length(o) = 5), (select unnest(range(1, 6)) as step)),
+        R as (select part, filter_order, cast(step as integer) as step, f, cast(sum(case when bits & before = 0 and bits & bit = 0 then n else 0 end) as bigint) as kept, cast(sum(case when bits & before = 0 and bits & bit > 0 then n else 0 end) as bigint) as removed,
+          cast(sum(case when bits & before > 0 and bits & bit > 0 then n else 0 end) as bigint) as redundant, cast(sum(case when bits = bit then n else 0 end) as bigint) as unique_fails,
+          cast(sum(case when bits & before = 0 and bits & bit > 0 then good else 0 end) as bigint) as good_lost, cast(sum(case when bits & before = 0 and bits & bit > 0 then toxic else 0 end) as bigint) as toxic_lost
+          from C, (select *, 1 << (ascii(f) - 65) as bit from (select filter_order, step, f, cast(before as integer) as before from S)) group by part, filter_order, step, f)
+        select * exclude (f), cast(sum(removed) over (partition by part, f) as bigint) as shapley from R""",
+    "op13_prefix_trie": """with O as (select conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} order by turn nulls first, coalesce(role, ''), sha256(coalesce(text, ''))) as s from conversations where conv_id is not null group by conv_id),
+        H as (select conv_id, s, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(cast(conv_id as varchar), ''), lambda c: list_concat([ascii(c)], list_transform(range(8), lambda k: -1))))), lambda x, y: case when y >= 0 then xor(x, y) when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end), 4294967295) % 6 as h from O),
+        R as (select a.conv_id, list_concat(coalesce(list_slice(b.s, 1, h), []), list_slice(a.s, h + 1, len(a.s))) as s from H a left join O b on b.conv_id = a.conv_id - a.conv_id % 100),
+        P as (select conv_id, d, len(s) as n, sha256(coalesce(list_aggregate(list_transform(list_slice(s, 1, d), lambda x: concat(length(x.r), ':', x.r, length(x.t), ':', x.t)), 'string_agg', ''), '')) as p, sha256(coalesce(list_aggregate(list_transform(list_slice(s, 1, d - 1), lambda x: concat(length(x.r), ':', x.r, length(x.t), ':', x.t)), 'string_agg', ''), '')) as q, case when d = 0 then 0 else length(s[d].t) end as chars
+          from (select conv_id, s, unnest(range(0, len(s) + 1)) as d from R)),
+        N as (select d, p, case when d > 0 then min(q) end as q, min(conv_id) as conv_id, count(*) as n_convs, min(chars) as chars, coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (d = n), '') as ends from P group by d, p),
+        K as (select d - 1 as d, q as p, count(*) as n from N where d > 0 group by all),
+        V as (select N.*, coalesce(n, 0) as n_children from N left join K using (d, p)),
+        A as (select P.d, P.p, count(*) filter (n_children = 0) as n_leaves, sum((n_convs - 1) * V.chars) as saved from V join P on P.conv_id = V.conv_id and P.d <= V.d group by P.d, P.p)
+        select V.conv_id, V.d as depth, U.conv_id as parent_conv_id, V.n_convs, V.n_children, n_leaves, cast(saved as bigint) as saved_tokens, sha256(V.ends) as ends_sha256 from V join A using (d, p) left join N U on U.d = V.d - 1 and U.p = V.q""",
 }
