@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import chat, filter_audit, licenses, mixing, near_dedup, phrase_index, prefix_trie, repetition, secrets, token_store, toxicity, warc
+from paperloom.llm import chat, filter_audit, licenses, mixing, near_dedup, page_text, phrase_index, prefix_trie, repetition, secrets, token_store, toxicity, warc
 from paperloom.llm.scratch import settle
 
 
@@ -92,12 +92,17 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(filter_audit.failure_bits(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "labels"))
 
 
+def op12_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return page_text.extract(pages, page_text.train(pages))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = prefix_trie.ordered_turns(_table(spark, sf_dir, "conversations"))
     return prefix_trie.prefix_trie(prefix_trie.with_shared_openings(turns))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_mix_sources, op3_token_store, op4_toxicity, op5_chat_formatting, op6_minhash_near_dedup, op7_warc_chunk_table, op8_secret_scan, op9_benchmark_decontamination, proximity_matches, op10_repetition_coverage, op11_filter_audit, op13_prefix_trie)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_mix_sources, op3_token_store, op4_toxicity, op5_chat_formatting, op6_minhash_near_dedup, op7_warc_chunk_table, op8_secret_scan, op9_benchmark_decontamination, proximity_matches, op10_repetition_coverage, op11_filter_audit, op12_page_text, op13_prefix_trie)}
 
 _SPACED = r"[^\x20\x09-\x0D]+"
 _LETTERS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
