@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
@@ -33,14 +34,26 @@ def throttle(spark, d):
     return I.throttle(_requests(spark, d), 6 * 3600)
 
 
+@contextmanager
+def _rocksdb(spark):
+    """State stores with more than one column family, for the streams started inside."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def throttle_stream(spark, d):
     """The stateful stream over the same requests, run until it has read all."""
     out, check = _folder(spark), _folder(spark)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     stream = spark.readStream.schema("event_id long, ts timestamp_ntz, user_id long").option("pathGlobFilter", "events.parquet").parquet(d)
     requests = stream.select(F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("path"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"))
-    query = I.throttle_stream(requests, 6 * 3600).writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start()
-    query.awaitTermination()
+    with _rocksdb(spark):
+        query = I.throttle_stream(requests, 6 * 3600).writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start()
+        query.awaitTermination()
     return spark.read.schema("path string, seq long, ts timestamp").parquet(out).select("path", "seq")
 
 
@@ -48,17 +61,32 @@ def bounded_queue(spark, d):
     return I.bounded_queue(_requests(spark, d), 40)
 
 
+def queue_history(spark, d):
+    """A queue for each kind of event, with paths that were used and drains of the whole queue."""
+    e = table(spark, d, "events").select(F.col("event_type").alias("kind"), F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("path"), F.col("event_id").alias("seq"))
+    e = e.withColumn("path", F.when(F.col("seq") % 29 != 0, F.col("path")))
+    does = F.when(F.col("seq") % 97 == 0, "drain").when(F.col("seq") % 7 == 0, "remove").otherwise("add")
+    return I.queue_history(e.withColumn("does", does), 25, ["kind"], action="does")
+
+
 def _event_stream(spark, d):
     return spark.readStream.schema("event_id long, ts timestamp_ntz, user_id long, props string").option("pathGlobFilter", "events.parquet").parquet(d)
 
 
 def queue_stream(spark, d):
-    """The queue as a stream keeps it, put together from what is drained first and what stays."""
-    out, check = _folder(spark), _folder(spark)
-    rows = _event_stream(spark, d).select(F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("path"), F.col("event_id").alias("seq"))
-    I.folded_stream(rows, out, check, lambda r: I.bounded_queue(r, 40)).awaitTermination()
-    first, left = I.drain(I.folded_table(spark, out, "path string, seq long"), 15)
-    return first.withColumn("state", F.lit("drained")).unionByName(left.withColumn("state", F.lit("queued")))
+    """The queue as the state of a stream of many batches; a drain comes with every 500th request."""
+    arriving, out, check = _folder(spark), _folder(spark), _folder(spark)
+    e = table(spark, d, "events").select(F.lit("all").alias("by"), F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("path"), F.col("event_id").alias("seq"))
+    e = e.withColumn("action", F.when(F.col("seq") % 500 == 499, "drain").otherwise("add"))
+    n = e.count()
+    # files that arrive one after another, each with the next requests in order
+    e.repartitionByRange(1, "seq").sortWithinPartitions("seq").write.option("maxRecordsPerFile", n // 5 + 1).parquet(arriving)
+    with _rocksdb(spark):
+        stream = spark.readStream.schema("by string, path string, seq long, action string").option("maxFilesPerTrigger", 1).parquet(arriving)
+        query = I.queue_stream(stream, 40).writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start()
+        query.awaitTermination()
+    changes = spark.read.schema("by string, path string, seq long, state string, decided long").parquet(out)
+    return changes.filter("state not in ('queued', 'skipped')").select("path", "seq", "state").unionByName(I.queued_now(changes).select("path", "seq", F.lit("queued").alias("state")))
 
 
 def trace_ring_stream(spark, d):
@@ -134,18 +162,32 @@ def rule_registry(spark, d):
     return out.select("doc", "li", F.md5("text").alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (throttle, throttle_stream, bounded_queue, queue_stream, trace_ring, trace_ring_stream, read_archive, ingest_stream, write_exports, renderer_registry, rule_registry)}
+QUERIES = {f.__name__: f for f in (throttle, throttle_stream, bounded_queue, queue_history, queue_stream, trace_ring, trace_ring_stream, read_archive, ingest_stream, write_exports, renderer_registry, rule_registry)}
 
 _THROTTLE = """, R as (select 'f' || doc as path, ts, seq, row_number() over (partition by doc order by ts, seq) as n from EV),
     T as (with recursive W as (select path, ts as last, seq, n, true as ok from R where n = 1 union all
       select R.path, case when R.ts - W.last >= interval 6 hour then R.ts else W.last end, R.seq, R.n, R.ts - W.last >= interval 6 hour from W join R on R.path = W.path and R.n = W.n + 1) select * from W)
     select path, seq from T where ok"""
+
+
+def _queue(requests: str, most: int, wanted: str) -> str:
+    """The queue step by step: q is what is queued after a request, o what the request decides."""
+    return f"""with recursive R as (select *, row_number() over (partition by kind order by seq, path nulls first) as n from ({requests})),
+    W as (select kind, 0 as n, cast([] as struct(p varchar, s bigint)[]) as q, cast([] as struct(p varchar, s bigint, st varchar, a bigint)[]) as o from R group by kind union all
+      select kind, n, case when drain then [] when remove then list_filter(q, lambda e: e.p is distinct from path) when skip or ignore then q when len(q) >= {most} then list_append(q[2:], {{'p': path, 's': seq}}) else list_append(q, {{'p': path, 's': seq}}) end,
+        case when drain then list_append(list_transform(q, lambda e: {{'p': e.p, 's': e.s, 'st': 'drained', 'a': seq}}), {{'p': null, 's': seq, 'st': 'drain', 'a': seq}}) when remove then list_transform(list_filter(q, lambda e: e.p = path), lambda e: {{'p': e.p, 's': e.s, 'st': 'drained', 'a': seq}})
+          when ignore then [{{'p': path, 's': seq, 'st': 'ignored', 'a': seq}}] when skip then [{{'p': path, 's': seq, 'st': 'skipped', 'a': seq}}] when len(q) >= {most} then [{{'p': q[1].p, 's': q[1].s, 'st': 'evicted', 'a': seq}}] else [] end
+      from (select W.kind, R.n, q, path, seq, does = 'drain' as drain, does = 'remove' as remove, coalesce(path, '') = '' as ignore, len(list_filter(q, lambda e: e.p = path)) > 0 as skip from W join R on R.kind = W.kind and R.n = W.n + 1)),
+    H as (select kind, x.p as path, x.s as seq, x.st as state, x.a as decided from (select kind, unnest(o) as x from W) union all select kind, x.p, x.s, 'queued', null from (select W.kind, unnest(q) as x from W join (select kind, max(n) as n from R group by kind) using (kind, n))) {wanted}"""
+
+
 _BYTES = "select source, cast(sum(strlen(text) + 1) as bigint) as bytes from documents group by source"
 ORACLES = {
     "throttle": with_views(_THROTTLE, "EV"),
     "throttle_stream": with_views(_THROTTLE, "EV"),
-    "bounded_queue": with_views("select 'f' || doc as path, min(seq) as seq from EV group by doc order by seq desc limit 40", "EV"),
-    "queue_stream": with_views("select 'f' || doc as path, s as seq, case when row_number() over (order by s) <= 15 then 'drained' else 'queued' end as state from (select doc, min(seq) as s from EV group by doc order by s desc limit 40)", "EV"),
+    "bounded_queue": _queue("select 'all' as kind, 'f' || user_id as path, event_id as seq, 'add' as does from events", 40, "select path, seq from H where state = 'queued'"),
+    "queue_history": _queue("select event_type as kind, case when event_id % 29 <> 0 then 'f' || user_id end as path, event_id as seq, case when event_id % 97 = 0 then 'drain' when event_id % 7 = 0 then 'remove' else 'add' end as does from events", 25, "select kind, path, seq, state, decided from H"),
+    "queue_stream": _queue("select 'all' as kind, 'f' || user_id as path, event_id as seq, case when event_id % 500 = 499 then 'drain' else 'add' end as does from events", 40, "select path, seq, state from H where state <> 'skipped'"),
     "trace_ring_stream": "select user_id as doc, event_id as seq, substr(repeat(props, 60), 1, 500) as detail from events order by ts desc, event_id desc limit 40",
     "trace_ring": "select user_id as doc, event_id as seq, substr(repeat(props, 60), 1, 500) as detail from events order by ts desc, event_id desc limit 40",
     "read_archive": _BYTES,

@@ -3,7 +3,9 @@
 import datetime
 import glob
 import json
+import random
 
+from paperloom.plans import stream_queries
 from paperloom.streaming import ingest
 
 
@@ -14,10 +16,10 @@ def test_stream_equals_batch_twin(spark, tmp_path):
     folder = tmp_path / "in"
     for part in range(4):  # four files, one a batch
         spark.createDataFrame(rows[part * 30 : part * 30 + 30], schema).coalesce(1).write.mode("append").parquet(f"{folder}/{part}")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
-    query = ingest.throttle_stream(stream, 3600).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
-    query.awaitTermination()
+    with stream_queries._rocksdb(spark):
+        query = ingest.throttle_stream(stream, 3600).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+        query.awaitTermination()
     got = {(r.path, r.seq) for r in spark.read.schema(schema).parquet(f"{tmp_path}/out").collect()}
     twin = {(r.path, r.seq) for r in ingest.throttle(spark.createDataFrame(rows, schema), 3600).collect()}
     assert got == twin and 0 < len(got) < len(rows)
@@ -26,17 +28,69 @@ def test_stream_equals_batch_twin(spark, tmp_path):
     assert any(p.get("eventTime", {}).get("watermark", "1970") > "2024" for p in progress)
 
 
-def test_queue_keeps_the_newest(spark):
-    df = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3), ("c", 4)], "path string, seq long")
-    assert {(r.path, r.seq) for r in ingest.bounded_queue(df, 2).collect()} == {("b", 2), ("c", 4)}
+def plain_queue(rows, most):
+    """Requests (path, seq, action) one by one, written as the rules are told."""
+    queue, out = [], []
+    for path, seq, action in sorted(rows, key=lambda r: r[1]):
+        if action == "drain":
+            out += [(p, s, "drained", seq) for p, s in queue] + [(None, seq, "drain", seq)]
+            queue = []
+        elif action == "remove":
+            out += [(p, s, "drained", seq) for p, s in queue if p == path]
+            queue = [(p, s) for p, s in queue if p != path]
+        elif not path:
+            out.append((path, seq, "ignored", seq))
+        elif any(p == path for p, _ in queue):
+            out.append((path, seq, "skipped", seq))
+        else:
+            queue.append((path, seq))
+            if len(queue) > most:
+                out.append((*queue.pop(0), "evicted", seq))
+    return out + [(p, s, "queued", None) for p, s in queue]
 
 
-def test_queue_kept_over_batches(spark, tmp_path):
+def test_queue_forgets_what_it_pushed_out(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("a", 4), ("c", 5)], "path string, seq long")
+    assert {(r.path, r.seq) for r in ingest.bounded_queue(df, 2).collect()} == {("c", 3), ("a", 4)}
+    history = {r.seq: (r.path, r.state, r.decided) for r in ingest.queue_history(df, 2).collect()}
+    assert history == {1: ("a", "evicted", 3), 2: ("b", "evicted", 4), 3: ("c", "queued", None), 4: ("a", "queued", None), 5: ("c", "skipped", 5)}
+
+
+def test_queues_equal_requests_taken_one_by_one(spark):
+    rng = random.Random(4)
+    rows = [(f"k{rng.randrange(4)}", rng.choice([None, "", *"abcdefghij"]), n, rng.choice(["add"] * 12 + [None, "remove", "drain"])) for n in range(1500)]
+    df = spark.createDataFrame(rows, "kind string, path string, seq long, does string").repartition(5)
+    got = ingest.queue_history(df, 4, ["kind"], action="does")
+    expect = sorted(str((k, *x)) for k in {r[0] for r in rows} for x in plain_queue([r[1:] for r in rows if r[0] == k], 4))
+    assert sorted(str(tuple(r)) for r in got.collect()) == expect
+    assert ingest.queue_history(df.limit(0), 4, ["kind"]).count() == 0
+
+
+def test_queue_of_a_stream_whatever_the_batches(spark, tmp_path):
+    """A path pushed out or drained in one batch is queued again in a later one."""
+    rng = random.Random(8)
+    rows = [("one", rng.choice("abcdefgh"), n, "drain" if n % 50 == 49 else "add") for n in range(200)]
+    schema = "by string, path string, seq long, action string"
+    expect = plain_queue([r[1:] for r in rows], 3)
+    with stream_queries._rocksdb(spark):
+        for cuts in ([0, 200], [0, 3, 4, 90, 200]):
+            folder = tmp_path / f"in{len(cuts)}"
+            for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+                spark.createDataFrame(rows[lo:hi], schema).coalesce(1).write.parquet(f"{folder}/{k}")
+            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+            out = f"{folder}-out"
+            query = ingest.queue_stream(stream, 3).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{folder}-check").trigger(availableNow=True).start()
+            query.awaitTermination()
+            changes = spark.read.parquet(out)
+            assert {(r.path, r.seq) for r in ingest.queued_now(changes).collect()} == {x[:2] for x in expect if x[2] == "queued"}
+            decided = sorted(str((r.path, r.seq, r.state, r.decided)) for r in changes.filter("state <> 'queued'").collect())
+            assert decided == sorted(str(x) for x in expect if x[2] != "queued")
+
+
+def test_ring_kept_over_batches(spark, tmp_path):
     for part, rows in enumerate(([("a", 1), ("b", 2)], [("a", 3), ("c", 4)], [("d", 5), ("b", 6)])):
         spark.createDataFrame(rows, "path string, seq long").coalesce(1).write.parquet(f"{tmp_path}/in/{part}")
     stream = spark.readStream.schema("path string, seq long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
-    ingest.folded_stream(stream, f"{tmp_path}/out", f"{tmp_path}/check", lambda r: ingest.bounded_queue(r, 3)).awaitTermination()
-    queue = ingest.folded_table(spark, f"{tmp_path}/out", "path string, seq long")
-    assert {(r.path, r.seq) for r in queue.collect()} == {("b", 2), ("c", 4), ("d", 5)}
-    first, left = ingest.drain(queue, 2)
-    assert [r.path for r in first.orderBy("seq").collect()] == ["b", "c"] and [r.path for r in left.collect()] == ["d"]
+    ingest.folded_stream(stream, f"{tmp_path}/out", f"{tmp_path}/check", lambda r: ingest.trace_ring(r, 3, ["seq"], "path", 1)).awaitTermination()
+    ring = ingest.folded_table(spark, f"{tmp_path}/out", "path string, seq long")
+    assert {(r.path, r.seq) for r in ring.collect()} == {("c", 4), ("d", 5), ("b", 6)}
