@@ -246,6 +246,22 @@ def _crossing(buckets: DataFrame, group: DataFrame, texts: DataFrame, small: int
     return out
 
 
+def _bucketed(entries: DataFrame, total: int) -> DataFrame:
+    """(key, id, a) of buckets with two rows or more; a is the bucket's head.
+
+    The head is the row that meets most rows over all its buckets (of equal ones the smallest id), so
+    the buckets of a group of near copies mostly have one head, and few pairs are to be compared."""
+    met = settle(entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "bucket-sizes")
+    sized = settle(join_dealt(entries, met.withColumnRenamed("n", "size"), "key", met, total, ["id"]), "sized-buckets")
+    weights = sized.groupBy("id").agg(F.sum("size").alias("meets"))
+    ranked = sized.join(weights, "id").groupBy("key").agg(F.max(F.struct("meets", (-F.col("id")).alias("low"))).alias("top"))
+    heads = ranked.select("key", (-F.col("top.low")).alias("a"))
+    buckets = settle(join_dealt(sized.drop("size"), heads, "key", met, total, ["id"]), "buckets")
+    for table in (met, sized):
+        forget(table)
+    return buckets
+
+
 def near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, miss: float = 1e-6, small: int = 8
 ) -> DataFrame:
@@ -262,9 +278,7 @@ def near_duplicates(
     forget(signed)
 
     entries = reps.select("id", F.explode("bands").alias("key"))
-    met = settle(entries.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1"), "bucket-heads")
-    buckets = settle(join_dealt(entries, met.drop("n"), "key", met.drop("a"), BANDS * reps.count(), ["id"]), "buckets")
-    forget(met)
+    buckets = _bucketed(entries, BANDS * reps.count())
     candidates = buckets.select("id").distinct()
     texts = settle(docs.join(candidates, "id", "left_semi"), "candidate-texts")
 

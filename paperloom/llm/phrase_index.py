@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm import words as W
-from paperloom.llm.scratch import settle
+from paperloom.llm.scratch import forget, settle
 
 #: small rows keep arrays under what a JVM heap treats as huge, and batches of them short
 SHARD_BYTES = 256 << 10
@@ -344,3 +344,12 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
         near.alias("near"),
         "spans",
     )
+
+
+def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 10) -> DataFrame:
+    """Distinct ids of rows that hold an exact window of the benchmark; the index is removed again."""
+    index = settle(build_index(df, id_col, text_col), "phrase-index", **_ROW_GROUPS)
+    found = search(index, benchmark, window=window, near_terms=0)
+    ids = settle(found.filter(F.size("spans") > 0).select(F.col("id").alias(id_col)).distinct(), "contaminated")
+    forget(index)
+    return ids
