@@ -11,12 +11,13 @@ repeated rows are near copies of each other; no rows give no rows.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm import mixing, near_dedup, phrase_index, token_store, toxicity
 from paperloom.llm.queries import held_out, tokenizer_json
-from paperloom.llm.scratch import settle
+from paperloom.llm.scratch import forget, settle
 
 TOXIC_FROM = 0.7
 
@@ -36,11 +37,14 @@ def _unpacked(docs: DataFrame, prefix: str = "") -> list[Column]:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """Numbered columns and a number ``n`` of the row; written down, so that every use sees the same.
+    """Numbered columns and a number ``n`` of the row, the same at every use.
 
-    xxhash64 of one long is one-to-one, so the numbers are distinct and in no order: buckets get
-    their smallest members from all over the table."""
-    return settle(docs.select(_packed(docs)).select("row.*", F.xxhash64(F.monotonically_increasing_id()).alias("n")), "rows")
+    A row of a file is named by its file and place (a hash of 64 bits); other rows are written down
+    with numbers first. Numbers are in no order."""
+    try:
+        return docs.select(_packed(docs), F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("n")).select("row.*", "n")
+    except AnalysisException:
+        return settle(docs.select(_packed(docs)).select("row.*", F.xxhash64(F.monotonically_increasing_id()).alias("n")), "rows")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,13 +70,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no word window of the benchmark.
 
-    Proximity matches are looked for as well, but are no ground to reject: the rare words of an
-    item also meet in texts that do not quote it. A text goes by two hashes of 64 bits.
+    Proximity is no ground to reject, as the rare words of an item also meet in texts that do not
+    quote it. A text goes by two hashes of 64 bits.
     """
     text = F.col("row." + _place(docs, "text"))
     rows = docs.select(_packed(docs)).withColumn("key", F.struct(F.xxhash64(text).alias("k0"), F.xxhash64(F.lit(1), text).alias("k1")))
-    found = phrase_index.contamination(rows.withColumn("text", text), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="key")
-    bad = found.filter(F.col("n_hit") > 0).select("key").distinct()
+    bad = phrase_index.contaminated(rows.withColumn("text", text), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="key")
     return rows.join(bad, "key", "left_anti").select(*_unpacked(docs, "row."))
 
 
@@ -102,7 +105,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
