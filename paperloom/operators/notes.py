@@ -20,11 +20,14 @@ def note_labels(notes: DataFrame, start: int = 1, key: str = "doc", kind: str =
 
 
 def collision_renumber(notes: DataFrame, key: str = "doc", kind: str = "kind", order: str = "idx", label: str = "label") -> DataFrame:
-    """Untagged notes of a kind are numbered through only where labels of that kind collide."""
-    own = Window.partitionBy(key, kind)
-    rank = F.row_number().over(Window.partitionBy(key, kind, F.col("tag").isNull()).orderBy(order)).cast("string")
-    m = notes.withColumn("_clash", F.count(label).over(own) > F.size(F.collect_set(label).over(own)))
-    return m.withColumn(label, F.when(F.col("_clash") & F.col("tag").isNull(), rank).otherwise(F.col(label))).drop("_clash")
+    """Untagged footnotes, and untagged endnotes, are numbered through where two of them have one
+    label; tags are marks without a number, and other kinds keep their labels."""
+    member = F.col("tag").isNull() & F.col(kind).isin("footnote", "endnote")
+    m = notes.withColumn("_member", member)
+    own = Window.partitionBy(key, kind, "_member")
+    m = m.withColumn("_alike", F.count("*").over(Window.partitionBy(key, kind, "_member", label)))
+    m = m.withColumns({"_clash": F.max("_alike").over(own) > 1, "_rank": F.row_number().over(own.orderBy(order)).cast("string")})
+    return m.withColumn(label, F.when(F.col("_member") & F.col("_clash"), F.col("_rank")).otherwise(F.col(label))).drop("_member", "_alike", "_clash", "_rank")
 
 
 def prefixed_labels(notes: DataFrame, key: str = "doc", kind: str = "kind", order: str = "idx") -> DataFrame:

@@ -74,12 +74,52 @@ def balanced_markup(df: DataFrame, allowed: list[str], key: str = "doc", text: s
     return m.groupBy(key).agg(((F.min("_depth") >= 0) & (F.sum("_step") == 0)).alias("depth_ok"), (~F.coalesce(F.bool_or("_word"), F.lit(False))).alias("words_ok"))
 
 
-def well_formed_tags(df: DataFrame, void: tuple[str, ...] = ("br", "hr", "img", "meta", "link", "input"), key: str = "doc", text: str = "text") -> DataFrame:
-    """(key, tag, opened, closed) where a tag's ends do not balance."""
-    tags = F.regexp_extract_all(F.lower(text), F.lit(r"</?[a-z][a-z0-9]*"), F.lit(0))
-    t = df.select(key, F.explode(tags).alias("t")).withColumns({"tag": F.regexp_replace("t", "^</?", ""), "_end": F.startswith("t", F.lit("</"))})
-    c = t.filter(~F.col("tag").isin(*void)).groupBy(key, "tag").agg(F.count_if(~F.col("_end")).alias("opened"), F.count_if("_end").alias("closed"))
-    return c.filter("opened <> closed")
+#: Elements that never have an end, and references that XML knows (with nbsp).
+VOID = ("br", "hr", "img", "meta", "link", "input")
+_QUOTED = r"""[^<>"']*(?:(?:"[^"]*"|'[^']*')[^<>"']*)*"""
+MARKUP_TOKEN = rf"<!--(?s:.*?)-->|</?[A-Za-z]{_QUOTED}>|<|&[A-Za-z0-9#]*;?"
+_GOOD_TAG = r"""^<[A-Za-z][A-Za-z0-9:._-]*(?:\s+[A-Za-z_:][A-Za-z0-9:._-]*\s*=\s*(?:"[^"<]*"|'[^'<]*'))*\s*/?>$"""
+_GOOD_END = r"^</[A-Za-z][A-Za-z0-9:._-]*\s*>$"
+_GOOD_REFERENCE = r"^&(?:amp|lt|gt|quot|apos|nbsp|#[0-9]+|#x[0-9A-Fa-f]+);$"
+
+
+def well_formed_tags(df: DataFrame, void: tuple[str, ...] = VOID, key: str = "doc", text: str = "text") -> DataFrame:
+    """(key, place, tag, problem): why the body of a page is no well-formed XML; no row if it is.
+
+    The body lies between the first ``<body>`` and the last ``</body>``; without them that is the one
+    problem. Tags are matched like brackets: the depth is a running sum over opens and closes, and a
+    close belongs to the last open of its depth. ``place`` numbers the tags and references from 1.
+    Problems: no body, never opened, never closed, other name (the close of another element, at the
+    close), bad tag (attributes without quotes or value), stray sign (a bare ``<``), bad reference.
+    """
+    first, last = F.locate("<body>", F.col("_t")), F.length("_t") - F.position(F.lit("</body>"[::-1]), F.reverse("_t")) - 5
+    whole = (first > 0) & (last > first) & F.contains("_t", F.lit("</body>"))
+    bodies = df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_t")).withColumn("_body", F.when(whole, F.substr("_t", first + 6, last - first - 6)))
+    none = bodies.filter("_body is null").select(key, F.lit(0).cast("long").alias("place"), F.lit("").alias("tag"), F.lit("no body").alias("problem"))
+    tokens = F.filter(F.regexp_extract_all("_body", F.lit(MARKUP_TOKEN), F.lit(0)), lambda t: ~F.startswith(t, F.lit("<!--")))
+    t = bodies.filter("_body is not null").select(key, F.posexplode(tokens).alias("_p", "_k"))
+    name = F.regexp_extract("_k", r"^</?([A-Za-z][^\s/>]*)", 1)
+    t = t.withColumns({"place": (F.col("_p") + 1).cast("long"), "tag": name})
+    is_tag, is_end = F.col("tag") != "", F.startswith("_k", F.lit("</"))
+    alone = ~is_end & (F.endswith("_k", F.lit("/>")) | F.lower("tag").isin(*void))
+    t = t.withColumn("_step", F.when(~is_tag | alone, 0).when(is_end, -1).otherwise(1))
+    depth = F.sum("_step").over(Window.partitionBy(key).orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    t = t.withColumn("_level", F.when(F.col("_step") != 0, depth + (F.col("_step") < 0).cast("int")))
+    same = Window.partitionBy(key, "_level").orderBy("place")
+    t = t.withColumns({"_open": F.lag(F.struct("_step", "tag")).over(same), "_next": F.lead("_step").over(same)})
+    unmatched = (
+        F.when((F.col("_step") == -1) & ~F.coalesce(F.col("_open._step") == 1, F.lit(False)), "never opened")
+        .when((F.col("_step") == -1) & (F.col("_open.tag") != F.col("tag")), "other name")
+        .when((F.col("_step") == 1) & ~F.coalesce(F.col("_next") == -1, F.lit(False)), "never closed")
+    )
+    form = (
+        F.when(is_tag & ~is_end & ~F.col("_k").rlike(_GOOD_TAG), "bad tag")
+        .when(is_end & ~F.col("_k").rlike(_GOOD_END), "bad tag")
+        .when(F.col("_k") == "<", "stray sign")
+        .when(F.startswith("_k", F.lit("&")) & ~F.col("_k").rlike(_GOOD_REFERENCE), "bad reference")
+    )
+    found = t.select(key, "place", "tag", F.explode(F.array_compact(F.array(unmatched, form))).alias("problem"))
+    return none.unionByName(found)
 
 
 def lint_lines(lines: DataFrame, key: str = "doc", order: str = "li", text: str = "text") -> DataFrame:

@@ -30,14 +30,15 @@ def _counted(rows: DataFrame, key: str, name: str) -> DataFrame:
     return n.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", name, F.col("_n").cast("string")))), " ").alias("counts"))
 
 
-def diagnosis(lines: DataFrame, marks: DataFrame, notes: DataFrame, kinds: list[str], known: list[str] | None = None, spans: DataFrame | None = None, pictures: DataFrame | None = None, key: str = "doc", text: str = "text") -> DataFrame:
-    """One grouped aggregate per child table: paragraphs, blanks, widest line and margin, commands
+def diagnosis(lines: DataFrame, marks: DataFrame, notes: DataFrame, kinds: list[str], known: list[str] | None = None, spans: DataFrame | None = None, pictures: DataFrame | None = None, soft: Column | None = None, key: str = "doc", text: str = "text") -> DataFrame:
+    """One grouped aggregate per child table: paragraphs, blanks, widest line and margin (of the
+    ``soft`` lines, as ``wrap_margin`` has it), commands
     with counts, notes by kind with zeros. With ``known`` command names also the unknown ones, the
     formatting keys set and the number of contents entries (``TC``); with ``spans`` (styles, colour,
     size) the numbers of styled, coloured and sized spans; with ``pictures`` (resolved) how many are
     found and missing."""
     out = lines.groupBy(key).agg(F.count_if(F.trim(text) != "").alias("paragraphs"), F.count_if(F.trim(text) == "").alias("blanks"), F.max(F.length(F.rtrim(F.col(text)))).cast("long").alias("widest"))
-    out = out.join(wrap_margin(lines, key, text), key, "left").join(_counted(marks, key, "name").withColumnRenamed("counts", "commands"), key, "left")
+    out = out.join(wrap_margin(lines, key, text, soft=soft), key, "left").join(_counted(marks, key, "name").withColumnRenamed("counts", "commands"), key, "left")
     out = out.join(notes.groupBy(key).agg(*(F.count_if(F.col("kind") == k).alias(f"{k}s") for k in kinds)), key, "left")
     numbers, texts = [f"{k}s" for k in kinds], ["commands"]
     if known is not None:

@@ -96,16 +96,20 @@ def paragraph_units(lines: DataFrame, key: str = "doc", order: str = "li", text:
     return m.select(*lines.columns, "unit", "short_run")
 
 
-def wrap_margin(lines: DataFrame, key: str = "doc", text: str = "text", floor: int = 65) -> DataFrame:
-    """Element int(0.9 n) of the sorted line lengths (an order statistic), at least ``floor``.
+def wrap_margin(lines: DataFrame, key: str = "doc", text: str = "text", floor: int = 65, soft: Column | None = None) -> DataFrame:
+    """Element int(0.9 n) of the sorted lengths of a document's soft-wrapped lines (an order
+    statistic), blank ones aside, at least ``floor``; ``soft`` says which lines are (by default those
+    whose ``terminator`` is soft).
 
     Counted by length first, so a document's lines are never gathered."""
-    full = lines.filter(~_blank(text)).groupBy(key, F.length(F.rtrim(F.col(text))).alias("_len")).agg(F.count("*").alias("_n"))
+    wrapped = (F.col("terminator") == "soft") if soft is None else soft
+    size = F.when(wrapped & ~_blank(text), F.length(F.rtrim(F.col(text))))
+    counts = lines.select(key, size.alias("_len")).groupBy(key, "_len").agg(F.count("_len").alias("_n"))
     by = Window.partitionBy(key)
     upto = F.sum("_n").over(by.orderBy("_len").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = full.withColumns({"_upto": upto, "_all": F.sum("_n").over(by)})
-    at = ranked.filter(F.col("_upto") > F.expr("_all * 9 div 10"))
-    return at.groupBy(key).agg(F.greatest(F.lit(floor), F.min("_len")).cast("long").alias("margin"))
+    ranked = counts.withColumns({"_upto": upto, "_all": F.sum("_n").over(by)})
+    at = F.min(F.when(F.col("_upto") > F.expr("_all * 9 div 10"), F.col("_len")))
+    return ranked.groupBy(key).agg(F.greatest(F.lit(floor), F.coalesce(at, F.lit(0))).cast("long").alias("margin"))
 
 
 def modal_value(df: DataFrame, value: Column, key: str = "doc", order: str = "li") -> DataFrame:
@@ -121,26 +125,29 @@ def terminal_fraction(lines: DataFrame, keys: list[str], text: str = "text") ->
     return lines.groupBy(*keys).agg(F.coalesce(F.avg(scored), F.lit(1.0)).alias("fraction"))
 
 
-GRAPHIC = r"^[\s|+=_─-╿-]*$"
+#: Block, shade, card and box-drawing signs that make a row graphic.
+GRAPHIC = "█░▒▓▀▄▌▐■♦♥♠♣☻☼≡─│┌┐└┘├┤┬┴┼═║╔╗╚╝╠╣╦╩╬╒╓╕╖╘╙╛╜╞╟╡╢╤╥╧╨╪╫"
 
 
 def verse_test(lines: DataFrame, keys: list[str], text: str = "text", shifted: Column | None = None) -> DataFrame:
-    """is_verse per run: half graphic rows; or two scored lines, under a third self-quoted, under
-    0.9 terminal, and a style shift over half or under 0.8 terminal."""
+    """is_verse per run of lines, blank ones aside: two lines or more of which half hold a graphic sign
+    and no letter; or two lettered lines or more, of these under a third self-quoted and under 0.9
+    ending a sentence, and either over half of all lines in a shifted style or under 0.8 of the
+    lettered ones ending a sentence."""
     t = F.col(text)
     full, letters = ~_blank(t), t.rlike(r"\p{L}")
-    quoted = F.ltrim(t).rlike(rf"^[{OPENING}][^{CLOSING}]*[{CLOSING}]")
+    quoted = F.ltrim(t).rlike(rf"^[{OPENING}].*[{CLOSING}]")
     c = lines.groupBy(*keys).agg(
         F.count_if(full).alias("_n"),
-        F.count_if(full & ~letters & t.rlike(GRAPHIC)).alias("_graphic"),
+        F.count_if(full & ~letters & t.rlike(f"[{GRAPHIC}]")).alias("_graphic"),
         F.count_if(full & letters).alias("_scored"),
-        F.count_if(full & quoted).alias("_quoted"),
+        F.count_if(full & letters & quoted).alias("_quoted"),
         F.count_if(full & letters & ends_terminal(t)).alias("_terminal"),
         F.count_if(full & (F.lit(False) if shifted is None else shifted)).alias("_shifted"),
     )
-    graphic = (F.col("_n") > 0) & (2 * F.col("_graphic") >= F.col("_n"))
+    graphic = (F.col("_n") >= 2) & (2 * F.col("_graphic") >= F.col("_n"))
     shape = (2 * F.col("_shifted") > F.col("_n")) | (10 * F.col("_terminal") < 8 * F.col("_scored"))
-    prose = (F.col("_scored") >= 2) & (3 * F.col("_quoted") < F.col("_n")) & (10 * F.col("_terminal") < 9 * F.col("_scored")) & shape
+    prose = (F.col("_scored") >= 2) & (3 * F.col("_quoted") < F.col("_scored")) & (10 * F.col("_terminal") < 9 * F.col("_scored")) & shape
     return c.select(*keys, (graphic | prose).alias("is_verse"))
 
 
@@ -191,18 +198,22 @@ def toggle_events(spans: DataFrame, key: str, order: list[str], styles: str = "s
     return x.select(key, *order, F.col("e.seq").alias("seq"), F.col("e.bit").alias("bit"), F.col("e.on").alias("on"))
 
 
-def nesting_level(rows: DataFrame, key: str = "doc", order: str = "li", col: str = "col", island: str = "island") -> DataFrame:
-    """level of each list row: a stack of indents, deeper ones dropped, a new column pushed.
+def nesting_level(rows: DataFrame, key: str = "doc", order: str = "li", col: str = "col", island: str = "island", item: Column | None = None) -> DataFrame:
+    """level and container (its column, null outside any) of each row.
 
-    An island between hard breaks is folded in order; the stack is the only state."""
-    parts = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(col).cast("int").alias("c"))))
+    A stack of columns: every row closes what is deeper than itself; a list item (``item``, all rows by
+    default) opens a container unless the innermost one has its column; other rows take the level
+    they stand in. An island between hard breaks is folded in order; the stack is the only state."""
+    parts = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(col).cast("int").alias("c"), (F.lit(True) if item is None else F.coalesce(item, F.lit(False))).alias("i"))))
     grouped = rows.groupBy(key, island).agg(parts.alias("_rows"))
     kind = "struct<o:bigint,level:bigint,container:int>"
 
     def step(stack: Column, r: Column) -> tuple[Column, Column]:
-        kept = F.filter(stack, lambda x: x < r["c"])
-        row = F.struct(r["o"].cast("bigint").alias("o"), (F.size(kept) + 1).cast("bigint").alias("level"), F.element_at(F.concat(F.array(F.lit(-1)), kept), -1).alias("container"))
-        return F.concat(kept, F.array(r["c"])), F.array(row)
+        kept = F.filter(stack, lambda x: x <= r["c"])
+        opens = r["i"] & ~F.coalesce(F.try_element_at(kept, F.lit(-1)) == r["c"], F.lit(False))
+        now = F.when(opens, F.concat(kept, F.array(r["c"]))).otherwise(kept)
+        row = F.struct(r["o"].cast("bigint").alias("o"), F.size(now).cast("bigint").alias("level"), F.try_element_at(now, F.lit(-1)).alias("container"))
+        return now, F.array(row)
 
     levels = fold_out(F.col("_rows"), F.array().cast("array<int>"), step, kind)
     out = grouped.select(key, island, F.explode(levels).alias("r"))

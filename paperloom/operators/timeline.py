@@ -5,6 +5,8 @@ As-of lookups are a union of both sides and one window per document, so no range
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,44 +71,91 @@ def number_visibility(pages: DataFrame, switches: DataFrame, key: str = "doc", o
     return out.withColumn("visible", F.coalesce("visible", F.lit(True)))
 
 
-#: Commands of the nine named timelines and how their entries are kept.
+@dataclass(frozen=True)
+class Named:
+    """A timeline's commands, or for ``says`` what each of them says; its seeds, if it has any; which
+    commands make an entry (those that change the value, or all); and when the page's own facts
+    replace the seeds (always, never, or where there is no entry)."""
+
+    commands: tuple[str, ...]
+    seeds: tuple[int | None, ...] | None = None
+    keep: str = "changes"
+    page: str = "never"
+    says: tuple[int, ...] | None = None
+
+
+#: The named timelines with their seeds (orientation 0 is portrait, auto_number 1 is on,
+#: a null line interval is off). Each parity has an offset of its own.
 TIMELINES = {
-    "orientation": (("PR",), "changes"),
-    "top_bottom": (("MT", "MB"), "changes"),
-    "page_length": (("PL",), "changes"),
-    "head_foot": (("HM", "FM"), "changes"),
-    "offset": (("PO",), "changes"),
-    "even_odd_offset": (("POE", "POO"), "changes"),
-    "page_start": (("PN",), "all"),
-    "auto_number": (("PG", "OP"), "changes"),
-    "line_interval": (("L#",), "changes"),
+    "orientation": Named(("PR",), (0,)),
+    "top_bottom": Named(("MT", "MB"), (3, 8), page="always"),
+    "page_length": Named(("PL",), (66,), page="no entry"),
+    "head_foot": Named(("HM", "FM"), (2, 2), page="no entry"),
+    "offset": Named(("PO",), (8,), page="no entry"),
+    "even_offset": Named(("POE",)),
+    "odd_offset": Named(("POO",)),
+    "page_start": Named(("PN",), (1,), keep="all", page="no entry"),
+    "auto_number": Named(("PN", "PG", "OP"), (1,), says=(1, 1, 0)),
+    "line_interval": Named(("L#",), (None,)),
 }
 
 
-def named_timeline(marks: DataFrame, commands: tuple[str, ...], keep: str = "changes", key: str = "doc", order: list[str] | str = "pos", name_col: str = "name", value_col: str = "value") -> DataFrame:
-    """One of the named timelines. A pair of commands carries the other half's last value: columns
-    v0, v1 ... in the order of ``commands``."""
-    order = _names(order)
-    if len(commands) == 1:
-        return change_log(marks, commands[0], keep, None, key, order, name_col, value_col).select(key, *order, F.col(value_col).alias("v0"))
-    until = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    halves = {f"v{i}": F.last(F.when(F.col(name_col) == c, F.col(value_col)), ignorenulls=True).over(until) for i, c in enumerate(commands)}
-    both = marks.filter(F.col(name_col).isin(*commands)).withColumns(halves)
-    if keep == "all":
-        return both.select(key, *order, *halves)
-    pair = F.struct(*halves)
-    return both.withColumn("_prior", F.lag(pair).over(Window.partitionBy(key).orderBy(*order))).filter(~pair.eqNullSafe(F.col("_prior"))).select(key, *order, *halves)
+def all_timelines(marks: DataFrame, page: DataFrame | None = None, timelines: dict[str, Named] = TIMELINES, key: str = "doc", order: list[str] | str = "pos", name_col: str = "name", value_col: str = "value") -> DataFrame:
+    """(key, timeline, order, v0, v1): the entries of all timelines, and for seeded ones the value before
+    any command, in a row without a place. v1 is the other half of a pair, null elsewhere.
 
-
-def all_timelines(marks: DataFrame, key: str = "doc", order: list[str] | str = "pos", name_col: str = "name", value_col: str = "value") -> DataFrame:
-    """(key, order, v0, v1, timeline) of all nine; v1 is null where a timeline has one command."""
-    out = None
-    for name, (commands, keep) in TIMELINES.items():
-        own = named_timeline(marks, commands, keep, key, order, name_col, value_col).withColumn("timeline", F.lit(name))
-        if len(commands) == 1:
-            own = own.withColumn("v1", F.lit(None).cast(marks.schema[value_col].dataType))
-        out = own if out is None else out.unionByName(own)
-    return out
+    ``page`` has what a document's page geometry says, rows (key, timeline, v0, v1); documents without
+    marks are known from there. Commands without a value are passed over, but for ``says``. In a
+    restarting timeline (``keep="all"``) the later of two commands at one position (all of ``order``
+    but its last) counts. One exchange by (key, timeline) serves all."""
+    order = _names(order)
+    kind = marks.schema[value_col].dataType
+    rules: dict[str, list] = {}
+    for name, t in timelines.items():
+        for slot, command in enumerate(t.commands):
+            own = F.col(value_col) if t.says is None else F.lit(t.says[slot]).cast(kind)
+            rules.setdefault(command, []).append(F.struct(F.lit(name).alias("timeline"), F.lit(slot if t.says is None else 0).alias("slot"), own.alias("value")))
+    hits = F.array().cast(f"array<struct<timeline:string,slot:int,value:{kind.simpleString()}>>")
+    for command, structs in rules.items():
+        hits = F.when(F.col(name_col) == command, F.array(*structs)).otherwise(hits)
+    m = marks.select(key, *order, F.explode(hits).alias("h")).select(key, *order, "h.*").filter("value is not null")
+
+    def of(field) -> Column:
+        out = F.lit(None)
+        for name, t in timelines.items():
+            out = F.when(F.col("timeline") == name, F.lit(field(t))).otherwise(out)
+        return out
+
+    def seeds(rows: DataFrame) -> DataFrame:
+        """Adds seed0, seed1: the page's facts where they always count, else the fixed ones."""
+        fixed = [of(lambda t, i=i: t.seeds[i] if t.seeds and i < len(t.seeds) else None).cast(kind) for i in (0, 1)]
+        if page is None:
+            return rows.withColumns({"seed0": fixed[0], "seed1": fixed[1]})
+        facts = page.select(key, "timeline", *(F.col(f"v{i}").cast(kind).alias(f"page{i}") for i in (0, 1)))
+        always = of(lambda t: t.page) == "always"
+        both = rows.join(facts, [key, "timeline"], "left")
+        return both.withColumns({f"seed{i}": F.when(always, F.coalesce(f"page{i}", fixed[i])).otherwise(fixed[i]) for i in (0, 1)})
+
+    m = seeds(m)
+    by = Window.partitionBy(key, "timeline").orderBy(*order)
+    until = by.rowsBetween(Window.unboundedPreceding, 0)
+    m = m.withColumns({f"v{i}": F.coalesce(F.last(F.when(F.col("slot") == i, F.col("value")), ignorenulls=True).over(until), F.col(f"seed{i}")) for i in (0, 1)})
+    before, seeded = F.lag(F.struct("v0", "v1")).over(by), of(lambda t: t.seeds is not None)
+    m = m.withColumn("_before", F.coalesce(before, F.when(seeded, F.struct(F.col("seed0").alias("v0"), F.col("seed1").alias("v1")))))
+    newest = F.row_number().over(Window.partitionBy(key, "timeline", *order[:-1]).orderBy(F.col(order[-1]).desc())) == 1
+    restarts = of(lambda t: t.keep) == "all"
+    m = m.withColumn("_newest", newest).filter(F.when(restarts, F.col("_newest")).otherwise(~F.struct("v0", "v1").eqNullSafe(F.col("_before"))))
+    entries = m.select(key, "timeline", *order, "v0", "v1")
+
+    docs = marks.select(key) if page is None else marks.select(key).unionByName(page.select(key))
+    every = docs.distinct().select(key, F.explode(F.array(*(F.lit(n) for n, t in timelines.items() if t.seeds is not None))).alias("timeline"))
+    first = seeds(every)
+    if page is not None:
+        some = entries.select(key, "timeline").distinct().withColumn("_some", F.lit(True))
+        swap = (of(lambda t: t.page) == "no entry") & F.col("_some").isNull()
+        first = first.join(some, [key, "timeline"], "left").withColumns({f"seed{i}": F.when(swap, F.coalesce(f"page{i}", f"seed{i}")).otherwise(F.col(f"seed{i}")) for i in (0, 1)})
+    places = {c: F.lit(None).cast(marks.schema[c].dataType) for c in order}
+    return entries.unionByName(first.select(key, "timeline", *(v.alias(c) for c, v in places.items()), F.col("seed0").alias("v0"), F.col("seed1").alias("v1")))
 
 
 def latest_n(df: DataFrame, n: int, order: list[str] | str, key: str | None = None) -> DataFrame:
@@ -119,12 +168,13 @@ def latest_n(df: DataFrame, n: int, order: list[str] | str, key: str | None = No
 
 
 def line_numbers(lines: DataFrame, interval: Column | str, key: str = "doc", page: str = "page", order: list[str] | str = "line") -> DataFrame:
-    """Line numbers per page: the counter k restarts on a new page or interval; a label is shown
-    where k is a multiple of the interval."""
+    """Line numbers per page: the counter k restarts on a new page and wherever the interval changes,
+    from and to none (null) included; a label is shown where k is a multiple of the interval."""
     step = F.col(interval) if isinstance(interval, str) else interval
     own = Window.partitionBy(key, page).orderBy(*_names(order))
-    marked = lines.withColumn("_step", step).withColumn("_island", F.sum(F.when(F.col("_step") != F.lag("_step").over(own), 1).otherwise(0)).over(own))
+    changed = ~F.col("_step").eqNullSafe(F.lag("_step").over(own))
+    marked = lines.withColumn("_step", step).withColumn("_island", F.sum(F.when(changed, 1).otherwise(0)).over(own))
     k = F.row_number().over(Window.partitionBy(key, page, "_island").orderBy(*_names(order))) - 1
     marked = marked.withColumn("k", k.cast("long"))
-    label = F.when((F.col("_step") > 0) & (F.col("k") % F.col("_step") == 0), F.expr("k div _step") + 1)
+    label = F.when(F.col("_step") > 0, F.when(F.col("k") % F.col("_step") == 0, F.expr("k div _step") + 1))
     return marked.withColumn("label", label).drop("_step", "_island")

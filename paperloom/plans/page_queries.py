@@ -235,7 +235,7 @@ ORACLES = {
     "toc_page_join": with_views(_PAGES + """, B as (select doc, bi, min(page) + 10 as number from X group by 1, 2), E as (select doc, case when bi % 80 = 0 then -bi - 1 else bi end as bi, 'entry ' || bi as text from PL where li = 1)
         select E.doc, E.bi, E.text, cast(B.number as bigint) as number from E left join B on E.doc = B.doc and E.bi = B.bi""", "PL"),
     "note_labels": f"with {_NOTES} select doc, idx, kind, label from R",
-    "collision_renumber": f"with {_NOTES}, C as (select doc, kind, count(*) > count(distinct label) as clash from R group by 1, 2) select doc, idx, kind, case when clash and tag is null then cast(row_number() over (partition by doc, kind, tag is null order by idx) as varchar) else label end as label from R join C using (doc, kind)",
+    "collision_renumber": f"with {_NOTES}, M as (select doc, idx, kind, row_number() over (partition by doc, kind order by idx) as rank from R where tag is null and kind in ('footnote', 'endnote')), C as (select doc, kind from M join R using (doc, idx, kind) group by 1, 2 having count(*) > count(distinct label)) select doc, idx, kind, case when C.doc is not null and rank is not null then cast(rank as varchar) else label end as label from R left join M using (doc, idx, kind) left join C using (doc, kind)",
     "prefixed_labels": f"with {_NOTES} select doc, idx, case kind when 'endnote' then 'e' when 'comment' then 'c' else '' end || r as label from R",
     "note_order": f"with {_NOTES} select doc, idx, row_number() over (partition by doc order by case kind when 'footnote' then 0 when 'endnote' then 1 else 3 end, idx) as seq from R",
     "note_for_reference": f"""with {_NOTES}, K as (select doc, kind, row_number() over (partition by doc order by idx) as k from N where doc % 4 <> 0 or idx < 3), Q as (select doc, idx * 2 as idx, row_number() over (partition by doc order by idx) as k from N)

@@ -32,7 +32,7 @@ def _diagnosed(spark, d):
     marks, _ = X.command_marks(planted(spark, d))
     spans = placed(spark, d).select("doc", (F.col("style") % 16).alias("styles"), F.when(F.col("height") % 3 == 0, F.col("height")).alias("colour"), F.when(F.col("height") > 40, F.col("height")).alias("size"))
     pictures = table(spark, d, "pages").select((F.col("page_id") % 100).alias("doc"), F.when(F.col("page_id") % 3 == 0, F.col("url")).alias("resolved"))
-    return S.diagnosis(planted(spark, d), marks, _notes(spark, d), ["footnote", "endnote", "annotation"], ["PN", "MT", "PO", "TC"], spans, pictures)
+    return S.diagnosis(planted(spark, d), marks, _notes(spark, d), ["footnote", "endnote", "annotation"], ["PN", "MT", "PO", "TC"], spans, pictures, F.col("li") % 2 == 0)
 
 
 def diagnosis(spark, d):
@@ -244,7 +244,7 @@ _NAMES = """with recursive R as (select *, {fold}(stem) as k, regexp_replace({fo
       union all select doc, root, n, list_append(taken, k || suffix), id, stem || suffix from (select W.doc, W.root, N.n, W.taken, N.id, N.stem, N.k,
         list_filter(list_transform(range(1, len(taken) + 2), lambda i: case when i = 1 then '' else '{sep}' || (i + {shift}) end), lambda s: not list_contains(taken, k || s))[1] as suffix from W join N on N.doc = W.doc and N.root = W.root and N.n = W.n + 1))"""
 _DIAGNOSED = """A as (select doc, count(*) filter (trim(text) <> '') as paragraphs, count(*) filter (trim(text) = '') as blanks, max(length(rtrim(text))) as widest from LP group by doc),
-        W as (select doc, greatest(65, list_sort(list(length(rtrim(text))))[cast(count(*) * 9 // 10 as bigint) + 1]) as margin from LP where trim(text) <> '' group by doc),
+        W as (select doc, greatest(65, coalesce(list_sort(list(length(rtrim(text))) filter (s))[cast((count(*) filter (s)) * 9 // 10 as bigint) + 1], 0)) as margin from (select *, li % 2 = 0 and trim(text) <> '' as s from LP) group by doc),
         C as (select doc, upper(regexp_extract(text, '^\\.([A-Za-z][A-Za-z#]{0,2})', 1)) as name, count(*) as n from LP where regexp_matches(text, '^\\.[A-Za-z][A-Za-z#]{0,2}\\s*') group by 1, 2),
         B as (select doc, string_agg(name || ':' || n, ' ' order by name || ':' || n) as commands, string_agg(name || ':' || n, ' ' order by name || ':' || n) filter (name not in ('PN', 'MT', 'PO', 'TC')) as unknown, string_agg(name, ' ' order by name) filter (name in ('PN', 'MT', 'PO', 'TC')) as keys, cast(coalesce(sum(n) filter (name = 'TC'), 0) as bigint) as contents from C group by doc),
         E as (select doc, count(*) filter (kind = 'footnote') as f, count(*) filter (kind = 'endnote') as e from N group by doc),
@@ -312,8 +312,21 @@ ORACLES = {
     "balanced_markup": r"""with D as (select doc_id as doc, '{\rtf ' || replace(replace(text, ',', '\{'), ' the ', '{\b x}') || case when doc_id % 3 = 0 then '' else '}' end || case when doc_id % 5 = 0 then '\odd ' else '' end as t from documents),
         E as (select doc, unnest(r) as k, unnest(range(len(r))) as pos from (select doc, regexp_extract_all(t, '\\[\\{}]|\\[a-z]+|[{}]') as r from D)), F as (select *, sum(case k when '{' then 1 when '}' then -1 else 0 end) over (partition by doc order by pos) as depth from E)
         select doc, min(depth) >= 0 and arg_max(depth, pos) = 0 as depth_ok, not bool_or(regexp_matches(k, '^\\[a-z]+$') and k not in ('\rtf', '\b')) as words_ok from F group by doc""",
-    "well_formed_tags": """with T as (select page_id as doc, unnest(regexp_extract_all(lower(html), '</?[a-z][a-z0-9]*')) as t from pages), C as (select doc, replace(replace(t, '</', ''), '<', '') as tag, count(*) filter (not starts_with(t, '</')) as opened, count(*) filter (starts_with(t, '</')) as closed from T group by 1, 2)
-        select * from C where opened <> closed and tag not in ('br', 'hr', 'img', 'meta', 'link', 'input')""",
+    "well_formed_tags": r"""with B as (select page_id as doc, case when contains(html, '<body>') and contains(html, '</body>') then html[instr(html, '<body>') + 6 : length(html) - instr(reverse(html), reverse('</body>')) - 6] end as b from pages),
+        T as (select doc, list_filter(regexp_extract_all(b, '(?s)<!--.*?-->|</?[A-Za-z][^<>"'']*(?:(?:"[^"]*"|''[^'']*'')[^<>"'']*)*>|<|&[A-Za-z0-9#]*;?'), lambda k: not starts_with(k, '<!--')) as ks from B where b is not null),
+        E as (select doc, ks, list_transform(range(1, len(ks) + 1), lambda p: {'st': cast([] as struct(n varchar, p bigint)[]), 'o': cast([] as struct(p bigint, n varchar, w varchar)[]), 'k': ks[p], 'n': regexp_extract(ks[p], '^</?([A-Za-z][^\s/>]*)', 1), 'p': p}) as es from T),
+        S as (select doc, ks, case when len(es) > 0 then list_reduce(list_prepend({'st': cast([] as struct(n varchar, p bigint)[]), 'o': cast([] as struct(p bigint, n varchar, w varchar)[]), 'k': '', 'n': '', 'p': cast(0 as bigint)}, es), lambda a, x: case
+            when x.n = '' or (not starts_with(x.k, '</') and (ends_with(x.k, '/>') or lower(x.n) in ('br', 'hr', 'img', 'meta', 'link', 'input'))) then a
+            when not starts_with(x.k, '</') then {'st': list_append(a.st, {'n': x.n, 'p': x.p}), 'o': a.o, 'k': '', 'n': '', 'p': x.p}
+            when len(a.st) = 0 then {'st': a.st, 'o': list_append(a.o, {'p': x.p, 'n': x.n, 'w': 'never opened'}), 'k': '', 'n': '', 'p': x.p}
+            when a.st[-1].n <> x.n then {'st': a.st[:-2], 'o': list_append(a.o, {'p': x.p, 'n': x.n, 'w': 'other name'}), 'k': '', 'n': '', 'p': x.p}
+            else {'st': a.st[:-2], 'o': a.o, 'k': '', 'n': '', 'p': x.p} end) end as r from E),
+        K as (select doc, unnest(ks) as k, unnest(range(1, len(ks) + 1)) as place from T),
+        F as (select doc, place, regexp_extract(k, '^</?([A-Za-z][^\s/>]*)', 1) as tag, case when starts_with(k, '</') then case when not regexp_matches(k, '^</[A-Za-z][A-Za-z0-9:._-]*\s*>$') then 'bad tag' end when k = '<' then 'stray sign'
+            when starts_with(k, '<') then case when not regexp_matches(k, '^<[A-Za-z][A-Za-z0-9:._-]*(?:\s+[A-Za-z_:][A-Za-z0-9:._-]*\s*=\s*(?:"[^"<]*"|''[^''<]*''))*\s*/?>$') then 'bad tag' end
+            when not regexp_matches(k, '^&(?:amp|lt|gt|quot|apos|nbsp|#[0-9]+|#x[0-9A-Fa-f]+);$') then 'bad reference' end as problem from K)
+        select doc, 0 as place, '' as tag, 'no body' as problem from B where b is null union all select doc, o.p, o.n, o.w from (select doc, unnest(r.o) as o from S)
+        union all select doc, s.p, s.n, 'never closed' from (select doc, unnest(r.st) as s from S) union all select * from F where problem is not null""",
     "lint": with_views(rf""", T as (select doc, li, case li % 6 when 0 then text || '\' when 1 then text || '\\' when 2 then '    x' || text else text end as t from L),
         U as (select *, li // 4 as unit, row_number() over (partition by doc, li // 4 order by li) as k from LP), V as ({_VERSE_OF_UNITS}),
         S as (select *, lag(style) over (partition by doc, bi order by li) as p from PL), K as (select doc, bit_or(style) as st from PL where style & 64 = 0 group by doc),

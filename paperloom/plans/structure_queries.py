@@ -31,7 +31,7 @@ def paragraph_units(spark, d):
 
 
 def wrap_margin(spark, d):
-    return S.wrap_margin(lines(spark, d))
+    return S.wrap_margin(_typed(spark, d))
 
 
 def modal_value(spark, d):
@@ -43,7 +43,10 @@ def terminal_fraction(spark, d):
 
 
 def verse_test(spark, d):
-    runs = planted(spark, d).withColumn("run", F.expr("li div 6"))
+    """Runs of six lines, some with boxes around them."""
+    n = F.col("doc") + F.col("li")
+    text = F.when((F.col("doc") % 5 == 0) & (n % 4 < 2), F.lit("╔═══╗ 12")).when((F.col("doc") % 7 == 0) & (n % 3 == 0), F.concat(F.lit("“"), F.col("text"), F.lit("”"))).otherwise(F.col("text"))
+    runs = planted(spark, d).withColumns({"run": F.expr("li div 6"), "text": text})
     return S.verse_test(runs, ["doc", "run"], shifted=F.col("li") % 5 < 3)
 
 
@@ -66,7 +69,7 @@ def toggle_events(spark, d):
 
 def nesting_level(spark, d):
     rows = planted(spark, d).filter("text <> ''").withColumns({"island": F.expr("li div 12"), "col": F.length("text") % 7})
-    return S.nesting_level(rows.select("doc", "island", "li", "col"))
+    return S.nesting_level(rows.select("doc", "island", "li", "col", (F.length("text") % 3 != 0).alias("item")), item=F.col("item"))
 
 
 def centred_rows(spark, d):
@@ -106,8 +109,8 @@ QUERIES = {f.__name__: f for f in (break_kinds, logical_lines, paragraph_units,
 
 _TERM = "regexp_matches(rtrim(text), '[.!?][\"''’”]*$')"
 #: whether runs of planted lines are verse, by expressions for the run and for a shifted style
-VERSE_BY = """select {keys}, (n > 0 and 2 * g >= n) or (s >= 2 and 3 * q < n and 10 * t < 9 * s and (2 * h > n or 10 * t < 8 * s)) as is_verse from (select {keys}, count(*) filter (f) as n, count(*) filter (f and not l and regexp_matches(text, '^[\\s|+=_─-╿-]*$')) as g, count(*) filter (f and l) as s,
-        count(*) filter (f and regexp_matches(ltrim(text), '^["\'\'‘“][^"\'\'’”]*["\'\'’”]')) as q, count(*) filter (f and l and """ + _TERM + """) as t, count(*) filter (f and sh) as h from (select doc, li, {run}, text, {shifted} as sh, trim(text) <> '' as f, regexp_matches(text, '\\p{{L}}') as l from {table}) group by {keys})"""
+VERSE_BY = """select {keys}, (n >= 2 and 2 * g >= n) or (s >= 2 and 3 * q < s and 10 * t < 9 * s and (2 * h > n or 10 * t < 8 * s)) as is_verse from (select {keys}, count(*) filter (f) as n, count(*) filter (f and not l and regexp_matches(text, '[""" + S.GRAPHIC + """]')) as g, count(*) filter (f and l) as s,
+        count(*) filter (f and l and regexp_matches(ltrim(text), '^["\'\'‘“].*["\'\'’”]')) as q, count(*) filter (f and l and """ + _TERM + """) as t, count(*) filter (f and sh) as h from (select doc, li, {run}, text, {shifted} as sh, trim(text) <> '' as f, regexp_matches(text, '\\p{{L}}') as l from {table}) group by {keys})"""
 ORACLES = {
     "break_kinds": with_views(_TYPED + """, M as (select *, trim(text) = '' as b, sum(case when trim(text) = '' then 0 else 1 end) over (partition by doc order by li) as run,
         first_value(case when trim(text) <> '' then ltrim(text) end ignore nulls) over (partition by doc order by li rows between 1 following and unbounded following) as nxt from T),
@@ -130,11 +133,11 @@ ORACLES = {
         V as (""" + VERSE_BY.format(run="rn as run", shifted="false", keys="doc, run", table="F where cand") + """),
         G as (select F.*, cand and coalesce(is_verse, false) as verse from F left join V on V.doc = F.doc and V.run = F.rn)
         select doc, li, cast(sum(case when s and not (verse and aft) then 1 else 0 end) over (partition by doc order by li) as bigint) as unit, verse as short_run from G""", "LP"),
-    "wrap_margin": with_views("select doc, greatest(65, list_sort(list(length(rtrim(text))))[cast(count(*) * 9 // 10 as bigint) + 1]) as margin from L where trim(text) <> '' group by doc", "L"),
+    "wrap_margin": with_views(_TYPED + " select doc, greatest(65, coalesce(list_sort(list(length(rtrim(text))) filter (s))[cast((count(*) filter (s)) * 9 // 10 as bigint) + 1], 0)) as margin from (select *, terminator = 'soft' and trim(text) <> '' as s from T) group by doc", "LP"),
     "modal_value": with_views(""", V as (select doc, li, length(text) - length(ltrim(text)) + length(text) % 3 as v from LP), C as (select doc, v, count(*) as n, min(li) as f from V group by 1, 2)
         select doc, cast(v as integer) as value, n as count from (select *, row_number() over (partition by doc order by n desc, f) as r from C) where r = 1""", "LP"),
     "terminal_fraction": with_views(f"select doc, coalesce(avg(case when regexp_matches(text, '\\p{{L}}') then case when {_TERM} then 1.0 else 0.0 end end), 1.0) as fraction from L group by doc", "L"),
-    "verse_test": with_views(", V as (" + VERSE_BY.format(run="li // 6 as run", shifted="li % 5 < 3", keys="doc, run", table="LP") + ") select * from V", "LP"),
+    "verse_test": with_views(", B as (select doc, li, case when doc % 5 = 0 and (doc + li) % 4 < 2 then '╔═══╗ 12' when doc % 7 = 0 and (doc + li) % 3 = 0 then '“' || text || '”' else text end as text from LP), V as (" + VERSE_BY.format(run="li // 6 as run", shifted="li % 5 < 3", keys="doc, run", table="B") + ") select * from V", "LP"),
     "discover_bullets": with_views(""", M as (select doc, li, cast(length(regexp_extract(text, '^( *)', 1)) as integer) as col, regexp_extract(text, '^ *([^\\sA-Za-z0-9]) \\S', 1) as glyph, regexp_extract(text, '^ *[^\\sA-Za-z0-9] (\\S.*)$', 1) as rest from LP where regexp_matches(text, '^ *[^\\sA-Za-z0-9] \\S'))
         select doc, li, col, glyph from (select *, count(*) over (partition by doc, col, glyph) as n from M where not contains(rest, glyph)) where n >= 2""", "LP"),
     "discover_label_lists": with_views(""", M as (select *, sum(case when trim(text) = '' then 1 else 0 end) over (partition by doc order by li) as island from LP),
@@ -148,10 +151,10 @@ ORACLES = {
         K as (select unnest(range(8)) as k)
         select doc, bi, li, cast(k as integer) as seq, cast(1 << k as integer) as bit, false as "on" from M, K where (was & ~style & (1 << k)::integer) <> 0
         union all select doc, bi, li, cast(k + 8 as integer), cast(1 << k as integer), true from M, K where (style & ~was & (1 << k)::integer) <> 0""", "PL"),
-    "nesting_level": with_views(""", R as (select doc, li // 12 as island, li, cast(length(text) % 7 as integer) as col from LP where text <> ''),
-        P as (select a.doc, a.island, a.li, a.col, b.col as c from R a left join R b on a.doc = b.doc and a.island = b.island and b.li < a.li and b.col < a.col
-          and not exists (select 1 from R m where m.doc = a.doc and m.island = a.island and m.li > b.li and m.li < a.li and m.col <= b.col))
-        select doc, island, li, count(c) + 1 as level, coalesce(max(c), -1) as container from P group by doc, island, li""", "LP"),
+    "nesting_level": with_views(""", R as (select doc, li // 12 as island, li, cast(length(text) % 7 as integer) as col, length(text) % 3 <> 0 as item from LP where text <> ''),
+        P as (select a.doc, a.island, a.li, b.col as c from R a left join R b on a.doc = b.doc and a.island = b.island and b.item and b.li <= a.li
+          and not exists (select 1 from R m where m.doc = a.doc and m.island = a.island and m.li > b.li and m.li <= a.li and m.col < b.col))
+        select doc, island, li, count(distinct c) as level, max(c) as container from P group by doc, island, li""", "LP"),
     "centred_rows": with_views(""", R as (select doc, li, repeat(' ', li % 13) || text as text from LP), M as (select *, length(trim(text)) as s, length(text) - length(ltrim(text)) as lead from R)
         select doc, li, li % 19 = 0 or (lead > 0 and abs(lead - (60 - s) / 2.0) <= 1.5 and 60 - s >= 4 and len(regexp_extract_all(trim(text), ' {3,}')) < 2 and lead <> 5 and doc % 4 <> 1) as centred from M""", "LP"),
     "front_matter": with_views(""", M as (select doc, li, length(text) > 150 as hit, sum(case when li % 8 = 0 then 1 else 0 end) over (partition by doc order by li) as part from L)

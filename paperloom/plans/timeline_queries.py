@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperloom.operators import timeline as T
-from paperloom.plans.views import events, items, with_views
+from paperloom.plans.views import events, items, table, with_views
 
 ORDER = ["ts", "seq"]
 
@@ -35,31 +35,40 @@ def replay_events(spark, d):
     return T.replay_events(li, changes)
 
 
-#: events as commands: the hundredth part of an argument names one of those of the nine timelines
-_COMMANDS = [c for commands, _ in T.TIMELINES.values() for c in commands]
+#: events as commands: the hundredth part of an argument names one of those of the timelines
+_COMMANDS = sorted({c for t in T.TIMELINES.values() for c in t.commands})
 
 
 def named_timelines(spark, d):
+    """All timelines of the events' documents, a third of which have a page that says its own facts."""
     names = F.element_at(F.array(*(F.lit(c) for c in _COMMANDS)), (F.col("arg") % len(_COMMANDS) + 1).cast("int"))
-    marks = events(spark, d).withColumns({"name": names, "arg": F.expr("arg div 10000")})
-    return T.all_timelines(marks, order=ORDER, value_col="arg")
+    marks = events(spark, d).withColumns({"name": names, "arg": F.when(F.col("seq") % 31 != 0, F.expr("arg div 10000"))})
+    facts = F.explode(F.array(*(F.lit(t) for t in ("top_bottom", "page_length", "offset", "page_start"))))
+    page = table(spark, d, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("doc"), facts.alias("timeline"), (F.col("c_custkey") % 7).alias("v0"), (F.col("c_custkey") % 5).alias("v1"))
+    return T.all_timelines(marks, page, order=ORDER, value_col="arg")
 
 
 def _timelines_twin() -> str:
-    parts = []
-    for name, (commands, keep) in T.TIMELINES.items():
-        if len(commands) == 2:
-            a, b = commands
-            parts.append(f"""select doc, ts, seq, v0, v1, '{name}' as timeline from (select *, row_number() over w as n, lag(v0) over w as p0, lag(v1) over w as p1 from
-                (select doc, ts, seq, last_value(case when name = '{a}' then arg end ignore nulls) over w as v0, last_value(case when name = '{b}' then arg end ignore nulls) over w as v1 from C where name in ('{a}', '{b}')
-                window w as (partition by doc order by ts, seq rows between unbounded preceding and current row)) window w as (partition by doc order by ts, seq)) where n = 1 or v0 is distinct from p0 or v1 is distinct from p1""")
-        elif keep == "all":
-            parts.append(f"select doc, ts, max(seq), arg_max(arg, seq), null, '{name}' from C where name = '{commands[0]}' group by doc, ts")
-        else:
-            parts.append(f"select doc, ts, seq, arg, null, '{name}' from (select *, lag(arg) over (partition by doc order by ts, seq) as p from C where name = '{commands[0]}') where arg is distinct from p")
+    """Each timeline by itself, from the rules told for it."""
+    pairs, alone, restart = [], [], []
+    page = {"top_bottom": "always", "page_length": "none", "offset": "none", "page_start": "none"}
+    seeds = {"orientation": "0", "page_length": "66", "offset": "8", "auto_number": "1", "line_interval": "null", "page_start": "1"}
+    for name, a, b, x, y in (("top_bottom", "MT", "MB", 3, 8), ("head_foot", "HM", "FM", 2, 2)):
+        s0, s1 = (f"coalesce((select g.p{i} from G g where g.doc = C.doc), {v})" if name == "top_bottom" else str(v) for i, v in ((0, x), (1, y)))
+        pairs.append(f"""select doc, ts, seq, v0, v1, '{name}' as timeline from (select *, lag(v0, 1, s0) over w as q0, lag(v1, 1, s1) over w as q1 from (select doc, ts, seq, {s0} as s0, {s1} as s1,
+            coalesce(last_value(case when name = '{a}' then arg end ignore nulls) over w, {s0}) as v0, coalesce(last_value(case when name = '{b}' then arg end ignore nulls) over w, {s1}) as v1 from C where name in ('{a}', '{b}') and arg is not null
+            window w as (partition by doc order by ts, seq rows between unbounded preceding and current row)) window w as (partition by doc order by ts, seq)) where v0 <> q0 or v1 <> q1""")
+    for name, says in (("orientation", "case when name = 'PR' then arg end"), ("page_length", "case when name = 'PL' then arg end"), ("offset", "case when name = 'PO' then arg end"), ("even_offset", "case when name = 'POE' then arg end"), ("odd_offset", "case when name = 'POO' then arg end"), ("auto_number", "case name when 'PN' then 1 when 'PG' then 1 when 'OP' then 0 end"), ("line_interval", "case when name = 'L#' then arg end")):
+        alone.append(f"""select doc, ts, seq, v, null, '{name}' from (select doc, ts, seq, v, lag(v, 1, {seeds.get(name, "null")}) over (partition by doc order by ts, seq) as q from (select doc, ts, seq, cast({says} as bigint) as v from C) where v is not null) where v is distinct from q""")
+    restart.append("select doc, ts, max(seq), arg_max(arg, seq), null, 'page_start' from C where name = 'PN' and arg is not null group by doc, ts")
+    first = [f"select doc, null, null, {'coalesce(g.p0, 3)' if n == 'top_bottom' else 2}, {'coalesce(g.p1, 8)' if n == 'top_bottom' else 2}, '{n}' from A left join G g using (doc)" for n in ("top_bottom", "head_foot")]
+    for name, seed in seeds.items():
+        own = f"case when not exists (select 1 from E where E.doc = A.doc and E.timeline = '{name}') then coalesce(g.p0, {seed}) else {seed} end" if page.get(name) == "none" else seed
+        other = f"case when not exists (select 1 from E where E.doc = A.doc and E.timeline = '{name}') then g.p1 end" if page.get(name) == "none" else "null"
+        first.append(f"select doc, null, null, {own}, {other}, '{name}' from A left join G g using (doc)")
     every = ", ".join(f"'{c}'" for c in _COMMANDS)
-    pairs_first = sorted(parts, key=lambda p: "v0" not in p)
-    return with_views(f", C as (select doc, ts, seq, ([{every}])[arg % {len(_COMMANDS)} + 1] as name, arg // 10000 as arg from EV) " + " union all ".join(pairs_first), "EV")
+    return with_views(f""", C as (select doc, ts, seq, ([{every}])[arg % {len(_COMMANDS)} + 1] as name, case when seq % 31 <> 0 then arg // 10000 end as arg from EV), G as (select c_custkey as doc, c_custkey % 7 as p0, c_custkey % 5 as p1 from customer where c_custkey % 3 = 0),
+        A as (select doc from EV union select doc from G), E as ({" union all ".join(pairs + alone + restart)}) select * from E union all {" union all ".join(first)}""", "EV")
 
 
 def page_numbers(spark, d):
@@ -77,7 +86,7 @@ def number_visibility(spark, d):
 
 
 def line_numbers(spark, d):
-    li = items(spark, d).withColumns({"page": F.expr("bi div 1000"), "step": F.expr("1 + (bi div 300) % 3")})
+    li = items(spark, d).withColumns({"page": F.expr("bi div 1000"), "step": F.expr("nullif((bi div 300) % 4, 1)")})
     return T.line_numbers(li.select("doc", "page", "bi", "li", "step"), "step", order=["bi", "li"])
 
 
@@ -105,10 +114,10 @@ ORACLES = {
         S as (select doc, arg // 100 as start, row_number() over (partition by doc order by ts, seq) as checkpoint from EV where name = 'signup')
         select C.doc, C.seq, C.checkpoint, coalesce(S.start, 1) + row_number() over (partition by C.doc, C.checkpoint order by C.seq) - 1 as number from C left join S using (doc, checkpoint)""", "EV"),
     "number_visibility": with_views("select t.doc, t.ts, t.seq, coalesce(v.name = 'signup', true) as visible from (select * from EV where name = 'view') t asof left join (select doc, ts, name from EV where name in ('error', 'signup')) v on t.doc = v.doc and t.ts > v.ts", "EV"),
-    "line_numbers": with_views(""", P as (select doc, bi // 1000 as page, bi, li, 1 + (bi // 300) % 3 as step from LI),
-        I as (select *, sum(case when step <> p then 1 else 0 end) over (partition by doc, page order by bi, li) as island from (select *, lag(step) over (partition by doc, page order by bi, li) as p from P)),
+    "line_numbers": with_views(""", P as (select doc, bi // 1000 as page, bi, li, nullif((bi // 300) % 4, 1) as step from LI),
+        I as (select *, sum(case when step is distinct from p then 1 else 0 end) over (partition by doc, page order by bi, li) as island from (select *, lag(step) over (partition by doc, page order by bi, li) as p from P)),
         K as (select doc, page, bi, li, step, row_number() over (partition by doc, page, island order by bi, li) - 1 as k from I)
-        select *, case when k % step = 0 then k // step + 1 end as label from K""", "LI"),
+        select *, case when step > 0 then case when k % step = 0 then k // step + 1 end end as label from K""", "LI"),
     "latest_n": with_views("select doc, ts, seq, name from (select *, row_number() over (partition by doc order by ts desc, seq desc) as r from EV) where r <= 5", "EV"),
     "latest_40": with_views("select doc, seq, name from EV order by ts desc, seq desc limit 40", "EV"),
 }

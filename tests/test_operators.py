@@ -3,6 +3,7 @@
 import ast
 import pathlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -42,10 +43,132 @@ def test_wrap_words_is_greedy(spark):
     assert got == [(1, 0, "aa bb"), (1, 1, "cc"), (1, 2, "verylongword"), (1, 3, "d"), (2, 0, "")]
 
 
-def test_nesting_pops_and_pushes(spark):
-    rows = [(1, 0, k, c) for k, c in enumerate([0, 4, 8, 4, 0, 6])]
-    out = structure.nesting_level(spark.createDataFrame(rows, "doc int, island int, li long, col int"))
-    assert [r.level for r in out.orderBy("li").collect()] == [1, 2, 3, 2, 1, 2]
+def test_nesting_as_a_stack(spark):
+    """Columns 2 4 4 6 2 stand in containers 2 4 4 6 2; other rows take the level they stand in."""
+    rng = random.Random(6)
+    rows = [(1, 0, k, c, True) for k, c in enumerate([2, 4, 4, 6, 2])]
+    rows += [(2, n // 25, n, rng.randrange(8), rng.random() < 0.6) for n in range(200)]
+    out = structure.nesting_level(spark.createDataFrame(rows, "doc int, island int, li long, col int, item boolean"), item=F.col("item"))
+    got = {(r.doc, r.li): (r.level, r.container) for r in out.collect()}
+    expect, stack, place = {}, [], None
+    for doc, island, li, col, item in rows:
+        if (doc, island) != place:
+            stack, place = [], (doc, island)
+        while stack and col < stack[-1]:
+            stack.pop()
+        if item and (not stack or stack[-1] != col):
+            stack.append(col)
+        expect[doc, li] = (len(stack), stack[-1] if stack else None)
+    assert got == expect
+    assert [got[1, k][1] for k in range(5)] == [2, 4, 4, 6, 2]
+
+
+def test_margin_of_soft_lines_only(spark):
+    rng = random.Random(2)
+    rows = [(d, k, "x" * rng.randrange(1, 150) if rng.random() < 0.9 else "  ", rng.choice(["soft", "hard", "eof"])) for d in range(8) for k in range(rng.choice([1, 9, 10, 11, 57]))]
+    rows += [(99, 0, "y" * 120, "hard")]
+    got = {r.doc: r.margin for r in structure.wrap_margin(spark.createDataFrame(rows, "doc int, li long, text string, terminator string")).collect()}
+    for d in {r[0] for r in rows}:
+        sizes = sorted(len(t.rstrip()) for doc, _, t, term in rows if doc == d and term == "soft" and t.strip())
+        assert got[d] == max(65, sizes[int(len(sizes) * 0.9)] if sizes else 0)
+
+
+def test_verse_line_by_line(spark):
+    runs = {
+        "box": ["╔═══╗", "║ a caption ║", "╚═══╝"],
+        "one graphic row": ["╔═══╗"],
+        "dashes are no graphic": ["-----", "-----", "=== ==="],
+        "poem": ["the sea", "the sky", "and I."],
+        "prose": ["One.", "Two.", "Three.", "four"],
+        "quotes": ["“Go,” she said", "“Stay”", "so they did"],
+        "few quotes among unlettered lines": ["“Go” she said", "what", "then", "1234", "5678", "99"],
+        "shifted": ["One.", "Two.", "Three.", "four", "Five.", "Six."],
+        "blank": ["", " "],
+    }
+    rows = [(name, k, t, name == "shifted") for name, lines in runs.items() for k, t in enumerate(lines)]
+    out = structure.verse_test(spark.createDataFrame(rows, "run string, li long, text string, sh boolean"), ["run"], shifted=F.col("sh"))
+
+    def plain(lines, shifted):
+        full = [t for t in lines if t.strip()]
+        letters = [t for t in full if any(c.isalpha() for c in t)]
+        if len(full) >= 2 and sum(t not in letters and any(c in structure.GRAPHIC for c in t) for t in full) / len(full) >= 0.5:
+            return True
+        if len(letters) < 2:
+            return False
+        quotes = sum(t.lstrip()[0] in structure.OPENING and any(c in structure.CLOSING for c in t.lstrip()[1:]) for t in letters)
+        ends = sum(t.rstrip().rstrip(structure.CLOSING)[-1:] in (".", "!", "?") for t in letters) / len(letters)
+        return quotes / len(letters) < 1 / 3 and ends < 0.9 and (shifted or ends < 0.8)
+
+    assert {r.run: r.is_verse for r in out.collect()} == {name: plain(lines, name == "shifted") for name, lines in runs.items()}
+
+
+def test_collisions_of_untagged_footnotes_and_endnotes(spark):
+    rows = [(1, 0, "footnote", "5", "5"), (1, 1, "annotation", None, "2"), (1, 2, "annotation", None, "2"), (1, 3, "footnote", None, "5")]
+    rows += [(2, 0, "footnote", None, "1"), (2, 1, "footnote", "*", "*"), (2, 2, "footnote", None, "1"), (2, 3, "endnote", None, "4"), (2, 4, "endnote", None, "7"), (2, 5, "footnote", None, "9")]
+    out = notes.collision_renumber(spark.createDataFrame(rows, "doc int, idx int, kind string, tag string, label string"))
+    got = {(r.doc, r.idx): r.label for r in out.collect()}
+    assert [got[1, k] for k in range(4)] == ["5", "2", "2", "5"]
+    assert [got[2, k] for k in range(6)] == ["1", "*", "2", "4", "7", "3"]
+
+
+def test_line_numbers_start_again_where_the_interval_changes(spark):
+    steps = [None, None, None, 2, 2, 2, None, 0, 1, 1, 2, 2]
+    rows = [(1, p, k, s) for p in (1, 2) for k, s in enumerate(steps)]
+    got = {(r.page, r.line): r.label for r in timeline.line_numbers(spark.createDataFrame(rows, "doc int, page int, line int, step int"), "step").collect()}
+    for p in (1, 2):
+        now, k = None, 0
+        for n, s in enumerate(steps):
+            if s != now:
+                now, k = s, 0
+            assert got[p, n] == (k // s + 1 if s and k % s == 0 else None)
+            k += 1
+
+
+def test_timelines_with_their_seeds(spark):
+    marks = [(1, 1, 0, "OP", None), (1, 2, 0, "PN", 7), (1, 2, 1, "PN", 8), (1, 3, 0, "OP", 0), (1, 4, 0, "PG", 5), (1, 5, 0, "PG", 5), (1, 6, 0, "MB", 8), (1, 7, 0, "MT", 4), (1, 8, 0, "PL", 66), (1, 9, 0, "POE", 8), (1, 10, 0, "POE", 8), (1, 11, 0, "PO", None), (1, 12, 0, "L#", 2), (2, 1, 0, "PL", 70)]
+    page = [(1, "page_length", 50, None), (2, "page_length", 51, None), (1, "top_bottom", 3, 9), (3, "offset", 1, None), (3, "page_start", 4, None)]
+    out = timeline.all_timelines(spark.createDataFrame(marks, "doc int, pos int, seq int, name string, value int"), spark.createDataFrame(page, "doc int, timeline string, v0 int, v1 int"), order=["pos", "seq"])
+    got = {}
+    for r in sorted(out.collect(), key=lambda r: (r.pos or 0, r.seq or 0)):
+        got.setdefault((r.doc, r.timeline), []).append((r.pos, r.v0, r.v1))
+    assert got[1, "auto_number"] == [(None, 1, None), (1, 0, None), (2, 1, None), (3, 0, None), (4, 1, None)]
+    assert got[1, "page_start"] == [(None, 1, None), (2, 8, None)]  # the later of two at one place
+    assert got[1, "top_bottom"] == [(None, 3, 9), (6, 3, 8), (7, 4, 8)]
+    assert got[1, "page_length"] == [(None, 50, None)]  # a command that repeats the seed makes no entry
+    assert got[2, "page_length"] == [(None, 66, None), (1, 70, None)]
+    assert got[1, "even_offset"] == [(9, 8, None)] and (1, "odd_offset") not in got
+    assert got[1, "offset"] == [(None, 8, None)] and got[3, "offset"] == [(None, 1, None)]
+    assert got[3, "page_start"] == [(None, 4, None)]
+    assert got[1, "line_interval"] == [(None, None, None), (12, 2, None)]
+
+
+def test_markup_is_matched_like_brackets(spark):
+    bodies = ["<b><i>x</b></i>", "<p>a</p>", "</a><b></b>", "<p>x<br><img src='a'/></p>", "<p class=x>&nbsp;&foo; a < b</p><B></b>", "<!-- <p> --><div>", "", "<a></a></a></a><a>", "<x><y></x></y></x>"]
+    rng = random.Random(9)
+    bodies += ["".join(rng.choice(["<a>", "</a>", "<b>", "</b>", "<c/>", "t"]) for _ in range(rng.randrange(30))) for _ in range(60)]
+    rows = [(k, f"<html><body>{b}</body></html>") for k, b in enumerate(bodies)] + [(-1, "no page"), (-2, None)]
+    got = {}
+    for r in quality.well_formed_tags(spark.createDataFrame(rows, "doc int, text string")).collect():
+        got.setdefault(r.doc, set()).add((r.place, r.tag, r.problem))
+    assert got[-1] == got[-2] == {(0, "", "no body")}
+    assert got[0] == {(3, "b", "other name"), (4, "i", "other name")} and 1 not in got and 3 not in got
+    assert got[4] == {(1, "p", "bad tag"), (3, "", "bad reference"), (4, "", "stray sign"), (7, "b", "other name")}
+    for k, body in enumerate(bodies):
+        if k in (3, 4, 5):
+            continue
+        stack, expect = [], set()
+        for n, t in enumerate(re.findall(r"</?[a-zA-Z]/?>", body), 1):
+            name = t.strip("</>")
+            if t.endswith("/>"):
+                continue
+            if not t.startswith("</"):
+                stack.append((n, name))
+            elif not stack:
+                expect.add((n, name, "never opened"))
+            elif stack.pop()[1] != name:
+                expect.add((n, name, "other name"))
+        expect |= {(n, name, "never closed") for n, name in stack}
+        assert got.get(k, set()) == expect, body
 
 
 def test_scene_stops_at_the_next_anchor_and_at_most(spark):
