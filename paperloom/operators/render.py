@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.functions.fold import fold_out
+from paperloom.functions.ranks import rank_in
 from paperloom.functions.registry import Options
 from paperloom.operators.text import STYLE, note_filter, single_sentence_space
 from paperloom.operators.timeline import state_at
@@ -105,14 +109,38 @@ def export_plan(docs: DataFrame, formats: list[str], options: list[str], key: st
     return docs.select(key, F.explode(each).alias("x")).select(key, F.col("x.format").alias("format"), F.col("x.options").alias("options"))
 
 
+def _free_numbers(batches: Iterator[pa.RecordBatch], separator: str, first: int) -> Iterator[pa.RecordBatch]:
+    """(box, o, at) of rows that come family by family (``box``), names that exist (turn 0) before stems."""
+    now, taken, following = None, set(), {}
+    for batch in batches:
+        out, keep = [], []
+        for n, (box, turn, k) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("box", "turn", "k")))):
+            if box != now:
+                now, taken, following = box, set(), {}
+            if not turn:
+                taken.add(k)
+                continue
+            at = following.get(k, 1)
+            while (name := k if at == 1 else f"{k}{separator}{at + first - 2}") in taken:
+                at += 1
+            taken.add(name)
+            following[k] = at + 1
+            out.append(at)
+            keep.append(n)
+        chosen = pa.array(keep, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("box").take(chosen), batch.column("o").take(chosen), pa.array(out, pa.int64())], ["box", "o", "at"])
+
+
 def unique_names(names: DataFrame, stem: str, extension: str, order: str, existing: DataFrame | None = None, keys: list[str] = (), separator: str = " ", first: int = 2, fold_case: bool = True) -> DataFrame:
     """name: ``A.md``, ``A 2.md`` ... Rows in ``order`` (unique) take the first name of their stem
     that neither exists nor was taken by an earlier row of the same ``keys``.
 
     ``existing`` has the ``keys`` and ``stem``, names without extension; upper and lower case are
-    the same name unless ``fold_case`` is off. A stem's n-th row takes its n-th free number by
-    windows. Only stems that look like another stem's numbered name (``A 2`` beside ``A``) are
-    folded in order together; such a family must fit a row."""
+    the same name unless ``fold_case`` is off. A stem's n-th row takes its n-th free number; its rank
+    is counted by ranges of ``order`` (a number), so a stem of very many rows is dealt to many tasks.
+    Only stems that look like another stem's numbered name (``A 2`` beside ``A``) are named in order
+    together: such a family streams through one task, which keeps its taken names and, for each
+    stem, the next number that may be free."""
     digits = "[1-9][0-9]*" if first == 1 else "(?:[2-9]|[1-9][0-9]+)"
     numbered = f"^(.*){separator}({digits})$"
     folded = (lambda c: F.lower(c)) if fold_case else (lambda c: c)
@@ -120,7 +148,7 @@ def unique_names(names: DataFrame, stem: str, extension: str, order: str, existi
     m = names.withColumns({"_k": folded(F.col(stem)), "_root": root})
     family = Window.partitionBy(*keys, "_root")
     m = m.withColumn("_mixed", F.min("_k").over(family) != F.max("_k").over(family))
-    plain = m.filter(~F.col("_mixed")).withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "_k").orderBy(order)).cast("long"))
+    plain = rank_in(m.filter(~F.col("_mixed")), [*keys, "_k"], order, "_n").withColumn("_n", F.col("_n").cast("long"))
     mixed = m.filter("_mixed")
     if existing is None:
         plain, held = plain.withColumn("_taken", F.lit(0)), None
@@ -134,23 +162,22 @@ def unique_names(names: DataFrame, stem: str, extension: str, order: str, existi
         gaps = e.withColumn("_r", rank).groupBy(*keys, "_k", (F.col("_i") - F.col("_r")).alias("_n")).agg(F.max("_r").alias("_r"))
         pack = F.concat_ws("\x00", *keys, "_k")
         plain = state_at(plain.withColumn("_g", pack), gaps.withColumn("_g", pack), "_g", "_n", "_r", "_taken", strict=True)
-        held = e.groupBy(*keys, F.regexp_replace("_e", f"(?:{separator}{digits})+$", "").alias("_root")).agg(F.collect_set("_e").alias("_held"))
+        held = e.select(*keys, F.regexp_replace("_e", f"(?:{separator}{digits})+$", "").alias("_root"), "_e").distinct()
     plain = plain.withColumn("_at", F.col("_n") + F.coalesce("_taken", F.lit(0)))
 
     def called(k: Column, i: Column) -> Column:
         return F.concat(k, F.when(i > 1, F.concat(F.lit(separator), (i + (first - 2)).cast("string"))).otherwise(""))
 
-    def step(taken: Column, x: Column) -> tuple[Column, Column]:
-        free = F.filter(F.sequence(F.lit(1), F.size(taken) + 1), lambda i: ~F.array_contains(taken, called(x["k"], i)))
-        at = F.element_at(free, 1).cast("long")
-        return F.concat(taken, F.array(called(x["k"], at))), F.array(F.struct(x["o"].alias("o"), at.alias("at")))
-
-    groups = mixed.groupBy(*keys, "_root").agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_k").alias("k")))).alias("_x"))
-    groups = groups.withColumn("_held", F.lit(None).cast("array<string>")) if held is None else groups.join(held, [*keys, "_root"], "left")
+    box = F.struct(*(F.col(k) for k in keys), F.col("_root")).alias("box")
     kind = dict(names.dtypes)[order]
-    taken = F.coalesce("_held", F.array().cast("array<string>"))
-    given = groups.select(F.explode(fold_out(F.col("_x"), taken, step, f"struct<o:{kind},at:bigint>")).alias("x")).select(F.col("x.o").alias(order), F.col("x.at").alias("_at"))
-    out = plain.select(*names.columns, "_at").unionByName(mixed.join(given, order).select(*names.columns, "_at"))
+    rows = mixed.select(box, F.lit(1).alias("turn"), F.col(order).alias("o"), F.col("_k").alias("k"))
+    if held is not None:
+        families = mixed.select(box).distinct()
+        rows = rows.unionByName(held.select(box, F.lit(0).alias("turn"), F.lit(None).cast(kind).alias("o"), F.col("_e").alias("k")).join(families, "box", "left_semi"))
+    rows = rows.repartition("box").sortWithinPartitions("box", "turn", "o")
+    named = rows.mapInArrow(partial(_free_numbers, separator=separator, first=first), f"box {rows.schema['box'].dataType.simpleString()}, o {kind}, at long")
+    given = named.select(*(F.col(f"box.{k}").alias(k) for k in keys), F.col("o").alias(order), F.col("at").alias("_at"))
+    out = plain.select(*names.columns, "_at").unionByName(mixed.join(given, [*keys, order]).select(*names.columns, "_at"))
     return out.withColumn("name", F.concat(called(F.col(stem), F.col("_at")), F.lit(extension))).drop("_at")
 
 

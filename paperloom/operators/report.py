@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.functions.ranks import order_bins
 from paperloom.operators.structure import wrap_margin
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -103,10 +108,64 @@ def layout_json(page_lines: DataFrame, meta: DataFrame | None = None, items: Dat
     return pages.select(key, F.to_json(F.struct(F.lit("layout").alias("format"), F.lit(version).alias("version"), *parts)).alias("json"))
 
 
-def exact_total(df: DataFrame, value: str, key: str, scale: int = 18) -> DataFrame:
-    """Sums that do not depend on the order of rows: exact over values of up to ``scale`` places
-    below the point and 38 - ``scale`` above it."""
-    return df.groupBy(key).agg(F.sum(F.col(value).cast(f"decimal(38,{scale})")).alias("total"))
+_BITS = 30  # of a digit of an exact sum
+
+
+def _power(k: Column) -> Column:
+    return F.pow(F.lit(2.0), k)  # exact for whole numbers
+
+
+def exact_total(df: DataFrame, value: str, key: str) -> DataFrame:
+    """(key, total): the sum of doubles as if it were made without rounding and rounded once, whatever
+    the order of rows and the number of tasks.
+
+    A number is cut into three digits of 30 bits at its own power of 2**30; the digits of a power are
+    whole numbers, whose sums merge in any order. A key has at most 72 powers, so what is put
+    together and rounded at the end is small. Nulls are passed over (only nulls: null); NaN, or both
+    infinities, give NaN; a sum beyond all doubles is infinite."""
+    x = F.col(value).cast("double")
+    finite = (F.abs(x) < float("inf")) & (x != 0)
+    k = F.when(finite, F.floor(F.log2(F.abs(x)) / _BITS))
+    m = df.select(F.col(key).alias("_key"), x.alias("_x"), k.alias("_k"))
+    half = _power(F.col("_k") * F.lit(-_BITS // 2))  # twice, as the whole power may be no double
+
+    def whole(c: Column) -> Column:
+        return F.when(c >= 0, F.floor(c)).otherwise(F.ceil(c)).cast("double")
+
+    m = m.withColumn("_r0", F.col("_x") * half * half)
+    for n in (0, 1, 2):
+        m = m.withColumn(f"_d{n}", whole(F.col(f"_r{n}"))).withColumn(f"_r{n + 1}", (F.col(f"_r{n}") - F.col(f"_d{n}")) * _power(F.lit(_BITS)))
+    digits = [F.sum(F.col(f"_d{n}").cast("decimal(20,0)")).alias(f"d{n}") for n in (0, 1, 2)]
+    odd = [F.bool_or(F.isnan("_x")).alias("nan"), F.bool_or(F.col("_x") == float("inf")).alias("up"), F.bool_or(F.col("_x") == float("-inf")).alias("down")]
+    powers = m.groupBy("_key", "_k").agg(F.count("_x").alias("n"), *digits, *odd)
+    box = F.struct(F.col("_key").alias("key"))
+    rows = powers.groupBy(box.alias("box")).agg(
+        F.sum("n").alias("n"), F.bool_or("nan").alias("nan"), F.bool_or("up").alias("up"), F.bool_or("down").alias("down"),
+        F.collect_list(F.when(F.col("_k").isNotNull(), F.struct("_k", *(F.col(f"d{n}").cast("string").alias(f"d{n}") for n in (0, 1, 2))))).alias("digits"),
+    )
+    schema = f"box {rows.schema['box'].dataType.simpleString()}, total double"
+    out = rows.mapInArrow(_rounded, schema)
+    return out.select(F.col("box.key").alias(key), "total")
+
+
+def _rounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        totals = []
+        for r in batch.select(["n", "nan", "up", "down", "digits"]).to_pylist():
+            if not r["n"]:
+                totals.append(None)
+            elif r["nan"] or (r["up"] and r["down"]):
+                totals.append(math.nan)
+            elif r["up"] or r["down"]:
+                totals.append(math.inf if r["up"] else -math.inf)
+            else:
+                low = min((d["_k"] for d in r["digits"]), default=0) - 2
+                number = sum(int(d[f"d{n}"]) << _BITS * (d["_k"] - n - low) for d in r["digits"] for n in (0, 1, 2))
+                try:
+                    totals.append(float(number << _BITS * low) if low >= 0 else number / (1 << -_BITS * low))
+                except OverflowError:
+                    totals.append(math.copysign(math.inf, number))
+        yield pa.RecordBatch.from_arrays([batch.column("box"), pa.array(totals, pa.float64())], ["box", "total"])
 
 
 def digest_grid(docs: DataFrame, renderings: dict[tuple[str, str], Column], key: str = "doc") -> DataFrame:
@@ -126,17 +185,9 @@ def batches_of(df: DataFrame, n: int, order: str, bins: int = 1024) -> DataFrame
 
     ``order`` is a unique number column; its ranges are cut where its approximate quantiles lie, so
     clustered values fill them alike."""
-    wide = max(1, int(bins**0.5))
-    cuts = df.agg(F.percentile_approx(order, [k / bins for k in range(1, bins)], 10 * bins).alias("c")).first()["c"]  # at most ``bins`` numbers
-    if cuts is None:
+    m = order_bins(df, order, bins)
+    if m is None:
         return df.withColumn("batch", F.lit(None).cast("long"))
-    cuts = sorted(set(cuts))
-    every, coarse = (F.lit(c) if c else F.array().cast("array<double>") for c in (cuts, cuts[wide - 1 :: wide]))
-
-    def below(of: Column) -> Column:
-        return F.size(F.filter(of, lambda c: c < F.col(order)))
-
-    m = df.withColumn("_bin", below(coarse)).withColumn("_bin", F.col("_bin") * wide + below(F.slice(every, F.col("_bin") * wide + 1, F.lit(wide))))
     counts = m.groupBy("_bin").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))  # at most ``bins`` rows
     counts = counts.select("_bin", F.coalesce(before, F.lit(0)).alias("_before"))

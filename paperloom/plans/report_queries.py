@@ -84,8 +84,9 @@ def layout_json(spark, d):
 
 
 def exact_total(spark, d):
-    out = S.exact_total(table(spark, d, "lineitem"), "l_extendedprice", "l_suppkey")
-    return out.withColumn("total", F.round(F.col("total") * 100).cast("long"))
+    """Sums of net prices, doubles with all their bits."""
+    price = table(spark, d, "lineitem").select("l_suppkey", (F.col("l_extendedprice") / (1 + F.col("l_discount"))).alias("net"))
+    return S.exact_total(price, "net", "l_suppkey")
 
 
 def digest_grid(spark, d):
@@ -267,7 +268,8 @@ ORACLES = {
     "layout_json": with_views(_PAGES + """, R as (select doc, page, string_agg('{"bi":' || bi || ',"li":' || li || '}', ',' order by bi, li) as l from X group by doc, page)
         , Y as (select doc, count(*) as n, max(height) as t, string_agg('{"kind":"' || kind || '","ref":"b' || bi || '"}', ',' order by bi) filter (li = 1) as items from PL group by doc)
         select doc, md5('{"format":"layout","version":13,"meta":{"lines":' || any_value(n) || ',"tallest":' || any_value(t) || '},"items":[' || any_value(items) || '],"pages":[' || string_agg('{"page":' || page || ',"lines":[' || l || ']}', ',' order by page) || ']}') as json from R join Y using (doc) group by doc""", "PL"),
-    "exact_total": "select l_suppkey, cast(round(sum(cast(l_extendedprice as decimal(38,18))) * 100) as bigint) as total from lineitem group by l_suppkey",
+    # prices from 512 up have no bit below 2**-43: whole numbers there, summed exactly and rounded once
+    "exact_total": "select l_suppkey, cast(t // 8796093022208 as double) + cast(t % 8796093022208 as double) / 8796093022208 as total from (select l_suppkey, sum(cast((l_extendedprice / (1 + l_discount)) * 8796093022208 as hugeint)) as t from lineitem group by l_suppkey)",
     "digest_grid": """select doc_id as doc, 'text' as format, 'modern' as mode, sha256(replace(text, chr(10), chr(10) || chr(10))) as sha256, strlen(replace(text, chr(10), chr(10) || chr(10))) as bytes from documents
         union all select doc_id, 'text', 'facsimile', sha256(text), strlen(text) from documents union all select doc_id, 'html', 'modern', sha256('<p>' || text), strlen(text) + 3 from documents""",
     "render_text": with_views(f""", {_NOTES}, B as (select doc, string_agg(text, chr(10) || chr(10) order by li) as body from L group by doc), K as (select doc, kind, string_agg('[' || idx || '] ' || text, chr(10) order by idx) as n from N group by doc, kind),

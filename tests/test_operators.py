@@ -1,14 +1,17 @@
 """Rules of single operators on small fixtures, and what a plan may hold."""
 
 import ast
+import math
 import pathlib
 import random
 import re
+import time
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.functions import codepage, fold, registry
+from paperloom.functions import codepage, fold, ranks, registry
 from paperloom.operators import classify, notes, pages, quality, render, report, structure, text, timeline
 from paperloom.sources import archive
 
@@ -254,6 +257,49 @@ def test_names_are_unique_as_if_taken_one_by_one(spark):
             assert existing is None or [r.name for r in out] == expect
 
 
+def test_names_of_a_large_family(spark):
+    """20,000 names of one family, and one stem of 30,000 rows, in seconds."""
+    stems = [["A", "A 2", "A 2 2", "A 3"][k % 4] for k in range(20_000)] + ["B"] * 30_000
+    began = time.time()
+    out = {r.k: r.name for r in render.unique_names(spark.createDataFrame(list(enumerate(stems)), "k int, stem string"), "stem", ".md", "k").collect()}
+    assert time.time() - began < 60
+    assert len(set(out.values())) == len(stems)
+    assert [out[k] for k in (0, 1, 2, 3, 4, 5, 20_000, 20_001, 49_999)] == ["A.md", "A 2.md", "A 2 2.md", "A 3.md", "A 4.md", "A 2 3.md", "B.md", "B 2.md", "B 30000.md"]
+
+
+def test_exact_sums(spark):
+    rng = random.Random(7)
+    groups = {
+        0: [rng.uniform(-1, 1) * 10.0 ** rng.randrange(-300, 300) for _ in range(3000)],
+        1: [1e300, 1.0, -1e300, 1e-300] * 50,
+        2: [0.1] * 10,
+        3: [5e-324, 5e-324, -1e-310, 2.2250738585072014e-308],
+        4: [1.7976931348623157e308, 1.7976931348623157e308, -1.7976931348623157e308],
+        5: [2.0**53, 1.0, 2.0**-60],
+        6: [0.0, -0.0, None],
+        7: [None, None],
+        8: [1.0, math.inf],
+        9: [math.inf, -math.inf, 2.0],
+        10: [math.nan, 1.0],
+        11: [1.7976931348623157e308] * 2,
+    }
+    rows = [(g, v) for g, values in groups.items() for v in values] + [(None, 1.5), (None, 2.5)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "g int, v double")
+    for parts in (1, 7):
+        got = {r.g: r.total for r in report.exact_total(df.repartition(parts), "v", "g").collect()}
+        for g in range(7):
+            assert got[g] == float(sum(Fraction(v) for v in groups[g] if v is not None)), g
+        assert got[7] is None and got[8] == math.inf and math.isnan(got[9]) and math.isnan(got[10]) and got[11] == math.inf and got[None] == 4.0
+
+
+def test_ranks_in_groups(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "a", "a", None, "b"]), k) for k in rng.sample(range(10**6), 900)]
+    out = ranks.rank_in(spark.createDataFrame(rows, "g string, o long"), ["g"], "o", "n", bins=16)
+    assert {(r.g, r.o): r.n for r in out.collect()} == {(g, o): n for key in ("a", "b", None) for n, (g, o) in enumerate(sorted(x for x in rows if x[0] == key), 1)}
+
+
 def test_folds_give_out_in_order(spark):
     df = spark.createDataFrame([(list(range(n)),) for n in (0, 1, 5, 600)], "v array<int>")
     step = lambda s, x: (s + x, F.when((s + x) % 2 == 0, F.array(s + x)).otherwise(F.array().cast("array<int>")))
