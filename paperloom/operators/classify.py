@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.functions.codepage import bytes_as_chars
 from paperloom.sources.archive import record_fields
 
 
@@ -79,6 +80,17 @@ def classify(df: DataFrame) -> DataFrame:
     return df.withColumns({"variant": variant, "reason": reason})
 
 
+def convertible(files: DataFrame, n: int = 65536, key: str = "path", content: str = "content") -> DataFrame:
+    """variant, reason and ``is_convertible`` of files by their first n bytes: what reads as binary, or
+    could not be read, is skipped. Files with one ``key`` must be one file."""
+    chars = bytes_as_chars(F.substring(F.coalesce(content, F.lit(b"")), 1, n))
+    seen = files.select(F.col(key).alias("doc"), chars.alias("chars"))
+    facts = seen.withColumns({"triples": F.regexp_count("chars", F.lit(r"(?s)\x1B.\x1C")).cast("long"), "declared": F.startswith("chars", F.lit("\x1d}"))})
+    profile = byte_profile(facts).drop("chars").join(framed_block_count(seen).withColumnRenamed("blocks", "framed"), "doc")
+    kinds = classify(profile).select(F.col("doc").alias(key), "variant", "reason")
+    return files.join(kinds, key).withColumn("is_convertible", (F.col("variant") != "binary") & F.col(content).isNotNull())
+
+
 def detect_record_lists(lines: DataFrame, key: str = "doc", text_col: str = "text", framed: DataFrame | None = None) -> DataFrame:
     """(key, records, fields, is_list): at least two records, every non-blank line of one field
     count of two or more, half of the fields quoted, and no command lines."""

@@ -9,6 +9,7 @@ from contextlib import contextmanager
 from pyspark.sql import functions as F
 
 from paperloom.functions import registry as G
+from paperloom.operators import classify as C
 from paperloom.operators import render as R
 from paperloom.operators import text as X
 from paperloom.sources import archive as A
@@ -111,7 +112,7 @@ def _files(spark, d) -> str:
 
 def read_archive(spark, d):
     files = A.read_archive(spark, [_files(spark, d)], recursive=True)
-    files = A.claimed_files(files.filter(~F.regexp_extract("path", "([^/]*)$", 1).startswith("_")), "path")
+    files = A.claimed_files(files, "path")
     return files.groupBy(F.regexp_extract("path", "source=([^/]*)", 1).alias("source")).agg(F.sum("length").alias("bytes"))
 
 
@@ -124,6 +125,36 @@ def ingest_stream(spark, d):
     return rows.groupBy("source").agg(F.sum("length").alias("bytes"))
 
 
+def read_prefixes(spark, d):
+    """The first 1000 bytes of each file, all names listed, and whether they are worth converting."""
+    files = A.read_archive(spark, [_one_file_each(spark, d)], recursive=True, prefix=1000)
+    doc = F.regexp_extract("path", r"([0-9]+)\.ws$", 1).cast("long")
+    return C.convertible(files).select(doc.alias("doc"), F.length("content").cast("long").alias("bytes"), "length", "variant", "is_convertible")
+
+
+def _one_file_each(spark, d) -> str:
+    path = _folder(spark)
+    n = F.col("doc_id")
+    body = F.when(n % 4 == 0, F.concat(F.repeat(F.lit("\x01"), 3000), F.col("text"))).otherwise(F.col("text"))
+    docs = table(spark, d, "documents").select(F.lit("old").alias("format"), F.concat(F.when(n % 3 == 0, "_").otherwise(""), n.cast("string"), F.lit(".ws")).alias("name"), F.regexp_replace(body, r"[^\x00-\x7F]", "x").alias("body"))
+    A.write_files(docs, path)
+    return f"{path}/old"
+
+
+def write_files(spark, d):
+    """One file a document; rows that cannot be files are reported; what exists is refused, then replaced."""
+    path = _folder(spark)
+    n = F.col("doc_id")
+    name = F.when(n % 11 == 0, F.lit("")).when(n % 13 == 0, F.concat(F.lit("a/"), n.cast("string"))).when(n % 17 == 0, F.repeat(F.lit("n"), 300)).otherwise(F.concat(n.cast("string"), F.lit(".txt")))
+    docs = table(spark, d, "documents").select(n.alias("doc"), F.lit("text").alias("format"), name.alias("name"), F.when(n % 9 != 0, F.col("text")).alias("body"))
+    parts = {"first": A.write_files(docs, path, run="first"), "refused": A.write_files(docs.filter("doc % 2 = 0"), path, run="second"), "replaced": A.write_files(docs.filter("doc % 2 = 1").withColumn("body", F.lit("new")), path, "replace", run="third")}
+    files = A.read_archive(spark, [f"{path}/text"])
+    out = files.groupBy(F.when(F.col("content") == F.encode(F.lit("new"), "UTF-8"), "new").otherwise("old").alias("reason")).agg(F.count("*").alias("n")).withColumn("state", F.lit("file"))
+    for state, part in parts.items():
+        out = out.unionByName(part.groupBy(F.regexp_replace("reason", "not written: .*", "not written").alias("reason")).agg(F.count("*").alias("n")).withColumn("state", F.lit(state)))
+    return out
+
+
 def write_exports(spark, d):
     """Exports in two formats; what cannot be written is reported row by row; what exists is refused;
     a second run replaces the files of its names."""
@@ -162,7 +193,7 @@ def rule_registry(spark, d):
     return out.select("doc", "li", F.md5("text").alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (throttle, throttle_stream, bounded_queue, queue_history, queue_stream, trace_ring, trace_ring_stream, read_archive, ingest_stream, write_exports, renderer_registry, rule_registry)}
+QUERIES = {f.__name__: f for f in (throttle, throttle_stream, bounded_queue, queue_history, queue_stream, trace_ring, trace_ring_stream, read_archive, ingest_stream, read_prefixes, write_files, write_exports, renderer_registry, rule_registry)}
 
 _THROTTLE = """, R as (select 'f' || doc as path, ts, seq, row_number() over (partition by doc order by ts, seq) as n from EV),
     T as (with recursive W as (select path, ts as last, seq, n, true as ok from R where n = 1 union all
@@ -192,6 +223,11 @@ ORACLES = {
     "trace_ring": "select user_id as doc, event_id as seq, substr(repeat(props, 60), 1, 500) as detail from events order by ts desc, event_id desc limit 40",
     "read_archive": _BYTES,
     "ingest_stream": _BYTES,
+    "read_prefixes": """with B as (select doc_id as doc, regexp_replace(case when doc_id % 4 = 0 then repeat(chr(1), 3000) || text else text end, '[^\\x00-\\x7F]', 'x', 'g') as b from documents), P as (select doc, length(b) as length, b[1:1000] as c from B)
+        select doc, length(c) as bytes, length, case when doc % 4 = 0 then 'binary' else 'text' end as variant, doc % 4 <> 0 as is_convertible from P""",
+    "write_files": """with D as (select doc_id, text, case when doc_id % 11 = 0 then 'no name' when doc_id % 13 = 0 then 'the name is a path' when doc_id % 9 = 0 then 'nothing to write' when doc_id % 17 = 0 then 'not written' end as reason, case when doc_id % 11 = 0 then 'no name' when doc_id % 13 = 0 then 'the name is a path' when doc_id % 17 = 0 then 'not written' end as bad from documents)
+        select case when doc_id % 2 = 1 then 'new' else 'old' end as reason, count(*) as n, 'file' as state from D where reason is null or (reason = 'nothing to write' and bad is null and doc_id % 2 = 1) group by 1
+        union all select reason, count(*), 'first' from D where reason is not null group by 1 union all select coalesce(reason, 'already exists'), count(*), 'refused' from D where doc_id % 2 = 0 group by 1 union all select bad, count(*), 'replaced' from D where doc_id % 2 = 1 and bad is not null group by 1""",
     "write_exports": """with D as (select *, case when doc_id % 11 = 0 then 'no name' when doc_id % 13 = 0 then 'the name is a path' when doc_id % 9 = 0 then 'nothing to write' end as reason, case when doc_id % 11 = 0 then '' when doc_id % 13 = 0 then 'a/' || doc_id else '' || doc_id end as name from documents),
         F as (select unnest(['text', 'html']) as format)
         select format, count(*) as n, 'written' as state from D, F where reason is null group by format union all select reason, 2 * count(*), 'failed' from D where reason is not null group by reason

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from paperloom.sources.files import ArchiveSource, ExportsSink
+
 #: File name extensions that documents go by, and pictures.
 CLAIMED = ("ws", "wsd", "ws3", "ws4", "ws5", "ws6", "ws7", "wst", "doc", "txt", "man", "prn", "nt", "bak", "let", "pix")
 
@@ -13,15 +17,15 @@ def extension(name: Column) -> Column:
     return F.lower(F.regexp_extract(name, r"\.([^./\\]+)$", 1))
 
 
-def read_archive(spark: SparkSession, paths: list[str], recursive: bool = False) -> DataFrame:
-    """Files of folders as (path, modificationTime, length, content); hidden names are left out
-    and each path comes once. Sub-folders are read only when ``recursive``. Names that begin with
-    ``_`` are not listed by Spark."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    if not recursive:
-        reader = reader.option("pathGlobFilter", "*")
-    files = reader.load(paths)
-    return files.filter(~F.regexp_extract("path", r"([^/]*)$", 1).startswith(".")).dropDuplicates(["path"])
+def read_archive(spark: SparkSession, paths: list[str], recursive: bool = False, prefix: int | None = None, content: bool = True) -> DataFrame:
+    """Files of folders, and single files, as (path, modificationTime, length, content, error).
+
+    Each path comes once; hidden names (beginning with a dot) are left out, all others are listed.
+    Sub-folders are read only when ``recursive``. With ``prefix`` no more than that many bytes of a
+    file are read, without ``content`` none. A file that cannot be read has its ``error``."""
+    spark.dataSource.register(ArchiveSource)
+    reader = spark.read.format(ArchiveSource.name()).option("addresses", json.dumps(paths)).option("recursive", str(recursive).lower()).option("content", str(content).lower())
+    return (reader if prefix is None else reader.option("prefix", prefix)).load()
 
 
 def claimed_files(df: DataFrame, name_col: str = "path", claimed: tuple[str, ...] = CLAIMED) -> DataFrame:
@@ -93,6 +97,21 @@ def write_exports(df: DataFrame, outdir: str, format_col: str = "format", name_c
     return rows.filter("reason is not null").select("format", "name", "reason")
 
 
+def write_files(df: DataFrame, outdir: str, collision: str = "refuse", run: str = "0", format_col: str = "format", name_col: str = "name", body_col: str = "body") -> DataFrame:
+    """Write each row as one file ``outdir/format/name`` and return (format, name, reason) of those that
+    could not be written; the others are written all the same.
+
+    Files that exist are refused one by one, or replaced (``collision="replace"``). Of several rows of
+    one name the least body is written. Nothing is left of a run that fails as a whole."""
+    spark = df.sparkSession
+    spark.dataSource.register(ExportsSink)
+    body = F.col(body_col).cast("binary")
+    rows = df.select(F.col(format_col).cast("string").alias("format"), F.col(name_col).cast("string").alias("name"), body.alias("body"))
+    rows = rows.repartition("format", "name").sortWithinPartitions("format", "name", "body")  # rows of one name meet in one task
+    rows.write.format(ExportsSink.name()).option("path", outdir).option("collision", collision).option("run", run).mode("append").save()
+    return spark.read.schema("format string, name string, reason string").json(f"{outdir}/_failures/run={run}")
+
+
 def write_replacing(df: DataFrame, outdir: str, run: int, format_col: str = "format", name_col: str = "name", body_col: str = "body") -> DataFrame:
     """Write exports that replace those of the same (format, name): each run has partitions of its
     own, written anew if the run is repeated; ``read_exports`` shows the newest."""
