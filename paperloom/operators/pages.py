@@ -57,9 +57,32 @@ def paginate(lines: DataFrame, budget: int | Column, key: str = "doc", order: li
     return state_at(lines, starts.filter("start"), key, list(order), "page", "page")
 
 
-def first_pages(lines: DataFrame, n: int, page: str = "page") -> DataFrame:
-    """The first n pages, as the full run has them."""
-    return lines.filter(F.col(page) <= n)
+def page_prefix(lines: DataFrame, n: int, budget: int | Column, key: str = "doc", order: list[str] = ("bi", "li"), cost: str = "cost", forced: str = "forced", keep: Column | None = None, blank: Column | None = None) -> DataFrame:
+    """The lines of each document that its first n pages can need, and no more than a bound of others.
+
+    A page holds at most its budget, or one line that is larger: so a line by whose end more than n
+    times the largest budget or line has been spent is on a later page, as is one behind more than
+    n forced breaks. Lines that may be left out at the top of a page are counted as free. Where
+    lines look ahead (``keep``), as many more are kept. Running sums pass over a document's lines;
+    none of them are gathered."""
+    room = (F.lit(budget) if isinstance(budget, int) else budget).cast("long")
+    free = F.lit(False) if blank is None else F.coalesce(blank, F.lit(False))
+    spent = F.when(free, 0).otherwise(F.col(cost).cast("long"))
+    breaks = F.when(F.coalesce(F.col(forced).cast("boolean"), F.lit(False)) & ~free, 1).otherwise(0)
+    most = lines.groupBy(key).agg(F.max(F.greatest(room, F.col(cost).cast("long"))).alias("_most"), F.max(F.lit(1) if keep is None else F.coalesce(keep.cast("int"), F.lit(1))).alias("_ahead"))
+    w = Window.partitionBy(key).orderBy(*order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    m = lines.withColumns({"_spent": F.sum(spent).over(upto), "_breaks": F.sum(breaks).over(upto), "_nth": F.row_number().over(w)}).join(most, key)
+    later = (F.col("_spent") > n * F.col("_most")) | (F.col("_breaks") > n)
+    # the first line known to be later; a few lines on are looked at from before it
+    m = m.withColumn("_first", F.min(F.when(later, F.col("_nth"))).over(upto))
+    return m.filter(F.col("_first").isNull() | (F.col("_nth") < F.col("_first") + F.col("_ahead"))).drop("_spent", "_breaks", "_nth", "_most", "_ahead", "_first")
+
+
+def first_pages(lines: DataFrame, n: int, budget: int | Column, key: str = "doc", order: list[str] = ("bi", "li"), cost: str = "cost", forced: str = "forced", keep: Column | None = None, blank: Column | None = None) -> DataFrame:
+    """Lines of the first n pages, as the full run has them; only ``page_prefix`` of the lines is folded."""
+    own = (budget, key, order, cost, forced, keep, blank)
+    return paginate(page_prefix(lines, n, *own), *own).filter(F.col("page") <= n)
 
 
 def wrap_words(df: DataFrame, width: int, text: str = "text") -> DataFrame:

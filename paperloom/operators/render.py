@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.functions.fold import fold_out
 from paperloom.functions.ranks import rank_in
 from paperloom.functions.registry import Options
 from paperloom.operators.text import STYLE, note_filter, single_sentence_space
@@ -43,7 +44,7 @@ def render_text(paragraphs: DataFrame, mode: str = "modern", notes: DataFrame |
 
 def _escaped(text: Column, markup: str) -> Column:
     if markup == "markdown":
-        return F.regexp_replace(text, r"([\\`*_\[\]])", r"\\$1")
+        return F.regexp_replace(text, r"([\\`*_#\[\]<&])", r"\\$1")
     for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         text = F.replace(text, F.lit(plain), F.lit(entity))
     return text
@@ -75,12 +76,92 @@ def _with_notes(body: DataFrame, notes: DataFrame | None, markup: str, key: str)
     return body.join(tail, key, "left").withColumn("body", F.concat_ws("\n\n" if markup == "markdown" else "\n", "body", "_tail")).drop("_tail")
 
 
-def render_markdown(spans: DataFrame, blocks: DataFrame, notes: DataFrame | None = None, key: str = "doc", block: str = "bi", order: str = "li") -> DataFrame:
-    """(key, body): headings by level, quotes prefixed, spans with their marks, notes under their keys."""
-    lines = spans.groupBy(key, block).agg(ordered_join(order, _with_marks(spans, "markdown"), "").alias("_t"))
-    both = lines.join(blocks.select(key, block, "heading", "quote"), [key, block], "left")
-    head = F.when(F.col("heading") > 0, F.concat(F.repeat(F.lit("#"), F.col("heading").cast("int")), F.lit(" "))).when(F.col("quote"), "> ").otherwise("")
-    return _with_notes(both.groupBy(key).agg(ordered_join(block, F.concat(head, "_t"), "\n\n").alias("body")), notes, "markdown", key)
+#: Markdown's delimiters and tags of style bits, outermost first where runs are equally long.
+MARKDOWN_MARKS = (("sub", "<sub>", "</sub>"), ("sup", "<sup>", "</sup>"), ("underline", "<u>", "</u>"), ("strike", "~~", "~~"), ("italic", "*", "*"), ("bold", "**", "**"))
+
+
+def nested_marks(spans: DataFrame, keys: list[str], order: str = "li", text: str = "text", styles: str = "styles", marks: tuple[tuple[str, str, str], ...] = MARKDOWN_MARKS) -> DataFrame:
+    """(keys, marked): the spans of each line, escaped, with marks around runs of a style.
+
+    A run goes on from span to span without being closed and opened again. Of runs that begin together
+    the longest is outermost; where runs cross, the inner one is cut. Marks stand inside the white
+    space at a run's ends; a span of white space only, and a reference mark (``[^key]``), end all runs.
+    """
+    bits = [(STYLE[name], a, b) for name, a, b in marks]
+    w = Window.partitionBy(*keys).orderBy(order)
+    t, is_ref = F.col(text), F.col(styles).bitwiseAND(F.lit(STYLE["fnref"])) != 0
+    ref = F.concat(F.lit("[^"), F.trim(t), F.lit("]"))
+    m = spans.withColumns({
+        "_i": F.row_number().over(w),
+        "_s": F.when(is_ref | (F.trim(t) == ""), 0).otherwise(F.col(styles)),
+        "_lead": F.when(is_ref, "").otherwise(F.regexp_extract(t, r"^\s*", 0)),
+        "_trail": F.when(is_ref | (F.regexp_extract(t, r"^\s*", 0) == t), "").otherwise(F.regexp_extract(t, r"\s*$", 0)),
+    })
+    core = F.substr(t, F.length("_lead") + 1, F.length(t) - F.length("_lead") - F.length("_trail"))
+    m = m.withColumn("_core", F.when(is_ref, ref).otherwise(_escaped(core, "markdown")))
+    ahead = w.rowsBetween(0, Window.unboundedFollowing)
+    # a style's place: how far its run goes (further first), then the fixed order
+    runs = [F.when(F.col("_s").bitwiseAND(F.lit(bit)) != 0, F.struct((F.col("_i") - F.coalesce(F.min(F.when(F.col("_s").bitwiseAND(F.lit(bit)) == 0, F.col("_i"))).over(ahead), F.lit(1 << 30))).alias("r"), F.lit(n).alias("n"), F.lit(bit).alias("bit"))) for n, (bit, _, _) in enumerate(bits)]
+    m = m.withColumn("_opens", F.transform(F.array_sort(F.array_compact(F.array(*runs))), lambda x: x["bit"]))
+    one = F.struct("_i", "_s", "_opens", "_lead", "_core", "_trail")
+    lines = m.groupBy(*keys).agg(F.sort_array(F.collect_list(one)).alias("_x"))
+
+    def said(which: Column, place: int) -> Column:
+        out = F.lit("")
+        for entry in bits:
+            out = F.when(which == entry[0], entry[place]).otherwise(out)
+        return out
+
+    def step(state: Column, x: Column) -> tuple[Column, Column]:
+        stack = state["stack"]
+        gone = F.array_position(F.transform(stack, lambda b: x["_s"].bitwiseAND(b) == 0), True)
+        kept = F.when(gone > 0, F.slice(stack, F.lit(1), (gone - 1).cast("int"))).otherwise(stack)
+        closed = F.when(gone > 0, F.reverse(F.slice(stack, gone.cast("int"), F.size(stack)))).otherwise(F.array().cast("array<int>"))
+        opened = F.filter(x["_opens"], lambda b: ~F.array_contains(kept, b))
+        piece = F.concat(F.array_join(F.transform(closed, lambda b: said(b, 2)), ""), state["trail"], x["_lead"], F.array_join(F.transform(opened, lambda b: said(b, 1)), ""), x["_core"])
+        return F.struct(F.concat(kept, opened).alias("stack"), x["_trail"].alias("trail")), F.array(piece)
+
+    start = F.struct(F.array().cast("array<int>").alias("stack"), F.lit("").alias("trail"))
+    end = lambda state: F.array(F.concat(F.array_join(F.transform(F.reverse(state["stack"]), lambda b: said(b, 2)), ""), state["trail"]))
+    return lines.select(*keys, F.array_join(fold_out(F.col("_x"), start, step, "string", end), "").alias("marked"))
+
+
+def hard_break_paragraphs(lines: Column) -> Column:
+    """Lines as Markdown paragraphs: neighbours are joined by a hard break, a blank line parts."""
+    start = F.struct(F.lit("").alias("said"), F.lit(False).alias("open"))
+
+    def step(acc: Column, line: Column) -> Column:
+        joint = F.when(acc["said"] == "", "").when(acc["open"], "  \n").otherwise("\n\n")
+        blank = F.trim(line) == ""
+        return F.struct(F.when(blank, acc["said"]).otherwise(F.concat(acc["said"], joint, line)).alias("said"), (~blank).alias("open"))
+
+    return F.aggregate(lines, start, step, lambda acc: acc["said"])
+
+
+def render_markdown(spans: DataFrame, blocks: DataFrame, notes: DataFrame | None = None, key: str = "doc", block: str = "bi", order: str = "li", line: str | None = None) -> DataFrame:
+    """(key, body): headings by level, quotes prefixed, lines of verse with hard breaks, other lines of
+    a block flowing together, runs of styles in nested marks, notes under their keys.
+
+    ``blocks`` has heading, quote, and perhaps verse and page_break (a rule; not at the end). Spans of
+    one ``line`` are a line; without it a block is one line."""
+    keys = [key, block] if line is None else [key, block, line]
+    marked = nested_marks(spans, keys, order)
+    at = F.lit(0) if line is None else F.col(line)
+    texts = marked.groupBy(key, block).agg(F.transform(F.sort_array(F.collect_list(F.struct(at.alias("o"), F.trim("marked").alias("t")))), lambda x: x["t"]).alias("_t"))
+    have = {c: F.col(c) if c in blocks.columns else F.lit(False) for c in ("verse", "page_break")}
+    both = blocks.select(key, block, "heading", "quote", *(c.alias(n) for n, c in have.items())).join(texts, [key, block], "full_outer")
+    full = F.filter(F.col("_t"), lambda t: t != "")
+    lines = F.when((F.size("_t") > 1) & ~F.coalesce("verse", F.lit(False)), F.array(F.array_join(full, " "))).otherwise(F.col("_t"))
+    last = F.last(F.when(F.size(full) > 0, F.col(block)), ignorenulls=True).over(Window.partitionBy(key).orderBy(block).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    body = (
+        F.when(F.coalesce("page_break", F.lit(False)), F.when(F.col(block) < last, "---"))
+        .when(F.coalesce(F.size(full), F.lit(0)) <= 0, F.lit(None))
+        .when(F.col("heading") > 0, F.concat(F.repeat(F.lit("#"), F.col("heading").cast("int")), F.lit(" "), F.array_join(full, "  \n")))
+        .when(F.col("quote"), F.array_join(F.transform(lines, lambda t: F.when(t == "", ">").otherwise(F.concat(F.lit("> "), t))), "\n"))
+        .otherwise(hard_break_paragraphs(lines))
+    )
+    pages = both.withColumn("_b", body).groupBy(key).agg(ordered_join(block, F.col("_b"), "\n\n").alias("body"))
+    return _with_notes(pages, notes, "markdown", key)
 
 
 def render_html(spans: DataFrame, blocks: DataFrame, notes: DataFrame | None = None, key: str = "doc", block: str = "bi", order: str = "li") -> DataFrame:

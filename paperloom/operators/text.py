@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Style names and their bits.
@@ -16,6 +16,29 @@ def single_sentence_space(text: Column, mode: str = "auto", facsimile: bool = Fa
     return F.regexp_replace(text, r"([.?!]) {2,}", "$1 ")
 
 
+def single_sentence_spans(spans: DataFrame, keys: list[str], order: str = "li", text: str = "text", mode: str = "auto", facsimile: bool = False) -> DataFrame:
+    """The same over the spans of a line (``keys``): a stop that ends one span and spaces that open the
+    next, or fill spans between, count as neighbours.
+
+    What a span must know of those before it is the last sign that is no space, and whether a space has
+    followed it; a window carries both over span borders."""
+    if mode == "keep" or (mode == "auto" and facsimile):
+        return spans
+    t = F.coalesce(F.col(text), F.lit(""))
+    w = Window.partitionBy(*keys).orderBy(order)
+    filled = F.sum((t != "").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    last = F.regexp_extract(t, r"([^ ]) *$", 1)
+    m = spans.withColumns({"_filled": filled, "_empty": (t == "").cast("int")})
+    seen = F.struct(last.isin(".", "?", "!").alias("stop"), F.endswith(t, F.lit(" ")).alias("spaced"), F.col("_filled").alias("filled"))
+    m = m.withColumn("_seen", F.last(F.when(last != "", seen), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    after_stop = F.coalesce(F.col("_seen.stop"), F.lit(False))
+    spaced = F.col("_seen.spaced") | (F.col("_filled") - 1 + F.col("_empty") > F.col("_seen.filled"))
+    lead = F.regexp_extract(t, "^ *", 0)
+    opening = F.when(~after_stop | (lead == ""), lead).when(spaced, "").otherwise(" ")
+    rest = F.regexp_replace(F.substr(t, F.length(lead) + 1), r"([.?!]) {2,}", "$1 ")
+    return m.withColumn(text, F.when(F.col(text).isNotNull(), F.concat(opening, rest))).select(*spans.columns)
+
+
 def command_marks(lines: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(marks, text lines): lines ``.`` + up to three letters become (name, arg) rows; comments
     (``..`` and ``.ig``) are neither."""

@@ -44,7 +44,13 @@ def trailing_break(spark, d):
 
 
 def first_pages(spark, d):
-    return P.first_pages(P.paginate(_flow(spark, d), 800), 2).select("doc", "bi", "li", "page")
+    return P.first_pages(_flow(spark, d), 2, 800).select("doc", "bi", "li", "page")
+
+
+def first_pages_marks(spark, d):
+    """The first three pages of ``paginate_marks``."""
+    out = P.first_pages(_flow(spark, d), 3, 800 - F.expr("bi div 2000 % 3") * 100, keep=F.when(F.col("bi") % 9 == 0, 1 + F.col("height") % 40), blank=F.col("height") % 6 == 0)
+    return out.select("doc", "bi", "li", "page")
 
 
 def break_reasons(spark, d):
@@ -186,7 +192,7 @@ def probe_report(spark, d):
     return R.probe_report(refs, R.resolve_references(refs, files, ["page_id"]), ["page_id"]).withColumn("probed", F.size(F.split("probed", "\n")).cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (paginate, paginate_marks, trailing_pages, trailing_break, roman_labels, first_pages, break_reasons, wrap_words, trailing_trim, machine_margin, geometry_summary, column_sheets, region_breaks, toc_page_join, note_labels, collision_renumber, prefixed_labels, note_order, note_for_reference, comment_beside_reference, rule_decisions, overlay_overrides, effective_settings, style_lookup, font_resolution, resolve_references, probe_report)}
+QUERIES = {f.__name__: f for f in (paginate, paginate_marks, trailing_pages, trailing_break, roman_labels, first_pages, first_pages_marks, break_reasons, wrap_words, trailing_trim, machine_margin, geometry_summary, column_sheets, region_breaks, toc_page_join, note_labels, collision_renumber, prefixed_labels, note_order, note_for_reference, comment_beside_reference, rule_decisions, overlay_overrides, effective_settings, style_lookup, font_resolution, resolve_references, probe_report)}
 
 _SUB = ", S as (select distinct doc, bi // 200 as page from PL), C as (select doc, page, 1 + (page // 7) % 3 as columns, 2 + (page // 14) % 2 as gutter from S)"
 _REF = """P as (select page_id, 'arch/vol' || (page_id % 4) || '/box/doc.ws' as doc_path, case when page_id % 3 = 0 then 'C:\\PIX\\P' || (page_id % 40) || '.PIX' else 'p' || (page_id % 40) || '.pix' end as raw_path from pages),
@@ -256,3 +262,4 @@ ORACLES = {
     "resolve_references": f"with {_REF} select P.*, resolved from P left join Z using (page_id)",
     "probe_report": f"with {_REF} select page_id, least(20, count(*)) as probed, case when count(*) > 20 then '+' || (count(*) - 20) || ' more' end as more from H where page_id not in (select page_id from Z) group by page_id",
 }
+ORACLES["first_pages_marks"] = f"select * from ({ORACLES['paginate_marks']}) where page <= 3"

@@ -114,7 +114,14 @@ def _spans(spark, d):
 
 
 def render_markdown(spark, d):
-    return R.render_markdown(*_spans(spark, d)).withColumn("body", F.md5("body"))
+    """Three spans a line, four lines a block; runs of styles, verse, blank lines and page breaks."""
+    n, li = F.col("doc") + F.col("li"), F.col("li")
+    kind = F.when(n % 10 == 9, F.lit(64)).otherwise(0) + F.expr("(doc + li div 2) % 8 + 32 * ((doc + li div 3) % 2)")
+    text = F.when(n % 10 == 9, li.cast("string")).when((li % 12 >= 6) & (li % 12 < 9) & (F.col("doc") % 2 == 0), F.lit(" ")).otherwise(F.concat(F.lit(" "), "text", F.lit(" <*> ")))
+    spans = lines(spark, d).select("doc", F.expr("li div 12").alias("bi"), F.expr("li % 12 div 3").alias("line"), (li % 3).alias("li"), text.alias("text"), kind.cast("int").alias("styles"))
+    bi = F.col("bi")
+    blocks = spans.select("doc", "bi").distinct().select("doc", "bi", F.when(bi % 5 == 0, 2).otherwise(0).alias("heading"), (bi % 5 == 3).alias("quote"), (bi % 2 == 1).alias("verse"), ((F.col("doc") + bi) % 7 == 6).alias("page_break"))
+    return R.render_markdown(spans, blocks, _notes(spark, d).withColumn("label", F.col("idx").cast("string")), line="line").withColumn("body", F.md5("body"))
 
 
 def render_html(spark, d):
@@ -276,10 +283,26 @@ ORACLES = {
         T as (select doc, string_agg(upper(kind[1]) || kind[2:] || 's' || chr(10) || n, chr(10) || chr(10) order by kind) as tail from K group by doc)
         select doc, md5(body || coalesce(chr(10) || chr(10) || tail, '')) as body from B left join T using (doc)""", "L"),
     "render_text_facsimile": with_views("select doc, md5(string_agg(case when li % 5 = 0 and li > 0 then chr(12) else '' end || text, chr(10) order by li)) as body from L group by doc", "L"),
-    "render_markdown": with_views(_SPANS + r""", E as (select doc, bi, li, case when ref is not null then '[^' || ref || ']' else repeat('**', b) || repeat('*', i) || repeat('__', u) || regexp_replace(t, '([\\`*_\[\]])', '\\\1', 'g') || repeat('__', u) || repeat('*', i) || repeat('**', b) end as t from M),
-        G as (select doc, bi, string_agg(t, '' order by li) as t from E group by doc, bi), H as (select doc, string_agg(case when bi % 5 = 0 then '## ' when bi % 5 = 3 then '> ' else '' end || t, chr(10) || chr(10) order by bi) as body from G group by doc),
-        T as (select doc, string_agg('[^' || idx || ']: ' || text, chr(10) order by idx) as tail from N group by doc)
-        select doc, md5(body || coalesce(chr(10) || chr(10) || tail, '')) as body from H left join T using (doc)""", "L"),
+    "render_markdown": with_views(f", {_NOTES}" + r""", A as (select doc, li // 12 as bi, li % 12 // 3 as line, li % 3 as i, (doc + li) % 10 = 9 as ref, case when (doc + li) % 10 = 9 then cast(li as varchar) when li % 12 >= 6 and li % 12 < 9 and doc % 2 = 0 then ' ' else ' ' || text || ' <*> ' end as text, (doc + li // 2) % 8 + 32 * ((doc + li // 3) % 2) as st from L),
+        B as (select *, case when ref or trim(text) = '' then 0 else st end as s, case when ref then '' else regexp_extract(text, '^\s*') end as lead, case when ref or trim(text) = '' then '' else regexp_extract(text, '\s*$') end as trail from A),
+        C as (select *, case when ref then '[^' || text || ']' else regexp_replace(text[length(lead) + 1 : length(text) - length(trail)], '([\\`*_#\[\]<&])', '\\\1', 'g') end as core from B),
+        K as (select * from (values (4, 0, '<u>', '</u>'), (32, 1, '~~', '~~'), (2, 2, '*', '*'), (1, 3, '**', '**')) as k(bit, o, a, b)),
+        RU as (select C.*, k.*, coalesce((select min(x.i) from C x where x.doc = C.doc and x.bi = C.bi and x.line = C.line and x.i > C.i and x.s & k.bit = 0), 99) as upto from C join K k on C.s & k.bit > 0),
+        O as (select doc, bi, line, i, list({'bit': bit, 'a': a, 'b': b} order by upto desc, o) as opens from RU group by doc, bi, line, i),
+        S as (select C.doc, C.bi, C.line, list({'st': cast([] as struct(bit integer, a varchar, b varchar)[]), 'said': '', 't': trail, 's': s, 'o': coalesce(opens, []), 'l': lead, 'c': core} order by i) as xs from C left join O using (doc, bi, line, i) group by doc, bi, line),
+        F as (select doc, bi, line, list_reduce(list_prepend({'st': cast([] as struct(bit integer, a varchar, b varchar)[]), 'said': '', 't': '', 's': 0, 'o': cast([] as struct(bit integer, a varchar, b varchar)[]), 'l': '', 'c': ''}, xs), lambda p, x: {
+          'st': list_concat(p.st[1 : coalesce(list_min(list_filter(range(1, len(p.st) + 1), lambda i: x.s & p.st[i].bit = 0)), len(p.st) + 1) - 1], list_filter(x.o, lambda e: not list_contains(list_transform(p.st[1 : coalesce(list_min(list_filter(range(1, len(p.st) + 1), lambda i: x.s & p.st[i].bit = 0)), len(p.st) + 1) - 1], lambda y: y.bit), e.bit))),
+          'said': p.said || array_to_string(list_transform(list_reverse(p.st[coalesce(list_min(list_filter(range(1, len(p.st) + 1), lambda i: x.s & p.st[i].bit = 0)), len(p.st) + 1) :]), lambda y: y.b), '') || p.t || x.l
+            || array_to_string(list_transform(list_filter(x.o, lambda e: not list_contains(list_transform(p.st[1 : coalesce(list_min(list_filter(range(1, len(p.st) + 1), lambda i: x.s & p.st[i].bit = 0)), len(p.st) + 1) - 1], lambda y: y.bit), e.bit)), lambda y: y.a), '') || x.c,
+          't': x.t, 's': 0, 'o': cast([] as struct(bit integer, a varchar, b varchar)[]), 'l': '', 'c': ''}) as z from S),
+        M as (select doc, bi, line, trim(z.said || array_to_string(list_transform(list_reverse(z.st), lambda y: y.b), '') || z.t) as t from F),
+        G as (select *, sum(case when t = '' then 1 else 0 end) over (partition by doc, bi order by line) as part from M),
+        V as (select doc, bi, string_agg(t, chr(10) || chr(10) order by part) as verse from (select doc, bi, part, string_agg(t, '  ' || chr(10) order by line) as t from G where t <> '' group by doc, bi, part) group by doc, bi),
+        Y as (select doc, bi, count(*) as n, string_agg(t, ' ' order by line) filter (t <> '') as flow, string_agg(t, '  ' || chr(10) order by line) filter (t <> '') as hard, string_agg(case when t = '' then '>' else '> ' || t end, chr(10) order by line) as quoted from M group by doc, bi),
+        Q as (select doc, bi, max(bi) filter (flow is not null) over (partition by doc) as last, case when (doc + bi) % 7 = 6 then '---' when flow is null then null when bi % 5 = 0 then '## ' || hard when bi % 5 = 3 then case when n > 1 and bi % 2 = 0 then '> ' || flow else quoted end when n > 1 and bi % 2 = 0 then flow else verse end as b from Y left join V using (doc, bi)),
+        H as (select doc, coalesce(string_agg(b, chr(10) || chr(10) order by bi), '') as body from Q where b <> '---' or bi < last group by doc),
+        T as (select doc, string_agg('[^' || idx || ']: ' || text, chr(10) order by idx) as tail from N group by doc), D as (select distinct doc from A)
+        select doc, md5(coalesce(body, '') || coalesce(chr(10) || chr(10) || tail, '')) as body from D left join H using (doc) left join T using (doc)""", "L"),
     "render_html": with_views(_SPANS + """, E as (select doc, bi, li, case when ref is not null then '<sup><a href="#fn-' || ref || '">' || ref || '</a></sup>' else repeat('<strong>', b) || repeat('<em>', i) || repeat('<u>', u) || replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || repeat('</u>', u) || repeat('</em>', i) || repeat('</strong>', b) end as t from M),
         G as (select doc, bi, string_agg(t, '' order by li) as t, case when bi % 5 <> 0 then bi % 4 else 0 end as level from E group by doc, bi),
         H as (select *, coalesce(lag(level) over w, 0) as up, coalesce(lead(level) over w, 0) as down from G window w as (partition by doc order by bi)),

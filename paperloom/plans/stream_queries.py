@@ -14,6 +14,7 @@ from paperloom.operators import render as R
 from paperloom.operators import text as X
 from paperloom.sources import archive as A
 from paperloom.streaming import ingest as I
+from paperloom.streaming import paced
 from paperloom.plans.views import events, lines, planted, table, with_views
 
 
@@ -90,6 +91,15 @@ def queue_stream(spark, d):
     return changes.filter("state not in ('queued', 'skipped')").select("path", "seq", "state").unionByName(I.queued_now(changes).select("path", "seq", F.lit("queued").alias("state")))
 
 
+def paced_run(spark, d):
+    """Suppliers in batches of 30, worked on one batch after another; the snapshots and what was done."""
+    folder = _folder(spark)
+    rows = table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("seq"), "s_name")
+    snapshots = paced.paced_run(rows, lambda b: b.write.mode("append").parquet(f"{folder}/done"), folder, 30, pause_s=0)
+    worked = spark.read.schema(rows.schema).parquet(f"{folder}/done").select("seq").distinct().count()
+    return snapshots.withColumn("worked", F.lit(worked).cast("long"))
+
+
 def trace_ring_stream(spark, d):
     out, check = _folder(spark), _folder(spark)
     rows = _event_stream(spark, d).select(F.col("user_id").alias("doc"), "ts", F.col("event_id").alias("seq"), F.repeat("props", 60).alias("detail"))
@@ -193,7 +203,7 @@ def rule_registry(spark, d):
     return out.select("doc", "li", F.md5("text").alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (throttle, throttle_stream, bounded_queue, queue_history, queue_stream, trace_ring, trace_ring_stream, read_archive, ingest_stream, read_prefixes, write_files, write_exports, renderer_registry, rule_registry)}
+QUERIES = {f.__name__: f for f in (throttle, throttle_stream, bounded_queue, queue_history, queue_stream, paced_run, trace_ring, trace_ring_stream, read_archive, ingest_stream, read_prefixes, write_files, write_exports, renderer_registry, rule_registry)}
 
 _THROTTLE = """, R as (select 'f' || doc as path, ts, seq, row_number() over (partition by doc order by ts, seq) as n from EV),
     T as (with recursive W as (select path, ts as last, seq, n, true as ok from R where n = 1 union all
@@ -219,6 +229,8 @@ ORACLES = {
     "bounded_queue": _queue("select 'all' as kind, 'f' || user_id as path, event_id as seq, 'add' as does from events", 40, "select path, seq from H where state = 'queued'"),
     "queue_history": _queue("select event_type as kind, case when event_id % 29 <> 0 then 'f' || user_id end as path, event_id as seq, case when event_id % 97 = 0 then 'drain' when event_id % 7 = 0 then 'remove' else 'add' end as does from events", 25, "select kind, path, seq, state, decided from H"),
     "queue_stream": _queue("select 'all' as kind, 'f' || user_id as path, event_id as seq, case when event_id % 500 = 499 then 'drain' else 'add' end as does from events", 40, "select path, seq, state from H where state <> 'skipped'"),
+    "paced_run": """with N as (select count(*) as n from supplier), B as (select unnest(range(0, (n + 29) // 30 + 1)) as b, n from N)
+        select cast(b as integer) as batch, n as found, least(30 * b, n) as requested, false as done, n as worked from B union all select -1, n, n, true, n from N""",
     "trace_ring_stream": "select user_id as doc, event_id as seq, substr(repeat(props, 60), 1, 500) as detail from events order by ts desc, event_id desc limit 40",
     "trace_ring": "select user_id as doc, event_id as seq, substr(repeat(props, 60), 1, 500) as detail from events order by ts desc, event_id desc limit 40",
     "read_archive": _BYTES,

@@ -119,6 +119,13 @@ def single_sentence_space(spark, d):
     return planted(spark, d).select("doc", "li", X.single_sentence_space(F.col("text")).alias("text"))
 
 
+def single_sentence_spans(spark, d):
+    """Lines cut into spans of up to four characters, some with more spaces after their stops."""
+    wide = F.when(F.col("li") % 2 == 0, F.replace("text", F.lit(". "), F.lit(".      "))).otherwise(F.col("text"))
+    pieces = F.posexplode(F.regexp_extract_all(wide, F.lit("(?s).{1,4}"), F.lit(0))).alias("si", "text")
+    return X.single_sentence_spans(planted(spark, d).select("doc", "li", pieces), ["doc", "li"], "si")
+
+
 def command_marks(spark, d):
     marks, _ = X.command_marks(planted(spark, d))
     return marks
@@ -172,7 +179,7 @@ def dedupe_new(spark, d):
     return A.dedupe_new(o.filter("o_custkey % 3 = 0"), o, ["o_custkey"])
 
 
-QUERIES = {f.__name__: f for f in (claimed_files, lines_of, sniff_prefix, read_print_stream, read_record_list, detect_record_lists, byte_profile, true_end, framed_block_count, classify, damage_signature, era_flags, forced_variant, archive_summary, name_filter, single_sentence_space, command_marks, command_text_lines, decode_corpus, substitute, effective_styles, bind_page_variables, html_to_text, note_filter, dedupe_new)}
+QUERIES = {f.__name__: f for f in (single_sentence_spans, claimed_files, lines_of, sniff_prefix, read_print_stream, read_record_list, detect_record_lists, byte_profile, true_end, framed_block_count, classify, damage_signature, era_flags, forced_variant, archive_summary, name_filter, single_sentence_space, command_marks, command_text_lines, decode_corpus, substitute, effective_styles, bind_page_variables, html_to_text, note_filter, dedupe_new)}
 
 _MARK = "regexp_matches(text, '^\\.[A-Za-z][A-Za-z#]{0,2}\\s*')"
 _DETECT = """, R as (select cast(c_nationkey as bigint) as doc, c_custkey as li, case when c_nationkey % 5 = 0 and c_custkey % 50 = 0 then c_name else '"' || c_name || ', Esq","' || c_mktsegment || '",' || c_custkey end as text from customer)"""
@@ -213,6 +220,10 @@ ORACLES = {
     "name_filter": """with W as (select distinct case when p_partkey % 2 = 0 then upper(p_name) else p_name || '?' end as wanted from part where p_partkey % 97 = 0),
         F as (select p_partkey, p_name as stem, (select string_agg(upper(x[1]) || x[2:], ' ') from (select unnest(string_split(p_name, ' ')) as x)) || '.ws' as name from part)
         select 'found' as kind, name, p_partkey from F where stem in (select lower(wanted) from W) union all select 'missing', wanted, null from W where lower(wanted) not in (select stem from F)""",
+    "single_sentence_spans": with_views(""", W as (select doc, li, case when li % 2 = 0 then replace(text, '. ', '.      ') else text end as t from LP),
+        C as (select doc, li, unnest(range(length(t))) as p, unnest(string_split(t, '')) as ch from W where t <> ''),
+        P as (select *, last_value(case when ch <> ' ' then p end ignore nulls) over w as q, last_value(case when ch <> ' ' then ch end ignore nulls) over w as stop from C window w as (partition by doc, li order by p rows between unbounded preceding and current row))
+        select doc, li, cast(p // 4 as integer) as si, coalesce(string_agg(ch, '' order by p) filter (not (ch = ' ' and coalesce(stop in ('.', '?', '!'), false) and p - q > 1)), '') as text from P group by doc, li, p // 4""", "LP"),
     "single_sentence_space": with_views("select doc, li, regexp_replace(text, '([.?!]) {2,}', '\\1 ', 'g') as text from LP", "LP"),
     "command_marks": with_views(f"select doc, li, upper(regexp_extract(text, '^\\.([A-Za-z][A-Za-z#]{{0,2}})', 1)) as name, trim(regexp_extract(text, '^\\.[A-Za-z][A-Za-z#]{{0,2}}\\s*(.*)$', 1)) as arg from LP where {_MARK}", "LP"),
     "command_text_lines": with_views(f"select doc, count(*) as lines from LP where not {_MARK} and not starts_with(text, '..') group by doc", "LP"),

@@ -300,6 +300,66 @@ def test_ranks_in_groups(spark):
     assert {(r.g, r.o): r.n for r in out.collect()} == {(g, o): n for key in ("a", "b", None) for n, (g, o) in enumerate(sorted(x for x in rows if x[0] == key), 1)}
 
 
+def test_first_pages_equal_the_full_run(spark):
+    rng = random.Random(12)
+    rows = [(d, k // 9, k % 9, rng.choice([0, 1, 2, 5, 30]), rng.random() < 0.05, rng.choice([None, 1, 1, 3, 6]), rng.random() < 0.1, rng.choice([10, 14])) for d in range(12) for k in range(rng.choice([3, 40, 400]))]
+    df = spark.createDataFrame(rows, "doc int, bi int, li int, cost int, forced boolean, keep int, blank boolean, room int")
+    how = {"plain": {}, "looking ahead": {"keep": F.col("keep")}, "blanks": {"blank": F.col("blank")}, "both": {"keep": F.col("keep"), "blank": F.col("blank")}}
+    for extra in how.values():
+        for n in (1, 3):
+            full = {tuple(r) for r in pages.paginate(df, F.col("room"), **extra).filter(F.col("page") <= n).select("doc", "bi", "li", "page").collect()}
+            assert {tuple(r) for r in pages.first_pages(df, n, F.col("room"), **extra).select("doc", "bi", "li", "page").collect()} == full
+    plain = [(1, k, 0, 1, False) for k in range(5000)]
+    assert pages.page_prefix(spark.createDataFrame(plain, "doc int, bi int, li int, cost int, forced boolean"), 2, 10).count() == 21
+
+
+def test_spaces_after_a_stop_over_span_borders(spark):
+    rng = random.Random(13)
+    lines = [["End.", "  Next"], ["End. ", " ", " x"], ["a", "  ", "b"], ["Oh?", "", " ", "", "  y"], ["x.  ", "  ", "  "], [None, ". ", " z"], ["  lead.", "   "], ["tab.\t", "  k"]]
+    lines += [["".join(rng.choice("ab. !\t") for _ in range(rng.randrange(5))) for _ in range(rng.randrange(1, 7))] for _ in range(200)]
+    rows = [(n, k, t) for n, line in enumerate(lines) for k, t in enumerate(line)]
+    out = text.single_sentence_spans(spark.createDataFrame(rows, "doc int, li int, text string"), ["doc"]).collect()
+    got = {(r.doc, r.li): r.text for r in out}
+    for n, line in enumerate(lines):
+        stop = seen = False
+        for k, piece in enumerate(line):
+            kept = ""
+            for c in piece or "":
+                if c != " ":
+                    stop, seen = c in ".?!", False
+                    kept += c
+                elif not (stop and seen):
+                    seen = stop
+                    kept += c
+            assert got[n, k] == (None if piece is None else kept), (line, k)
+    assert got[0, 1] == " Next"
+
+
+def test_marks_go_over_whole_runs(spark):
+    b, i, u, s = 1, 2, 4, 32
+    lines = [
+        ([("alpha", s), ("beta", s | b), ("gamma", s)], "~~alpha**beta**gamma~~"),
+        ([("a ", b), (" b", b)], "**a  b**"),
+        ([("a", b), ("b", b | i), ("c", i)], "**a*b****c*"),  # runs that cross: the inner one is cut
+        ([("one", b), (" ", b), ("two", b)], "**one** **two**"),
+        ([(" x ", u), ("y", 0)], " <u>x</u> y"),
+        ([("w", b), ("7", 64 | b), ("v", b)], "**w**[^7]**v**"),
+        ([("p*q", 0)], r"p\*q"),
+    ]
+    rows = [(n, 0, k, t, st) for n, (spans, _) in enumerate(lines) for k, (t, st) in enumerate(spans)]
+    got = {r.doc: r.marked for r in render.nested_marks(spark.createDataFrame(rows, "doc int, bi int, li int, text string, styles int"), ["doc", "bi"]).collect()}
+    for n, (_, expect) in enumerate(lines):
+        assert got[n] == expect
+
+
+def test_markdown_paragraphs(spark):
+    spans = [(1, 0, 0, "Head"), (1, 0, 1, "line"), (1, 1, 0, "a"), (1, 1, 1, "b"), (1, 2, 0, "v1"), (1, 2, 1, "v2"), (1, 2, 2, " "), (1, 2, 3, "v3"), (1, 3, 0, "q1"), (1, 3, 1, ""), (1, 3, 2, "q2"), (1, 5, 0, "end"), (1, 6, 0, "  ")]
+    blocks = [(1, 0, 1, False, False, False), (1, 1, 0, False, False, False), (1, 2, 0, False, True, False), (1, 3, 0, True, True, False), (1, 4, 0, False, False, True), (1, 5, 0, False, False, False), (1, 6, 0, False, False, False), (1, 7, 0, False, False, True)]
+    df = spark.createDataFrame([(d, bi, ln, 0, t, 0) for d, bi, ln, t in spans], "doc int, bi int, line int, li int, text string, styles int")
+    out = render.render_markdown(df, spark.createDataFrame(blocks, "doc int, bi int, heading int, quote boolean, verse boolean, page_break boolean"), line="line")
+    assert out.first().body == "# Head  \nline\n\na b\n\nv1  \nv2\n\nv3\n\n> q1\n>\n> q2\n\n---\n\nend"
+
+
 def test_folds_give_out_in_order(spark):
     df = spark.createDataFrame([(list(range(n)),) for n in (0, 1, 5, 600)], "v array<int>")
     step = lambda s, x: (s + x, F.when((s + x) % 2 == 0, F.array(s + x)).otherwise(F.array().cast("array<int>")))

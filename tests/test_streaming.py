@@ -5,8 +5,10 @@ import glob
 import json
 import random
 
+import pytest
+
 from paperloom.plans import stream_queries
-from paperloom.streaming import ingest
+from paperloom.streaming import ingest, paced
 
 
 def test_stream_equals_batch_twin(spark, tmp_path):
@@ -94,3 +96,29 @@ def test_ring_kept_over_batches(spark, tmp_path):
     ingest.folded_stream(stream, f"{tmp_path}/out", f"{tmp_path}/check", lambda r: ingest.trace_ring(r, 3, ["seq"], "path", 1)).awaitTermination()
     ring = ingest.folded_table(spark, f"{tmp_path}/out", "path string, seq long")
     assert {(r.path, r.seq) for r in ring.collect()} == {("c", 4), ("d", 5), ("b", 6)}
+
+
+def test_paced_run_is_cancelled_between_batches_and_goes_on(spark, tmp_path):
+    folder = str(tmp_path)
+    rows = spark.createDataFrame([(k, f"p{k}") for k in range(90)], "seq long, path string")
+    batches = []
+
+    def work(batch):
+        batches.append(sorted(r.seq for r in batch.collect()))
+        if len(batches) == 3:
+            paced.cancel(spark, folder)
+
+    shots = paced.paced_run(rows, work, folder, pause_s=0)
+    assert [len(b) for b in batches] == [20, 20, 20]
+    assert {(r.batch, r.found, r.requested, r.done) for r in shots.collect()} == {(0, 90, 0, False), (1, 90, 20, False), (2, 90, 40, False), (3, 90, 60, False), (-1, 90, 60, True)}
+    paced.cancel(spark, folder, False)
+    shots = paced.paced_run(rows, work, folder, pause_s=0)
+    assert sorted(k for b in batches for k in b) == list(range(90)) and [len(b) for b in batches[3:]] == [20, 10]
+    assert {(r.batch, r.requested, r.done) for r in shots.collect()} >= {(4, 80, False), (5, 90, False), (-1, 90, True)}
+
+
+def test_an_error_in_paced_work_is_no_cancel(spark, tmp_path):
+    rows = spark.createDataFrame([(k,) for k in range(5)], "seq long")
+    with pytest.raises(Exception, match="planted"):
+        paced.paced_run(rows, lambda b: (_ for _ in ()).throw(ValueError("planted")), str(tmp_path), pause_s=0)
+    assert paced.paced_run(rows, lambda b: b.count(), str(tmp_path), 2, pause_s=0).filter("done").first().requested == 5
