@@ -9,7 +9,8 @@ Reading: Spark's text source streams the pieces between record separators; a sma
 in every task follows the Content-Length of each record and emits rows (record_id, chunk_no,
 data) with the running SHA-1 of the payload. Only one piece is held at a time; of archives written
 here none is longer than a segment, of others it reaches to the next separator. The last chunk of
-a record carries the record's facts, so a digest needs no grouping.
+a record carries the record's facts; ``read_records`` puts a record together from its chunk rows and
+checks them against these.
 
 Equal payloads (by SHA-256) of at least ``min_revisit_bytes`` are stored once: the record with
 the smallest id is the response, the others are revisits with headers only.
@@ -111,10 +112,11 @@ def write_archives(
 class _Reader:
     """Follows the bytes of one archive as they come: head, block, separator, head, ..."""
 
-    def __init__(self, chunk_bytes: int, with_data: bool):
-        self.chunk_bytes, self.with_data = chunk_bytes, with_data
+    def __init__(self, archive: str | None, chunk_bytes: int):
+        self.archive, self.chunk_bytes = archive, chunk_bytes
         self.state, self.held, self.left = "head", b"", 0
         self.record: dict | None = None
+        self.number = -1
 
     def feed(self, data: bytes) -> Iterator[tuple]:
         while data:
@@ -149,6 +151,7 @@ class _Reader:
         if named["warc-type"] == "continuation":
             return
         yield from self.close()
+        self.number += 1
         self.record = {
             "id": named["warc-record-id"].strip("<>"),
             "type": named["warc-type"],
@@ -182,15 +185,14 @@ class _Reader:
             part = data[k : k + self.chunk_bytes]
             r["sha"].update(part)
             r["bytes"] += len(part)
-            if self.with_data:
-                yield self.row(part, False)
+            yield self.row(part, False)
             r["chunk"] += 1
 
     def row(self, data: bytes | None, last: bool) -> tuple:
         r = self.record
         own = r["type"] != "revisit"
         facts = (r["type"], r["url"], r["refers"], r["bytes"] if own else r["length"], digest_of(r["sha"]) if own else r["stated"], not own or r["stated"] in (None, digest_of(r["sha"]))) if last else (None,) * 6
-        return (r["id"], r["chunk"], data, r["sha"].hexdigest(), last, *facts)
+        return (self.archive, self.number, r["id"], r["chunk"], data, r["sha"].hexdigest(), last, *facts)
 
     def close(self) -> Iterator[tuple]:
         if self.record is not None:
@@ -198,20 +200,20 @@ class _Reader:
         self.record = None
 
 
-_CHUNK = pa.schema([("record_id", pa.string()), ("chunk_no", pa.int64()), ("data", pa.binary()), ("sha1_so_far", pa.string()), ("is_end", pa.bool_()), ("record_type", pa.string()), ("url", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("digest_ok", pa.bool_())])
+_CHUNK = pa.schema([("archive", pa.string()), ("record_no", pa.int64()), ("record_id", pa.string()), ("chunk_no", pa.int64()), ("data", pa.binary()), ("sha1_so_far", pa.string()), ("is_end", pa.bool_()), ("record_type", pa.string()), ("url", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("digest_ok", pa.bool_())])
 
 
-def read_chunks(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES, with_data: bool = True) -> DataFrame:
-    """The chunked record table of all archives in a folder.
+def read_chunks(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """The chunked record table of all archives in a folder: (archive, record_no) is a record's place,
+    (record_id, chunk_no) its rows, which carry ``data`` and the SHA-1 of the payload so far.
 
     Rows with ``is_end`` follow a record's last chunk, have no data, and carry its facts:
     record_type, url, refers_to, payload_bytes, payload_digest (SHA-1, base32) and digest_ok.
-    Without ``with_data`` the chunks are only digested and these rows alone come back.
     """
     pieces = spark.read.option("lineSep", SEPARATOR).text(path).select(F.col("value").cast("binary").alias("piece"), F.col("_metadata.file_path").alias("file"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, file, between, out, held = _Reader(chunk_bytes, with_data), None, b"", [], 0
+        reader, file, between, out, held = _Reader(None, chunk_bytes), None, b"", [], 0
 
         def rows() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _CHUNK)], schema=_CHUNK)
@@ -221,10 +223,10 @@ def read_chunks(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES,
             for k in range(batch.num_rows):
                 if names[k] != file:
                     out += reader.close()
-                    reader, file, between = _Reader(chunk_bytes, with_data), names[k], b""
+                    reader, file, between = _Reader(names[k], chunk_bytes), names[k], b""
                 for row in reader.feed(between + batch.column("piece")[k].as_py()):
                     out.append(row)
-                    held += len(row[2] or b"")
+                    held += len(row[4] or b"")
                     if held > 8 << 20:
                         yield rows()
                         out, held = [], 0
@@ -233,12 +235,34 @@ def read_chunks(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES,
         if out:
             yield rows()
 
-    return pieces.mapInArrow(run, "record_id string, chunk_no long, data binary, sha1_so_far string, is_end boolean, record_type string, url string, refers_to string, payload_bytes long, payload_digest string, digest_ok boolean")
+    return pieces.mapInArrow(run, "archive string, record_no long, record_id string, chunk_no long, data binary, sha1_so_far string, is_end boolean, record_type string, url string, refers_to string, payload_bytes long, payload_digest string, digest_ok boolean")
 
 
 def read_records(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """One row per record: its facts, taken from its end row."""
-    ends = read_chunks(spark, path, chunk_bytes, with_data=False)
-    page = F.regexp_extract("record_id", r"^urn:page:(-?\d+)$", 1)
-    first = F.regexp_extract("refers_to", r"^urn:page:(-?\d+)$", 1)
-    return ends.select(F.when(page != "", page).cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.when(first != "", first).cast("long").alias("refers_to"), "url", "digest_ok", F.col("chunk_no").alias("n_chunks"))
+    """One row per record, put together from its chunk rows.
+
+    ``digest_ok`` asks that the digest stated in the head is the payload's, that chunk numbers run from
+    0 without a gap up to the end row's, that the chunks' bytes add up to the payload, that the first
+    chunk's own SHA-1 is the running one, and that the last running digest is the payload's. Chunks are
+    measured where they are read; only these figures are grouped, so a record's data never meet."""
+    c = read_chunks(spark, path, chunk_bytes)
+    is_chunk, is_end = ~F.col("is_end"), F.col("is_end")
+    size = F.octet_length("data").cast("long")
+    first_ok = (F.col("chunk_no") != 0) | (F.sha1("data") == F.col("sha1_so_far"))
+    slim = c.select(
+        "archive", "record_no", "chunk_no", "is_end", "record_id", "record_type", "url", "refers_to", "payload_bytes", "payload_digest", "digest_ok", "sha1_so_far",
+        F.when(is_chunk, size).alias("size"), F.when(is_chunk, first_ok).alias("first_ok"),
+    )
+    facts = ("record_id", "record_type", "url", "refers_to", "payload_bytes", "payload_digest", "digest_ok", "chunk_no", "sha1_so_far")
+    r = slim.groupBy("archive", "record_no").agg(
+        F.max(F.when(is_end, F.struct(*facts))).alias("end"),
+        F.count("size").alias("n"), F.sum("size").alias("bytes"), F.min(F.when(is_chunk, F.col("chunk_no"))).alias("low"), F.max(F.when(is_chunk, F.struct("chunk_no", "sha1_so_far"))).alias("last"),
+        F.sum(F.when(is_chunk, F.col("chunk_no"))).alias("numbers"), F.coalesce(F.bool_and("first_ok"), F.lit(True)).alias("first_ok"),
+    )
+    own = F.col("end.record_type") != "revisit"
+    # n numbers from 0 whose largest is n - 1 and whose sum is that of 0 .. n - 1
+    dense = (F.col("n") == 0) | ((F.col("low") == 0) & (F.col("last.chunk_no") == F.col("n") - 1) & (2 * F.col("numbers") == F.col("n") * (F.col("n") - 1)))
+    whole = dense & (F.col("n") == F.col("end.chunk_no")) & (F.coalesce("bytes", F.lit(0)) == F.col("end.payload_bytes")) & F.col("first_ok") & (F.coalesce("last.sha1_so_far", F.col("end.sha1_so_far")) == F.col("end.sha1_so_far"))
+    ok = F.col("end.digest_ok") & F.when(own, whole).otherwise(F.col("n") == 0)
+    page, first = F.regexp_extract("end.record_id", r"^urn:page:(-?\d+)$", 1), F.regexp_extract("end.refers_to", r"^urn:page:(-?\d+)$", 1)
+    return r.select(F.when(page != "", page).cast("long").alias("page_id"), "end.payload_bytes", "end.payload_digest", "end.record_type", F.when(first != "", first).cast("long").alias("refers_to"), "end.url", F.coalesce(ok, F.lit(False)).alias("digest_ok"), F.col("n").alias("n_chunks"))
