@@ -5,9 +5,10 @@ content says so, and equal chunks get the same address (BLAKE2b of their bytes).
 chunk it has seen before only as an address, then one shuffle by address stores each chunk once.
 The manifest is sorted by document id and holds, per document, its recipe (addresses and
 lengths), the Merkle root over them and where its ids start in the whole stream. Every 4,096
-documents have a seal over their roots, and every manifest part one over those seals.
+documents have a seal over their ids, places and roots, every manifest part one over those seals,
+and one root, stored apart with counts, covers all parts.
 
-``verify`` reads the files back: each chunk's bytes must hash to its address, lengths must agree
+``verify`` reads the files back: seals made again from the manifest must be those stored, each chunk's bytes must hash to its address, lengths must agree
 with the recipes and the Merkle roots with the addresses; the checksum of every document is put
 together from its chunks' checksums, so no ids are moved. ``read_documents`` puts the ids
 themselves together.
@@ -36,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm import words as W
-from paperloom.llm.scratch import new_path
+from paperloom.llm.scratch import new_path, remove
 from paperloom.llm.skew import join_dealt
 
 CUT_WINDOW, LEAST, MEAN, MOST = 16, 128, 512, 4096
@@ -254,6 +255,7 @@ class TokenStore:
     chunks: str
     manifest: str
     seals: str
+    root: str
     id_bytes: int
 
 
@@ -278,7 +280,7 @@ def write_store(
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen = WordEncoder(shipped.value, block_bytes, most_pieces), set()
+        encoder, seen, nth = WordEncoder(shipped.value, block_bytes, most_pieces), set(), 0
         for batch in batches:
             for w, ids, first in encoder.blocks(batch.column("body")):
                 whole = np.full(len(ids) + w.rows, end_id, dtype=encoder.kind)  # an end id after each row's ids
@@ -307,7 +309,9 @@ def write_store(
                 if chunks:
                     yield _batch(len(chunks), key=pa.array(chunks, pa.binary()), kind=pa.array(["chunk"] * len(chunks)), address=pa.array(chunks, pa.binary()), data=pa.array(blobs, pa.binary()))
                 doc = batch.column("doc").slice(w.lo, w.rows)
-                keys = [root + (d or 0).to_bytes(8, "big", signed=True) for root, d in zip(roots, doc.to_pylist())]
+                # recipes do not meet: like ones of one task have keys of their own
+                keys = [root + (d or 0).to_bytes(8, "big", signed=True) + (nth + k).to_bytes(6, "big") for k, (root, d) in enumerate(zip(roots, doc.to_pylist()))]
+                nth += w.rows
                 lists = (pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(x, t)) for x, t in ((names, pa.binary()), (lengths, pa.int32())))
                 yield _batch(w.rows, key=pa.array(keys, pa.binary()), kind=pa.array(["recipe"] * w.rows), doc=doc, n=pa.array(np.diff(bounds)), root=pa.array(roots, pa.binary()), **dict(zip(("addresses", "lengths"), lists)))
 
@@ -320,7 +324,8 @@ def write_store(
 
     recipes = parts.filter("kind = 'recipe'").select("doc", "n", "root", "addresses", "lengths")
     count = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = recipes.repartitionByRange(count, "doc").sortWithinPartitions("doc", "root").withColumn("part", F.spark_partition_id())
+    # many rows of one id, or of one id and text, are dealt to several ranges
+    ordered = recipes.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(count, "doc", "root", "tie").sortWithinPartitions("doc", "root").drop("tie").withColumn("part", F.spark_partition_id())
     ordered.write.parquet(f"{path}/ordered")
     ordered = spark.read.schema(ordered.schema).parquet(f"{path}/ordered")
     totals = ordered.groupBy("part").agg(F.sum("n").alias("all"))
@@ -332,13 +337,52 @@ def write_store(
     manifest.write.option("compression", "zstd").parquet(f"{path}/manifest")
     manifest = spark.read.schema(manifest.schema).parquet(f"{path}/manifest")
 
-    def seal(name: str) -> Column:
-        return F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", name))), lambda r: F.hex(r[name])), ""), 256).alias("seal")
-
-    blocks = manifest.groupBy("part", "block").agg(F.min("start").alias("start"), F.sum("n").alias("n_tokens"), F.count("*").alias("n_docs"), seal("root"))
-    blocks.groupBy("part").agg(F.min("start").alias("start"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_docs").alias("n_docs"), seal("seal")).write.parquet(f"{path}/seals")
+    seals = _part_seals(manifest)
+    seals.coalesce(1).write.parquet(f"{path}/seals")  # one row a part
+    seals = spark.read.schema(seals.schema).parquet(f"{path}/seals")
+    _top(seals).write.parquet(f"{path}/root")
     vocabulary = 2 if WordEncoder(tokenizer_json).kind is np.uint16 else 4
-    return TokenStore(f"{path}/parts", f"{path}/manifest", f"{path}/seals", vocabulary)
+    remove(spark, f"{path}/ordered")
+    return TokenStore(f"{path}/parts", f"{path}/manifest", f"{path}/seals", f"{path}/root", vocabulary)
+
+
+def _sealed(order: str, *names: Column) -> Column:
+    """SHA-256 over a group's leaves in order."""
+    leaf = F.sha2(F.concat_ws(",", *names), 256)
+    return F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), leaf.alias("leaf")))), lambda r: r["leaf"]), ""), 256).alias("seal")
+
+
+def _part_seals(manifest: DataFrame) -> DataFrame:
+    """(part, start, n_tokens, n_docs, seal): blocks of documents are sealed by id, start, length and
+    Merkle root, and every part over its blocks."""
+    sums = [F.min("start").alias("start"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_docs").alias("n_docs")]
+    leaf = (F.coalesce(F.col("doc").cast("string"), F.lit("null")), F.col("start").cast("string"), F.col("n").cast("string"), F.hex("root"))
+    rows = manifest.withColumns({"n_tokens": F.col("n"), "n_docs": F.lit(1).cast("long")})
+    blocks = rows.groupBy("part", "block").agg(*sums, _sealed("start", *leaf))
+    return blocks.groupBy("part").agg(*sums, _sealed("block", F.col("block").cast("string"), F.col("seal")))
+
+
+def _top(seals: DataFrame) -> DataFrame:
+    """One row over all parts: counts and the seal of the seals."""
+    counts = [F.count("*").alias("n_parts"), F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n_docs"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens")]
+    return seals.agg(*counts, _sealed("part", F.col("part").cast("string"), F.col("start").cast("string"), F.col("n_docs").cast("string"), F.col("n_tokens").cast("string"), F.col("seal")))
+
+
+def verify_manifest(spark: SparkSession, store: TokenStore) -> None:
+    """Stops if the manifest is not the one that was sealed: seals are made again from its rows and
+    compared with the stored ones, and those with the root over all parts."""
+    made = _part_seals(spark.read.schema(_MANIFEST).parquet(store.manifest))
+    stored = spark.read.schema(made.schema).parquet(store.seals)
+    top = spark.read.schema(_top(stored).schema).parquet(store.root).collect()
+    if [tuple(r) for r in top] != [tuple(r) for r in _top(stored).collect()]:  # one row each
+        raise ValueError("the seals of the store's parts are not those of its root")
+    a, b = (x.select("part", F.struct("start", "n_tokens", "n_docs", "seal").alias(n)) for x, n in ((made, "made"), (stored, "stored")))
+    bad = a.join(b, "part", "full_outer").filter(~F.col("made").eqNullSafe(F.col("stored"))).agg(F.min("part").alias("part"), F.count("*").alias("n")).first()
+    if bad["n"]:
+        raise ValueError(f"the manifest differs from its seals in {bad['n']} parts, first in part {bad['part']}")
+
+
+_MANIFEST = "part int, doc long, n long, root binary, addresses array<binary>, lengths array<int>, start long, block long"
 
 
 def _chunks(spark: SparkSession, store: TokenStore) -> DataFrame:
@@ -346,7 +390,7 @@ def _chunks(spark: SparkSession, store: TokenStore) -> DataFrame:
 
 
 def _manifest(spark: SparkSession, store: TokenStore) -> DataFrame:
-    return spark.read.schema("part int, doc long, n long, root binary, addresses array<binary>, lengths array<int>, start long").parquet(store.manifest)
+    return spark.read.schema(_MANIFEST).parquet(store.manifest).drop("block")
 
 
 def _zero_operators(count: int = 40) -> list[np.ndarray]:
@@ -381,9 +425,11 @@ def crc_shift(crc: np.ndarray, zeros: np.ndarray) -> np.ndarray:
 def verify(spark: SparkSession, store: TokenStore) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32 (ids as 32-bit), root.
 
-    A chunk that does not hash to its address, a missing chunk, a wrong length or a wrong root
-    stops the job.
+    A manifest that is not the sealed one (a lost file or row, documents that changed places) stops
+    at once; a chunk that does not hash to its address, a missing chunk, a wrong length or a wrong
+    root stops the job that reads the result.
     """
+    verify_manifest(spark, store)
     kind = np.uint16 if store.id_bytes == 2 else np.uint32
 
     def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
