@@ -8,24 +8,24 @@ pattern gives: whole passes over all its documents, and a last part that takes t
 first in a seeded hash order.
 
 The plan has one row per pattern and is joined by broadcast; its size is checked first
-(``max_patterns``, an error beyond it). Per-document work is a map; running sums go over 4096
-hash bins per pattern and then over the rows of one bin only, so a source with a third of all
-rows is never sorted in one task.
+(``max_patterns``, an error beyond it). Per-document work is a map; where the last part ends is
+found by sums over 4096 bins of the order per pattern, and again inside the bin of the end, so a
+source with a third of all rows is never sorted, nor met in one task.
 
 Defined cases: a null text has size 0; a null source is a source of its own, ordered last;
-repeated rows are taken alike; an empty table gives an empty table; extra columns are kept by
+repeated rows are taken one by one; an empty table gives an empty table; extra columns are kept by
 ``mix_sources`` unless they clash with the columns it adds, which then replace them.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.scratch import settle
 
 WORD = r"[^\x20\x09-\x0D]+"
-_BINS = 4096
 
 
 def weights_by_order(names: list, cycle: tuple[float, ...] = (5, 2, 1)) -> dict:
@@ -104,12 +104,46 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _order(id_col: str, seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.col(id_col))
+_LEVELS, _LEVEL_BITS = 5, 12
+_ALL = (1 << (_LEVELS * _LEVEL_BITS)) - 1
 
 
-def _bin(order: Column) -> Column:
-    return F.shiftrightunsigned(order, 52)
+def _placed(docs: DataFrame) -> tuple[DataFrame, Column]:
+    """``docs`` and a number of each row that is the same at every use: the place in its file, or, for rows
+    that come from no file, a number written down with them."""
+    try:
+        docs.select("_metadata.row_index")
+        return docs, F.xxhash64("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        numbered = settle(docs.withColumn("_place", F.monotonically_increasing_id()), "mixing-rows")
+        return numbered, F.xxhash64("_place")
+
+
+def _order(id_col: str, text_col: str, place: Column, seed: int) -> Column:
+    """The seeded order, 60 bits: a hash of id and text, then one of the row, so equal rows differ too."""
+    upper = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), 28)
+    return F.shiftleft(upper, 24).bitwiseOR(F.xxhash64(F.lit(seed), place).bitwiseAND(F.lit((1 << 24) - 1)))
+
+
+def _cut(rows: DataFrame, room: DataFrame) -> DataFrame:
+    """(key, cut): the largest order value that is taken, so that what is taken comes next to the key's
+    ``left``.
+
+    ``rows`` has (key, size, order), ``room`` (key, left), a row a pattern. A radix descent: sums by 12
+    bits of the order say in which bin the cut lies, then by the next 12 bits of that bin's rows. So
+    no rows are sorted, and rows of one value of the order meet in sums only."""
+    edge = room.select("key", "left", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("before"))
+    for level in range(_LEVELS):
+        shift = _LEVEL_BITS * (_LEVELS - 1 - level)
+        own = rows.join(F.broadcast(edge), "key").filter(F.shiftright("order", shift + _LEVEL_BITS) == F.col("prefix"))
+        bins = own.groupBy("key", F.shiftright("order", shift).alias("bin")).agg(F.sum("size").alias("bin_size"), F.first("before").alias("before"), F.first("left").alias("left"))
+        upto = F.col("before") + F.sum("bin_size").over(Window.partitionBy("key").orderBy("bin"))
+        found = bins.withColumn("upto", upto).filter(F.col("upto") >= F.col("left")).groupBy("key").agg(F.min(F.struct("bin", F.col("upto").alias("upto"), "bin_size", "left")).alias("e"))
+        edge = found.select("key", "e.left", F.col("e.bin").alias("prefix"), (F.col("e.upto") - F.col("e.bin_size")).alias("before"), F.col("e.bin_size").alias("tied"))
+        if level < _LEVELS - 1:
+            edge = edge.drop("tied")
+    taken = F.col("before") + F.col("tied") / 2 <= F.col("left")
+    return edge.select("key", F.when(taken, F.col("prefix")).otherwise(F.col("prefix") - 1).alias("cut"))
 
 
 def _pattern_key() -> Column:
@@ -151,25 +185,31 @@ def mixing_plan(sizes: DataFrame, weights=weights_by_order, max_times: int = 3,
     slim = plan.select("key", "capacity", "rest")
     own = sizes.withColumn("key", _pattern_key()).select("key", "size", "order").join(F.broadcast(slim), "key")
     own = own.filter((F.col("rest") > 0) & (F.col("size") > 0)).withColumn("large", F.col("size") * 100 > F.col("capacity"))
-    big = own.filter("large").withColumn("sum", F.sum("size").over(Window.partitionBy("key").orderBy("order")))
-    # in hash order, while the mean lies at or below the large ones' share of the rest
-    share = own.filter("large").groupBy("key").agg(F.sum("size").alias("all_large"))
-    big = big.join(F.broadcast(share), "key").filter(F.col("sum") - F.col("size") / 2 <= F.col("rest") * F.col("all_large") / F.col("capacity"))
-    big = big.filter(F.col("sum") <= F.col("rest")).groupBy("key").agg(F.max("order").alias("cut_large"), F.max("sum").alias("sum_large"))
+    # fewer than 100 a pattern: in order, each that brings their sum nearer to their share of the rest
+    # (one that is too long is passed over), then each that small ones cannot make up for
+    big = own.filter("large").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("order", "size"))).alias("x"), F.sum("size").alias("all_large"))
+    big = big.join(F.broadcast(slim), "key")
+    share, few = F.col("rest") * F.col("all_large") / F.col("capacity"), F.col("capacity") - F.col("all_large")
+    state = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<bigint>").alias("picks"))
+
+    def picked(start: Column, fits) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            take = ~F.array_contains(acc["picks"], x["order"]) & fits(acc["sum"], x["size"])
+            return F.when(take, F.struct((acc["sum"] + x["size"]).alias("sum"), F.concat(acc["picks"], F.array(x["order"])).alias("picks"))).otherwise(acc)
+
+        return F.aggregate("x", start, step)
+
+    big = big.withColumn("one", picked(state, lambda so_far, size: (so_far + size <= F.col("rest")) & (so_far + size / 2 <= share)))
+    big = big.withColumn("two", picked(F.col("one"), lambda so_far, size: size / 2 <= F.col("rest") - so_far - few))
+    big = big.select("key", F.col("two.picks").alias("picks"), F.col("two.sum").alias("sum_large"))
     left = slim.join(big, "key", "left").withColumn("left", F.col("rest") - F.coalesce("sum_large", F.lit(0)))
 
-    small = own.filter(~F.col("large")).select("key", "size", "order", _bin(F.col("order")).alias("bin"))
-    bins = small.groupBy("key", "bin").agg(F.sum("size").alias("bin_size"))
-    bins = bins.withColumn("upto", F.sum("bin_size").over(Window.partitionBy("key").orderBy("bin")))
-    edge = bins.join(F.broadcast(left.select("key", "left")), "key").withColumn("before", F.col("upto") - F.col("bin_size"))
-    edge = edge.filter((F.col("before") < F.col("left")) & (F.col("upto") >= F.col("left")))
-    last = small.join(F.broadcast(edge.select("key", "bin", "before", "left")), ["key", "bin"])
-    last = last.withColumn("sum", F.col("before") + F.sum("size").over(Window.partitionBy("key").orderBy("order")))
-    last = last.filter(F.col("sum") - F.col("size") / 2 <= F.col("left"))
-    cut = edge.join(last.groupBy("key").agg(F.max("order").alias("in_bin")), "key", "left")
-    cut = cut.select("key", F.col("bin").alias("cut_bin"), "in_bin")
-    out = plan.join(left.select("key", "left", "cut_large"), "key").join(cut, "key", "left")
-    return settle(out.drop("rest"), "mixing-plan")
+    small = own.filter(~F.col("large")).select("key", "size", "order")
+    left = settle(left.select("key", "left", "picks"), "mixing-left")
+    cut = _cut(small, left.select("key", "left").filter("left > 0"))
+    out = plan.join(left, "key").join(cut, "key", "left")
+    out = out.withColumn("cut", F.when(F.col("left") > 0, F.coalesce("cut", F.lit(_ALL))).otherwise(F.lit(-1)))
+    return settle(out.drop("rest", "left"), "mixing-plan")
 
 
 def apply_plan(docs: DataFrame, plan: DataFrame) -> DataFrame:
@@ -177,10 +217,7 @@ def apply_plan(docs: DataFrame, plan: DataFrame) -> DataFrame:
     small = plan.drop("member")
     docs = docs.withColumn("key", _pattern_key()).join(F.broadcast(small), "key", "left")
     large = F.col("size") * 100 > F.coalesce("capacity", F.lit(0))
-    order, at = F.col("order"), _bin(F.col("order"))
-    fits = F.when(large, order <= F.col("cut_large")).otherwise(
-        (at < F.col("cut_bin")) | ((at == F.col("cut_bin")) & (order <= F.col("in_bin"))) | (F.col("cut_bin").isNull() & (F.col("left") > 0))
-    )
+    fits = F.when(large, F.array_contains("picks", F.col("order"))).otherwise(F.col("order") <= F.col("cut"))
     copies = F.col("passes") + F.coalesce(fits, F.lit(False)).cast("int")
     return docs.withColumn("copies", F.coalesce(copies, F.lit(0))).withColumn("taken", F.col("copies") * F.col("size"))
 
@@ -202,8 +239,10 @@ def mix_sources(
     ``keep`` names the columns of ``docs`` to return (default: all).
     """
     member = F.array(F.col(source_col)) if member is None else F.array_sort(F.array_distinct(member))
-    added = {"member": member, "size": word_count(F.col(text_col)), "order": _order(id_col, seed)}
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in {*added, "source_size", "target", "copies", "taken"}]
+    given = docs.columns
+    docs, place = _placed(docs)
+    added = {"member": member, "size": word_count(F.col(text_col)), "order": _order(id_col, text_col, place, seed)}
+    keep = [c for c in (given if keep is None else keep) if c not in {*added, "source_size", "target", "copies", "taken"}]
     slim = settle(docs.select(*(c.alias(n) for n, c in added.items())), "mixing-sizes")
     plan = mixing_plan(slim, weights, max_times)
     wide = docs.select(*(F.col(c).alias(f"own_{c}") for c in keep), *(c.alias(n) for n, c in added.items()))

@@ -1,8 +1,11 @@
 """Operators on documents against brute force, with odd rows."""
 
 import collections
+import glob
+import os
 import random
 import re
+import shutil
 import textwrap
 import zlib
 
@@ -309,6 +312,70 @@ def test_registered_mix_comes_near_its_targets(spark):
         assert abs(taken[s] - goal[s]) <= 0.03 * goal[s] + 50
 
 
+def test_mixing_of_rows_without_ids_or_all_alike(spark):
+    """Ties in the id, and rows equal in all, do not throw a source off its target."""
+    docs = [(k, " ".join(["w"] * (5 + k % 11)), f"s{k % 4}") for k in range(2000)]
+    plain = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    cases = {
+        "as they are": plain,
+        "half without id": plain.withColumn("doc_id", F.when(F.col("doc_id") % 8 < 4, F.col("doc_id"))),
+        "no ids": plain.withColumn("doc_id", F.lit(None).cast("long")),
+        "one id": plain.withColumn("doc_id", F.lit(1).cast("long")),
+        "all alike": plain.withColumns({"doc_id": F.lit(1).cast("long"), "text": F.lit("five words are in here")}),
+    }
+    for name, df in cases.items():
+        rows = mixing.mix_sources(df).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.count("*").alias("n")).collect()
+        assert sum(r.n for r in rows) == 2000
+        for r in rows:
+            assert abs(r.taken - r.target) <= 0.02 * r.target + 20, (name, r)
+
+
+def test_a_store_that_lost_something_is_refused(spark, tmp_path):
+
+    import pyarrow.parquet as pq
+
+    docs = spark.createDataFrame([(k if k % 7 else None, f"words of document {k % 50} and more of them") for k in range(300)], "doc_id long, text string")
+
+    def fresh(name):
+        store = token_store.write_store(docs, queries.tokenizer_json(), end_id=2, path=f"{tmp_path}/{name}")
+        return store, sorted(glob.glob(f"{store.manifest}/*.parquet"), key=lambda f: -pq.read_metadata(f).num_rows)
+
+    store, _ = fresh("whole")
+    assert token_store.verify(spark, store).count() == 300
+
+    def rewritten(file, change):
+        table = pq.read_table(file)
+        os.remove(file)
+        for crc in glob.glob(os.path.join(os.path.dirname(file), f".{os.path.basename(file)}.crc")):
+            os.remove(crc)
+        pq.write_table(change(table), file)
+
+    def swapped(t):
+        doc = t.column("doc").to_pylist()
+        at = next(k for k in range(len(doc) - 1) if doc[k] != doc[k + 1])
+        doc[at], doc[at + 1] = doc[at + 1], doc[at]
+        return t.set_column(t.schema.get_field_index("doc"), "doc", pa.array(doc, pa.int64()))
+
+    harm = {
+        "a file": lambda store, files: os.remove(files[0]),
+        "all files": lambda store, files: [os.remove(f) for f in files],
+        "a row": lambda store, files: rewritten(files[0], lambda t: t.slice(1)),
+        "documents": lambda store, files: rewritten(files[0], swapped),
+        "the seals": lambda store, files: [os.remove(f) for f in glob.glob(f"{store.seals}/*.parquet")],
+        "the root": lambda store, files: [os.remove(f) for f in glob.glob(f"{store.root}/*.parquet")],
+    }
+    for name, act in harm.items():
+        store, files = fresh(name)
+        act(store, files)
+        with pytest.raises(ValueError):
+            token_store.verify(spark, store)
+    store, _ = fresh("a chunk")
+    shutil.rmtree(f"{store.chunks}/kind=chunk")
+    os.makedirs(f"{store.chunks}/kind=chunk")
+    with pytest.raises(Exception, match="chunk is missing"):
+        token_store.verify(spark, store).collect()
+
+
 def test_flow_of_many_patterns_is_quick_and_meets_quotas():
     rng = random.Random(1)
     sources = [f"s{k}" for k in range(40)]
