@@ -1,13 +1,15 @@
 """License scans by conditional compression.
 
 Candidate blocks reach from every mention of licensing as far as the longest template could, both
-ways and over line ends, so a notice is never cut by its wrapping. Each block is compressed alone
-and then with every template as a raw zstandard dictionary; the share of bytes that a template
-saves ranks the templates. A template is confirmed by the exact wording of a stretch of the block:
-short notices must be there word by word, long ones may miss and add a tenth of their words, but
-none that tells one license from another (its version, 'Lesser', 'Affero', 'Library General').
-Of stretches that overlap the one with most words in place wins, then the better rank. Missing and
-added words are reported, and the reduction of the stretch itself.
+ways and over line ends, so a notice is never cut by its wrapping. The words of a block are compressed
+alone and then with every template's words as a raw zstandard dictionary; the share of bytes that a
+template saves ranks the templates. Down that order the first whose exact wording is found in the
+block wins: short notices must be there word by word, long ones may miss and add a tenth of their
+words, but none that tells one license from another (its version, 'Lesser', 'Affero', 'Library
+General'). The winner's stretches are taken out and what is left of the block is compressed and
+ranked anew, until no template wins. A template that makes the block longer beyond the noise of the
+coding (``NOISE``) is not tried. Missing and added words are reported, and the reduction of the
+stretch itself.
 
 Every text is read whole and each document is judged by itself, so nothing is shuffled. A notice
 is seen only where some word of licensing (``HINT``: license, copyright, rights reserved, permission,
@@ -21,7 +23,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +53,24 @@ NOTICES = {
     "Proprietary": "All rights reserved.",
 }
 
+# How the full texts of long licenses begin.
+HEADS = {
+    "Apache-2.0": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+    "GPL-2.0": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "GPL-3.0": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "LGPL-2.1": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "LGPL-3.0": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "AGPL-3.0": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "MPL-2.0": "Mozilla Public License Version 2.0",
+}
+
+# Identifiers of SPDX lines.
+SPDX = (
+    "MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "MPL-2.0", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0",
+    "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later",
+    "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later",
+)
+
 
 # What follows in the full texts of some of them.
 WARRANTIES = {
@@ -79,6 +99,8 @@ def templates() -> dict[str, str]:
             out[f"{name}-title"] = f"Creative Commons {title} {version}"
             out[f"{name}-deed"] = f"licensed under a Creative Commons {title} {version} {suffix} License."
     out["CC0-1.0-title"] = "CC0 1.0 Universal"
+    out |= {f"{name}-head": head for name, head in HEADS.items()}
+    out |= {f"{name}-spdx": f"SPDX-License-Identifier: {name}" for name in SPDX}
     return out
 
 
@@ -102,16 +124,21 @@ def _allowed(n_words: int) -> int:
     return n_words // 10 if n_words > 20 else 0
 
 
+#: words after which a block is closed; the next begins as far before its first hint as a notice could
+BLOCK_WORDS = 1024
+
+
 def candidate_blocks(text: str, reach: int) -> list[list[tuple[int, int]]]:
-    """Blocks as (start, end) of their words: those within ``reach`` words of a hint."""
+    """Blocks as (start, end) of their words: those within ``reach`` words of a hint. Every hint has all
+    of its surroundings in one block; long blocks overlap."""
     words = [m.span() for m in _WORD.finditer(text)]
     starts, out = np.array([a for a, _ in words]), []
     for m in _HINT.finditer(text):
         k = int(np.searchsorted(starts, m.start(), side="right")) - 1
         lo, hi = max(k - reach, 0), min(k + reach + 1, len(words))
-        if out and lo <= out[-1][1]:
+        if out and lo <= out[-1][1] and out[-1][1] - out[-1][0] < BLOCK_WORDS:
             out[-1][1] = hi
-        else:
+        elif not out or hi > out[-1][1]:
             out.append([lo, hi])
     return [words[lo:hi] for lo, hi in out]
 
@@ -144,17 +171,27 @@ def _wording(wanted: np.ndarray, said: np.ndarray) -> tuple[list[int], list[int]
     return missing[::-1], added[::-1], j
 
 
+LEVEL = 3
+#: A dictionary also changes how the rest of a block is coded, by some bytes for better or worse, most of
+#: all where a block repeats itself. A template that makes a block longer by more than this share is
+#: not tried. Of 740 notices planted in blocks that repeat themselves the worst made its block longer
+#: by 3.4 percent; on the given tables none is passed over by the bound.
+NOISE = 0.1
+
+
 class Matcher:
     def __init__(self, texts: dict[str, str]):
-        self.plain = zstandard.ZstdCompressor(level=3)
+        self.plain = zstandard.ZstdCompressor(level=LEVEL)
         self.words = {n: _words(t) for n, t in sorted(texts.items())}
         self.counts = {n: Counter(w) for n, w in self.words.items()}
         self.reach = max((len(w) + _allowed(len(w)) for w in self.words.values()), default=0)
-        raw = {n: zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT) for n, t in sorted(texts.items())}
-        self.coded = {n: zstandard.ZstdCompressor(level=3, dict_data=d) for n, d in raw.items()}
+        self.shortest = min((len(w) for w in self.words.values()), default=0)
+        raw = {n: zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT) for n, w in self.words.items()}
+        self.coded = {n: zstandard.ZstdCompressor(level=LEVEL, dict_data=d) for n, d in raw.items()}
 
-    def reductions(self, text: str, names: list[str]) -> dict[str, float]:
-        data = text.encode("utf-8", "replace")
+    def reductions(self, said: list[str], names: Iterable[str]) -> dict[str, float]:
+        """Share of the compressed words that each template saves as a dictionary."""
+        data = " ".join(said).encode()
         alone = len(self.plain.compress(data))
         return {n: 1 - len(self.coded[n].compress(data)) / alone for n in names}
 
@@ -176,28 +213,47 @@ class Matcher:
                 taken[lo + start : end] = True
                 yield lo + start, end, [wanted[k] for k in missing], [said[lo + k] for k in added]
 
-    def match(self, text: str, block: list[tuple[int, int]]) -> list[dict]:
-        """All notices in a block of words of ``text``; what a winner leaves is free for others."""
-        said = [text[a:b].lower() for a, b in block]
-        there, found = Counter(said), []
+    def winner(self, said: list[str]) -> tuple[str, list[tuple[int, int, list[str], list[str]]]] | None:
+        """The best-ranked template whose wording is in ``said``, and its stretches."""
+        reduction = self.reductions(said, self.words)
+        there = Counter(said)
         places = {w: k for k, w in enumerate(there)}
         codes = np.array([places[w] for w in said], dtype=np.int64)
-        reduction = self.reductions(text[block[0][0] : block[-1][1]], list(self.words))
-        for rank, name in enumerate(sorted(self.words, key=lambda n: (-reduction[n], n))):
+        for name in sorted((n for n in self.words if reduction[n] >= -NOISE), key=lambda n: (-reduction[n], n)):
             if (self.counts[name] - there).total() > _allowed(len(self.words[name])):
                 continue
-            for start, end, missing, added in self.stretches(name, said, places, codes):
-                kept = len(self.words[name]) - 2 * len(missing) - len(added)
-                found.append((-kept, rank, start, end, name, missing, added))
-        taken, out = np.zeros(len(said), dtype=bool), []
-        for _, _, start, end, name, missing, added in sorted(found):
-            if taken[start:end].any():
+            found = sorted(self.stretches(name, said, places, codes))
+            if found:
+                return name, found
+        return None
+
+    def match(self, text: str, block: list[tuple[int, int]]) -> list[dict]:
+        """All notices in a block of words of ``text``, winner after winner."""
+        words, out = [text[a:b].lower() for a, b in block], []
+        todo = [(0, len(words))]
+        while todo:
+            lo, hi = todo.pop()
+            said = words[lo:hi]
+            won = self.winner(said) if hi - lo >= self.shortest and hi > lo else None
+            if won is None:
                 continue
-            taken[start:end] = True
-            a, b = block[start][0], block[end - 1][1]
-            out.append({"license": name, "start": a, "end": b, "reduction": self.reductions(text[a:b], [name])[name], "missing": missing, "added": added})
+            name, found = won
+            for start, end, missing, added in found:
+                reduction = self.reductions(said[start:end], [name])[name]
+                out.append({"license": name, "start": block[lo + start][0], "end": block[lo + end - 1][1], "reduction": reduction, "missing": missing, "added": added})
+            bounds = [0, *(x for start, end, *_ in found for x in (start, end)), hi - lo]
+            todo += [(lo + a, lo + b) for a, b in zip(bounds[::2], bounds[1::2]) if b > a]
         return sorted(out, key=lambda m: m["start"])
 
+    def scan(self, text: str) -> tuple[int, list[dict]]:
+        """Number of blocks, and notices in order; what two blocks share is reported once."""
+        blocks, kept = candidate_blocks(text, self.reach), []
+        found = [m for block in blocks for m in self.match(text, block)]
+        for m in sorted(found, key=lambda m: (len(m["missing"]) + len(m["added"]), m["start"] - m["end"], m["start"], m["license"])) if len(blocks) > 1 else found:
+            if all(m["end"] <= k["start"] or k["end"] <= m["start"] for k in kept):
+                kept.append(m)
+        return len(blocks), sorted(kept, key=lambda m: m["start"])
+
 
 _FOUND = pa.list_(pa.struct([("license", pa.string()), ("first_line", pa.int32()), ("last_line", pa.int32()), ("reduction", pa.float64()), ("missing", pa.list_(pa.string())), ("added", pa.list_(pa.string()))]))
 
@@ -215,10 +271,9 @@ def scan_licenses(df: DataFrame, texts: dict[str, str] | None = None, id_col: st
             hinted = pc.fill_null(pc.match_substring_regex(body, HINT), False)
             for k in pc.indices_nonzero(hinted).to_pylist():
                 text = body[k].as_py()
-                blocks = candidate_blocks(text, matcher.reach)
-                n[k] = len(blocks)
+                n[k], notices = matcher.scan(text)
                 ends = np.array([m.start() for m in re.finditer("\n", text)], dtype=np.int64)
-                for m in (m for block in blocks for m in matcher.match(text, block)):
+                for m in notices:
                     first, last = np.searchsorted(ends, (m.pop("start"), m.pop("end") - 1)).tolist()
                     found[k].append({**m, "first_line": first, "last_line": last})
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(found, _FOUND)], ["id", "n_blocks", "found"])

@@ -527,6 +527,42 @@ def test_licenses_equal_brute_force(spark):
         assert [m.license for m in r.found] == brute(docs[r.doc_id]), docs[r.doc_id]
 
 
+def test_licenses_are_decided_by_compression(monkeypatch):
+    """Without the reductions other templates win; with them the bound loses no notice."""
+    rng = random.Random(8)
+    matcher = licenses.Matcher(licenses.templates())
+    full = licenses.templates()["MIT-full"]
+    noise = ["one", "license", "word", "of", "the", "copy", "rights", "and", "software"]
+    texts = [full, licenses.NOTICES["BSD-3-Clause"]]
+    for _ in range(120):
+        base = [rng.choice(noise) for _ in range(rng.choice([5, 40, 300]))] * rng.choice([1, 1, 3])
+        for _, t in rng.sample(sorted(licenses.templates().items()), rng.choice([1, 2, 3])):
+            k = rng.randrange(len(base) + 1)
+            base[k:k] = t.split()
+        texts.append(" ".join(base))
+
+    def found():
+        return [[(m["license"], m["start"], m["end"]) for m in matcher.scan(t)[1]] for t in texts]
+
+    as_is = found()
+    assert [m[0] for m in as_is[0]] == ["MIT-full"] and [m[0] for m in as_is[1]] == ["BSD-3-Clause"]
+    monkeypatch.setattr(licenses, "NOISE", 99)
+    assert found() == as_is
+    monkeypatch.setattr(matcher, "reductions", lambda said, names: dict.fromkeys(names, 0.0))
+    assert [m[0] for m in found()[0]] != ["MIT-full"]
+    monkeypatch.setattr(licenses, "NOISE", 0.1)
+    monkeypatch.setattr(matcher, "reductions", lambda said, names: dict.fromkeys(names, -1.0))
+    assert found() == [[]] * len(texts)
+
+
+def test_spdx_lines_heads_and_long_blocks(spark):
+    long = " ".join(f"license w{k}" if k % 5 == 0 else f"w{k}" for k in range(6000))
+    rows = [(1, "# SPDX-License-Identifier: MIT\nx = 1"), (2, "// SPDX-License-Identifier: GPL-2.0-or-later\n"), (3, "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\n Copyright"), (4, long[:20_000] + " Released under the MIT License. " + long[20_000:]), (5, "SPDX-License-Identifier: GPL-2.0"), (6, "Mozilla Public License\nVersion 2.0\n====")]
+    got = {r.doc_id: (r.n_blocks, [m.license for m in r.found]) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: v for k, (_, v) in got.items()} == {1: ["MIT-spdx"], 2: ["GPL-2.0-or-later-spdx"], 3: ["GPL-3.0-head"], 4: ["MIT-short"], 5: ["GPL-2.0-spdx"], 6: ["MPL-2.0-head"]}
+    assert got[4][0] > 3
+
+
 def test_full_license_texts(spark):
     rows = [(1, "Apache", licenses.NOTICES["Apache-2.0"]), (2, "both", textwrap.fill(licenses.NOTICES["ISC"], 60) + "\n\n" + textwrap.fill(licenses.NOTICES["Apache-2.0"], 60)), (3, "mit", licenses.templates()["MIT-full"])]
     docs = spark.createDataFrame(rows, "doc_id long, name string, text string")
