@@ -12,8 +12,9 @@ are passed over, and shorter items ask for all their terms; an item of which the
 than half the distinct terms matches nothing.
 
 The benchmark is a query set, not a corpus: its distinct items go to the shards in blocks of at
-most ``max_query_words`` counted words, one pass over the index for each; a single item beyond
-that is an error.
+most ``max_query_words`` counted words, one pass over the index for each. An item of more than half
+as many words goes in pieces that overlap by a window less a word, so it loses no phrase; its
+proximity is looked for piece by piece.
 
 Defined cases: null and empty texts have no words; an item without words matches nothing and one
 under the window length is one window; items that share an id count once; a null item id is
@@ -24,6 +25,8 @@ extra columns are ignored.
 from __future__ import annotations
 
 import itertools
+import re
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -41,6 +44,7 @@ SHARD_BYTES = 256 << 10
 #: a reader's batch of these wide rows ends with the row group, so groups are small
 _ROW_GROUPS = {"parquet.block.size": 8 << 20}
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOW = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 _FAR = np.int64(1) << 40
 
 
@@ -78,11 +82,12 @@ def _read(batch: pa.RecordBatch, column: str, row: int, kind: type) -> np.ndarra
 class Query:
     """A block of items. Terms are numbers of ``vocabulary``, -1 where there is none.
 
-    A row of ``terms`` is a window, rarest term of the whole index first, and ``shift`` has each
+    ``base`` has the words of each item before the piece of it that is here. A row of ``terms`` is a window, rarest term of the whole index first, and ``shift`` has each
     term's place in it. A row of ``close`` has the terms an item is looked for by proximity.
     """
 
     items: list[str]
+    base: np.ndarray
     vocabulary: np.ndarray
     item: np.ndarray
     offset: np.ndarray
@@ -92,8 +97,8 @@ class Query:
     close: np.ndarray
 
     @classmethod
-    def of(cls, items: list[tuple[str, str]], length: int) -> Query:
-        words = [w.hash[a:b] for w in W.blocks(pa.array([t for _, t in items], pa.string()), W.LETTERS, lower=True) for a, b in itertools.pairwise(w.first())]
+    def of(cls, items: list[tuple[str, str, int]], length: int) -> Query:
+        words = [w.hash[a:b] for w in W.blocks(pa.array([t for _, t, _ in items], pa.string()), W.LETTERS, lower=True) for a, b in itertools.pairwise(w.first())]
         every = np.concatenate([np.empty(0, dtype=np.uint64), *words])
         vocabulary = W.distinct(every)
         count = np.array([len(x) for x in words], dtype=np.int64)
@@ -107,7 +112,7 @@ class Query:
         terms = np.where(inside, numbers[np.minimum(at, max(len(every) - 1, 0))], -1) if len(item) else np.empty((0, length), dtype=np.int32)
         distinct = [x[np.sort(np.unique(x, return_index=True)[1])] for x in np.split(numbers, begin[1:])] if items else []
         shift = np.broadcast_to(np.arange(length, dtype=np.int16), terms.shape)
-        return cls([i for i, _ in items], vocabulary, item, offset, terms, shift, distinct, np.full((len(items), 1), -1, dtype=np.int32))
+        return cls([i for i, _, _ in items], np.array([b for _, _, b in items], dtype=np.int64), vocabulary, item, offset, terms, shift, distinct, np.full((len(items), 1), -1, dtype=np.int32))
 
     def ranked(self, counts: np.ndarray, near_terms: int) -> Query:
         """The same query with the terms of windows and items in order of their counts."""
@@ -250,24 +255,40 @@ def _spans(shard: Shard, q: Query, window: np.ndarray, start: np.ndarray) -> dic
     out: dict[int, list[dict]] = {}
     for a, b in zip(at, last):
         d = int(doc[a])
-        out.setdefault(d, []).append({"item_id": q.items[item[a]], "start": int(start[a] - shard.first[d]), "end": int(start[b] + length[b] - shard.first[d]), "item_start": int(q.offset[window[a]])})
+        out.setdefault(d, []).append({"item_id": q.items[item[a]], "start": int(start[a] - shard.first[d]), "end": int(start[b] + length[b] - shard.first[d]), "item_start": int(q.base[item[a]] + q.offset[window[a]])})
     return out
 
 
-def _blocks(items: DataFrame, most: int) -> Iterator[DataFrame]:
-    """Distinct items in blocks of at most ``most`` counted words; a single item beyond it is an error."""
-    items = items.distinct().withColumns({"n": F.regexp_count(F.lower("body"), F.lit(WORD)), "deal": F.xxhash64("item", "body")})
-    total, longest = items.agg(F.sum("n"), F.max("n")).first()
-    if (longest or 0) > most:
-        raise ValueError(f"an item of {longest} words; a block of the query takes {most}")
-    parts = 1 + 2 * (total or 0) // most
+def _pieces(items: DataFrame, most: int, window: int) -> DataFrame:
+    """(item, body, base, n): items of more than ``most`` words are cut into pieces that share all but
+    one word of a window, so that every window lies whole in one piece; ``base`` counts the words before."""
+    counted = items.withColumn("n", F.regexp_count(F.lower("body"), F.lit(WORD)).cast("long"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, body in zip(batch.column("item").to_pylist(), batch.column("body").to_pylist()):
+                places = [m.span() for m in re.finditer(WORD, body.translate(_LOW))]
+                for lo in range(0, max(len(places) - window + 1, 1), most - window + 1):
+                    hi = min(lo + most, len(places))
+                    piece = body[places[lo][0] : places[hi - 1][1]]
+                    yield pa.RecordBatch.from_arrays([pa.array([item]), pa.array([piece]), pa.array([lo], pa.int64()), pa.array([hi - lo], pa.int64())], ["item", "body", "base", "n"])
+
+    whole = counted.filter(F.col("n") <= most).select("item", "body", F.lit(0).cast("long").alias("base"), "n")
+    return whole.unionByName(counted.filter(F.col("n") > most).select("item", "body").mapInArrow(cut, "item string, body string, base long, n long"))
+
+
+def _blocks(items: DataFrame, most: int, window: int) -> Iterator[DataFrame]:
+    """Distinct items in blocks of at most ``most`` counted words; longer items come in pieces."""
+    items = _pieces(items.distinct(), max(most // 2, 2 * window), window).withColumn("deal", F.xxhash64("item", "body", "base"))
+    most = max(most, 4 * window)
+    parts = 1 + 2 * (items.agg(F.sum("n")).first()[0] or 0) // most
     while True:
         dealt = items.withColumn("block", F.pmod("deal", F.lit(parts)))
         if (dealt.groupBy("block").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0) <= most:
             break
         parts *= 2
     for b in range(parts):
-        yield dealt.filter(F.col("block") == b).select("item", "body")
+        yield dealt.filter(F.col("block") == b).select("item", "body", "base")
 
 
 _SPAN = pa.list_(pa.struct([("item_id", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("item_start", pa.int64())]))
@@ -277,7 +298,7 @@ def search(index: DataFrame, benchmark: DataFrame, item_col: str = "item_id", te
     """Per document row: id, n_words, spans (item_id, start, end, item_start, in words) of exact
     matches, and near (item ids whose rarest terms lie close together; none with near_terms=0)."""
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
-    blocks = list(_blocks(items, max_query_words))
+    blocks = list(_blocks(items, max_query_words, window))
     kind = index.schema["ids"].dataType.elementType.simpleString()
     if len(blocks) > 1:  # the passes meet by shard, so shard names must be fixed
         index = settle(index, "phrase-index", **_ROW_GROUPS)

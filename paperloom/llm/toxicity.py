@@ -9,7 +9,9 @@ teaching anything.
 
 The model is fitted in one task on a bounded sample: the ``max_docs`` labelled documents that
 come first in a hash order, read until ``max_words`` words; labelled texts above ``max_doc_bytes``
-are not learnt from. Only the sample moves to that task. Scoring reads every whole text.
+are not learnt from. Only the sample moves to that task. The model has at most ``max_features``
+weights: an equal part for whole words and for each length of beginnings, those most surely commoner
+in toxic documents first; a word beyond them has no weight. Scoring reads every whole text.
 
 Defined cases: null and empty texts have no sentences and score 0; labels that are null are not
 used; a document labelled more than once counts as toxic if any label says so; without toxic
