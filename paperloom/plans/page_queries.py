@@ -167,14 +167,26 @@ def style_lookup(spark, d):
     return U.style_lookup(blocks, library, ["doc", "slot"])
 
 
+#: every family with alternates, one without, and a blank one
+_FAMILIES = [*(f.title() for f in sorted(U.FONT_ALTERNATES)), "Odd Face", ""]
+
+
 def font_resolution(spark, d):
-    names = F.element_at(F.array(*(F.lit(x) for x in ("Courier", "Times", "Helvetica", "Odd Face"))), (F.col("p_size") % 4 + 1).cast("int"))
+    n = F.col("p_partkey")
+    names = F.element_at(F.array(*map(F.lit, _FAMILIES)), (n % len(_FAMILIES) + 1).cast("int"))
     fonts = table(spark, d, "part").select("p_partkey", names.alias("family"), (F.col("p_size") % 4 == 0).alias("fixed"), F.element_at(F.array(*(F.lit(x) for x in ("sans", "script", "other"))), (F.col("p_size") % 3 + 1).cast("int")).alias("style"))
     alternates = spark.createDataFrame(sorted(U.FONT_ALTERNATES.items()), "family string, names array<string>")
     out = U.font_resolution(fonts, alternates, F.col("family"), F.col("fixed"), F.col("style"))
     return out.withColumn("choices", F.array_join("choices", ","))
 
 
+def _font_twin() -> str:
+    each = ", ".join("'" + ",".join(dict.fromkeys([*([f] if f else []), *U.FONT_ALTERNATES.get(f.lower(), [])])) + "'" for f in _FAMILIES)
+    names = ", ".join(f"'{f}'" for f in _FAMILIES)
+    return f"""select p_partkey, ([{names}])[p_partkey % {len(_FAMILIES)} + 1] as family, p_size % 4 = 0 as fixed, (['sans', 'script', 'other'])[p_size % 3 + 1] as style,
+        array_to_string(list_filter([([{each}])[p_partkey % {len(_FAMILIES)} + 1], case when p_size % 4 = 0 then 'monospace' else (['sans-serif', 'cursive', ''])[p_size % 3 + 1] end], lambda x: x <> ''), ',') as choices from part"""
+
+
 def _refs(spark, d):
     p = table(spark, d, "pages").select("page_id", F.concat(F.lit("arch/vol"), (F.col("page_id") % 4).cast("string"), F.lit("/box/doc.ws")).alias("doc_path"), F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("C:\\PIX\\P"), (F.col("page_id") % 40).cast("string"), F.lit(".PIX"))).otherwise(F.concat(F.lit("p"), (F.col("page_id") % 40).cast("string"), F.lit(".pix"))).alias("raw_path"))
     n = F.col("page_id") % 40
@@ -257,8 +269,7 @@ ORACLES = {
         union all select p_partkey, 'offset', cast(case when p_size > 40 then 7 else 8 end as varchar), case when p_size > 40 then 'file' else 'default' end from part
         union all select p_partkey, 'rows', cast(case when p_size % 2 = 0 then p_size else 66 end - case when p_size % 3 = 0 then p_size + 1 else 3 end - 8 as varchar), 'derived' from part""",
     "style_lookup": "select l_orderkey, l_linenumber, l_suppkey as doc, l_partkey % 50 as slot, p_name as style_name, p_size as attrs from lineitem left join part on p_partkey % 100 = l_suppkey and p_partkey // 100 = l_partkey % 50",
-    "font_resolution": """select p_partkey, (['Courier', 'Times', 'Helvetica', 'Odd Face'])[p_size % 4 + 1] as family, p_size % 4 = 0 as fixed, (['sans', 'script', 'other'])[p_size % 3 + 1] as style,
-        (['Courier,Courier New', 'Times,Times New Roman', 'Helvetica,Arial,Helvetica Neue', 'Odd Face'])[p_size % 4 + 1] || case when p_size % 4 = 0 then ',monospace' else ([',sans-serif', ',cursive', ''])[p_size % 3 + 1] end as choices from part""",
+    "font_resolution": _font_twin(),
     "resolve_references": f"with {_REF} select P.*, resolved from P left join Z using (page_id)",
     "probe_report": f"with {_REF} select page_id, least(20, count(*)) as probed, case when count(*) > 20 then '+' || (count(*) - 20) || ' more' end as more from H where page_id not in (select page_id from Z) group by page_id",
 }
