@@ -67,13 +67,22 @@ def _sentence_of(w: W.Words) -> np.ndarray:
 PREFIXES = (4, 5, 6, 7, 8, 9)
 
 
-def _features(w: W.Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(word numbers, feature hashes): whole words, then beginnings of words of some byte lengths,
+_KINDS = range(1 + len(PREFIXES))
+
+
+def _feature(kind: int, hashed: W.RangeHash, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word numbers, feature hashes) of a kind: whole words, or beginnings of words of some byte length,
     which carry over to inflected and compound forms."""
-    yield np.arange(len(w.hash)), w.hash
-    for n in PREFIXES:
-        long = np.flatnonzero(w.end - w.start > n)
-        yield long, W.mix(w.hashed(w.start[long], w.start[long] + n) + np.uint64(n))
+    if kind == 0:
+        return np.arange(len(start)), hashed(start, end)
+    n = PREFIXES[kind - 1]
+    long = np.flatnonzero(end - start > n)
+    return long, W.mix(hashed(start[long], start[long] + n) + np.uint64(n))
+
+
+def _features(w: W.Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for kind in _KINDS:
+        yield _feature(kind, w.hashed, w.start, w.end)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -82,9 +91,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 def _fit(batches: Iterator[pa.RecordBatch], s: MilSettings) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes and weights from (label, body) batches."""
-    kinds = range(1 + len(PREFIXES))
-    labels, docs, sentences, n_docs, n_sentences, n_words = [], [], [], 0, 0, 0
-    found: list[tuple[list, list]] = [([], []) for _ in kinds]
+    labels, docs, sentences, blocks, n_docs, n_sentences, n_words = [], [], [], [], 0, 0, 0
     for batch in batches:
         for w in W.blocks(batch.column("body"), W.LETTERS, lower=True):
             if n_words > s.max_words:
@@ -93,9 +100,7 @@ def _fit(batches: Iterator[pa.RecordBatch], s: MilSettings) -> tuple[np.ndarray,
             labels.append(batch.column("label").slice(w.lo, w.rows).to_numpy(zero_copy_only=False))
             docs.append((w.doc + n_docs).astype(np.int32))
             sentences.append((sentence + n_sentences).astype(np.int32))
-            for (at, code), (own_at, own_code) in zip(_features(w), found):
-                own_at.append((at + n_words).astype(np.int32))
-                own_code.append(code)
+            blocks.append((n_words, w.data, w.start.astype(np.int32), w.end.astype(np.int32)))
             n_docs, n_words = n_docs + w.rows, n_words + len(w.hash)
             n_sentences += int(sentence[-1]) + 1 if len(sentence) else 0
     none = np.empty(0, dtype=np.uint64), np.empty(0)
@@ -104,11 +109,16 @@ def _fit(batches: Iterator[pa.RecordBatch], s: MilSettings) -> tuple[np.ndarray,
     label, doc, sentence = np.concatenate(labels) > 0, np.concatenate(docs), np.concatenate(sentences)
     floor = min(0.5, 2 * label.mean())
     names, seen_in, feature = [], [], []
-    while found:  # one kind of feature at a time, and gone when it is done
-        own_at, own_code = found.pop(0)
+    for kind in _KINDS:  # one kind of feature at a time, made from the texts when it is its turn
+        own_at, own_code = [], []
+        for base, data, start, end in blocks:
+            places, codes = _feature(kind, W.RangeHash(data), start, end)
+            own_at.append((places + base).astype(np.int32))
+            own_code.append(codes)
+        vocabulary = W.distinct(np.concatenate(own_code))
+        code = np.concatenate([np.searchsorted(vocabulary, codes).astype(np.int32) for codes in own_code])
         at = np.concatenate(own_at)
-        vocabulary, code = np.unique(np.concatenate(own_code), return_inverse=True)
-        del own_code
+        del own_at, own_code
         pair = W.distinct(code.astype(np.int64) * n_docs + doc[at])
         toxic = np.bincount(pair // n_docs, weights=label[pair % n_docs], minlength=len(vocabulary))
         every = np.bincount(pair // n_docs, minlength=len(vocabulary))
@@ -116,7 +126,7 @@ def _fit(batches: Iterator[pa.RecordBatch], s: MilSettings) -> tuple[np.ndarray,
         centre = (toxic + 2) / (every + 4)
         low = centre - 2 * np.sqrt(centre * (1 - centre) / (every + 4))
         chosen = np.flatnonzero((every >= s.min_docs) & (low > floor))
-        chosen = np.sort(chosen[np.argsort(-low[chosen], kind="stable")][: s.max_features // len(kinds)])
+        chosen = np.sort(chosen[np.argsort(-low[chosen], kind="stable")][: s.max_features // len(_KINDS)])
         if len(chosen):
             place = np.minimum(np.searchsorted(chosen, code), len(chosen) - 1)
             used = chosen[place] == code
