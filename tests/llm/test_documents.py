@@ -485,6 +485,61 @@ def test_noisy_or_by_hand(spark):
         assert len(r.offending) == sum(p >= 0.5 for p in chances)
 
 
+def test_fit_equals_plain_loops():
+    """The same words are chosen and the same weights found, word by word and sentence by sentence."""
+    rng = random.Random(9)
+    s = toxicity.MilSettings(steps=30, min_docs=3)
+    clean, foul = [f"clean{k}" for k in range(30)], ["rotten", "rottenly", "vile", "vilest"]
+    docs = []
+    for k in range(160):
+        label = int(k % 4 == 0)
+        words = [rng.choice(clean) for _ in range(rng.randrange(4, 20))]
+        if label and rng.random() < 0.95:
+            words[rng.randrange(len(words))] = rng.choice(foul)
+        docs.append((label, "".join(w + rng.choice([" ", " ", ". "]) for w in words)))
+    batch = pa.RecordBatch.from_arrays([pa.array([a for a, _ in docs]), pa.array([t for _, t in docs])], ["label", "body"])
+    found, weights = toxicity._fit(iter([batch]), s)
+
+    def name(feature):
+        word, n = feature
+        (w,) = W.blocks(pa.array([word]), W.LETTERS, lower=True)
+        return int(w.hash[0]) if n is None else int(W.mix(w.hashed(np.array([0]), np.array([n])) + np.uint64(n))[0])
+
+    def features(word):
+        return {(word, None), *((word[:n], n) for n in toxicity.PREFIXES if len(word) > n)}
+
+    cut = [[set().union(*(features(w) for w in part.split())) for part in t.split(".") if part.split()] for _, t in docs]
+    every, toxic = collections.Counter(), collections.Counter()
+    for (label, _), sentences in zip(docs, cut):
+        for f in set().union(*sentences):
+            every[f] += 1
+            toxic[f] += label
+    floor, chosen = min(0.5, 2 * sum(a for a, _ in docs) / len(docs)), []
+    for f, n in every.items():
+        centre = (toxic[f] + 2) / (n + 4)
+        if n >= s.min_docs and centre - 2 * (centre * (1 - centre) / (n + 4)) ** 0.5 > floor:
+            chosen.append(f)
+    assert chosen
+    weight, mean, square = {f: -s.prior / 2 for f in chosen}, dict.fromkeys(chosen, 0.0), dict.fromkeys(chosen, 0.0)
+    for step in range(1, s.steps + 1):
+        gradient = dict.fromkeys(chosen, s.price)
+        for (label, _), sentences in zip(docs, cut):
+            own = [[f for f in chosen if f in sentence] for sentence in sentences]
+            chance = [1 / (1 + np.exp(-(s.prior + sum(weight[f] for f in fs)))) for fs in own if fs]
+            none = float(np.prod([1 - min(p, 1 - 1e-12) for p in chance]))
+            said = s.label_noise + (1 - 2 * s.label_noise) * (1 - none)
+            slope = (1 - 2 * s.label_noise) * (1 / said if label else -1 / (1 - said)) * none
+            for fs, p in zip([fs for fs in own if fs], chance):
+                for f in fs:
+                    gradient[f] -= slope * p
+        for f in chosen:
+            mean[f] = 0.9 * mean[f] + 0.1 * gradient[f]
+            square[f] = 0.99 * square[f] + 0.01 * gradient[f] ** 2
+            move = (mean[f] / (1 - 0.9**step)) / ((square[f] / (1 - 0.99**step)) ** 0.5 + 1e-8)
+            weight[f] = max(0.0, weight[f] - s.rate * move / (1 + step / 100) ** 0.5)
+    assert dict(zip(found.tolist(), weights.tolist())) == pytest.approx({name(f): w for f, w in weight.items() if w > 0.5}, rel=1e-6)
+
+
 def test_fitting_moves_only_the_sample(spark):
     """The corpus is scanned and joined in many tasks; one exchange brings the sample to the fitting task."""
     docs = spark.createDataFrame([(k, f"some text {k % 7}") for k in range(50)], "doc_id long, text string")
