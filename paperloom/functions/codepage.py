@@ -11,7 +11,14 @@ _LATIN = "".join(map(chr, range(128, 256)))
 #: Letters of the symbol face, in the order of A-Z and a-z.
 SYMBOL_UPPER = "ΑΒΧΔΕΦΓΗΙϑΚΛΜΝΟΠΘΡΣΤΥςΩΞΨΖ"
 SYMBOL_LOWER = "αβχδεφγηιϕκλμνοπθρστυϖωξψζ"
+#: Signs of the symbol face, and the codes they stand at, in the order of the codes.
+SYMBOL_SIGNS = "∀∃∋∗−≅∼≤∞↔←↑→↓°±≥×∂·÷≠∈∉∇∏√⋅∑∫"
+_SIGN_CODES = "\"$'*-@~\xa3\xa5\xab\xac\xad\xae\xaf\xb0\xb1\xb3\xb4\xb6\xb7\xb8\xb9\xce\xcf\xd1\xd5\xd6\xd7\xe5\xf2"
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+SYMBOL_CODES, SYMBOL_TEXT = _LETTERS + _SIGN_CODES, SYMBOL_UPPER + SYMBOL_LOWER + SYMBOL_SIGNS
+#: the dingbats face: codes 21-7E in the order of Unicode's block; fixed values: the card suits A8-AB
+DINGBAT_CODES = "".join(map(chr, (*range(0x21, 0x7F), *range(0xA8, 0xAC))))
+DINGBAT_TEXT = "".join(map(chr, range(0x2701, 0x275F))) + "♣♦♥♠"
 
 
 def bytes_as_chars(content: Column) -> Column:
@@ -31,4 +38,23 @@ def encode_cp437(text: Column) -> Column:
 
 
 def decode_symbol(chars: Column) -> Column:
-    return F.translate(chars, _LETTERS, SYMBOL_UPPER + SYMBOL_LOWER)
+    """Greek letters and mathematical signs for the codes of the symbol face; other codes stay."""
+    return F.translate(chars, SYMBOL_CODES, SYMBOL_TEXT)
+
+
+def decode_dingbats(chars: Column) -> Column:
+    return F.translate(chars, DINGBAT_CODES, DINGBAT_TEXT)
+
+
+def _codes_again(text: Column, known: str, codes: str) -> Column:
+    """Codes of a face for its signs; ASCII rides through, what the face lacks becomes ``?``."""
+    signs = "".join(sorted(set(known)))
+    return F.translate(F.regexp_replace(text, f"[^\\x20-\\x7E{signs}]", "?"), known, codes)
+
+
+def encode_symbol(text: Column) -> Column:
+    return _codes_again(text, SYMBOL_TEXT, SYMBOL_CODES)
+
+
+def encode_dingbats(text: Column) -> Column:
+    return _codes_again(text, DINGBAT_TEXT, DINGBAT_CODES)

@@ -140,7 +140,8 @@ def decode_corpus(spark, d):
     chars = codepage.bytes_as_chars(F.encode("chars", "ISO-8859-1"))
     text = codepage.decode_cp437(chars)
     back = codepage.encode_cp437(text)
-    return _bytes(spark, d).select("doc", text.alias("text"), (back == chars).alias("round_trip"), codepage.decode_symbol(F.col("chars")).alias("symbols"))
+    signs = F.translate("chars", "zqkxj\x82", "\xa3\xae\xf2\xa8\xab\xd7")
+    return _bytes(spark, d).select("doc", text.alias("text"), (back == chars).alias("round_trip"), codepage.decode_symbol(signs).alias("symbols"), codepage.decode_dingbats(signs).alias("dingbats"), codepage.encode_symbol(codepage.decode_symbol(signs)).alias("symbol_codes"))
 
 
 def substitute(spark, d):
@@ -183,6 +184,12 @@ QUERIES = {f.__name__: f for f in (single_sentence_spans, claimed_files, lines_o
 
 _MARK = "regexp_matches(text, '^\\.[A-Za-z][A-Za-z#]{0,2}\\s*')"
 _DETECT = """, R as (select cast(c_nationkey as bigint) as doc, c_custkey as li, case when c_nationkey % 5 = 0 and c_custkey % 50 = 0 then c_name else '"' || c_name || ', Esq","' || c_mktsegment || '",' || c_custkey end as text from customer)"""
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
 ORACLES = {
     "claimed_files": """select * from (select page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) || (['.WS', '.txt', '.png', ''])[page_id % 4 + 1] as path from pages)
         where regexp_extract(lower(path), '\\.([^./]+)$', 1) in ('ws', 'wsd', 'ws3', 'ws4', 'ws5', 'ws6', 'ws7', 'wst', 'doc', 'txt', 'man', 'prn', 'nt', 'bak', 'let', 'pix')""",
@@ -228,7 +235,8 @@ ORACLES = {
     "command_marks": with_views(f"select doc, li, upper(regexp_extract(text, '^\\.([A-Za-z][A-Za-z#]{{0,2}})', 1)) as name, trim(regexp_extract(text, '^\\.[A-Za-z][A-Za-z#]{{0,2}}\\s*(.*)$', 1)) as arg from LP where {_MARK}", "LP"),
     "command_text_lines": with_views(f"select doc, count(*) as lines from LP where not {_MARK} and not starts_with(text, '..') group by doc", "LP"),
     "decode_corpus": with_views(_BYTES + """ select doc, replace(replace(chars, chr(141), 'ì'), chr(130), 'é') as text, true as round_trip,
-        translate(chars, 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', 'ΑΒΧΔΕΦΓΗΙϑΚΛΜΝΟΠΘΡΣΤΥςΩΞΨΖαβχδεφγηιϕκλμνοπθρστυϖωξψζ') as symbols from B""", "L"),
+        translate(g, {codes}, {text}) as symbols, translate(g, {ding_codes}, {dings}) as dingbats, regexp_replace(g, '[^ -~\\xa3\\xa5\\xab-\\xb1\\xb3\\xb4\\xb6-\\xb9\\xce\\xcf\\xd1\\xd5-\\xd7\\xe5\\xf2]', '?', 'g') as symbol_codes
+        from (select *, translate(chars, 'zqkxj' || chr(130), chr(163) || chr(174) || chr(242) || chr(168) || chr(171) || chr(215)) as g from B)""".format(codes=_quoted(codepage.SYMBOL_CODES), text=_quoted(codepage.SYMBOL_TEXT), ding_codes=_quoted(codepage.DINGBAT_CODES), dings=_quoted(codepage.DINGBAT_TEXT)), "L"),
     "substitute": with_views(""", S as (select L.doc, li, replace(replace(text, ',', '--'), 'e ', '¤ ') as t, coalesce(toxic = 1, false) and li % 4 <> 3 as e, coalesce(quality = 1, false) and li % 4 <> 3 as q from L left join labels on L.doc = labels.doc_id),
         E as (select doc, li, q, case when e then replace(t, '¤', '€') else t end as t from S)
         select doc, li, md5(case when q then translate(replace(replace(t, '--', '—'), '''', '’'), '┌┐└┘', '╭╮╰╯') else t end) as text from E""", "L"),

@@ -360,6 +360,17 @@ def test_markdown_paragraphs(spark):
     assert out.first().body == "# Head  \nline\n\na b\n\nv1  \nv2\n\nv3\n\n> q1\n>\n> q2\n\n---\n\nend"
 
 
+def test_symbol_and_dingbat_faces(spark):
+    df = spark.createDataFrame([("aBV\"\xa3\xd7\xb7 9\x90", "!J~\xa8\xab \xc0")], "s string, d string")
+    r = df.select(codepage.decode_symbol(F.col("s")).alias("s"), codepage.decode_dingbats(F.col("d")).alias("d")).first()
+    assert r.s == "αΒς∀≤⋅· 9\x90" and r.d == "✁✪❞♣♠ \xc0"
+    every = "".join(map(chr, range(0x20, 0x7F))) + "\xa3\xa5\xf2"
+    back = spark.createDataFrame([(every, "漢α♣x")], "s string, t string").select(
+        codepage.encode_symbol(codepage.decode_symbol(F.col("s"))).alias("s"), codepage.encode_dingbats(codepage.decode_dingbats(F.substring("s", 1, 95))).alias("d"), codepage.encode_symbol(F.col("t")).alias("x"), codepage.encode_dingbats(F.col("t")).alias("y")
+    ).first()
+    assert back.s == every and back.d == every[:95] and back.x == "?a?x" and back.y == "??\xa8x"
+
+
 def test_folds_give_out_in_order(spark):
     df = spark.createDataFrame([(list(range(n)),) for n in (0, 1, 5, 600)], "v array<int>")
     step = lambda s, x: (s + x, F.when((s + x) % 2 == 0, F.array(s + x)).otherwise(F.array().cast("array<int>")))
