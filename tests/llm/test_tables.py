@@ -178,7 +178,7 @@ def test_registered_queries_on_given_tables(spark):
 
 def test_queries_are_registered():
     names = {m[1] for n in queries.QUERIES if (m := re.match(r"op(\d+)_", n))}
-    assert names == {str(k) for k in range(1, 11)} and set(queries.QUERIES) <= set(entry.queries()) and "pipeline" in entry.queries()
+    assert names == {str(k) for k in range(1, 14)} and set(queries.QUERIES) <= set(entry.queries()) and "pipeline" in entry.queries()
 
 
 def test_pipeline_on_the_smallest_tables(spark):
