@@ -37,6 +37,7 @@ from paperloom.llm import words as W
 from paperloom.llm.components import components
 from paperloom.llm.scratch import forget, settle
 from paperloom.llm.skew import join_dealt
+from paperloom.llm.workers import giving_back
 
 WORDS, BANDS, ROWS = 5, 48, 5
 HASHES = BANDS * ROWS
@@ -114,7 +115,7 @@ def _signed(docs: DataFrame) -> DataFrame:
             if rows:
                 yield _signed_batch(ids, rows)
 
-    return docs.mapInArrow(run, "id long, n long, p1 long, p2 long, sig binary, bands array<long>")
+    return docs.mapInArrow(giving_back(run), "id long, n long, p1 long, p2 long, sig binary, bands array<long>")
 
 
 def _signed_batch(ids: pa.Array, rows: list) -> pa.RecordBatch:
@@ -140,7 +141,7 @@ def _likely(pairs: DataFrame, sigs: DataFrame, threshold: float, miss: float, ba
                     alive, got = alive[got >= least], got[got >= least]
                 yield part.select(["a", "b"]).take(pa.array(alive))
 
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(giving_back(run), "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, per_task: int = 256) -> DataFrame:
@@ -176,7 +177,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, per_task: int =
                 a, b = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return placed.mapInArrow(run, "a long, b long")
+    return placed.mapInArrow(giving_back(run), "a long, b long")
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
@@ -218,7 +219,7 @@ def _rare_shingles(texts: DataFrame, percent: int) -> DataFrame:
                 ids, c = (np.full(len(own), batch.column(x)[k].as_py(), dtype=np.int64) for x in ("id", "c"))
                 yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(ids), pa.array(c), pa.array(np.full(len(own), len(own), dtype=np.int64))], ["key", "id", "c", "n"])
 
-    rows = settle(texts.select("id", "c", "body").mapInArrow(run, "key long, id long, c long, n long"), "shingles")
+    rows = settle(texts.select("id", "c", "body").mapInArrow(giving_back(run), "key long, id long, c long, n long"), "shingles")
     shared = settle(rows.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1"), "shared-shingles")
     counted = join_dealt(rows, shared, "key", shared.select("key", F.col("df").alias("n")), rows.count(), ["id"], "left").withColumn("df", F.coalesce("df", F.lit(1)))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "key"))

@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm import words as W
 from paperloom.llm.scratch import forget, settle
+from paperloom.llm.workers import giving_back
 
 #: small rows keep arrays under what a JVM heap treats as huge, and batches of them short
 SHARD_BYTES = 256 << 10
@@ -70,7 +71,7 @@ def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 yield pa.RecordBatch.from_arrays([pa.array([f"{task}-{number}"]), held, *(pa.array([p.tobytes()], pa.binary()) for p in parts)], ["shard", "ids", "first", "terms", "starts", "postings"])
                 number += 1
 
-    return docs.mapInArrow(run, f"shard string, ids array<{kind}>, first binary, terms binary, starts binary, postings binary")
+    return docs.mapInArrow(giving_back(run), f"shard string, ids array<{kind}>, first binary, terms binary, starts binary, postings binary")
 
 
 def _read(batch: pa.RecordBatch, column: str, row: int, kind: type) -> np.ndarray:
@@ -237,7 +238,7 @@ def term_counts(index: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(known), pa.array(total[known])], ["term", "n"])
 
     out = np.zeros(len(vocabulary), dtype=np.int64)
-    for r in index.select("terms", "starts").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    for r in index.select("terms", "starts").mapInArrow(giving_back(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         out[r["term"]] = r["n"]
     return out
 
@@ -274,7 +275,7 @@ def _pieces(items: DataFrame, most: int, window: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([item]), pa.array([piece]), pa.array([lo], pa.int64()), pa.array([hi - lo], pa.int64())], ["item", "body", "base", "n"])
 
     whole = counted.filter(F.col("n") <= most).select("item", "body", F.lit(0).cast("long").alias("base"), "n")
-    return whole.unionByName(counted.filter(F.col("n") > most).select("item", "body").mapInArrow(cut, "item string, body string, base long, n long"))
+    return whole.unionByName(counted.filter(F.col("n") > most).select("item", "body").mapInArrow(giving_back(cut), "item string, body string, base long, n long"))
 
 
 def _blocks(items: DataFrame, most: int, window: int) -> Iterator[DataFrame]:
@@ -330,7 +331,7 @@ def search(index: DataFrame, benchmark: DataFrame, item_col: str = "item_id", te
                         ["shard", "row", "id", "n_words", "spans", "near"],
                     )
 
-        part = index.mapInArrow(run, f"shard string, row long, id {kind}, n_words long, spans array<struct<item_id:string,start:bigint,end:bigint,item_start:bigint>>, near array<string>")
+        part = index.mapInArrow(giving_back(run), f"shard string, row long, id {kind}, n_words long, spans array<struct<item_id:string,start:bigint,end:bigint,item_start:bigint>>, near array<string>")
         found = part if found is None else found.unionByName(part)
     if len(blocks) > 1:
         found = found.groupBy("shard", "row").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("near")).alias("near"))

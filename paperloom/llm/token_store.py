@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from paperloom.llm import words as W
 from paperloom.llm.scratch import new_path, remove
 from paperloom.llm.skew import join_dealt
+from paperloom.llm.workers import giving_back
 
 CUT_WINDOW, LEAST, MEAN, MOST = 16, 128, 512, 4096
 ADDRESS_BYTES = 20
@@ -63,10 +64,10 @@ def cut_places(ids: np.ndarray) -> np.ndarray:
     """Where the last ids of a stream say that a chunk may end."""
     if len(ids) < CUT_WINDOW:
         return np.empty(0, dtype=np.int64)
-    up, down = W.powers(len(ids) + 1)
-    sums = np.zeros(len(ids) + 1, dtype=np.uint64)
-    np.cumsum(W.mix(ids.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-    window = W.mix((sums[CUT_WINDOW:] - sums[:-CUT_WINDOW]) * down[: len(ids) + 1 - CUT_WINDOW])
+    sums = W.running_sums(W.mix(ids.astype(np.uint64) + np.uint64(1)) - np.uint64(1))
+    window = sums[CUT_WINDOW:] - sums[:-CUT_WINDOW]
+    W.DOWN.scale(window)
+    window = W.mix(window)
     return np.flatnonzero((window & np.uint64(MEAN - 1)) == 0) + CUT_WINDOW
 
 
@@ -225,7 +226,7 @@ class WordEncoder:
         return ids, lengths, which
 
     def block(self, w: W.Words) -> tuple[np.ndarray, np.ndarray]:
-        cut = np.flatnonzero(_CLOSING[w.data[1:]] & _LETTER[w.data[:-1]]) + 1
+        cut = np.flatnonzero(W.marked(w.data[1:], _CLOSING) & W.marked(w.data[:-1], _LETTER)) + 1
         begins, ends = np.zeros((2, len(w.data) + 1), dtype=bool)
         begins[w.start] = begins[cut] = ends[w.end] = ends[cut] = True
         start, end = np.flatnonzero(begins), np.flatnonzero(ends)
@@ -315,7 +316,7 @@ def write_store(
                 lists = (pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(x, t)) for x, t in ((names, pa.binary()), (lengths, pa.int32())))
                 yield _batch(w.rows, key=pa.array(keys, pa.binary()), kind=pa.array(["recipe"] * w.rows), doc=doc, n=pa.array(np.diff(bounds)), root=pa.array(roots, pa.binary()), **dict(zip(("addresses", "lengths"), lists)))
 
-    rows = docs.mapInArrow(run, "key binary, kind string, doc long, n long, root binary, addresses array<binary>, lengths array<int>, address binary, data binary")
+    rows = docs.mapInArrow(giving_back(run), "key binary, kind string, doc long, n long, root binary, addresses array<binary>, lengths array<int>, address binary, data binary")
     # one exchange and one sort serve both: chunks meet by address, and files are written by kind
     nth = F.row_number().over(Window.partitionBy("kind", "key").orderBy("key"))
     parts = rows.withColumn("nth", nth).filter("kind = 'recipe' or nth = 1").drop("key", "nth")
@@ -443,7 +444,7 @@ def verify(spark: SparkSession, store: TokenStore) -> DataFrame:
                 crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column("address"), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], ["address", "held", "crc"])
 
-    held = _chunks(spark, store).mapInArrow(facts, "address binary, held long, crc long")
+    held = _chunks(spark, store).mapInArrow(giving_back(facts), "address binary, held long, crc long")
     manifest = _manifest(spark, store)
 
     def uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -459,7 +460,7 @@ def verify(spark: SparkSession, store: TokenStore) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.int64(), pa.int64()))], ["start", "address", "length", "after"])
 
-    used = manifest.select("start", "root", "addresses", "lengths").mapInArrow(uses, "start long, address binary, length long, after long")
+    used = manifest.select("start", "root", "addresses", "lengths").mapInArrow(giving_back(uses), "start long, address binary, length long, after long")
     uses_of = manifest.select(F.explode("addresses").alias("address"))
     both = join_dealt(used, held, "address", uses_of.groupBy("address").agg(F.count("*").alias("n")), uses_of.count(), ["start", "after"], "left").withColumn("held", F.when(F.col("held") == F.col("length"), F.col("held")).otherwise(F.raise_error(F.lit("a chunk is missing or has another length")).cast("long")))
 
@@ -468,7 +469,7 @@ def verify(spark: SparkSession, store: TokenStore) -> DataFrame:
             moved = crc_shift(batch.column("crc").to_numpy(), 4 * batch.column("after").to_numpy())
             yield pa.RecordBatch.from_arrays([batch.column("start"), batch.column("held"), pa.array(moved.astype(np.int64))], ["start", "held", "crc"])
 
-    moved = both.select("start", "held", "crc", "after").mapInArrow(shift, "start long, held long, crc long")
+    moved = both.select("start", "held", "crc", "after").mapInArrow(giving_back(shift), "start long, held long, crc long")
     sums = moved.groupBy("start").agg(F.sum("held").alias("n_tokens"), F.bit_xor("crc").alias("ids_crc32"))
     return manifest.select(F.col("doc").alias("doc_id"), "start", F.hex("root").alias("root")).join(sums, "start")
 
@@ -487,4 +488,4 @@ def read_documents(spark: SparkSession, store: TokenStore) -> DataFrame:
                 ids = [np.frombuffer(b"".join(p["data"] for p in row), dtype=kind).astype(np.int32) for row in part.column("parts").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("start"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "start", "ids"])
 
-    return parts.mapInArrow(join, "doc_id long, start long, ids array<int>")
+    return parts.mapInArrow(giving_back(join), "doc_id long, start long, ids array<int>")

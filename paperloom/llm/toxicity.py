@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm import words as W
+from paperloom.llm.workers import giving_back
 
 _STOP = np.zeros(256, dtype=bool)
 _STOP[np.frombuffer(b".!?\n", dtype=np.uint8)] = True
@@ -107,6 +108,7 @@ def _fit(batches: Iterator[pa.RecordBatch], s: MilSettings) -> tuple[np.ndarray,
     if not n_words:
         return none
     label, doc, sentence = np.concatenate(labels) > 0, np.concatenate(docs), np.concatenate(sentences)
+    del docs, sentences, w
     floor = min(0.5, 2 * label.mean())
     names, seen_in, feature = [], [], []
     for kind in _KINDS:  # one kind of feature at a time, made from the texts when it is its turn
@@ -115,11 +117,14 @@ def _fit(batches: Iterator[pa.RecordBatch], s: MilSettings) -> tuple[np.ndarray,
             places, codes = _feature(kind, W.RangeHash(data), start, end)
             own_at.append((places + base).astype(np.int32))
             own_code.append(codes)
-        vocabulary = W.distinct(np.concatenate(own_code))
+        vocabulary = W.distinct(np.concatenate(own_code), spent=True)
         code = np.concatenate([np.searchsorted(vocabulary, codes).astype(np.int32) for codes in own_code])
         at = np.concatenate(own_at)
-        del own_at, own_code
-        pair = W.distinct(code.astype(np.int64) * n_docs + doc[at])
+        del own_at, own_code, places, codes
+        pair = code.astype(np.int64)
+        pair *= n_docs
+        pair += doc[at]
+        pair = W.distinct(pair, spent=True)
         toxic = np.bincount(pair // n_docs, weights=label[pair % n_docs], minlength=len(vocabulary))
         every = np.bincount(pair // n_docs, minlength=len(vocabulary))
         # clearly commoner in toxic documents: lower end of the rate's normal interval
@@ -172,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: MilSettings = MilSetting
         words, weights = _fit(batches, settings)
         yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(weights)], ["word", "weight"])
 
-    rows = _sample(docs, labels, settings, id_col, text_col, label_col).mapInArrow(fit, "word long, weight double").collect()  # at most max_features rows
+    rows = _sample(docs, labels, settings, id_col, text_col, label_col).mapInArrow(giving_back(fit), "word long, weight double").collect()  # at most max_features rows
     rows = sorted((np.int64(r["word"]).view(np.uint64), r["weight"]) for r in rows)
     return MilModel(np.array([w for w, _ in rows], dtype=np.uint64), np.array([x for _, x in rows]), settings)
 
@@ -220,5 +225,5 @@ def score(df: DataFrame, model: MilModel, id_col: str = "doc_id", text_col: str
                     ["id", "score", "n_sentences", "offending"],
                 )
 
-    out = docs.mapInArrow(run, f"id {kind}, score double, n_sentences long, offending array<struct<start:bigint,end:bigint,score:double>>")
+    out = docs.mapInArrow(giving_back(run), f"id {kind}, score double, n_sentences long, offending array<struct<start:bigint,end:bigint,score:double>>")
     return out.withColumnRenamed("id", id_col)
