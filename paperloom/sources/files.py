@@ -34,6 +34,14 @@ def _opened(address: str) -> tuple[fs.FileSystem, str, str]:
     return system, path.rstrip("/"), address[: address.index(path)] if path in address else address.split("://")[0] + "://"
 
 
+def put_file(system: fs.FileSystem, folder: str, name: str, body: bytes) -> None:
+    """A small file, there as a whole or not at all; one that is there is replaced."""
+    system.create_dir(folder, recursive=True)
+    with system.open_output_stream(f"{folder}/.{name}") as f:
+        f.write(body)
+    system.move(f"{folder}/.{name}", f"{folder}/{name}")
+
+
 @dataclass
 class FilesPartition(InputPartition):
     address: str

@@ -3,11 +3,14 @@
 import datetime
 import glob
 import json
+import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from paperloom.plans import stream_queries
+from paperloom.sources import files
 from paperloom.streaming import ingest, paced
 
 
@@ -122,3 +125,54 @@ def test_an_error_in_paced_work_is_no_cancel(spark, tmp_path):
     with pytest.raises(Exception, match="planted"):
         paced.paced_run(rows, lambda b: (_ for _ in ()).throw(ValueError("planted")), str(tmp_path), pause_s=0)
     assert paced.paced_run(rows, lambda b: b.count(), str(tmp_path), 2, pause_s=0).filter("done").first().requested == 5
+
+
+def test_paced_work_in_a_task_is_cancelled_fails_and_goes_on(spark, tmp_path):
+    folder, seen = str(tmp_path / "a folder"), str(tmp_path / "seen")
+    rows = spark.createDataFrame([(k, f"p{k}") for k in range(95, 0, -1)], "seq long, path string").repartition(5)
+
+    def work(batch):
+        if len(os.listdir(seen)) == 2:
+            files.put_file(files._opened(folder)[0], f"{folder}/control", "cancelled", b"")
+        if batch["seq"][0].as_py() == 61 and not os.path.exists(f"{folder}/planted"):
+            open(f"{folder}/planted", "w").close()
+            raise ValueError("planted")
+        with open(f"{seen}/{len(os.listdir(seen))}", "w") as f:
+            json.dump(batch.to_pydict(), f)
+
+    os.mkdir(seen)
+    shots = paced.paced_run(rows, work, folder, pause_s=0, in_task=True)
+    assert {tuple(r) for r in shots.collect()} == {(0, 95, 0, False), (1, 95, 20, False), (2, 95, 40, False), (3, 95, 60, False), (-1, 95, 60, True)}
+    paced.cancel(spark, folder, False)
+    with pytest.raises(Exception, match="planted"):
+        paced.paced_run(rows, work, folder, pause_s=0, in_task=True)
+    shots = paced.paced_run(rows, work, folder, 7, pause_s=0, in_task=True)  # the batches are as listed
+    assert {tuple(r) for r in shots.collect()} >= {(4, 95, 80, False), (5, 95, 95, False), (-1, 95, 95, True)}
+    got = [json.load(open(f"{seen}/{k}")) for k in range(5)]
+    assert [x for b in got for x in b["seq"]] == list(range(1, 96)) and [len(b["path"]) for b in got] == [20, 20, 20, 20, 15]
+    empty = paced.paced_run(rows.limit(0), work, f"{folder}/none", pause_s=0, in_task=True)
+    assert {tuple(r) for r in empty.collect()} == {(0, 0, 0, False), (-1, 0, 0, True)}
+
+
+def _jobs_of(spark, do):
+    """Spark jobs that it takes."""
+    edges = []
+    for k in range(2):
+        spark.sparkContext.setJobGroup(f"edge {k}", "")
+        spark.sparkContext.parallelize([1]).count()
+        edges.append(max(spark.sparkContext.statusTracker().getJobIdsForGroup(f"edge {k}")))
+        spark.sparkContext.setJobGroup("done", "")
+        out = do() if k == 0 else out
+    return edges[1] - edges[0] - 1, out
+
+
+def test_small_batches_cost_no_jobs(spark, tmp_path):
+    spark.range(3000).select(F.col("id").alias("s_suppkey"), F.lit("x").alias("s_name")).write.parquet(f"{tmp_path}/supplier.parquet")
+    jobs, out = _jobs_of(spark, lambda: stream_queries.paced_run(spark, str(tmp_path)).collect())
+    assert jobs < 30 and sorted(r.batch for r in out) == list(range(-1, 101)) and {r.worked for r in out} == {3000}
+
+
+def test_paced_frames_come_in_order_and_cost_their_own_jobs(spark, tmp_path):
+    rows, firsts = spark.range(120).select((119 - F.col("id")).alias("seq")).repartition(7), []
+    jobs, _ = _jobs_of(spark, lambda: paced.paced_run(rows, lambda b: firsts.append([r.seq for r in b.collect()]), str(tmp_path), 3, pause_s=0).collect())
+    assert [sorted(b) for b in firsts] == [list(range(k, k + 3)) for k in range(0, 120, 3)] and jobs < 40 + 25
