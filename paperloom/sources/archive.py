@@ -7,6 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from paperloom.sources import files
 from paperloom.sources.files import ArchiveSource, ExportsSink
 
 #: File name extensions that documents go by, and pictures.
@@ -108,7 +109,15 @@ def write_files(df: DataFrame, outdir: str, collision: str = "refuse", run: str
     body = F.col(body_col).cast("binary")
     rows = df.select(F.col(format_col).cast("string").alias("format"), F.col(name_col).cast("string").alias("name"), body.alias("body"))
     rows = rows.repartition("format", "name").sortWithinPartitions("format", "name", "body")  # rows of one name meet in one task
-    rows.write.format(ExportsSink.name()).option("path", outdir).option("collision", collision).option("run", run).mode("append").save()
+    staging = files.new_staging()
+    rows.write.format(ExportsSink.name()).option("path", outdir).option("collision", collision).option("staging", staging).mode("append").save()
+    try:  # tasks move what was staged, the driver knows no file
+        staged = files.attempts(outdir, staging)
+        if staged:
+            spark.sparkContext.parallelize(staged, min(len(staged), 1024)).foreach(lambda a: files.place(outdir, staging, run, a))
+        files.make_folder(outdir, f"_failures/run={run}")
+    finally:
+        files.clear(outdir, staging)
     return spark.read.schema("format string, name string, reason string").json(f"{outdir}/_failures/run={run}")
 
 

@@ -7,14 +7,16 @@ be able to import this package. ``archive.read_archive`` and ``archive.write_fil
 
 from __future__ import annotations
 
-import datetime
 import json
 import os
 import re
+import stat
 import uuid
+import zlib
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 from pyarrow import fs
@@ -42,10 +44,37 @@ def put_file(system: fs.FileSystem, folder: str, name: str, body: bytes) -> None
     system.move(f"{folder}/.{name}", f"{folder}/{name}")
 
 
+def _entries(system: fs.FileSystem, folder: str) -> Iterator[tuple[str, bool, int, int]]:
+    """(path, whether it is a folder, bytes, microseconds of its last change) of what lies in a folder; a
+    local one is read as it is listed, so a folder of any number of files takes no more memory."""
+    if not isinstance(system, fs.LocalFileSystem):
+        for info in system.get_file_info(fs.FileSelector(folder)):
+            if info.type in (fs.FileType.File, fs.FileType.Directory):
+                yield info.path, info.type == fs.FileType.Directory, info.size or 0, (info.mtime_ns or 0) // 1000
+        return
+    with os.scandir(folder) as there:
+        for entry in there:
+            try:
+                found = entry.stat()
+            except OSError:  # gone, or a link to nowhere
+                continue
+            if stat.S_ISREG(found.st_mode) or stat.S_ISDIR(found.st_mode):
+                yield f"{folder.rstrip('/')}/{entry.name}", stat.S_ISDIR(found.st_mode), found.st_size, found.st_mtime_ns // 1000
+
+
 @dataclass
 class FilesPartition(InputPartition):
+    """Files by (path, bytes, microseconds), packed: the driver holds all partitions at once."""
+
     address: str
-    paths: list[tuple[str, int, float]]
+    packed: bytes
+
+    @classmethod
+    def of(cls, address: str, files: list[tuple[str, int, int]]) -> FilesPartition:
+        return cls(address, zlib.compress(json.dumps(sorted(files)).encode(), 6))
+
+    def files(self) -> list[tuple[str, int, int]]:
+        return [tuple(x) for x in json.loads(zlib.decompress(self.packed))]
 
 
 class ArchiveReader(DataSourceReader):
@@ -56,52 +85,63 @@ class ArchiveReader(DataSourceReader):
         self.with_content = options.get("content", "true") == "true"
         self.task_bytes, self.task_files = int(options.get("taskBytes", 64 << 20)), int(options.get("taskFiles", 4096))
 
-    def _below(self, system: fs.FileSystem, folder: str, root: str) -> Iterator[fs.FileInfo]:
-        for info in sorted(system.get_file_info(fs.FileSelector(folder)), key=lambda i: i.path):
-            if info.base_name.startswith("."):
-                continue
-            if info.type == fs.FileType.File:
-                yield info
-            elif info.type == fs.FileType.Directory and self.recursive:
-                yield from self._below(system, info.path, root)
+    def _found(self, system: fs.FileSystem, path: str, head: str, listed: set, single: set) -> Iterator[tuple[str, int, int]]:
+        """Files at an address, without those of folders ``listed`` before and of ``single`` files."""
+        top = system.get_file_info(path)
+        if top.type == fs.FileType.File:
+            if not top.base_name.startswith(".") and (head, path) not in single and (head, os.path.dirname(path)) not in listed:
+                single.add((head, path))
+                yield path, top.size, (top.mtime_ns or 0) // 1000
+        folders = [path] if top.type == fs.FileType.Directory else []
+        while folders:
+            folder = folders.pop()
+            is_new, below = (head, folder) not in listed, []
+            listed.add((head, folder))
+            for inside, is_folder, size, changed in _entries(system, folder):
+                if os.path.basename(inside).startswith("."):
+                    continue
+                if is_folder:
+                    below.append(inside)
+                elif is_new and (head, inside) not in single:
+                    yield inside, size, changed
+            if self.recursive:
+                folders += sorted(below, reverse=True)
 
     def partitions(self) -> list[FilesPartition]:
-        out, seen = [], set()
+        out, listed, single = [], set(), set()
         for address in self.addresses:
             system, path, head = _opened(address)
-            top = system.get_file_info(path)
-            if top.type == fs.FileType.NotFound:
-                continue
-            found = self._below(system, path, path) if top.type == fs.FileType.Directory else iter(() if top.base_name.startswith(".") else (top,))
-            held: list[tuple[str, int, float]] = []
+            held: list[tuple[str, int, int]] = []
             size = 0
-            for info in found:
-                if (head, info.path) in seen:
-                    continue
-                seen.add((head, info.path))
-                held.append((info.path, info.size, info.mtime.timestamp() if info.mtime else 0.0))
-                size += min(info.size, self.prefix if self.prefix is not None else info.size) if self.with_content else 0
+            for file in self._found(system, path, head, listed, single):
+                held.append(file)
+                size += min(file[1], self.prefix if self.prefix is not None else file[1]) if self.with_content else 0
                 if size >= self.task_bytes or len(held) >= self.task_files:
-                    out.append(FilesPartition(address, held))
+                    out.append(FilesPartition.of(address, held))
                     held, size = [], 0
             if held:
-                out.append(FilesPartition(address, held))
-        return out or [FilesPartition("", [])]
+                out.append(FilesPartition.of(address, held))
+        return out or [FilesPartition.of("", [])]
 
     def read(self, partition: FilesPartition) -> Iterator[pa.RecordBatch]:
-        if not partition.paths:
+        files = partition.files()
+        if not files:
             return
         system, _, head = _opened(partition.address)
         rows, held = [], 0
-        for path, size, modified in partition.paths:
-            content, error = None, None
-            if self.with_content:
+        for path, size, changed in files:
+            content, error, shown = None, None, path
+            try:
+                path.encode()
+            except UnicodeEncodeError:
+                error, shown = "its name is no UTF-8", os.fsencode(path).decode(errors="replace")
+            if self.with_content and error is None:
                 try:
                     with system.open_input_stream(path) as f:  # read from the start, and no further than asked
                         content = f.read(self.prefix) if self.prefix is not None else f.read()
                 except OSError as e:
                     error = str(e)
-            rows.append((f"{head}{path}", datetime.datetime.fromtimestamp(modified, datetime.UTC), size, content, error))
+            rows.append((f"{head}{shown}", changed, size, content, error))
             held += len(content or b"")
             if held >= _AT_ONCE or len(rows) >= 1024:
                 yield _files_batch(rows)
@@ -145,13 +185,13 @@ class FilesWritten(WriterCommitMessage):
 class ExportsWriter(DataSourceArrowWriter):
     """Rows (format string, name string, body binary): a file ``<folder>/<format>/<name>`` each.
 
-    A task writes into a staging folder of its attempt; the commit moves the files of the attempts
-    that succeeded to their places and the lists of failures beside them, and an abort removes the
-    staging folder, so no attempt that failed or was repeated leaves a file."""
+    A task writes into a staging folder of its attempt; the commit lists the attempts that succeeded,
+    for ``place`` to move their files, and an abort removes the staging folder, so no attempt that
+    failed or was repeated leaves a file."""
 
     def __init__(self, options: dict[str, str]):
-        self.address, self.mode, self.run = options["path"], options.get("collision", "refuse"), options.get("run", uuid.uuid4().hex)
-        self.staging = f".staging-{uuid.uuid4().hex}"
+        self.address, self.mode = options["path"], options.get("collision", "refuse")
+        self.staging = options.get("staging") or new_staging()
         if self.mode not in ("refuse", "replace"):
             raise ValueError(f"collision is refuse or replace, not {self.mode}")
 
@@ -172,9 +212,9 @@ class ExportsWriter(DataSourceArrowWriter):
                         seen.add((kind, name))
                 if reason is not None:
                     failures.append(json.dumps({"format": kind, "name": name, "reason": reason}))
-        system.create_dir(f"{staged}/.failures", recursive=True)
+        system.create_dir(f"{staged}/_failures", recursive=True)
         if failures:
-            with system.open_output_stream(f"{staged}/.failures/part-{task.partitionId():05d}.json") as f:
+            with system.open_output_stream(f"{staged}/_failures/part-{task.partitionId():05d}.json") as f:
                 f.write("\n".join(failures).encode())
         return FilesWritten(staged, written, len(failures))
 
@@ -199,28 +239,50 @@ class ExportsWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[FilesWritten | None]) -> None:
         system, folder, _ = _opened(self.address)
-        done = [m for m in messages if m is not None]
-        moves = []
-        for m in done:
-            for info in system.get_file_info(fs.FileSelector(m.staged, recursive=True)):
-                if info.type == fs.FileType.File:
-                    inside = info.path[len(m.staged) + 1 :]
-                    kind, name = inside.split("/", 1)
-                    moves.append((info.path, f"{folder}/_failures/run={self.run}" if kind == ".failures" else f"{folder}/{kind}", name))
-        for target in {t for _, t, _ in moves} | {f"{folder}/_failures/run={self.run}"}:
-            system.create_dir(target, recursive=True)
-        with ThreadPoolExecutor(16) as pool:
-            list(pool.map(lambda x: system.move(x[0], f"{x[1]}/{x[2]}"), moves))
-        self._clear(system, folder)
+        done = [os.path.basename(m.staged) for m in messages if m is not None]
+        put_file(system, f"{folder}/{self.staging}", _ATTEMPTS, json.dumps(done).encode())
 
     def abort(self, messages: list[FilesWritten | None]) -> None:
-        system, folder, _ = _opened(self.address)
-        self._clear(system, folder)
+        clear(self.address, self.staging)
+
+
+_ATTEMPTS = "attempts.json"
+
+
+def new_staging() -> str:
+    return f".staging-{uuid.uuid4().hex}"
+
+
+def attempts(address: str, staging: str) -> list[str]:
+    """The attempts that a commit has listed: one a task."""
+    system, folder, _ = _opened(address)
+    with system.open_input_stream(f"{folder}/{staging}/{_ATTEMPTS}") as f:
+        return json.loads(f.read())
+
+
+def place(address: str, staging: str, run: str, attempt: str) -> None:
+    """Move the files of an attempt to their places and its list of failures beside them; what an earlier
+    call has moved is not there any more."""
+    system, folder, _ = _opened(address)
+    with ThreadPoolExecutor(16) as pool:
+        for inside, *_ in list(_entries(system, f"{folder}/{staging}/{attempt}")):  # a folder a format
+            kind = os.path.basename(inside)
+            target = make_folder(address, f"_failures/run={run}" if kind == "_failures" else kind)
+            paths = [path for path, *_ in _entries(system, inside)]
+            for k in range(0, len(paths), 1024):
+                list(pool.map(lambda path: system.move(path, f"{target}/{os.path.basename(path)}"), paths[k : k + 1024]))
+
+
+def make_folder(address: str, name: str) -> str:
+    system, folder, _ = _opened(address)
+    system.create_dir(f"{folder}/{name}", recursive=True)
+    return f"{folder}/{name}"
+
 
-    def _clear(self, system: fs.FileSystem, folder: str) -> None:
-        staging = f"{folder}/{self.staging}"
-        if system.get_file_info(staging).type == fs.FileType.Directory:
-            system.delete_dir(staging)
+def clear(address: str, staging: str) -> None:
+    system, folder, _ = _opened(address)
+    if system.get_file_info(f"{folder}/{staging}").type == fs.FileType.Directory:
+        system.delete_dir(f"{folder}/{staging}")
 
 
 def _refusal(kind: str | None, name: str | None, body) -> str | None:
@@ -234,8 +296,8 @@ def _refusal(kind: str | None, name: str | None, body) -> str | None:
 
 
 class ExportsSink(DataSource):
-    """Options: ``path``, ``collision`` (refuse or replace existing files), ``run`` (a name for the
-    list of failures)."""
+    """Options: ``path``, ``collision`` (refuse or replace existing files), ``staging`` (a folder in
+    ``path`` that ``place`` takes the files from)."""
 
     @classmethod
     def name(cls) -> str:

@@ -1,6 +1,9 @@
 """Reading files by their beginnings, and one file a row."""
 
+import json
 import os
+import pickle
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -107,3 +110,53 @@ def test_a_failed_run_leaves_nothing(spark, tmp_path):
         archive.write_files(bad, out).count()
     assert not os.path.exists(out) or os.listdir(out) == []
     assert archive.write_files(bad.filter("id < 0"), out).count() == 0
+
+
+def _most(do):
+    """Bytes of Python objects that it holds at most, and what it returns."""
+    tracemalloc.start()
+    try:
+        out = do()
+        return tracemalloc.get_traced_memory()[1], out
+    finally:
+        tracemalloc.stop()
+
+
+def test_the_driver_holds_a_few_bytes_a_file(tmp_path):
+    names = [f"a/{k}.ws" if k % 2 else f"b/_{k}.ws" for k in range(20_000)]
+    made(tmp_path, {n: b"x" for n in names})
+    reader = files.ArchiveReader({"addresses": json.dumps([str(tmp_path)]), "recursive": "true"})
+    most, parts = _most(reader.partitions)
+    assert most < 4_000_000 and sum(len(pickle.dumps(p)) for p in parts) < 20 * len(names)
+    rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert sorted(r["path"] for r in rows) == sorted(f"file:{tmp_path}/{n}" for n in names) and {r["content"] for r in rows} == {b"x"}
+
+
+def test_a_commit_does_not_grow_with_the_files(tmp_path):
+    made(tmp_path, {f".staging-x/0-1/text/{k}.txt": b"x" for k in range(5_000)})
+    writer = files.ExportsWriter({"path": str(tmp_path), "staging": ".staging-x"})
+    writer.staging = ".staging-x"
+    most, _ = _most(lambda: writer.commit([files.FilesWritten(f"{tmp_path}/.staging-x/0-1", 5_000, 0), None]))
+    assert most < 500_000
+
+
+def test_files_are_placed_once_by_any_number_of_calls(tmp_path):
+    made(tmp_path, {f".staging-x/0-1/text/{k}.txt": b"new" for k in range(3_000)} | {"text/7.txt": b"old", ".staging-x/0-1/_failures/part-0.json": b"{}", ".staging-x/0-2/text/lost.txt": b"x", ".staging-x/0-1/.failures/.n": b"n"})
+    writer = files.ExportsWriter({"path": str(tmp_path), "staging": ".staging-x"})
+    writer.commit([files.FilesWritten(f"{tmp_path}/.staging-x/0-1", 3_001, 0), None])
+    assert files.attempts(str(tmp_path), ".staging-x") == ["0-1"]
+    for _ in range(2):
+        files.place(str(tmp_path), ".staging-x", "r", "0-1")
+    files.clear(str(tmp_path), ".staging-x")
+    assert sorted(os.listdir(tmp_path)) == [".failures", "_failures", "text"] and os.listdir(f"{tmp_path}/.failures") == [".n"]
+    assert len(os.listdir(f"{tmp_path}/text")) == 3_000 and open(f"{tmp_path}/text/7.txt").read() == "new"
+
+
+def test_addresses_that_overlap(spark, tmp_path):
+    made(tmp_path, {"a.ws": b"1", "s/b.ws": b"2", "s/t/c.ws": b"3", "s/t/d.ws": b"4"})
+    os.symlink(f"{tmp_path}/none", f"{tmp_path}/s/broken")
+    with open(os.fsencode(str(tmp_path)) + b"/s/\xff.ws", "wb") as f:
+        f.write(b"5")
+    for addresses in (["s/t/d.ws", "s/t", "", "s/b.ws", "s"], ["", "s/t/d.ws"], ["s", "s/t/c.ws", ""]):
+        rows = archive.read_archive(spark, [f"{tmp_path}/{a}" for a in addresses], recursive=True).collect()
+        assert sorted((r.path.removeprefix(f"file:{tmp_path}/"), r.content and bytes(r.content), r.length, r.error is None) for r in rows) == [("a.ws", b"1", 1, True), ("s/b.ws", b"2", 1, True), ("s/t/c.ws", b"3", 1, True), ("s/t/d.ws", b"4", 1, True), ("s/\ufffd.ws", None, 1, False)]
