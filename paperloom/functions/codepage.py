@@ -14,6 +14,7 @@ SYMBOL_LOWER = "αβχδεφγηιϕκλμνοπθρστυϖωξψζ"
 #: Signs of the symbol face, and the codes they stand at, in the order of the codes.
 SYMBOL_SIGNS = "∀∃∋∗−≅∼≤∞↔←↑→↓°±≥×∂·÷≠∈∉∇∏√⋅∑∫"
 _SIGN_CODES = "\"$'*-@~\xa3\xa5\xab\xac\xad\xae\xaf\xb0\xb1\xb3\xb4\xb6\xb7\xb8\xb9\xce\xcf\xd1\xd5\xd6\xd7\xe5\xf2"
+_ASCII = "".join(map(chr, range(0x20, 0x7F)))
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 SYMBOL_CODES, SYMBOL_TEXT = _LETTERS + _SIGN_CODES, SYMBOL_UPPER + SYMBOL_LOWER + SYMBOL_SIGNS
 #: the dingbats face: codes 21-7E in the order of Unicode's block; fixed values: the card suits A8-AB
@@ -30,11 +31,18 @@ def decode_cp437(chars: Column) -> Column:
     return F.translate(chars, _LATIN, CP437_HIGH)
 
 
+def _codes_again(text: Column, known: str, codes: str, same: str) -> Column:
+    """Codes (bytes) for characters; those of ``same`` stay, all others become ``?``.
+
+    The table has every byte that changes, so what is left beyond the bytes is not known: one range, where
+    a class of all that is known would be tried sign by sign at every character."""
+    others = "".join(c for c in map(chr, range(256)) if c not in known + same)
+    return F.regexp_replace(F.translate(text, known + others, codes + "?" * len(others)), r"[^\x00-\xFF]", "?")
+
+
 def encode_cp437(text: Column) -> Column:
     """Characters for bytes again; what the page lacks becomes ``?``."""
-    known = "".join(sorted(set(CP437_HIGH)))
-    body = F.regexp_replace(text, f"[^\\x00-\\x7F{known}]", "?")
-    return F.translate(body, CP437_HIGH, _LATIN)
+    return _codes_again(text, CP437_HIGH, _LATIN, "".join(map(chr, range(128))))
 
 
 def decode_symbol(chars: Column) -> Column:
@@ -46,15 +54,10 @@ def decode_dingbats(chars: Column) -> Column:
     return F.translate(chars, DINGBAT_CODES, DINGBAT_TEXT)
 
 
-def _codes_again(text: Column, known: str, codes: str) -> Column:
-    """Codes of a face for its signs; ASCII rides through, what the face lacks becomes ``?``."""
-    signs = "".join(sorted(set(known)))
-    return F.translate(F.regexp_replace(text, f"[^\\x20-\\x7E{signs}]", "?"), known, codes)
-
-
 def encode_symbol(text: Column) -> Column:
-    return _codes_again(text, SYMBOL_TEXT, SYMBOL_CODES)
+    """Codes of the face for its signs; ASCII rides through, what the face lacks becomes ``?``."""
+    return _codes_again(text, SYMBOL_TEXT, SYMBOL_CODES, _ASCII)
 
 
 def encode_dingbats(text: Column) -> Column:
-    return _codes_again(text, DINGBAT_TEXT, DINGBAT_CODES)
+    return _codes_again(text, DINGBAT_TEXT, DINGBAT_CODES, _ASCII)

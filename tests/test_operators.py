@@ -432,3 +432,21 @@ def test_nothing_imports_llm():
     for path in ROOT.rglob("*.py"):
         if "llm" not in path.parts:
             assert "paperloom.llm" not in path.read_text(), path
+
+
+def test_codes_again_sign_by_sign_without_wide_classes(spark):
+    """Every character is its code, itself or ?; no regular expression tries the signs one by one."""
+    ascii_, printable = [chr(c) for c in range(128)], [chr(c) for c in range(0x20, 0x7F)]
+    pages = {
+        codepage.encode_cp437: (dict(zip(codepage.CP437_HIGH, map(chr, range(128, 256)))), ascii_),
+        codepage.encode_symbol: (dict(reversed([*zip(codepage.SYMBOL_TEXT, codepage.SYMBOL_CODES)])), printable),
+        codepage.encode_dingbats: (dict(zip(codepage.DINGBAT_TEXT, codepage.DINGBAT_CODES)), printable),
+    }
+    texts = ["".join(map(chr, range(a, a + 64))) for a in range(0, 0x2800, 64)] + ["a\U0001f600b\u0000￿", "", "éα✁" * 300]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    for encode, (codes, same) in pages.items():
+        out = df.select("t", encode(F.col("t")).alias("c"))
+        for r in out.collect():
+            assert r.c == (r.t if r.t is None else "".join(codes.get(c, c if c in same else "?") for c in r.t))
+        classes = re.findall(r"\[\^[^\]]*\]", out._jdf.queryExecution().analyzed().toString())
+        assert classes and max(map(len, classes)) < 20
