@@ -160,3 +160,19 @@ def test_addresses_that_overlap(spark, tmp_path):
     for addresses in (["s/t/d.ws", "s/t", "", "s/b.ws", "s"], ["", "s/t/d.ws"], ["s", "s/t/c.ws", ""]):
         rows = archive.read_archive(spark, [f"{tmp_path}/{a}" for a in addresses], recursive=True).collect()
         assert sorted((r.path.removeprefix(f"file:{tmp_path}/"), r.content and bytes(r.content), r.length, r.error is None) for r in rows) == [("a.ws", b"1", 1, True), ("s/b.ws", b"2", 1, True), ("s/t/c.ws", b"3", 1, True), ("s/t/d.ws", b"4", 1, True), ("s/\ufffd.ws", None, 1, False)]
+
+
+def test_tasks_move_what_was_staged(spark, tmp_path):
+    """The files get to their places in Spark jobs of their own; a run whose move fails clears its staging."""
+    out, sc = str(tmp_path), spark.sparkContext
+    rows = spark.range(2_000).select(F.lit("text").alias("format"), F.concat(F.col("id").cast("string"), F.lit(".txt")).alias("name"), F.lit("x").alias("body"))
+    sc.setJobGroup("moved by tasks", "")
+    assert archive.write_files(rows, out).count() == 0
+    stages = [s for j in sc.statusTracker().getJobIdsForGroup("moved by tasks") for s in sc.statusTracker().getJobInfo(j).stageIds]
+    names = [i.name for i in map(sc.statusTracker().getStageInfo, stages) if i]
+    assert any("foreach" in n for n in names) and sorted(os.listdir(out)) == ["_failures", "text"] and len(os.listdir(f"{out}/text")) == 2_000
+    open(f"{out}/_failures/run=bad", "w").close()
+    with pytest.raises(Exception, match="run=bad"):
+        archive.write_files(rows, out, "replace", run="bad")
+    assert sorted(os.listdir(out)) == ["_failures", "text"]
+    sc.setJobGroup("done", "")
